@@ -1,0 +1,21 @@
+"""Streams.
+
+The pipelines this library rebuilds are batch only: every source is a bounded
+table or file set, and no block keeps state across micro-batches. So there is
+no streaming operator here. The row-local blocks (``drop_missing``,
+``correct_types``, ``standardize_text``, ``map_values`` with a dict,
+``parse_time``, ``split_column``, ``construct``, ``reduce_rows``) contain only
+projections and filters and can be applied unchanged to a DataFrame from
+``spark.readStream``; blocks that aggregate, rank or join need a batch input.
+"""
+
+ROW_LOCAL_BLOCKS = (
+    "drop_missing",
+    "correct_types",
+    "standardize_text",
+    "map_values",
+    "parse_time",
+    "split_column",
+    "construct",
+    "reduce_rows",
+)
