@@ -254,7 +254,13 @@ def feature_scores(df: DataFrame, features: Sequence[str], target: str | None =
         aggs.append(F.var_samp(v).alias(f"_bp_var{i}"))
         aggs.append(F.count(v).alias(f"_bp_cnt{i}"))
         if target:
-            aggs.append(F.corr(v, present(df, target).cast("double")).alias(f"_bp_corr{i}"))
+            # corr() divides by zero (an ANSI error) for a constant column;
+            # this form gives null instead
+            t = present(df, target).cast("double")
+            both = v.isNotNull() & t.isNotNull()
+            x, y = F.when(both, v), F.when(both, t)
+            corr = F.try_divide(F.covar_samp(x, y), F.sqrt(F.var_samp(x) * F.var_samp(y)))
+            aggs.append(corr.alias(f"_bp_corr{i}"))
     one = df.agg(*aggs)
     rows = F.array(
         *[

@@ -9,6 +9,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark import SparkConf
 from pyspark.sql import SparkSession
 
 # Settings applied only when the caller (or the cluster) has not set them.
@@ -19,6 +20,7 @@ DEFAULT_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
 }
 
 
@@ -31,9 +33,12 @@ def get_session(
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
-    merged = dict(DEFAULT_CONF)
-    merged.update(conf or {})
-    for key, value in merged.items():
+    # spark-submit / spark-defaults settings win over our defaults
+    submitted = SparkConf()
+    for key, value in DEFAULT_CONF.items():
+        if not submitted.contains(key):
+            builder = builder.config(key, value)
+    for key, value in (conf or {}).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 

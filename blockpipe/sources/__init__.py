@@ -8,6 +8,7 @@ from blockpipe.sources.io import (
     move,
     normalize_dates,
     read_csv,
+    read_export,
     read_files,
     read_table,
     read_tables,
@@ -24,6 +25,7 @@ __all__ = [
     "move",
     "normalize_dates",
     "read_csv",
+    "read_export",
     "read_files",
     "read_table",
     "read_tables",

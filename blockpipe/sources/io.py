@@ -120,12 +120,27 @@ _TEXT_TIME_OPTS = {
 }
 
 
+# CSV as written here: RFC 4180 quoting (inner quotes doubled), null as an
+# empty field, an empty string as "". Reading it back with a null marker that
+# never occurs keeps the two apart (Spark's default reads both as null).
+_CSV_WRITE_OPTS = {"header": "true", "escape": '"', "nullValue": "", "emptyValue": '""'}
+_CSV_READ_BACK_OPTS = {"header": "true", "escape": '"', "nullValue": "\u0000", "emptyValue": ""}
+
+
+def _read_back(spark: SparkSession, path: str, fmt: str, schema: StructType) -> DataFrame:
+    if fmt == "csv":
+        return spark.read.options(**_TEXT_TIME_OPTS, **_CSV_READ_BACK_OPTS).schema(schema).csv(path)
+    if fmt in ("json",):
+        return spark.read.options(**_TEXT_TIME_OPTS).schema(schema).json(path)
+    return read_files(spark, path, fmt, schema=schema)
+
+
 def _writer(df: DataFrame, fmt: str, mode: str, partition_by: Sequence[str] | None, **opts):
     w = df.write.format(fmt).mode(mode)
     if fmt in ("csv", "json"):
         w = w.options(**_TEXT_TIME_OPTS)
     if fmt == "csv":
-        w = w.option("header", True)
+        w = w.options(**_CSV_WRITE_OPTS)
     if partition_by:
         w = w.partitionBy(*partition_by)
     return w.options(**opts)
@@ -179,7 +194,7 @@ def move(
         write_table(df, destination, mode, partition_by)
         return spark.table(destination)
     write_files(df, destination, destination_fmt, mode, partition_by)
-    return read_files(spark, destination, destination_fmt, schema=df.schema)
+    return _read_back(spark, destination, destination_fmt, df.schema)
 
 
 def convert_files(
@@ -197,26 +212,24 @@ def convert_files(
     pass; returns the converted files, read back with the source schema."""
     df = read_files(spark, src, src_fmt, schema=schema, **read_opts)
     write_files(df, dst, dst_fmt, mode, partition_by)
-    return read_files(spark, dst, dst_fmt, schema=df.schema)
+    return _read_back(spark, dst, dst_fmt, df.schema)
 
 
 def export_csv(df: DataFrame, path: str, n: int | None = None, mode: str = "overwrite") -> str:
-    """CSV for download: header, every value quoted, inner quotes doubled,
-    null as an empty field. ``n`` keeps the first rows only (a preview)."""
+    """CSV for download: header, values quoted where needed, inner quotes
+    doubled, null as an empty field, empty text as ``""``. ``n`` keeps the
+    first rows only (a preview)."""
     out = df.limit(n) if n is not None else df
-    (
-        out.write.mode(mode)
-        .options(**_TEXT_TIME_OPTS)
-        .option("header", True)
-        .option("quoteAll", True)
-        .option("escape", '"')
-        .option("nullValue", "")
-        .option("emptyValue", '""')
-        .csv(path)
-    )
+    # no quoteAll: Spark would quote nulls too, making them "" like empty text
+    out.write.mode(mode).options(**_TEXT_TIME_OPTS, **_CSV_WRITE_OPTS).csv(path)
     return path
 
 
+def read_export(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """Read a CSV written by ``export_csv`` or ``write_files`` back exactly."""
+    return _read_back(spark, path, "csv", schema)
+
+
 # --- A8: block snapshots ---------------------------------------------------------------
 
 _MANIFEST = "manifest"

@@ -651,19 +651,19 @@ def q_run_block_column(spark, sf):
     return run_block(doubled, df=table(spark, sf, "orders"))
 
 
-def _value_cents(pdf):
-    out = pdf[["event_id"]].copy()
-    out["value_cents"] = (pdf["value"] * 100).round().astype("int64")
-    return out
-
-
 @query(
     "pandas_block",
     "select event_id, cast(round(value * 100) as bigint) as value_cents from events",
 )
 def q_pandas_block(spark, sf):
+    # defined inside, so it is shipped to the Python workers by value
+    def value_cents(pdf):
+        out = pdf[["event_id"]].copy()
+        out["value_cents"] = (pdf["value"] * 100).round().astype("int64")
+        return out
+
     ev = table(spark, sf, "events").select("event_id", "value")
-    return pandas_block(ev, _value_cents, "event_id bigint, value_cents bigint")
+    return pandas_block(ev, value_cents, "event_id bigint, value_cents bigint")
 
 
 # --- H2: lineage over a block table derived from conversations ---------------------------------------
@@ -748,7 +748,7 @@ def q_move_json(spark, sf):
 def q_export_csv(spark, sf):
     part = table(spark, sf, "part")
     dst = io.export_csv(part, scratch_path(spark, "part_export"))
-    return io.read_csv(spark, dst, schema=part.schema)
+    return io.read_export(spark, dst, part.schema)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

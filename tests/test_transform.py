@@ -1,0 +1,126 @@
+import datetime as dt
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from blockpipe import operators as ops
+from blockpipe.plans import quantiles, rank_within
+
+
+@pytest.fixture(scope="module")
+def skewed(spark):
+    """One key holds a third of the rows; values have ties."""
+    rnd = random.Random(5)
+    rows = []
+    for i in range(3000):
+        k = 0 if i % 3 == 0 else rnd.randrange(1, 40)
+        rows.append((i, k, float(rnd.randrange(0, 500)) / 4, i * 7 % 1000))
+    return spark.createDataFrame(rows, "id bigint, k bigint, v double, t bigint"), rows
+
+
+def test_rank_within_matches_sort(spark, skewed):
+    df, rows = skewed
+    got = {r.id: r.p for r in rank_within(df, ["k"], ["t", "id"], pos_col="p").collect()}
+    by_key = {}
+    for r in rows:
+        by_key.setdefault(r[1], []).append(r)
+    for key_rows in by_key.values():
+        for pos, r in enumerate(sorted(key_rows, key=lambda r: (r[3], r[0]))):
+            assert got[r[0]] == pos
+
+
+def test_exact_quantiles_match_numpy(spark, skewed):
+    df, rows = skewed
+    q = {r.k: (r.a, r.b, r.c) for r in quantiles(df, "v", [0.1, 0.5, 0.93], by=["k"], names=["a", "b", "c"]).collect()}
+    by_key = {}
+    for r in rows:
+        by_key.setdefault(r[1], []).append(r[2])
+    for k, vals in by_key.items():
+        assert q[k] == pytest.approx(tuple(np.quantile(vals, [0.1, 0.5, 0.93])))
+
+
+def test_smooth_ranked_equals_window(spark, skewed):
+    df, _ = skewed
+    a = {r.id: r.m for r in ops.smooth(df, "v", "k", ["t", "id"], 4, out="m").collect()}
+    b = {r.id: r.m for r in ops.smooth(df, "v", "k", ["t", "id"], 4, out="m", method="window").collect()}
+    assert a.keys() == b.keys()
+    for i in a:
+        assert a[i] == pytest.approx(b[i])
+
+
+def test_parse_time_and_years(spark):
+    df = spark.createDataFrame([("2000-03-01 10:00:00",), ("bad",)], "s string")
+    out = ops.parse_time(df, "s", "yyyy-MM-dd HH:mm:ss", out="t").collect()
+    assert out[0].t == dt.datetime(2000, 3, 1, 10) and out[1].t is None
+    ages = ops.years_between(ops.parse_time(df, "s", "yyyy-MM-dd HH:mm:ss"), "s", "2002-03-01 09:59:59").collect()
+    assert ages[0].age == 1 and ages[1].age is None
+
+
+def test_split_column(spark):
+    df = spark.createDataFrame([("Dr John Smith",), ("Ann",), ("a  b",)], "n string")
+    rows = ops.split_column(df, "n", ["t", "f", "l"]).collect()
+    assert (rows[0].t, rows[0].f, rows[0].l) == ("Dr", "John", "Smith")
+    assert (rows[1].t, rows[1].f, rows[1].l) == ("Ann", None, None)
+    assert (rows[2].t, rows[2].f, rows[2].l) == ("a", None, "b")
+    dotted = spark.createDataFrame([("a.b",)], "n string")
+    assert ops.split_column(dotted, "n", ["x", "y"], sep=".").collect()[0].y == "b"
+
+
+def test_drop_outliers(spark):
+    vals = [float(i) for i in range(20)] + [1000.0, None]
+    df = spark.createDataFrame([(v,) for v in vals], "v double")
+    kept = [r.v for r in ops.drop_outliers(df, "v", "iqr").collect()]
+    assert 1000.0 not in kept and None in kept and len(kept) == 21
+    kept_z = [r.v for r in ops.drop_outliers(df, "v", "zscore", k=2).collect()]
+    assert 1000.0 not in kept_z
+
+
+def test_discretize(spark):
+    df = spark.createDataFrame([(float(i),) for i in range(10)] + [(None,)], "v double")
+    width = [r.bin for r in ops.discretize(df, "v", "width", n=5).collect()]
+    assert width == [0, 0, 1, 1, 2, 2, 3, 3, 4, 4, None]
+    quart = [r.bin for r in ops.discretize(df, "v", "quantile", n=4).collect()]
+    edges = np.quantile(range(10), [0.25, 0.5, 0.75])
+    assert quart == [int(sum(e < i for e in edges)) for i in range(10)] + [None]
+    fixed = [r.bin for r in ops.discretize(df, "v", "edges", edges=[2.5, 6.5]).collect()]
+    assert fixed[:4] == [0, 0, 0, 1] and fixed[-2] == 2
+
+
+def test_aggregate_and_construct(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("b", 5.0)], "k string, x double")
+    out = ops.aggregate(ops.construct(df, {"y": "x * 2"}), "k", {"n": ("count", "*"), "s": ("sum", "y")})
+    assert {r.k: (r.n, r.s) for r in out.collect()} == {"a": (2, 8.0), "b": (1, 10.0)}
+
+
+def test_reduce_rows_repeatable_and_stratified(spark):
+    df = spark.range(20000).withColumn("g", F.when(F.col("id") % 2 == 0, "x").otherwise("y"))
+    a = ops.reduce_rows(df, 0.1, "id", seed=3)
+    b = ops.reduce_rows(df.repartition(7), 0.1, "id", seed=3)
+    ids = sorted(r.id for r in a.collect())
+    assert ids == sorted(r.id for r in b.collect())
+    assert 1700 < len(ids) < 2300
+    strat = ops.reduce_rows(df, {"x": 0.5}, "id", strata="g").groupBy("g").count().collect()
+    assert [r.g for r in strat] == ["x"] and 4500 < strat[0]["count"] < 5500
+    mod = ops.reduce_rows(df, 0.1, "id", method="modulo", modulus=10)
+    assert mod.count() == 2000
+
+
+def test_select_features(spark):
+    rows = [(float(i), float(i % 2), 1.0, 2.0 * i) for i in range(50)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, y double")
+    scores, reduced = ops.select_features(df, ["a", "b", "c"], "y", min_variance=0.0, top_k=1)
+    assert reduced.columns == ["a", "y"]
+    s = {r.feature: r for r in scores.collect()}
+    assert s["c"].variance == 0.0 and s["a"].corr == pytest.approx(1.0)
+
+
+def test_extract_features(spark):
+    df = spark.createDataFrame([(1.0, 2.0), (2.0, 4.0), (3.0, 6.5)], "a double, b double")
+    z = [r.a for r in ops.extract_features(df, ["a"], "scale").collect()]
+    assert z == pytest.approx([-1.0, 0.0, 1.0])
+    mm = [r.b for r in ops.extract_features(df, ["b"], "minmax").collect()]
+    assert mm == pytest.approx([0.0, 2 / 4.5, 1.0])
+    pca = ops.extract_features(df, ["a", "b"], "pca", k=1).collect()
+    assert len(pca[0].pca) == 1
