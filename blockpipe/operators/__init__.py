@@ -19,6 +19,7 @@ from blockpipe.operators.profile import (
     preview_records,
     schema_profile,
 )
+from blockpipe.operators.recommend import recommend_cleaning, recommend_transformations
 from blockpipe.operators.transform import (
     aggregate,
     construct,
@@ -55,6 +56,8 @@ __all__ = [
     "parse_time",
     "preview",
     "preview_records",
+    "recommend_cleaning",
+    "recommend_transformations",
     "reduce_rows",
     "schema_profile",
     "select_features",

@@ -153,6 +153,152 @@ def q_dataset_summary(spark, sf):
     return ops.dataset_summary({"customer": table(spark, sf, "customer"), "supplier": table(spark, sf, "supplier")})
 
 
+# --- B5, B6: recommendations ---------------------------------------------------------------------
+
+from blockpipe.operators.recommend import CLEANING_REASONS, TRANSFORMATION_REASONS  # noqa: E402
+
+
+def _sql_text(template: str, **parts: str) -> str:
+    """The SQL twin of the reason builder: literals and SQL expressions joined by ||."""
+    out, rest = [], template
+    while "{" in rest:
+        head, tail = rest.split("{", 1)
+        key, rest = tail.split("}", 1)
+        out.append("'" + head.replace("'", "''") + "'")
+        out.append(parts[key])
+    out.append("'" + rest.replace("'", "''") + "'")
+    return " || ".join(out)
+
+
+def _lit(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+_CLEANING_SETS = {
+    "events": (
+        "(select event_id, user_id, event_type, case when event_id % 7 <> 0 then value end as value, "
+        "json_extract_string(props, '$.k') as k_text from events)",
+        [("event_id", "bigint"), ("user_id", "bigint"), ("event_type", "string"), ("value", "double"),
+         ("k_text", "string")],
+    ),
+    "customers": (
+        "(select c_custkey, case when c_custkey % 11 = 0 then ' ' || c_name else c_name end as c_name, "
+        "c_mktsegment from customer)",
+        [("c_custkey", "bigint"), ("c_name", "string"), ("c_mktsegment", "string")],
+    ),
+    "documents": ("(select text, lang, source from documents)",
+                  [("text", "string"), ("lang", "string"), ("source", "string")]),
+}
+
+
+def _cleaning_sql() -> str:
+    cands = []
+    for ds, (src, cols) in _CLEANING_SETS.items():
+        for c, t in cols:
+            miss = f"{c} is null" + (f" or isnan({c})" if t == "double" else "")
+            reason = _sql_text(CLEANING_REASONS["impute"], c=_lit(c), n="cast(n as varchar)")
+            cands.append(f"select {_lit(ds)} as dataset, {_lit(c)} as column_name, 'impute' as technique, "
+                         f"{reason} as reason, n as affected_rows "
+                         f"from (select count(*) filter (where {miss}) as n from {src}) where n > 0")
+            if t == "string":
+                strip = f"regexp_replace({c}, '^\\s+|\\s+$', '', 'g')"
+                reason = _sql_text(CLEANING_REASONS["standardize_text"], c=_lit(c), n="cast(n as varchar)")
+                cands.append(f"select {_lit(ds)}, {_lit(c)}, 'standardize_text', {reason}, n "
+                             f"from (select count(*) filter (where {c} <> {strip}) as n from {src}) where n > 0")
+                reason = _sql_text(CLEANING_REASONS["correct_types"], c=_lit(c), n="cast(n as varchar)")
+                cands.append(f"select {_lit(ds)}, {_lit(c)}, 'correct_types', {reason}, n "
+                             f"from (select count({c}) as n, count(try_cast({c} as double)) as m from {src}) "
+                             f"where n > 0 and n = m")
+        allc = ", ".join(c for c, _ in cols)
+        reason = _sql_text(CLEANING_REASONS["drop_duplicates"], d=_lit(ds), n="cast(n as varchar)")
+        cands.append(f"select {_lit(ds)}, '*', 'drop_duplicates', {reason}, n from "
+                     f"(select cast(coalesce(sum(c - 1), 0) as bigint) as n from "
+                     f"(select count(*) as c from {src} group by {allc})) where n > 0")
+    body = "\nunion all\n".join(cands)
+    return (f"select * from (select cast(row_number() over (order by affected_rows desc, dataset, "
+            f"column_name, technique) as int) as rank, * from ({body})) where rank <= 5")
+
+
+@query("recommend_cleaning", _cleaning_sql())
+def q_recommend_cleaning(spark, sf):
+    ev = table(spark, sf, "events").select(
+        "event_id", "user_id", "event_type",
+        F.when(F.col("event_id") % 7 != 0, F.col("value")).alias("value"),
+        F.get_json_object("props", "$.k").alias("k_text"),
+    )
+    cust = table(spark, sf, "customer").select(
+        "c_custkey",
+        F.when(F.col("c_custkey") % 11 == 0, F.concat(F.lit(" "), "c_name")).otherwise(F.col("c_name")).alias("c_name"),
+        "c_mktsegment",
+    )
+    docs = table(spark, sf, "documents").select("text", "lang", "source")
+    return ops.recommend_cleaning({"events": ev, "customers": cust, "documents": docs})
+
+
+_TRANSFORM_SETS = {
+    "orders": ("(select o_orderkey, o_custkey, o_orderdate from orders)",
+               [("o_orderkey", "bigint"), ("o_custkey", "bigint"), ("o_orderdate", "timestamp")]),
+    "customers": ("(select c_custkey as o_custkey, c_mktsegment from customer)",
+                  [("o_custkey", "bigint"), ("c_mktsegment", "string")]),
+    "parts": ("(select p_partkey, p_name from part)", [("p_partkey", "bigint"), ("p_name", "string")]),
+    "customer_names": ("(select c_name as name from customer)", [("name", "string")]),
+    "supplier_names": ("(select s_name as name from supplier)", [("name", "string")]),
+}
+
+
+def _transform_sql() -> str:
+    prio = {"split_column": 0, "construct": 1, "discretize": 2, "join_on_keys": 3, "union": 4}
+    cands = []
+    for ds, (src, cols) in _TRANSFORM_SETS.items():
+        for c, t in cols:
+            if t == "string":
+                reason = _sql_text(TRANSFORMATION_REASONS["split_column"], c=_lit(c), n="cast(lo as varchar)")
+                cands.append(f"select 0 as priority, {_lit(ds)} as dataset, {_lit(c)} as column_name, "
+                             f"'split_column' as technique, {reason} as reason, n as affected_rows from "
+                             f"(select count({c}) as n, min(len(string_split({c}, ' '))) as lo, "
+                             f"max(len(string_split({c}, ' '))) as hi from {src}) where n > 0 and lo = hi and lo >= 2")
+            elif t == "timestamp":
+                reason = _sql_text(TRANSFORMATION_REASONS["construct"], c=_lit(c))
+                cands.append(f"select 1 as priority, {_lit(ds)} as dataset, {_lit(c)} as column_name, "
+                             f"'construct' as technique, {reason} as reason, n as affected_rows "
+                             f"from (select count({c}) as n from {src}) where n > 0")
+            elif t == "double":
+                reason = _sql_text(TRANSFORMATION_REASONS["discretize"], c=_lit(c))
+                cands.append(f"select 2 as priority, {_lit(ds)} as dataset, {_lit(c)} as column_name, "
+                             f"'discretize' as technique, {reason} as reason, n as affected_rows "
+                             f"from (select count({c}) as n from {src}) where n > 0")
+    names = list(_TRANSFORM_SETS)
+    for i, a in enumerate(names):
+        for b in names[i + 1:]:
+            sa, sb = dict(_TRANSFORM_SETS[a][1]), dict(_TRANSFORM_SETS[b][1])
+            shared = [c for c in sa if c in sb and sa[c] == sb[c]]
+            if shared:
+                reason = TRANSFORMATION_REASONS["join_on_keys"].format(d=a, e=b, c=", ".join(shared))
+                cands.append(f"select 3 as priority, {_lit(a + ', ' + b)} as dataset, "
+                             f"{_lit(', '.join(shared))} as column_name, 'join_on_keys' as technique, "
+                             f"{_lit(reason)} as reason, cast(null as bigint) as affected_rows")
+            if sa == sb:
+                reason = TRANSFORMATION_REASONS["union"].format(d=a, e=b)
+                cands.append(f"select 4 as priority, {_lit(a + ', ' + b)} as dataset, '*' as column_name, "
+                             f"'union' as technique, {_lit(reason)} as reason, cast(null as bigint) as affected_rows")
+    body = "\nunion all\n".join(cands)
+    return (f"select rank, dataset, column_name, technique, reason, affected_rows from ("
+            f"select cast(row_number() over (order by priority, dataset, column_name) as int) as rank, * "
+            f"from ({body})) where rank <= 5")
+
+
+@query("recommend_transformations", _transform_sql())
+def q_recommend_transformations(spark, sf):
+    dfs = {
+        "orders": table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderdate"),
+        "customers": table(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment"),
+        "parts": table(spark, sf, "part").select("p_partkey", "p_name"),
+        "customer_names": table(spark, sf, "customer").select(F.col("c_name").alias("name")),
+        "supplier_names": table(spark, sf, "supplier").select(F.col("s_name").alias("name")),
+    }
+    return ops.recommend_transformations(dfs)
+
+
 # --- C: cleaning -------------------------------------------------------------------------------
 
 
