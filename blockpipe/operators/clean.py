@@ -11,6 +11,7 @@ from pyspark.sql.types import DataType, NumericType
 from blockpipe.functions import is_missing, present, standardize_name, strip_whitespace
 from blockpipe.functions.columns import as_column
 from blockpipe.plans.ranking import _null_safe_join, group_mode, quantiles
+from blockpipe.plans.sizing import broadcast_if_small
 
 # Mappings up to this many entries become a map literal inside the projection
 # (no join, no shuffle); larger ones are joined as a table.
@@ -49,11 +50,12 @@ def drop_duplicates(
         raise ValueError(f"keep must be 'first' or 'last', got {keep!r}")
     order = [keep_by] if isinstance(keep_by, str) else list(keep_by)
     keys = list(subset) if subset else list(df.columns)
-    rest = [c for c in df.columns if c not in order]
+    # the group key is not repeated inside the kept row: it is shuffled once
+    rest = [c for c in df.columns if c not in order and c not in keys]
     ranked = F.struct(*[F.col(c) for c in order + rest])
     pick = F.min(ranked) if keep == "first" else F.max(ranked)
     kept = df.groupBy(*keys).agg(pick.alias("_bp_row"))
-    return kept.select(*[F.col(f"_bp_row.{c}").alias(c) for c in df.columns])
+    return kept.select(*[F.col(c) if c in keys else F.col(f"_bp_row.{c}").alias(c) for c in df.columns])
 
 
 IMPUTE_STRATEGIES = ("constant", "mean", "median", "mode")
@@ -72,9 +74,9 @@ def impute(
     ``strategy``: ``constant`` (``value``), ``mean``, ``median`` or ``mode``,
     over the whole column or per group of ``by``. Statistics come from one
     aggregation (global: a single row, joined by broadcast; per group: a
-    table with one row per group, which adaptive execution broadcasts when
-    small and otherwise sort-merge joins with skew splitting). Median is
-    exact via skew-safe ranking unless ``approx=True``.
+    table with one row per group, materialized and measured, then broadcast
+    when small and otherwise sort-merge joined with skew splitting). Median
+    is exact via skew-safe ranking unless ``approx=True``.
     """
     cols = [cols] if isinstance(cols, str) else list(cols)
     by = [by] if isinstance(by, str) else list(by or [])
@@ -103,6 +105,8 @@ def impute(
             stats = _null_safe_join(stats, p, by, "full") if by else stats.crossJoin(p)
 
     if by:
+        # one row per group: broadcast when measured small, else a shuffle join
+        stats, _ = broadcast_if_small(stats)
         joined = _null_safe_join(df, stats, by, "left")
     else:
         # a global statistic is exactly one row: broadcasting it is size-bounded

@@ -8,7 +8,8 @@ of the rows, that task does a third of the work. The helpers here never do:
   into many partitions by its order values. Each partition is sorted locally;
   a row's position is its offset inside its partition's slice of the key plus
   the row count of that key in all earlier partitions. The per-(partition, key)
-  counts form a table of at most ``partitions + keys`` rows. The numbered rows
+  counts form a table of at most ``partitions + keys`` rows, broadcast when
+  its measured size allows (``plans.sizing``). The numbered rows
   are checkpointed to the shared checkpoint folder before they are used twice:
   range bounds come from sampling, so two evaluations of the exchange (or a
   re-run after a lost executor) could cut the data differently.
@@ -26,6 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from blockpipe.functions import as_column
+from blockpipe.plans.sizing import broadcast_if_small
 from blockpipe.session import checkpoint_root, shuffle_partitions
 
 _RID = "_bp_rid"
@@ -74,7 +76,7 @@ def rank_within(
     chunks = chunks.withColumn("_bp_before", F.coalesce(F.sum("_bp_n").over(earlier), F.lit(0)))
     if size_col:
         chunks = chunks.withColumn(size_col, F.sum("_bp_n").over(Window.partitionBy(*keys)))
-    chunks = chunks.drop("_bp_n")
+    chunks, _ = broadcast_if_small(chunks.drop("_bp_n"))
     out = _null_safe_join(ranged, chunks, [_PART, *keys], "inner")
     out = out.withColumn(pos_col, F.col("_bp_before") + F.col(_RID) - F.col("_bp_start"))
     return out.drop(_RID, _PART, "_bp_start", "_bp_before")

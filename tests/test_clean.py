@@ -83,3 +83,18 @@ def test_standardize_name_values_and_columns(spark):
     clash = spark.createDataFrame([(1, 2)], "`A b` int, `a B` int")
     with pytest.raises(ValueError):
         ops.standardize_names(clash)
+
+
+def test_impute_by_group_without_broadcast(spark):
+    """Statistics too big to broadcast: the same answer through a shuffle join."""
+    rows = [(i, i % 5, None if i % 4 == 0 else float(i)) for i in range(200)]
+    df = spark.createDataFrame(rows, "id int, g int, v double")
+    want = _vals(ops.impute(df, "v", "median", by="g"))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = ops.impute(df, "v", "median", by="g")
+        assert "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString()
+        assert _vals(out) == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
