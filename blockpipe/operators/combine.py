@@ -50,12 +50,26 @@ def join_on_keys(
     right: DataFrame,
     on: Sequence[str] | str,
     how: str = "inner",
+    split_full: bool = False,
 ) -> DataFrame:
     """Join on common key columns. Adaptive execution picks broadcast (by the
-    measured size of a side) or sort-merge, and splits skewed partitions."""
+    measured size of a side) or sort-merge, and splits skewed partitions of
+    the preserved side of inner, left and right joins.
+
+    It cannot split a full outer join. ``split_full=True`` plans one as a
+    left join plus the right rows whose key is absent on the left (an anti
+    join against the left's distinct keys, which map-side combine shrinks),
+    so a hot key is split in both parts; it costs a second read of both sides.
+    """
     if how not in JOIN_KINDS:
         raise ValueError(f"how must be one of {JOIN_KINDS}, got {how!r}")
-    return left.join(right, on=[on] if isinstance(on, str) else list(on), how=how)
+    keys = [on] if isinstance(on, str) else list(on)
+    if how == "full" and split_full:
+        matched = left.join(right, on=keys, how="left")
+        right_only = right.join(left.select(*keys).distinct(), on=keys, how="left_anti")
+        both = matched.unionByName(right_only, allowMissingColumns=True)
+        return both.select(*matched.columns)
+    return left.join(right, on=keys, how=how)
 
 
 def join_on_condition(

@@ -58,10 +58,12 @@ def _json_ready(df: DataFrame) -> list[Column]:
 def preview_records(
     dfs: Mapping[str, DataFrame] | DataFrame,
     n: int = DEFAULT_PREVIEW_ROWS,
-    order_by: Sequence[str] | None = None,
+    order_by: Sequence[str] | Mapping[str, Sequence[str]] | None = None,
 ) -> DataFrame:
     """``(dataset, record)``: preview rows as JSON objects, ISO timestamps at
-    millisecond precision, nulls kept as ``null``."""
+    millisecond precision, nulls kept as ``null``. ``order_by`` is one
+    ordering for all datasets or ``{dataset: ordering}``; without one, which
+    rows come first is up to the scan."""
     if isinstance(dfs, DataFrame):
         dfs = {"result": dfs}
     opts = {
@@ -72,7 +74,8 @@ def preview_records(
     }
     parts = []
     for name, df in dfs.items():
-        head = preview(df, n, order_by)
+        order = order_by.get(name) if isinstance(order_by, Mapping) else order_by
+        head = preview(df, n, order)
         rec = F.to_json(F.struct(*_json_ready(head)), opts)
         parts.append(head.select(F.lit(name).alias("dataset"), rec.alias("record")))
     return reduce(DataFrame.unionAll, parts)

@@ -117,10 +117,26 @@ def q_preview(spark, sf):
     return ops.preview(table(spark, sf, "orders"), 10, order_by=["o_orderkey"])
 
 
-@query("preview_records")
+@query(
+    "preview_records",
+    """
+    select * from (
+        select 'orders' as dataset,
+               to_json(struct_pack(o_orderkey, o_custkey, o_orderstatus, o_totalprice,
+                                   o_orderdate := strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.%g'),
+                                   o_orderpriority)) as record
+        from orders order by o_orderkey limit 10)
+    union all
+    select * from (
+        select 'events' as dataset,
+               to_json(struct_pack(event_id, ts := strftime(ts, '%Y-%m-%dT%H:%M:%S.%g'), user_id,
+                                   event_type, value, props)) as record
+        from events order by event_id limit 10)
+    """,
+)
 def q_preview_records(spark, sf):
     dfs = {"orders": table(spark, sf, "orders"), "events": table(spark, sf, "events")}
-    return ops.preview_records(dfs, 10, order_by=None)
+    return ops.preview_records(dfs, 10, order_by={"orders": ["o_orderkey"], "events": ["event_id"]})
 
 
 def _profile_sql(src: str, cols: list[tuple[str, str, bool]], dataset: str | None = None) -> str:
@@ -657,6 +673,11 @@ for _kind, _sql_kind in _JOIN_SQL.items():
         """,
     )(_make(_kind))
 
+query("join_full_split", ORACLE_SQL["join_full"])(
+    lambda spark, sf: ops.join_on_keys(*_join_sides(spark, sf), "o_custkey", "full", split_full=True)
+    .select("o_orderkey", "o_custkey", "o_totalprice", "c_name")
+)
+
 for _kind, _sql_kind in {"left_semi": "semi join", "left_anti": "anti join"}.items():
     def _make_semi(kind):
         def q(spark, sf):

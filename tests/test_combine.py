@@ -48,3 +48,14 @@ def test_union_checks_schema(spark):
     bad = spark.createDataFrame([("1", "x")], "k string, v string")
     with pytest.raises(ValueError):
         ops.union([a, bad])
+
+
+def test_split_full_join_equals_full_join(spark):
+    # key 0 holds a third of the left rows
+    l = spark.createDataFrame([(0 if i % 3 == 0 else i, f"l{i}") for i in range(300)], "k int, x string")
+    r = spark.createDataFrame([(i * 2, f"r{i}") for i in range(-5, 200)], "k int, y string")
+    plain = ops.join_on_keys(l, r, "k", "full")
+    split = ops.join_on_keys(l, r, "k", "full", split_full=True)
+    assert split.columns == plain.columns
+    key = lambda df: sorted(tuple(map(str, x)) for x in df.collect())
+    assert key(split) == key(plain)
