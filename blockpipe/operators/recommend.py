@@ -26,7 +26,7 @@ from pyspark.sql.types import (
     TimestampType,
 )
 
-from blockpipe.functions import is_missing, strip_whitespace
+from blockpipe.functions import is_missing
 
 DEFAULT_LIMIT = 5
 
@@ -112,7 +112,9 @@ def recommend_cleaning(dfs: Mapping[str, DataFrame], limit: int = DEFAULT_LIMIT)
             if isinstance(f.dataType, StringType):
                 pad, cnt, num = (F.col(f"_bp_{k}{i}") for k in ("pad", "cnt", "num"))
                 aggs += [
-                    F.count_if(c != strip_whitespace(c)).alias(f"_bp_pad{i}"),
+                    # same as c != strip(c), but looks at two characters only
+                    F.count_if(F.left(c, F.lit(1)).rlike(r"(?U)^\s$") | F.right(c, F.lit(1)).rlike(r"(?U)^\s$"))
+                    .alias(f"_bp_pad{i}"),
                     F.count(c).alias(f"_bp_cnt{i}"),
                     F.count(c.try_cast("double")).alias(f"_bp_num{i}"),
                 ]

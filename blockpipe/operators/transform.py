@@ -312,9 +312,13 @@ def extract_features(
     """Simpler numeric form of ``cols``.
 
     ``scale``: z-scores; ``minmax``: to ``[0, 1]`` (both from one aggregated
-    row, broadcast). ``pca``: the first ``k`` principal components as an
-    array column ``out`` (covariance by a distributed aggregation, a
-    ``len(cols)``-square eigen problem on the driver).
+    row, broadcast). ``pca``: the scores on the first ``k`` principal
+    components of the centered columns, as an array column ``out``. The
+    means and the covariance matrix come from one aggregation; only that
+    ``len(cols)``-square matrix reaches the driver, for its eigenvectors; the
+    projection is a plain column expression. Rows with a missing value are
+    left out of the fit and get null scores. Each component's sign is fixed
+    so that its largest loading is positive.
     """
     cols = list(cols)
     if method in ("scale", "minmax"):
@@ -333,17 +337,40 @@ def extract_features(
         }
         return joined.withColumns(scaled).select(*df.columns)
     if method == "pca":
-        from pyspark.ml.feature import PCA, VectorAssembler
-        from pyspark.ml.functions import vector_to_array
-
-        def assemble(invalid: str) -> DataFrame:
-            return VectorAssembler(inputCols=cols, outputCol="_bp_vec", handleInvalid=invalid).transform(df)
-
-        # fit on complete rows; every row gets components (NaN where a value is missing)
-        model = PCA(k=k, inputCol="_bp_vec", outputCol="_bp_pca").fit(assemble("skip"))
-        return (
-            model.transform(assemble("keep"))
-            .withColumn(out, vector_to_array("_bp_pca"))
-            .drop("_bp_vec", "_bp_pca")
-        )
+        return _pca(df, cols, k, out)
     raise ValueError(f"method must be 'scale', 'minmax' or 'pca', got {method!r}")
+
+
+def _pca(df: DataFrame, cols: Sequence[str], k: int, out: str) -> DataFrame:
+    import numpy as np
+
+    d = len(cols)
+    if not 1 <= k <= d:
+        raise ValueError(f"k must be between 1 and {d}")
+    xs = [present(df, c).cast("double") for c in cols]
+    complete = F.lit(True)
+    for x in xs:
+        complete = complete & x.isNotNull()
+    fit = [F.when(complete, x) for x in xs]
+    aggs = [F.avg(x).alias(f"m{i}") for i, x in enumerate(fit)]
+    aggs += [F.covar_samp(fit[i], fit[j]).alias(f"c{i}_{j}") for i in range(d) for j in range(i, d)]
+    row = df.agg(*aggs).first()  # d means and d(d+1)/2 covariances
+    means = np.array([row[f"m{i}"] for i in range(d)], dtype=float)
+    cov = np.zeros((d, d))
+    for i in range(d):
+        for j in range(i, d):
+            cov[i, j] = cov[j, i] = row[f"c{i}_{j}"]
+    vals, vecs = np.linalg.eigh(cov)
+    order = np.argsort(vals)[::-1][:k]
+    comps = vecs[:, order]
+    for j in range(k):
+        if comps[np.argmax(np.abs(comps[:, j])), j] < 0:
+            comps[:, j] = -comps[:, j]
+    scores = []
+    for j in range(k):
+        terms = [(xs[i] - float(means[i])) * float(comps[i, j]) for i in range(d)]
+        total = terms[0]
+        for t in terms[1:]:
+            total = total + t
+        scores.append(F.when(complete, total))
+    return df.withColumn(out, F.array(*scores))

@@ -124,3 +124,21 @@ def test_extract_features(spark):
     assert mm == pytest.approx([0.0, 2 / 4.5, 1.0])
     pca = ops.extract_features(df, ["a", "b"], "pca", k=1).collect()
     assert len(pca[0].pca) == 1
+
+
+def test_pca_matches_numpy(spark):
+    rnd = np.random.default_rng(3)
+    base = rnd.normal(size=(300, 3)) @ np.array([[3.0, 1.0, 0.0], [0.0, 1.0, 0.5], [0.0, 0.0, 0.2]])
+    rows = [(i, *map(float, r)) for i, r in enumerate(base)] + [(300, None, 1.0, 2.0)]
+    df = spark.createDataFrame(rows, "id int, a double, b double, c double")
+    got = {r.id: r.pca for r in ops.extract_features(df, ["a", "b", "c"], "pca", k=2).collect()}
+    centered = base - base.mean(axis=0)
+    vals, vecs = np.linalg.eigh(np.cov(centered, rowvar=False))
+    comps = vecs[:, np.argsort(vals)[::-1][:2]]
+    for j in range(2):
+        if comps[np.argmax(np.abs(comps[:, j])), j] < 0:
+            comps[:, j] *= -1
+    want = centered @ comps
+    for i in range(300):
+        assert got[i] == pytest.approx(list(want[i]), abs=1e-9)
+    assert got[300] == [None, None]
