@@ -13,8 +13,11 @@ of the rows, that task does a third of the work. The helpers here never do:
   are checkpointed to the shared checkpoint folder before they are used twice:
   range bounds come from sampling, so two evaluations of the exchange (or a
   re-run after a lost executor) could cut the data differently.
-* ``quantiles`` reads the values at the two ranks around ``p * (n - 1)`` from
-  that positioned data and interpolates linearly (pandas / ``quantile_cont``).
+* ``quantiles`` first collapses equal values of a key into one row with a
+  count (map-side combine), ranks those rows by value with the counts as
+  weights, then reads the values whose position ranges cover the two ranks
+  around ``p * (n - 1)`` and interpolates linearly (pandas /
+  ``quantile_cont``). A hot key is cut by value, and a hot value is one row.
 * ``group_mode`` counts ``(keys, value)`` pairs with map-side combine, then
   keeps the top pair per key with a fixed-size ``min(struct)`` buffer.
 """
@@ -53,10 +56,15 @@ def rank_within(
     order_by: Sequence[str | Column],
     pos_col: str = "_pos",
     size_col: str | None = None,
+    weight: str | None = None,
 ) -> DataFrame:
     """Add ``pos_col``: the 0-based position of each row among rows of its key,
     in ``order_by`` order (ascending, nulls first). ``size_col`` adds the key's
     row count. Ties get distinct, arbitrary positions, like ``row_number``.
+
+    With ``weight`` (a non-negative integer column, e.g. a count of collapsed
+    duplicates) a row's position is the total weight of the rows before it,
+    and the size is the key's total weight.
     """
     keys = list(keys)
     sort_cols = [F.col(k) for k in keys] + [as_column(o) for o in order_by]
@@ -69,17 +77,28 @@ def rank_within(
     )
     checkpoint_root(df.sparkSession)
     ranged = ranged.checkpoint(eager=True).withColumn(_PART, F.shiftright(F.col(_RID), 33))
+    amount = F.col(weight) if weight else F.lit(1)
     chunks = ranged.groupBy(_PART, *keys).agg(
-        F.min(_RID).alias("_bp_start"), F.count(F.lit(1)).alias("_bp_n")
+        F.min(_RID).alias("_bp_start"), F.sum(amount).cast("bigint").alias("_bp_n")
     )
     earlier = Window.partitionBy(*keys).orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
     chunks = chunks.withColumn("_bp_before", F.coalesce(F.sum("_bp_n").over(earlier), F.lit(0)))
     if size_col:
         chunks = chunks.withColumn(size_col, F.sum("_bp_n").over(Window.partitionBy(*keys)))
     chunks, _ = broadcast_if_small(chunks.drop("_bp_n"))
+    if weight:
+        # weight of the earlier rows of the same chunk: a window per
+        # (partition, key) slice, whose size the range partitioning bounds
+        inside = Window.partitionBy(_PART, *keys).orderBy(_RID).rowsBetween(Window.unboundedPreceding, -1)
+        local = F.coalesce(F.sum(amount).over(inside), F.lit(0))
+        ranged = ranged.withColumn("_bp_local", local)
+    else:
+        # rows of a chunk are numbered consecutively
+        ranged = ranged.withColumn("_bp_local", F.lit(None).cast("bigint"))
     out = _null_safe_join(ranged, chunks, [_PART, *keys], "inner")
-    out = out.withColumn(pos_col, F.col("_bp_before") + F.col(_RID) - F.col("_bp_start"))
-    return out.drop(_RID, _PART, "_bp_start", "_bp_before")
+    local_pos = F.col("_bp_local") if weight else F.col(_RID) - F.col("_bp_start")
+    out = out.withColumn(pos_col, F.col("_bp_before") + local_pos)
+    return out.drop(_RID, _PART, "_bp_start", "_bp_before", "_bp_local")
 
 
 def quantiles(
@@ -109,19 +128,28 @@ def quantiles(
         agg = base.groupBy(*by).agg(arr.alias("_bp_q"))
         return agg.select(*by, *[F.col("_bp_q")[i].alias(nm) for i, nm in enumerate(names)])
 
-    ranked = rank_within(base, by, ["_bp_v"], pos_col="_bp_pos", size_col="_bp_size")
+    # equal values collapse map-side, so neither a hot key nor a hot value
+    # concentrates rows; each distinct value covers positions [pos, pos + n)
+    distinct = base.groupBy(*by, "_bp_v").agg(F.count(F.lit(1)).alias("_bp_n"))
+    ranked = rank_within(distinct, by, ["_bp_v"], pos_col="_bp_pos", size_col="_bp_size", weight="_bp_n")
     last = F.col("_bp_size") - 1
     lo = [F.floor(F.lit(float(p)) * last) for p in probs]
     hi = [F.ceil(F.lit(float(p)) * last) for p in probs]
-    wanted = ranked.where(F.array_contains(F.array(*lo, *hi), F.col("_bp_pos")))
+
+    def covers(rank: Column) -> Column:
+        return (F.col("_bp_pos") <= rank) & (rank < F.col("_bp_pos") + F.col("_bp_n"))
+
+    wanted = F.lit(False)
+    for r in lo + hi:
+        wanted = wanted | covers(r)
     aggs = []
     for i, p in enumerate(probs):
         aggs += [
-            F.max(F.when(F.col("_bp_pos") == lo[i], F.col("_bp_v"))).alias(f"_bp_lo{i}"),
-            F.max(F.when(F.col("_bp_pos") == hi[i], F.col("_bp_v"))).alias(f"_bp_hi{i}"),
+            F.max(F.when(covers(lo[i]), F.col("_bp_v"))).alias(f"_bp_lo{i}"),
+            F.max(F.when(covers(hi[i]), F.col("_bp_v"))).alias(f"_bp_hi{i}"),
             F.max(F.lit(float(p)) * last - lo[i]).alias(f"_bp_f{i}"),
         ]
-    picked = wanted.groupBy(*by).agg(*aggs)
+    picked = ranked.where(wanted).groupBy(*by).agg(*aggs)
     out = [
         (
             F.col(f"_bp_lo{i}")

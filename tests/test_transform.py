@@ -142,3 +142,19 @@ def test_pca_matches_numpy(spark):
     for i in range(300):
         assert got[i] == pytest.approx(list(want[i]), abs=1e-9)
     assert got[300] == [None, None]
+
+
+def test_quantiles_with_a_hot_value(spark):
+    """A third of one key's rows share one value: exact, same as numpy."""
+    rows = [(1, 0.0 if i % 3 == 0 else float(i % 97)) for i in range(3000)] + [(2, 5.0), (2, 7.0)]
+    df = spark.createDataFrame(rows, "k int, v double")
+    got = {r.k: (r.a, r.b) for r in quantiles(df, "v", [0.3, 0.5], by=["k"], names=["a", "b"]).collect()}
+    vals = [v for k, v in rows if k == 1]
+    assert got[1] == pytest.approx(tuple(np.quantile(vals, [0.3, 0.5])))
+    assert got[2] == pytest.approx((5.6, 6.0))
+
+
+def test_rank_within_weighted(spark):
+    df = spark.createDataFrame([("a", 1.0, 3), ("a", 2.0, 1), ("a", 5.0, 2), ("b", 1.0, 4)], "k string, v double, w long")
+    got = {(r.k, r.v): (r.p, r.s) for r in rank_within(df, ["k"], ["v"], "p", "s", weight="w").collect()}
+    assert got == {("a", 1.0): (0, 6), ("a", 2.0): (3, 6), ("a", 5.0): (4, 6), ("b", 1.0): (0, 4)}
