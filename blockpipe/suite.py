@@ -122,15 +122,15 @@ def q_preview(spark, sf):
     """
     select * from (
         select 'orders' as dataset,
-               to_json(struct_pack(o_orderkey, o_custkey, o_orderstatus, o_totalprice,
-                                   o_orderdate := strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.%g'),
-                                   o_orderpriority)) as record
+               cast(to_json(struct_pack(o_orderkey, o_custkey, o_orderstatus, o_totalprice,
+                                        o_orderdate := strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.%g'),
+                                        o_orderpriority)) as varchar) as record
         from orders order by o_orderkey limit 10)
     union all
     select * from (
         select 'events' as dataset,
-               to_json(struct_pack(event_id, ts := strftime(ts, '%Y-%m-%dT%H:%M:%S.%g'), user_id,
-                                   event_type, value, props)) as record
+               cast(to_json(struct_pack(event_id, ts := strftime(ts, '%Y-%m-%dT%H:%M:%S.%g'), user_id,
+                                        event_type, value, props)) as varchar) as record
         from events order by event_id limit 10)
     """,
 )
