@@ -5,6 +5,7 @@ from blockpipe.functions.columns import (
     is_fractional,
     is_missing,
     present,
+    quoted,
     standardize_name,
     strip_whitespace,
 )
@@ -14,6 +15,7 @@ __all__ = [
     "is_fractional",
     "is_missing",
     "present",
+    "quoted",
     "standardize_name",
     "strip_whitespace",
 ]

@@ -15,13 +15,18 @@ def as_column(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def quoted(name: str) -> Column:
+    """The column with exactly this name (dots and blanks are not nesting)."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def is_fractional(dtype: DataType) -> bool:
     return isinstance(dtype, (DoubleType, FloatType))
 
 
 def is_missing(df: DataFrame, name: str) -> Column:
     """True where ``name`` is null, or NaN for float/double columns."""
-    c = F.col(name)
+    c = quoted(name)
     if is_fractional(df.schema[name].dataType):
         return c.isNull() | F.isnan(c)
     return c.isNull()
@@ -29,7 +34,7 @@ def is_missing(df: DataFrame, name: str) -> Column:
 
 def present(df: DataFrame, name: str) -> Column:
     """The column's value, with NaN turned into null (so aggregates skip it)."""
-    c = F.col(name)
+    c = quoted(name)
     if is_fractional(df.schema[name].dataType):
         return F.when(~F.isnan(c), c)
     return c

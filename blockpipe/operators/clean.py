@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, NumericType
 
-from blockpipe.functions import is_missing, present, standardize_name, strip_whitespace
+from blockpipe.functions import is_missing, present, quoted, standardize_name, strip_whitespace
 from blockpipe.functions.columns import as_column
 from blockpipe.plans.ranking import _null_safe_join, group_mode, quantiles
 from blockpipe.plans.sizing import broadcast_if_small
@@ -52,10 +52,12 @@ def drop_duplicates(
     keys = list(subset) if subset else list(df.columns)
     # the group key is not repeated inside the kept row: it is shuffled once
     rest = [c for c in df.columns if c not in order and c not in keys]
-    ranked = F.struct(*[F.col(c) for c in order + rest])
+    ranked = F.struct(*[quoted(c) for c in order + rest])
     pick = F.min(ranked) if keep == "first" else F.max(ranked)
-    kept = df.groupBy(*keys).agg(pick.alias("_bp_row"))
-    return kept.select(*[F.col(c) if c in keys else F.col(f"_bp_row.{c}").alias(c) for c in df.columns])
+    kept = df.groupBy(*[quoted(k) for k in keys]).agg(pick.alias("_bp_row"))
+    return kept.select(
+        *[quoted(c) if c in keys else F.col("_bp_row").getField(c).alias(c) for c in df.columns]
+    )
 
 
 IMPUTE_STRATEGIES = ("constant", "mean", "median", "mode")

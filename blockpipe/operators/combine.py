@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from blockpipe.functions import as_column
+from blockpipe.functions import as_column, quoted
 
 JOIN_KINDS = ("inner", "left", "right", "full", "left_semi", "left_anti")
 
@@ -39,10 +39,10 @@ def integrate(
     for df in frames:
         value_cols += [c for c in df.columns if c not in keys and c not in value_cols]
     aggs = [
-        F.min_by(F.col(c), F.when(F.col(c).isNotNull(), F.col("_bp_prec"))).alias(c)
+        F.min_by(quoted(c), F.when(quoted(c).isNotNull(), F.col("_bp_prec"))).alias(c)
         for c in value_cols
     ]
-    return stacked.groupBy(*keys).agg(*aggs)
+    return stacked.groupBy(*[quoted(k) for k in keys]).agg(*aggs)
 
 
 def join_on_keys(

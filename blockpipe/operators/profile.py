@@ -19,7 +19,7 @@ from pyspark.sql.types import (
     YearMonthIntervalType,
 )
 
-from blockpipe.functions import as_column, is_missing
+from blockpipe.functions import as_column, is_missing, quoted
 
 # Preview rows per block, as in the reference UI.
 DEFAULT_PREVIEW_ROWS = 10
@@ -39,15 +39,16 @@ def _json_ready(df: DataFrame) -> list[Column]:
     intervals as seconds, everything else unchanged."""
     out = []
     for field in df.schema.fields:
-        c = F.col(f"`{field.name}`")
+        c = quoted(field.name)
         if isinstance(field.dataType, (DoubleType, FloatType)):
             c = F.when(~F.isnan(c), c)
         elif isinstance(field.dataType, DayTimeIntervalType):
+            q = "`" + field.name.replace("`", "``") + "`"
             c = (
-                F.expr(f"extract(DAY FROM `{field.name}`)") * 86400
-                + F.expr(f"extract(HOUR FROM `{field.name}`)") * 3600
-                + F.expr(f"extract(MINUTE FROM `{field.name}`)") * 60
-                + F.expr(f"extract(SECOND FROM `{field.name}`)")
+                F.expr(f"extract(DAY FROM {q})") * 86400
+                + F.expr(f"extract(HOUR FROM {q})") * 3600
+                + F.expr(f"extract(MINUTE FROM {q})") * 60
+                + F.expr(f"extract(SECOND FROM {q})")
             ).cast("double")
         elif isinstance(field.dataType, YearMonthIntervalType):
             c = c.cast("string")

@@ -26,7 +26,7 @@ from pyspark.sql.types import (
     TimestampType,
 )
 
-from blockpipe.functions import is_missing
+from blockpipe.functions import is_missing, quoted
 
 DEFAULT_LIMIT = 5
 
@@ -104,7 +104,7 @@ def recommend_cleaning(dfs: Mapping[str, DataFrame], limit: int = DEFAULT_LIMIT)
         spark = df.sparkSession
         aggs, cands = [], []
         for i, f in enumerate(df.schema.fields):
-            c = F.col(f"`{f.name}`")
+            c = quoted(f.name)
             miss = F.col(f"_bp_miss{i}")
             aggs.append(F.count_if(is_missing(df, f.name)).alias(f"_bp_miss{i}"))
             cands.append(_candidate(0, name, f.name, "impute",
@@ -127,7 +127,7 @@ def recommend_cleaning(dfs: Mapping[str, DataFrame], limit: int = DEFAULT_LIMIT)
             parts.append(df.agg(*aggs).select(F.inline(F.array(*cands))))
         if df.columns:
             dup = (
-                df.groupBy(*[F.col(f"`{c}`") for c in df.columns]).count()
+                df.groupBy(*[quoted(c) for c in df.columns]).count()
                 .agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).alias("_bp_dup"))
             )
             n = F.col("_bp_dup")
@@ -164,7 +164,7 @@ def recommend_transformations(dfs: Mapping[str, DataFrame], limit: int = DEFAULT
         spark = df.sparkSession
         aggs, cands = [], []
         for i, f in enumerate(df.schema.fields):
-            c = F.col(f"`{f.name}`")
+            c = quoted(f.name)
             cnt = F.col(f"_bp_cnt{i}")
             if isinstance(f.dataType, StringType):
                 words = F.size(F.split(c, " "))

@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, StructType
 
+from blockpipe.functions import quoted
+
 try:  # TIME arrived in Spark 4.1
     from pyspark.sql.types import TimeType
 except ImportError:  # pragma: no cover
@@ -73,11 +75,11 @@ def normalize_dates(df: DataFrame) -> DataFrame:
     day-time interval (time since midnight), so every snapshot format keeps them."""
     changed = {}
     for f in df.schema.fields:
-        c = F.col(f"`{f.name}`")
+        c = quoted(f.name)
         if isinstance(f.dataType, DateType):
             changed[f.name] = c.cast("timestamp_ntz")
         elif TimeType is not None and isinstance(f.dataType, TimeType):
-            q = f"`{f.name}`"
+            q = "`" + f.name.replace("`", "``") + "`"
             changed[f.name] = F.expr(
                 f"make_dt_interval(0, hour({q}), minute({q}), extract(SECOND FROM {q}))"
             )
