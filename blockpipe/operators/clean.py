@@ -75,10 +75,11 @@ def impute(
 
     ``strategy``: ``constant`` (``value``), ``mean``, ``median`` or ``mode``,
     over the whole column or per group of ``by``. Statistics come from one
-    aggregation (global: a single row, joined by broadcast; per group: a
-    table with one row per group, materialized and measured, then broadcast
-    when small and otherwise sort-merge joined with skew splitting). Median
-    is exact via skew-safe ranking unless ``approx=True``.
+    aggregation (global: a scalar subquery, computed once and used as a
+    constant; per group: a table with one row per group, materialized and
+    measured, then broadcast when small and otherwise sort-merge joined with
+    skew splitting). Median is exact via skew-safe ranking unless
+    ``approx=True``.
     """
     cols = [cols] if isinstance(cols, str) else list(cols)
     by = [by] if isinstance(by, str) else list(by or [])
@@ -90,6 +91,19 @@ def impute(
         filled = {c: F.coalesce(present(df, c), F.lit(value).cast(df.schema[c].dataType)) for c in cols}
         return df.withColumns(filled)
 
+    if not by:
+        # a global statistic is one value: a scalar subquery, computed once
+        filled = {}
+        for c in cols:
+            if strategy == "mean":
+                stat = df.select(F.avg(present(df, c))).scalar()
+            elif strategy == "median":
+                stat = quantiles(df, present(df, c), [0.5], approx=approx).scalar()
+            else:
+                stat = group_mode(df, c).scalar().cast(df.schema[c].dataType)
+            filled[c] = F.coalesce(present(df, c), stat)
+        return df.withColumns(filled)
+
     if strategy == "mean":
         stats = df.groupBy(*by).agg(*[F.avg(present(df, c)).alias(f"_bp_fill_{c}") for c in cols])
     elif strategy == "median":
@@ -99,20 +113,16 @@ def impute(
         ]
         stats = parts[0]
         for p in parts[1:]:
-            stats = _null_safe_join(stats, p, by, "full") if by else stats.crossJoin(p)
+            stats = _null_safe_join(stats, p, by, "full")
     else:
         parts = [group_mode(df, c, by, name=f"_bp_fill_{c}") for c in cols]
         stats = parts[0]
         for p in parts[1:]:
-            stats = _null_safe_join(stats, p, by, "full") if by else stats.crossJoin(p)
+            stats = _null_safe_join(stats, p, by, "full")
 
-    if by:
-        # one row per group: broadcast when measured small, else a shuffle join
-        stats, _ = broadcast_if_small(stats)
-        joined = _null_safe_join(df, stats, by, "left")
-    else:
-        # a global statistic is exactly one row: broadcasting it is size-bounded
-        joined = df.crossJoin(F.broadcast(stats))
+    # one row per group: broadcast when measured small, else a shuffle join
+    stats, _ = broadcast_if_small(stats)
+    joined = _null_safe_join(df, stats, by, "left")
     filled = {}
     for c in cols:
         fill = F.col(f"_bp_fill_{c}")

@@ -116,11 +116,12 @@ def drop_outliers(
 ) -> DataFrame:
     """Drop rows whose ``col`` lies outside the bounds (Tukey fences or
     ``|z| <= k``). Rows with a missing value are not outliers and stay. The
-    bounds are one row, broadcast to every task."""
+    bounds are one row, used as scalar subqueries: computed once, then
+    constants in the filter (no join)."""
     bounds = outlier_bounds(df, col, method, k, approx)
+    lower, upper = bounds.select("lower").scalar(), bounds.select("upper").scalar()
     v = present(df, col)
-    keep = v.isNull() | ((v >= F.col("lower")) & (v <= F.col("upper")))
-    return df.crossJoin(F.broadcast(bounds)).where(keep).select(*df.columns)
+    return df.where(v.isNull() | ((v >= lower) & (v <= upper)))
 
 
 # --- D6: aggregation ---------------------------------------------------------------
@@ -162,31 +163,31 @@ def discretize(
 
     ``width``: ``n`` equal-width bins between min and max. ``quantile``: bin =
     number of the ``n - 1`` inner quantile edges below the value. ``edges``:
-    the same with given edges. Statistics are one row, broadcast; there is no
-    global sort or ``ntile``.
+    the same with given edges. Statistics are scalar subqueries (one row,
+    computed once, then constants); there is no global sort or ``ntile``.
     """
     v = present(df, col).cast("double")
     if method == "width":
-        mm = df.agg(F.min(v).alias("_bp_min"), F.max(v).alias("_bp_max"))
-        span = F.col("_bp_max") - F.col("_bp_min")
-        raw = F.floor((v - F.col("_bp_min")) / span * n).cast("bigint")
+        lo, hi = df.select(F.min(v)).scalar(), df.select(F.max(v)).scalar()
+        span = hi - lo
+        raw = F.floor((v - lo) / span * n).cast("bigint")
         binned = F.when(span == 0, F.lit(0).cast("bigint")).otherwise(F.least(raw, F.lit(n - 1).cast("bigint")))
-        return df.crossJoin(F.broadcast(mm)).withColumn(out, F.when(v.isNotNull(), binned)).drop("_bp_min", "_bp_max")
+        return df.withColumn(out, F.when(v.isNotNull(), binned))
     if method == "quantile":
         probs = [i / n for i in range(1, n)]
-        q = quantiles(df, v, probs, names=[f"_bp_e{i}" for i in range(len(probs))], approx=approx)
-        q = q.select(F.array(*[F.col(f"_bp_e{i}") for i in range(len(probs))]).alias("_bp_edges"))
-        joined = df.crossJoin(F.broadcast(q))
-        edges_col = F.col("_bp_edges")
+        names = [f"_bp_e{i}" for i in range(len(probs))]
+        q = quantiles(df, v, probs, names=names, approx=approx)
+        cuts = [q.select(nm).scalar() for nm in names]
     elif method == "edges":
         if not edges:
             raise ValueError("method='edges' needs edges")
-        joined = df
-        edges_col = F.array(*[F.lit(float(e)) for e in sorted(edges)])
+        cuts = [F.lit(float(e)) for e in sorted(edges)]
     else:
         raise ValueError(f"method must be 'width', 'quantile' or 'edges', got {method!r}")
-    count_below = F.size(F.filter(edges_col, lambda e: e < v)).cast("bigint")
-    return joined.withColumn(out, F.when(v.isNotNull(), count_below)).drop("_bp_edges")
+    count_below = F.lit(0).cast("bigint")
+    for cut in cuts:
+        count_below = count_below + F.when(cut < v, 1).otherwise(0)
+    return df.withColumn(out, F.when(v.isNotNull(), count_below))
 
 
 # --- D8: attribute construction ----------------------------------------------------------
@@ -311,8 +312,8 @@ def extract_features(
 ) -> DataFrame:
     """Simpler numeric form of ``cols``.
 
-    ``scale``: z-scores; ``minmax``: to ``[0, 1]`` (both from one aggregated
-    row, broadcast). ``pca``: the scores on the first ``k`` principal
+    ``scale``: z-scores; ``minmax``: to ``[0, 1]`` (statistics as scalar
+    subqueries, merged into one aggregation). ``pca``: the scores on the first ``k`` principal
     components of the centered columns, as an array column ``out``. The
     means and the covariance matrix come from one aggregation; only that
     ``len(cols)``-square matrix reaches the driver, for its eigenvectors; the
@@ -322,20 +323,16 @@ def extract_features(
     """
     cols = list(cols)
     if method in ("scale", "minmax"):
-        aggs = []
-        for i, c in enumerate(cols):
+        # scalar subqueries over one source: Spark merges them into one aggregation
+        scaled = {}
+        for c in cols:
             v = present(df, c).cast("double")
             if method == "scale":
-                aggs += [F.avg(v).alias(f"_bp_a{i}"), F.stddev_samp(v).alias(f"_bp_b{i}")]
+                a, b = df.select(F.avg(v)).scalar(), df.select(F.stddev_samp(v)).scalar()
             else:
-                aggs += [F.min(v).alias(f"_bp_a{i}"), (F.max(v) - F.min(v)).alias(f"_bp_b{i}")]
-        stats = df.agg(*aggs)
-        joined = df.crossJoin(F.broadcast(stats))
-        scaled = {
-            c: F.when(F.col(f"_bp_b{i}") != 0, (present(df, c).cast("double") - F.col(f"_bp_a{i}")) / F.col(f"_bp_b{i}"))
-            for i, c in enumerate(cols)
-        }
-        return joined.withColumns(scaled).select(*df.columns)
+                a, b = df.select(F.min(v)).scalar(), df.select(F.max(v) - F.min(v)).scalar()
+            scaled[c] = F.when(b != 0, (v - a) / b)
+        return df.withColumns(scaled)
     if method == "pca":
         return _pca(df, cols, k, out)
     raise ValueError(f"method must be 'scale', 'minmax' or 'pca', got {method!r}")
