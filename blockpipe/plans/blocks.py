@@ -128,12 +128,18 @@ def run_pipeline(
     spark: SparkSession,
     blocks: Sequence[Block],
     persist_shared: bool = True,
+    snapshot_dir: str | None = None,
 ) -> dict[str, DataFrame | dict[str, DataFrame]]:
     """Run linked blocks in dependency order; each gets its source block's
     output, and one source may feed several blocks. A block whose output
     feeds two or more blocks is persisted (memory and disk), so the shared
     part is computed once; lost cached partitions are rebuilt from lineage.
-    A cycle or a missing source fails before anything runs."""
+    A cycle or a missing source fails before anything runs.
+
+    With ``snapshot_dir`` (a shared folder), every block's datasets are saved
+    as a snapshot under ``snapshot_dir/<block>`` as soon as the block runs,
+    and later blocks read the saved data: each block is computed once and
+    its lineage ends at its snapshot. Persisting is then unnecessary."""
     order = topological_order(blocks)
     fanout: dict[str, int] = {}
     for b in blocks:
@@ -151,7 +157,14 @@ def run_pipeline(
             result = b.fn(**args)
             if not isinstance(result, (DataFrame, Mapping)):
                 raise TypeError(f"block {b.name!r} returned {type(result)}")
-        if persist_shared and fanout.get(b.name, 0) >= 2:
+        if snapshot_dir is not None:
+            from blockpipe.sources.io import load_snapshot, save_snapshot
+
+            where = f"{snapshot_dir.rstrip('/')}/{b.name}"
+            save_snapshot(result, where)
+            saved = load_snapshot(spark, where)
+            result = saved if isinstance(result, Mapping) else saved[RESULT_NAME]
+        elif persist_shared and fanout.get(b.name, 0) >= 2:
             if isinstance(result, Mapping):
                 result = {k: v.persist(StorageLevel.MEMORY_AND_DISK) for k, v in result.items()}
             else:

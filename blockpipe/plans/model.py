@@ -3,8 +3,8 @@
 A model's SQL may use anything Spark SQL supports (joins, grouping sets,
 windows, set operations, JSON, array and map functions). Sources are either
 catalog tables, referenced as ``{{ source('schema', 'table') }}`` or by name,
-or DataFrames passed in ``sources`` and referenced as ``{name}`` (Spark's own
-DataFrame parameters of ``spark.sql``).
+or DataFrames (or catalog table names) passed in ``sources`` and referenced as
+``{name}`` (Spark's own DataFrame parameters of ``spark.sql``).
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ def run_model(
     spark: SparkSession,
     name: str,
     sql: str,
-    sources: Mapping[str, DataFrame] | None = None,
+    sources: Mapping[str, DataFrame | str] | None = None,
     materialized: str = "view",
     schema: str | None = None,
     comments: Mapping[str, str] | None = None,
@@ -53,7 +53,8 @@ def run_model(
         raise ValueError(f"materialized must be 'view' or 'table', got {materialized!r}")
     text = resolve_sources(sql)
     try:
-        df = spark.sql(text, **dict(sources or {}))
+        frames = {k: spark.table(v) if isinstance(v, str) else v for k, v in (sources or {}).items()}
+        df = spark.sql(text, **frames)
         for col, note in (comments or {}).items():
             df = df.withMetadata(col, {**df.schema[col].metadata, "comment": note})
         if materialized == "view" and schema is None:

@@ -109,6 +109,13 @@ def q_net_by_priority(spark, sf):
     return run_pipeline(spark, net_by_priority_blocks(sf))["summary"]
 
 
+@query("net_by_priority_snapshots", ORACLE_SQL["net_by_priority"])
+def q_net_by_priority_snapshots(spark, sf):
+    """The same pipeline with every block's output saved and read back."""
+    out = run_pipeline(spark, net_by_priority_blocks(sf), snapshot_dir=scratch_path(spark, "pipeline"))
+    return out["summary"]
+
+
 # --- B: preview and profile ------------------------------------------------------------------
 
 
@@ -432,6 +439,34 @@ def q_standardize_names(spark, sf):
     return ops.standardize_values(renamed, ["p_name_key", "p_type_key"])
 
 
+@query("drop_duplicates_rows", "select distinct text, lang, source from documents")
+def q_drop_duplicates_rows(spark, sf):
+    return ops.drop_duplicates(table(spark, sf, "documents").select("text", "lang", "source"))
+
+
+@query("impute_constant", f"select event_id, coalesce(value, -1.0) as value from {EV0}")
+def q_impute_constant(spark, sf):
+    return ops.impute(events_with_gaps(spark, sf), "value", "constant", value=-1.0).select("event_id", "value")
+
+
+@query(
+    "impute_mean_by_group",
+    f"select event_id, round(coalesce(value, avg(value) over (partition by user_id)), 6) as value from {EV0}",
+)
+def q_impute_mean_by_group(spark, sf):
+    out = ops.impute(events_with_gaps(spark, sf), "value", "mean", by="user_id")
+    return out.select("event_id", F.round("value", 6).alias("value"))
+
+
+@query(
+    "standardize_text_collapse",
+    r"select p_partkey, lower(regexp_replace(trim(p_name), '\s+', ' ', 'g')) as p_name from part",
+)
+def q_standardize_text_collapse(spark, sf):
+    part = table(spark, sf, "part").select("p_partkey", "p_name")
+    return ops.standardize_text(part, "p_name", case="lower", spaces="collapse")
+
+
 # --- D: single-dataset transformations ----------------------------------------------------------
 
 
@@ -486,6 +521,21 @@ def q_moving_average(spark, sf):
     return out.select("event_id", F.round("v", 6).alias("v"))
 
 
+@query(
+    "moving_average_window",
+    """
+    select event_id,
+           round(avg(value) over (partition by user_id order by ts, event_id
+                                  rows between 4 preceding and current row), 6) as v
+    from events
+    """,
+)
+def q_moving_average_window(spark, sf):
+    ev = table(spark, sf, "events")
+    out = ops.smooth(ev, "value", "user_id", ["ts", "event_id"], window=5, out="v", method="window")
+    return out.select("event_id", F.round("v", 6).alias("v"))
+
+
 @query(
     "drop_outliers_iqr",
     """
@@ -562,6 +612,18 @@ def q_discretize_quantile(spark, sf):
     return ops.discretize(ev, "value", "quantile", n=4).select("event_id", "bin")
 
 
+@query(
+    "discretize_edges",
+    """
+    select event_id, cast((value > 10)::int + (value > 50)::int + (value > 100)::int as bigint) as bin
+    from events
+    """,
+)
+def q_discretize_edges(spark, sf):
+    ev = table(spark, sf, "events").select("event_id", "value")
+    return ops.discretize(ev, "value", "edges", edges=[50, 10, 100]).select("event_id", "bin")
+
+
 @query(
     "construct",
     "select l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount), 4) as net from lineitem",
@@ -723,6 +785,16 @@ def q_join_condition_anti(spark, sf):
     return out.select(F.col("s_suppkey").alias("a_key"))
 
 
+@query(
+    "join_condition_left",
+    f"select a.s_suppkey as a_key, b.s_suppkey as b_key from supplier a left join supplier b on {_BAND}",
+)
+def q_join_condition_left(spark, sf):
+    a, b = _band_sides(spark, sf)
+    out = ops.join_on_condition(a, b, _BAND, "left", band=("a.s_acctbal", "b.s_acctbal", 0.0, 100.0))
+    return out.select(F.col("a.s_suppkey").alias("a_key"), F.col("b.s_suppkey").alias("b_key"))
+
+
 @query(
     "merge_records",
     """

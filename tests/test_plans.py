@@ -182,3 +182,25 @@ def test_adjacency_many_projects(spark):
     b = _graph(spark, [("b1", "s1", 1, 1, None, None)], project="p2")
     rows = {(r.project, r.block): list(r.adj) for r in block_adjacency(a.union(b)).collect()}
     assert rows == {("p1", "b1"): ["b2"], ("p1", "b2"): [], ("p2", "b1"): []}
+
+
+def test_run_pipeline_with_snapshots(spark, tmp_dir):
+    def source(spark):
+        return {"a": spark.range(4), "b": spark.range(2)}
+
+    blocks = [
+        Block("src", source),
+        Block("double", lambda df: df.select((F.col("id") * 2).alias("x")), source="src"),
+    ]
+    out = run_pipeline(spark, blocks, snapshot_dir=tmp_dir)
+    assert sorted(out["src"]) == ["a", "b"]
+    assert sorted(r.x for r in out["double"].collect()) == [0, 2, 4, 6]
+    from blockpipe.sources import load_snapshot
+
+    assert load_snapshot(spark, f"{tmp_dir}/double")["result"].count() == 4
+
+
+def test_run_model_with_catalog_source_names(spark):
+    spark.range(5).write.mode("overwrite").saveAsTable("five_rows")
+    out = run_model(spark, "odd_rows", "select id from {t} where id % 2 = 1", sources={"t": "five_rows"})
+    assert sorted(r.id for r in out.collect()) == [1, 3]
