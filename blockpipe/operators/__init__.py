@@ -12,7 +12,7 @@ from blockpipe.operators.clean import (
     standardize_values,
     standardized_names,
 )
-from blockpipe.operators.combine import integrate, join_on_condition, join_on_keys, union
+from blockpipe.operators.combine import DuplicateKeyError, integrate, join_on_condition, join_on_keys, union
 from blockpipe.operators.profile import (
     dataset_summary,
     preview,
@@ -37,6 +37,7 @@ from blockpipe.operators.transform import (
 )
 
 __all__ = [
+    "DuplicateKeyError",
     "aggregate",
     "construct",
     "correct_types",

@@ -13,36 +13,58 @@ from blockpipe.functions import as_column, quoted
 JOIN_KINDS = ("inner", "left", "right", "full", "left_semi", "left_anti")
 
 
+class DuplicateKeyError(ValueError):
+    """An input of ``integrate`` has more than one row for a key."""
+
+
 def integrate(
     dfs: Sequence[DataFrame] | Mapping[str, DataFrame],
     key: Sequence[str] | str,
     precedence: Sequence[str] | None = None,
+    on_duplicate: str = "merge",
 ) -> DataFrame:
     """Merge the records of several tables into one row per key.
 
     For every column, the value comes from the first table in precedence
     order (list order, or ``precedence`` names for a dict) whose value is not
-    null. This is a full outer join plus ``coalesce`` for tables unique per
-    key, planned as one union and one aggregation: a single shuffle for any
-    number of tables, map-side combine, and fixed-size ``min_by`` buffers,
-    so a hot key costs one buffer row per task.
+    null. For tables unique per key this is a full outer join plus
+    ``coalesce``; it is planned as one union and one aggregation: a single
+    shuffle for any number of tables, map-side combine, and one small buffer
+    per column, so a hot key costs one buffer row per task.
+
+    ``on_duplicate="merge"`` also merges repeated keys inside one table (the
+    smallest non-null value of the best table wins, so reruns agree).
+    ``"error"`` first checks every input for a repeated key (one aggregation
+    per input) and raises ``DuplicateKeyError``.
     """
+    if on_duplicate not in ("merge", "error"):
+        raise ValueError(f"on_duplicate must be 'merge' or 'error', got {on_duplicate!r}")
     keys = [key] if isinstance(key, str) else list(key)
     if isinstance(dfs, Mapping):
-        order = list(precedence) if precedence else list(dfs)
-        frames = [dfs[n] for n in order]
+        names = list(precedence) if precedence else list(dfs)
+        frames = [dfs[n] for n in names]
     else:
         frames = list(dfs)
+        names = [str(i) for i in range(len(frames))]
+    key_cols = [quoted(k) for k in keys]
+    if on_duplicate == "error":
+        for name, df in zip(names, frames):
+            if df.groupBy(*key_cols).count().where("count > 1").limit(1).count():
+                raise DuplicateKeyError(f"dataset {name!r} has repeated values of {keys}")
     tagged = [df.withColumn("_bp_prec", F.lit(i)) for i, df in enumerate(frames)]
     stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged)
     value_cols: list[str] = []
     for df in frames:
         value_cols += [c for c in df.columns if c not in keys and c not in value_cols]
+    last = len(frames)
     aggs = [
-        F.min_by(quoted(c), F.when(quoted(c).isNotNull(), F.col("_bp_prec"))).alias(c)
+        # (precedence, value), missing values ranked after every table
+        F.min(F.struct(F.when(quoted(c).isNotNull(), F.col("_bp_prec")).otherwise(last), quoted(c).alias("v")))
+        .getField("v")
+        .alias(c)
         for c in value_cols
     ]
-    return stacked.groupBy(*[quoted(k) for k in keys]).agg(*aggs)
+    return stacked.groupBy(*key_cols).agg(*aggs)
 
 
 def join_on_keys(

@@ -167,7 +167,8 @@ def recommend_transformations(dfs: Mapping[str, DataFrame], limit: int = DEFAULT
             c = quoted(f.name)
             cnt = F.col(f"_bp_cnt{i}")
             if isinstance(f.dataType, StringType):
-                words = F.size(F.split(c, " "))
+                # parts of split(c, " "): blanks + 1, without building the array
+                words = F.length(c) - F.length(F.replace(c, F.lit(" "), F.lit(""))) + 1
                 aggs += [F.count(c).alias(f"_bp_cnt{i}"),
                          F.min(words).alias(f"_bp_lo{i}"), F.max(words).alias(f"_bp_hi{i}")]
                 lo, hi = F.col(f"_bp_lo{i}"), F.col(f"_bp_hi{i}")

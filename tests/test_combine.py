@@ -59,3 +59,12 @@ def test_split_full_join_equals_full_join(spark):
     assert split.columns == plain.columns
     key = lambda df: sorted(tuple(map(str, x)) for x in df.collect())
     assert key(split) == key(plain)
+
+
+def test_integrate_repeated_keys(spark):
+    a = spark.createDataFrame([(1, "b"), (1, "a"), (2, None)], "id int, v string")
+    b = spark.createDataFrame([(2, "z")], "id int, v string")
+    rows = {r.id: r.v for r in ops.integrate([a, b], "id").collect()}
+    assert rows == {1: "a", 2: "z"}
+    with pytest.raises(ops.DuplicateKeyError):
+        ops.integrate({"a": a, "b": b}, "id", on_duplicate="error")
