@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DataType, NumericType
+from pyspark.sql.types import DataType
 
 from blockpipe.functions import is_missing, present, quoted, standardize_name, strip_whitespace
-from blockpipe.functions.columns import as_column
 from blockpipe.plans.ranking import _null_safe_join, group_mode, quantiles
 from blockpipe.plans.sizing import broadcast_if_small
 
@@ -231,15 +230,6 @@ def standardize_values(df: DataFrame, cols: Sequence[str] | str) -> DataFrame:
     return df.withColumns({c: standardize_name(c) for c in cols})
 
 
-def null_where(df: DataFrame, col: str, cond: str | Column) -> DataFrame:
-    """Set ``col`` to null where ``cond`` holds (used to inject missing values)."""
-    return df.withColumn(col, F.when(~as_column(F.expr(cond) if isinstance(cond, str) else cond), F.col(col)))
-
-
-def _is_numeric(df: DataFrame, c: str) -> bool:
-    return isinstance(df.schema[c].dataType, NumericType)
-
-
 __all__ = [
     "drop_missing",
     "drop_duplicates",
@@ -250,6 +240,5 @@ __all__ = [
     "standardize_names",
     "standardized_names",
     "standardize_values",
-    "null_where",
     "is_missing",
 ]
