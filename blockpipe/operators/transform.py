@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from blockpipe.functions import as_column, present
 from blockpipe.plans.ranking import _null_safe_join, quantiles, rank_within
+from blockpipe.plans.sizing import broadcast_if_small
 
 
 # --- D1-D3: time and text -------------------------------------------------------
@@ -54,16 +55,21 @@ def smooth(
     window: int = 3,
     out: str | None = None,
     method: str = "ranked",
+    chunk_rows: int | None = None,
 ) -> DataFrame:
     """Moving average of ``col`` over the current row and the ``window - 1``
     rows before it, per ``partition_by`` in ``order_by`` order.
 
-    ``method="ranked"`` (default) is skew-safe: rows get their position in
-    the group by range partitioning (a hot group spreads over many tasks);
-    each value is sent to the ``window`` positions it contributes to, summed
-    with map-side combine, and joined back on ``(group, position)``, a key
-    that is unique per row. ``method="window"`` is the plain window function,
-    cheaper when no group is large.
+    ``method="ranked"`` (default) is skew-safe. Rows get their exact position
+    in their group (``rank_within``: range partitioning cuts a hot group into
+    many tasks). Positions are cut into chunks of ``chunk_rows`` (default
+    ``max(64 * window, 65536)``); a window per (group, chunk) is one balanced
+    shuffle whatever the group sizes. The first ``window - 1`` rows of a
+    chunk also need the last rows of the chunk before: those tail rows (a
+    ``(window - 1) / chunk_rows`` share of the data) are summed per target
+    position and joined in, broadcast when measured small.
+    ``method="window"`` is the plain window function, cheaper when no group
+    is large.
     """
     keys = [partition_by] if isinstance(partition_by, str) else list(partition_by)
     order = [order_by] if isinstance(order_by, str) else list(order_by)
@@ -77,19 +83,39 @@ def smooth(
         return df.withColumn(out, F.avg(present(df, col)).over(w))
     if method != "ranked":
         raise ValueError(f"method must be 'ranked' or 'window', got {method!r}")
-
-    ranked = rank_within(df, keys, order, pos_col="_bp_pos")
-    sends = ranked.select(
-        *keys,
-        F.explode(F.sequence(F.col("_bp_pos"), F.col("_bp_pos") + (window - 1))).alias("_bp_pos"),
-        present(df, col).alias("_bp_v"),
-    )
-    sums = sends.groupBy(*keys, "_bp_pos").agg(
-        F.sum("_bp_v").alias("_bp_s"), F.count("_bp_v").alias("_bp_c")
+    from pyspark.sql import Window
+
+    size = chunk_rows or max(64 * window, 65536)
+    if size < window:
+        raise ValueError("chunk_rows must be at least the window")
+    ranked = rank_within(df, keys, order, pos_col="_bp_pos").withColumn(
+        "_bp_chunk", F.floor(F.col("_bp_pos") / size)
+    ).withColumn("_bp_v", present(df, col))
+    inside = Window.partitionBy(*keys, "_bp_chunk").orderBy("_bp_pos").rowsBetween(-window + 1, 0)
+    ranked = ranked.withColumns(
+        {"_bp_s": F.sum("_bp_v").over(inside), "_bp_c": F.count("_bp_v").over(inside)}
     )
-    joined = _null_safe_join(ranked, sums, [*keys, "_bp_pos"], "left")
-    avg = F.when(F.col("_bp_c") > 0, F.col("_bp_s") / F.col("_bp_c"))
-    return joined.withColumn(out, avg).select(*[c for c in df.columns], *([out] if out not in df.columns else []))
+    if window > 1:
+        # tails feed the first window-1 rows of the next chunk
+        offset = F.col("_bp_pos") - F.col("_bp_chunk") * size
+        tails = ranked.where(offset >= size - (window - 1)).select(
+            *keys,
+            F.explode(F.sequence(F.col("_bp_pos") + 1, F.col("_bp_pos") + (window - 1))).alias("_bp_t"),
+            "_bp_v",
+            "_bp_chunk",
+        )
+        tails = tails.where(F.floor(F.col("_bp_t") / size) == F.col("_bp_chunk") + 1)
+        fix = tails.groupBy(*keys, F.col("_bp_t").alias("_bp_pos")).agg(
+            F.sum("_bp_v").alias("_bp_fs"), F.count("_bp_v").alias("_bp_fc")
+        )
+        fix, _ = broadcast_if_small(fix)
+        ranked = _null_safe_join(ranked, fix, [*keys, "_bp_pos"], "left")
+        total_s = F.coalesce(F.col("_bp_s"), F.lit(0.0)) + F.coalesce(F.col("_bp_fs"), F.lit(0.0))
+        total_c = F.col("_bp_c") + F.coalesce(F.col("_bp_fc"), F.lit(0))
+    else:
+        total_s, total_c = F.col("_bp_s"), F.col("_bp_c")
+    avg = F.when(total_c > 0, total_s / total_c)
+    return ranked.withColumn(out, avg).select(*[c for c in df.columns], *([out] if out not in df.columns else []))
 
 
 # --- D5: outliers ----------------------------------------------------------------

@@ -41,10 +41,12 @@ def test_exact_quantiles_match_numpy(spark, skewed):
         assert q[k] == pytest.approx(tuple(np.quantile(vals, [0.1, 0.5, 0.93])))
 
 
-def test_smooth_ranked_equals_window(spark, skewed):
+@pytest.mark.parametrize("window,chunk", [(4, None), (4, 5), (7, 7), (1, 3), (30, 64)])
+def test_smooth_ranked_equals_window(spark, skewed, window, chunk):
     df, _ = skewed
-    a = {r.id: r.m for r in ops.smooth(df, "v", "k", ["t", "id"], 4, out="m").collect()}
-    b = {r.id: r.m for r in ops.smooth(df, "v", "k", ["t", "id"], 4, out="m", method="window").collect()}
+    df = df.withColumn("v", F.when(F.col("id") % 11 == 0, None).otherwise(F.col("v")))
+    a = {r.id: r.m for r in ops.smooth(df, "v", "k", ["t", "id"], window, out="m", chunk_rows=chunk).collect()}
+    b = {r.id: r.m for r in ops.smooth(df, "v", "k", ["t", "id"], window, out="m", method="window").collect()}
     assert a.keys() == b.keys()
     for i in a:
         assert a[i] == pytest.approx(b[i])
