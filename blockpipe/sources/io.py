@@ -79,9 +79,13 @@ def normalize_dates(df: DataFrame) -> DataFrame:
         if isinstance(f.dataType, DateType):
             changed[f.name] = c.cast("timestamp_ntz")
         elif TimeType is not None and isinstance(f.dataType, TimeType):
-            q = "`" + f.name.replace("`", "``") + "`"
-            changed[f.name] = F.expr(
-                f"make_dt_interval(0, hour({q}), minute({q}), extract(SECOND FROM {q}))"
+            # TIME supports little more than a cast to text here: HH:mm:ss[.ffffff]
+            parts = F.split(c.cast("string"), ":")
+            changed[f.name] = F.make_dt_interval(
+                F.lit(0),
+                F.get(parts, 0).cast("int"),
+                F.get(parts, 1).cast("int"),
+                F.get(parts, 2).cast("decimal(8,6)"),
             )
     return df.withColumns(changed) if changed else df
 

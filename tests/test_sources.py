@@ -46,10 +46,13 @@ def test_read_tables_keys_skip_and_collision(spark, tmp_dir):
 
 
 def test_normalize_dates(spark):
-    df = spark.sql("select date'2024-02-03' as d, 1 as x")
+    df = spark.sql("select date'2024-02-03' as d, 1 as x, time'12:34:56.5' as t")
     out = io.normalize_dates(df)
     assert dict(out.dtypes)["d"] == "timestamp_ntz"
-    assert out.collect()[0].d == dt.datetime(2024, 2, 3)
+    assert dict(out.dtypes)["t"] == "interval day to second"
+    row = out.collect()[0]
+    assert row.d == dt.datetime(2024, 2, 3)
+    assert row.t == dt.timedelta(hours=12, minutes=34, seconds=56.5)
 
 
 def test_csv_convert_and_export(spark, tmp_dir):
