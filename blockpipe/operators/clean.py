@@ -203,7 +203,8 @@ def map_values(
     else:
         a, b = mapping.columns[:2]
         table = mapping.select(F.col(a).alias("_bp_from"), F.col(b).alias("_bp_to"))
-    table = table.dropDuplicates(["_bp_from"])
+    # one target per value; a value mapped twice takes the smallest target
+    table = table.groupBy("_bp_from").agg(F.min("_bp_to").alias("_bp_to"))
     joined = df.join(table, df[col] == table["_bp_from"], "left")
     return joined.withColumn(out, F.coalesce(F.col("_bp_to"), F.col(col))).drop("_bp_from", "_bp_to")
 
