@@ -295,7 +295,7 @@ def feature_scores(df: DataFrame, features: Sequence[str], target: str | None =
                 F.lit(f).alias("feature"),
                 F.col(f"_bp_var{i}").alias("variance"),
                 (F.col(f"_bp_corr{i}") if target else F.lit(None).cast("double")).alias("corr"),
-                (1 - F.col(f"_bp_cnt{i}") / F.col("_bp_n")).alias("null_share"),
+                (1 - F.try_divide(F.col(f"_bp_cnt{i}"), F.col("_bp_n"))).alias("null_share"),
             )
             for i, f in enumerate(features)
         ]
