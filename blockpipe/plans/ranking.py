@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from blockpipe.functions import as_column
 from blockpipe.plans.sizing import broadcast_if_small
-from blockpipe.session import checkpoint_root, shuffle_partitions
+from blockpipe.session import checkpoint_root
 
 _RID = "_bp_rid"
 _PART = "_bp_part"
@@ -68,9 +68,10 @@ def rank_within(
     """
     keys = list(keys)
     sort_cols = [F.col(k) for k in keys] + [as_column(o) for o in order_by]
-    n = shuffle_partitions(df.sparkSession)
+    # no fixed count: adaptive execution sizes the range partitions from the
+    # data (merging neighbours keeps every partition a contiguous range)
     ranged = (
-        df.repartitionByRange(n, *sort_cols)
+        df.repartitionByRange(*sort_cols)
         .sortWithinPartitions(*sort_cols)
         # upper 31 bits: partition index; lower 33 bits: row index in the sorted partition
         .withColumn(_RID, F.monotonically_increasing_id())

@@ -160,3 +160,33 @@ def test_rank_within_weighted(spark):
     df = spark.createDataFrame([("a", 1.0, 3), ("a", 2.0, 1), ("a", 5.0, 2), ("b", 1.0, 4)], "k string, v double, w long")
     got = {(r.k, r.v): (r.p, r.s) for r in rank_within(df, ["k"], ["v"], "p", "s", weight="w").collect()}
     assert got == {("a", 1.0): (0, 6), ("a", 2.0): (3, 6), ("a", 5.0): (4, 6), ("b", 1.0): (0, 4)}
+
+
+@pytest.fixture()
+def uncoalesced(spark):
+    """Keep all 8 range partitions, so hot keys span several of them."""
+    old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield spark
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
+
+
+def test_hot_key_is_split_across_partitions(uncoalesced, skewed):
+    df, rows = skewed
+    spread = (
+        df.repartitionByRange("k", "t", "id").where("k = 0")
+        .select(F.spark_partition_id().alias("p")).distinct().count()
+    )
+    assert spread >= 2
+    got = {r.id: r.p for r in rank_within(df, ["k"], ["t", "id"], pos_col="p").collect()}
+    hot = sorted((r for r in rows if r[1] == 0), key=lambda r: (r[3], r[0]))
+    assert [got[r[0]] for r in hot] == list(range(len(hot)))
+
+
+def test_quantiles_and_smooth_across_partitions(uncoalesced, skewed):
+    df, rows = skewed
+    q = {r.k: r.m for r in quantiles(df, "v", [0.5], by=["k"], names=["m"]).collect()}
+    assert q[0] == pytest.approx(float(np.median([r[2] for r in rows if r[1] == 0])))
+    a = {r.id: r.m for r in ops.smooth(df, "v", "k", ["t", "id"], 5, out="m", chunk_rows=50).collect()}
+    b = {r.id: r.m for r in ops.smooth(df, "v", "k", ["t", "id"], 5, out="m", method="window").collect()}
+    assert all(a[i] == pytest.approx(b[i]) for i in b)
