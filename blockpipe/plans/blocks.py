@@ -14,6 +14,7 @@ from typing import Any
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 RESULT_NAME = "result"
 
@@ -59,21 +60,41 @@ def run_block(fn: Callable[..., Any], df: DataFrame | Mapping[str, DataFrame] |
     raise TypeError(f"Return value must be a DataFrame or Column, but got {type(result)}")
 
 
+class GroupTooLargeError(RuntimeError):
+    """A group is too big to hand to one pandas call."""
+
+
+# Default cap on the rows of one group given to one pandas call.
+MAX_GROUP_ROWS = 2_000_000
+
+
 def pandas_block(
     df: DataFrame,
     fn: Callable,
     schema: str,
     keys: Sequence[str] | None = None,
+    max_group_rows: int | None = MAX_GROUP_ROWS,
 ) -> DataFrame:
     """Run pandas code at scale.
 
     With ``keys``, ``fn(pandas.DataFrame) -> pandas.DataFrame`` runs once per
     group (``applyInPandas``): use it when the code needs whole groups. A
-    group is one task's work, so keys must not concentrate the data. Without
-    keys, ``fn`` maps each Arrow batch (``mapInPandas``) and must be row-wise.
-    Whole-frame pandas code is not supported: it cannot scale.
+    group is one task's work and one pandas frame in memory, so a hot key
+    cannot be split without changing what ``fn`` sees. The largest group is
+    therefore measured first (one aggregation with map-side combine) and a
+    group above ``max_group_rows`` raises ``GroupTooLargeError`` before any
+    pandas code runs; ``None`` skips the check. Without keys, ``fn`` maps each
+    Arrow batch (``mapInPandas``) and must be row-wise. Whole-frame pandas
+    code is not supported: it cannot scale.
     """
     if keys:
+        if max_group_rows is not None:
+            biggest = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+            if biggest > max_group_rows:
+                raise GroupTooLargeError(
+                    f"a group of {list(keys)} has {biggest} rows (limit {max_group_rows}); "
+                    "use finer keys or row-wise code"
+                )
         return df.groupBy(*keys).applyInPandas(fn, schema=schema)
 
     def per_batch(batches: Iterable):

@@ -204,3 +204,12 @@ def test_run_model_with_catalog_source_names(spark):
     spark.range(5).write.mode("overwrite").saveAsTable("five_rows")
     out = run_model(spark, "odd_rows", "select id from {t} where id % 2 = 1", sources={"t": "five_rows"})
     assert sorted(r.id for r in out.collect()) == [1, 3]
+
+
+def test_pandas_block_refuses_oversized_groups(spark):
+    from blockpipe.plans import GroupTooLargeError
+
+    df = spark.range(100).withColumn("g", F.when(F.col("id") < 60, 0).otherwise(F.col("id")))
+    with pytest.raises(GroupTooLargeError):
+        pandas_block(df, lambda pdf: pdf, "id bigint, g bigint", keys=["g"], max_group_rows=50)
+    assert pandas_block(df, lambda pdf: pdf, "id bigint, g bigint", keys=["g"], max_group_rows=60).count() == 100
