@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DataType
 
 from blockpipe.functions import is_missing, present, quoted, standardize_name, strip_whitespace
-from blockpipe.plans.ranking import _null_safe_join, group_mode, quantiles
+from blockpipe.plans.ranking import null_safe_join, group_mode, quantiles
 from blockpipe.plans.sizing import broadcast_if_small
 
 # Mappings up to this many entries become a map literal inside the projection
@@ -112,16 +112,16 @@ def impute(
         ]
         stats = parts[0]
         for p in parts[1:]:
-            stats = _null_safe_join(stats, p, by, "full")
+            stats = null_safe_join(stats, p, by, "full")
     else:
         parts = [group_mode(df, c, by, name=f"_bp_fill_{c}") for c in cols]
         stats = parts[0]
         for p in parts[1:]:
-            stats = _null_safe_join(stats, p, by, "full")
+            stats = null_safe_join(stats, p, by, "full")
 
     # one row per group: broadcast when measured small, else a shuffle join
     stats, _ = broadcast_if_small(stats)
-    joined = _null_safe_join(df, stats, by, "left")
+    joined = null_safe_join(df, stats, by, "left")
     filled = {}
     for c in cols:
         fill = F.col(f"_bp_fill_{c}")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from blockpipe.functions import as_column, present
-from blockpipe.plans.ranking import _null_safe_join, quantiles, rank_within
+from blockpipe.plans.ranking import null_safe_join, quantiles, rank_within
 from blockpipe.plans.sizing import broadcast_if_small
 
 
@@ -109,7 +109,7 @@ def smooth(
             F.sum("_bp_v").alias("_bp_fs"), F.count("_bp_v").alias("_bp_fc")
         )
         fix, _ = broadcast_if_small(fix)
-        ranked = _null_safe_join(ranked, fix, [*keys, "_bp_pos"], "left")
+        ranked = null_safe_join(ranked, fix, [*keys, "_bp_pos"], "left")
         total_s = F.coalesce(F.col("_bp_s"), F.lit(0.0)) + F.coalesce(F.col("_bp_fs"), F.lit(0.0))
         total_c = F.col("_bp_c") + F.coalesce(F.col("_bp_fc"), F.lit(0))
     else:

@@ -4,7 +4,7 @@ lineage (H2), and the skew-safe ranking they and the operators share."""
 from blockpipe.plans.blocks import Block, GroupTooLargeError, PipelineError, pandas_block, run_block, run_pipeline
 from blockpipe.plans.lineage import BLOCKS_DDL, block_adjacency
 from blockpipe.plans.model import ModelError, read_model, run_model
-from blockpipe.plans.ranking import group_mode, quantiles, rank_within
+from blockpipe.plans.ranking import group_mode, null_safe_join, quantiles, rank_within
 
 __all__ = [
     "BLOCKS_DDL",
@@ -14,6 +14,7 @@ __all__ = [
     "PipelineError",
     "block_adjacency",
     "group_mode",
+    "null_safe_join",
     "pandas_block",
     "quantiles",
     "rank_within",

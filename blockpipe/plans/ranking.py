@@ -37,7 +37,7 @@ _RID = "_bp_rid"
 _PART = "_bp_part"
 
 
-def _null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str):
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str):
     """Join on ``keys`` treating null = null; keeps the left key columns."""
     if not keys:
         return left.crossJoin(F.broadcast(right)) if how == "cross" else left.join(right, how=how)
@@ -96,7 +96,7 @@ def rank_within(
     else:
         # rows of a chunk are numbered consecutively
         ranged = ranged.withColumn("_bp_local", F.lit(None).cast("bigint"))
-    out = _null_safe_join(ranged, chunks, [_PART, *keys], "inner")
+    out = null_safe_join(ranged, chunks, [_PART, *keys], "inner")
     local_pos = F.col("_bp_local") if weight else F.col(_RID) - F.col("_bp_start")
     out = out.withColumn(pos_col, F.col("_bp_before") + local_pos)
     return out.drop(_RID, _PART, "_bp_start", "_bp_before", "_bp_local")
