@@ -1,7 +1,15 @@
 """Composite plans: SQL models (F), blocks and pipelines (G, H1), block
 lineage (H2), and the skew-safe ranking they and the operators share."""
 
-from blockpipe.plans.blocks import Block, GroupTooLargeError, PipelineError, pandas_block, run_block, run_pipeline
+from blockpipe.plans.blocks import (
+    Block,
+    GroupTooLargeError,
+    PipelineError,
+    blocks_table,
+    pandas_block,
+    run_block,
+    run_pipeline,
+)
 from blockpipe.plans.lineage import BLOCKS_DDL, block_adjacency
 from blockpipe.plans.model import ModelError, read_model, run_model
 from blockpipe.plans.ranking import group_mode, null_safe_join, quantiles, rank_within
@@ -13,6 +21,7 @@ __all__ = [
     "ModelError",
     "PipelineError",
     "block_adjacency",
+    "blocks_table",
     "group_mode",
     "null_safe_join",
     "pandas_block",

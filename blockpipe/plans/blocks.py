@@ -107,12 +107,30 @@ def pandas_block(
 @dataclass
 class Block:
     """One linked block: ``fn`` gets ``args`` plus ``df`` (source output) and
-    ``spark`` when it takes them. ``source`` names the upstream block."""
+    ``spark`` when it takes them. ``source`` names the upstream block;
+    ``section`` and ``section_type`` place it in the pipeline's layout."""
 
     name: str
     fn: Callable[..., Any]
     source: str | None = None
     args: dict[str, Any] = field(default_factory=dict)
+    section: str = "main"
+    section_type: str = "Transformation"
+
+
+def blocks_table(spark: SparkSession, project: str, blocks: Sequence[Block]) -> DataFrame:
+    """The blocks of one pipeline as rows of the lineage table read by
+    ``block_adjacency``: sections and blocks numbered in list order."""
+    from blockpipe.plans.lineage import BLOCKS_DDL
+
+    section_pos: dict[str, int] = {}
+    section_of = {b.name: b.section for b in blocks}
+    rows = []
+    for i, b in enumerate(blocks):
+        pos = section_pos.setdefault(b.section, len(section_pos) + 1)
+        src_section = section_of.get(b.source) if b.source else None
+        rows.append((project, pos, b.section_type, i + 1, b.name, True, True, src_section, b.source))
+    return spark.createDataFrame(rows, BLOCKS_DDL)
 
 
 def topological_order(blocks: Sequence[Block]) -> list[Block]:

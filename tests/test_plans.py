@@ -213,3 +213,18 @@ def test_pandas_block_refuses_oversized_groups(spark):
     with pytest.raises(GroupTooLargeError):
         pandas_block(df, lambda pdf: pdf, "id bigint, g bigint", keys=["g"], max_group_rows=50)
     assert pandas_block(df, lambda pdf: pdf, "id bigint, g bigint", keys=["g"], max_group_rows=60).count() == 100
+
+
+def test_blocks_table_feeds_adjacency(spark):
+    from blockpipe.plans import blocks_table
+
+    ident = lambda df: df
+    blocks = [
+        Block("load", ident, section="movement", section_type="Movement"),
+        Block("clean", ident, source="load", section="cleaning", section_type="Cleaning"),
+        Block("agg", ident, source="clean", section="transform"),
+        Block("feat", ident, source="clean", section="transform"),
+        Block("dag", ident, source="agg", section="orchestrate", section_type="Orchestration"),
+    ]
+    adj = {r.block: list(r.adj) for r in block_adjacency(blocks_table(spark, "p", blocks)).collect()}
+    assert adj == {"load": ["clean"], "clean": ["agg", "feat"], "agg": [], "feat": []}

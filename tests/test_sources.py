@@ -78,3 +78,9 @@ def test_move_table_and_files(spark, tmp_dir):
     assert sorted(r.sq for r in f.collect()) == [0, 1, 4, 9, 16]
     p = io.move(spark, f"{tmp_dir}/json", f"{tmp_dir}/pq", source_fmt="json", destination_fmt="parquet")
     assert p.count() == 5
+
+
+def test_export_empty_dataset(spark, tmp_dir):
+    df = spark.createDataFrame([], "a int, b string")
+    path = io.export_csv(df, f"{tmp_dir}/empty")
+    assert io.read_export(spark, path, df.schema).count() == 0
