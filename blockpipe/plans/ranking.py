@@ -40,7 +40,7 @@ _PART = "_bp_part"
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str):
     """Join on ``keys`` treating null = null; keeps the left key columns."""
     if not keys:
-        return left.crossJoin(F.broadcast(right)) if how == "cross" else left.join(right, how=how)
+        raise ValueError("a null-safe join needs at least one key")
     r = right
     renamed = {}
     for k in keys:

@@ -158,13 +158,27 @@ def write_table(
     mode: str = "overwrite",
     partition_by: Sequence[str] | None = None,
     fmt: str | None = None,
+    bucket_by: tuple[int, Sequence[str]] | None = None,
+    sort_by: Sequence[str] | None = None,
 ) -> str:
-    """Write to catalog table ``name`` (a rerun replaces it by default)."""
+    """Write to catalog table ``name`` (a rerun replaces it by default).
+
+    ``bucket_by=(n, keys)`` stores the rows hashed into ``n`` buckets by
+    ``keys`` (and ``sort_by`` within each bucket): later joins and
+    aggregations of two tables bucketed the same way on those keys read
+    co-located buckets and skip the shuffle.
+    """
     w = df.write.mode(mode)
     if fmt:
         w = w.format(fmt)
     if partition_by:
         w = w.partitionBy(*partition_by)
+    if bucket_by:
+        n, keys = bucket_by
+        keys = [keys] if isinstance(keys, str) else list(keys)
+        w = w.bucketBy(n, keys[0], *keys[1:])
+        if sort_by:
+            w = w.sortBy(sort_by[0], *sort_by[1:])
     w.saveAsTable(name)
     return name
 
@@ -189,15 +203,17 @@ def move(
     source_fmt: str | None = None,
     destination_fmt: str | None = None,
     partition_by: Sequence[str] | None = None,
+    bucket_by: tuple[int, Sequence[str]] | None = None,
     **read_opts,
 ) -> DataFrame:
     """Copy ``source`` (a DataFrame, a catalog table, or files when
     ``source_fmt`` is given) to ``destination`` (a catalog table, or files
     when ``destination_fmt`` is given). Returns the destination, read back
-    lazily. Overwrites on rerun unless ``mode`` says otherwise."""
+    lazily. Overwrites on rerun unless ``mode`` says otherwise. A table
+    destination can be bucketed (see ``write_table``)."""
     df = source if isinstance(source, DataFrame) else read_table(spark, source, source_fmt, **read_opts)
     if destination_fmt is None:
-        write_table(df, destination, mode, partition_by)
+        write_table(df, destination, mode, partition_by, bucket_by=bucket_by)
         return spark.table(destination)
     write_files(df, destination, destination_fmt, mode, partition_by)
     return _read_back(spark, destination, destination_fmt, df.schema)

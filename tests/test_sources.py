@@ -84,3 +84,21 @@ def test_export_empty_dataset(spark, tmp_dir):
     df = spark.createDataFrame([], "a int, b string")
     path = io.export_csv(df, f"{tmp_dir}/empty")
     assert io.read_export(spark, path, df.schema).count() == 0
+
+
+def test_bucketed_tables_join_without_shuffle(spark):
+    from blockpipe import operators as ops
+
+    orders = spark.range(1000).selectExpr("id as k", "id * 2 as amount")
+    lines = spark.range(4000).selectExpr("id % 1000 as k", "id as line")
+    io.write_table(orders, "b_orders", bucket_by=(8, ["k"]), sort_by=["k"])
+    io.move(spark, lines, "b_lines", bucket_by=(8, ["k"]))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = ops.join_on_keys(spark.table("b_orders"), spark.table("b_lines"), "k")
+        assert joined.count() == 4000
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
