@@ -40,8 +40,13 @@ def final_plan(df) -> str:
 
 def summarize(plan: str) -> dict:
     out = {k: len(re.findall(p, plan, flags=re.M)) for k, p in NODES.items()}
-    scans = re.findall(r"FileScan (\w+) \[([^\]]*)\][^\n]*?Location: \w+\([^)]*\)\[file:[^\]]*/([^/\]]+)\]", plan)
-    out["scans"] = sorted({f"{t}({len(cols.split(','))} cols)" for _, cols, t in scans})
+    scans = []
+    for fmt, cols, rest in re.findall(r"FileScan (\w+) \[([^\]]*)\]([^\n]*)", plan):
+        loc = re.search(r"Location: [^\[]*\[([^\]]*)", rest)
+        path = loc.group(1).split(",")[0] if loc else "?"
+        name = path.rstrip("/").rsplit("/", 1)[-1] or path
+        scans.append(f"{name}({len(cols.split(','))} cols)")
+    out["scans"] = sorted(set(scans))
     out["pushed"] = sorted(set(re.findall(r"PushedFilters: \[([^\]]+)\]", plan)))
     return out
 
