@@ -15,10 +15,17 @@ from blockpipe.plans.sizing import broadcast_if_small
 # --- D1-D3: time and text -------------------------------------------------------
 
 
-def parse_time(df: DataFrame, col: str, fmt: str | None = None, out: str | None = None) -> DataFrame:
-    """Text to ``timestamp_ntz``; text that does not parse becomes null."""
+def parse_time(
+    df: DataFrame, col: str, fmt: str | Sequence[str] | None = None, out: str | None = None
+) -> DataFrame:
+    """Text to ``timestamp_ntz``; text that does not parse becomes null.
+    ``fmt`` may list several patterns: the first that parses a value wins."""
     c = F.col(col)
-    parsed = F.try_to_timestamp(c, F.lit(fmt)) if fmt else F.try_to_timestamp(c)
+    if fmt is None:
+        parsed = F.try_to_timestamp(c)
+    else:
+        fmts = [fmt] if isinstance(fmt, str) else list(fmt)
+        parsed = F.coalesce(*[F.try_to_timestamp(c, F.lit(f)) for f in fmts])
     return df.withColumn(out or col, parsed.cast("timestamp_ntz"))
 
 

@@ -190,3 +190,9 @@ def test_quantiles_and_smooth_across_partitions(uncoalesced, skewed):
     a = {r.id: r.m for r in ops.smooth(df, "v", "k", ["t", "id"], 5, out="m", chunk_rows=50).collect()}
     b = {r.id: r.m for r in ops.smooth(df, "v", "k", ["t", "id"], 5, out="m", method="window").collect()}
     assert all(a[i] == pytest.approx(b[i]) for i in b)
+
+
+def test_parse_time_several_formats(spark):
+    df = spark.createDataFrame([("2000-03-01",), ("01/04/2001 10:30",), ("nope",)], "s string")
+    got = [r.t for r in ops.parse_time(df, "s", ["yyyy-MM-dd", "dd/MM/yyyy HH:mm"], out="t").collect()]
+    assert got == [dt.datetime(2000, 3, 1), dt.datetime(2001, 4, 1, 10, 30), None]
