@@ -154,12 +154,14 @@ def recommend_transformations(dfs: Mapping[str, DataFrame], limit: int = DEFAULT
     ``construct`` (date parts); floating-point columns -> ``discretize``; two
     datasets with columns of the same name and type -> ``join_on_keys``; two
     datasets with equal schemas -> ``union``. The last two compare schemas
-    only, on the driver.
+    on the driver; their ``affected_rows`` are the rows of the first dataset
+    (join) or of both (union), counted in the same per-dataset aggregation.
     """
     prio = {t: i for i, t in enumerate(TRANSFORMATION_PRIORITY)}
     parts = []
     spark = None
     names = list(dfs)
+    one_row: dict[str, DataFrame] = {}
     for name, df in dfs.items():
         spark = df.sparkSession
         aggs, cands = [], []
@@ -183,28 +185,33 @@ def recommend_transformations(dfs: Mapping[str, DataFrame], limit: int = DEFAULT
                 aggs.append(F.count(c).alias(f"_bp_cnt{i}"))
                 cands.append(_candidate(prio["discretize"], name, f.name, "discretize",
                                         _text(TRANSFORMATION_REASONS["discretize"], c=f.name), cnt, cnt > 0))
-        if aggs:
-            parts.append(df.agg(*aggs).select(F.inline(F.array(*cands))))
-    pair_rows = []
+        aggs.append(F.count(F.lit(1)).alias("_bp_rows"))
+        one_row[name] = df.agg(*aggs)
+        if cands:
+            parts.append(one_row[name].select(F.inline(F.array(*cands))))
     for i, a in enumerate(names):
         for b in names[i + 1:]:
             sa = {f.name: f.dataType for f in dfs[a].schema.fields}
             sb = {f.name: f.dataType for f in dfs[b].schema.fields}
             shared = [c for c in sa if c in sb and sa[c] == sb[c]]
+            if not shared and sa != sb:
+                continue
+            # rows of each dataset: a's one-row table, b's count as a scalar subquery
+            rows = one_row[a].select(
+                F.col("_bp_rows").alias("_bp_ra"), one_row[b].select("_bp_rows").scalar().alias("_bp_rb")
+            )
             pair = f"{a}, {b}"
+            found = []
             if shared:
                 cols = ", ".join(shared)
                 reason = TRANSFORMATION_REASONS["join_on_keys"].format(d=a, e=b, c=cols)
-                pair_rows.append((prio["join_on_keys"], pair, cols, "join_on_keys", reason, None, True))
+                found.append(_candidate(prio["join_on_keys"], pair, cols, "join_on_keys", F.lit(reason),
+                                        F.col("_bp_ra"), F.lit(True)))
             if sa == sb:
                 reason = TRANSFORMATION_REASONS["union"].format(d=a, e=b)
-                pair_rows.append((prio["union"], pair, "*", "union", reason, None, True))
-    if pair_rows and spark is not None:
-        parts.append(spark.createDataFrame(
-            pair_rows,
-            "priority int, dataset string, column_name string, technique string, reason string, "
-            "affected_rows bigint, keep boolean",
-        ))
+                found.append(_candidate(prio["union"], pair, "*", "union", F.lit(reason),
+                                        F.col("_bp_ra") + F.col("_bp_rb"), F.lit(True)))
+            parts.append(rows.select(F.inline(F.array(*found))))
     if not parts:
         return _empty(spark) if spark else None
     cands = reduce(DataFrame.unionByName, parts).where("keep")

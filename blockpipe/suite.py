@@ -313,11 +313,14 @@ def _transform_sql() -> str:
                 reason = TRANSFORMATION_REASONS["join_on_keys"].format(d=a, e=b, c=", ".join(shared))
                 cands.append(f"select 3 as priority, {_lit(a + ', ' + b)} as dataset, "
                              f"{_lit(', '.join(shared))} as column_name, 'join_on_keys' as technique, "
-                             f"{_lit(reason)} as reason, cast(null as bigint) as affected_rows")
+                             f"{_lit(reason)} as reason, (select count(*) from {_TRANSFORM_SETS[a][0]}) "
+                             f"as affected_rows")
             if sa == sb:
                 reason = TRANSFORMATION_REASONS["union"].format(d=a, e=b)
                 cands.append(f"select 4 as priority, {_lit(a + ', ' + b)} as dataset, '*' as column_name, "
-                             f"'union' as technique, {_lit(reason)} as reason, cast(null as bigint) as affected_rows")
+                             f"'union' as technique, {_lit(reason)} as reason, "
+                             f"(select count(*) from {_TRANSFORM_SETS[a][0]}) + "
+                             f"(select count(*) from {_TRANSFORM_SETS[b][0]}) as affected_rows")
     body = "\nunion all\n".join(cands)
     return (f"select rank, dataset, column_name, technique, reason, affected_rows from ("
             f"select cast(row_number() over (order by priority, dataset, column_name) as int) as rank, * "
