@@ -69,6 +69,7 @@ def impute(
     by: Sequence[str] | str | None = None,
     value=None,
     approx: bool = False,
+    quantile_method: str = "auto",
 ) -> DataFrame:
     """Fill missing values (null and NaN) of ``cols``.
 
@@ -77,8 +78,9 @@ def impute(
     aggregation (global: a scalar subquery, computed once and used as a
     constant; per group: a table with one row per group, materialized and
     measured, then broadcast when small and otherwise sort-merge joined with
-    skew splitting). Median is exact via skew-safe ranking unless
-    ``approx=True``.
+    skew splitting). Median is exact unless ``approx=True``:
+    ``quantile_method`` picks Spark's ``percentile`` or the skew-safe ranked
+    plan (``"auto"``: by the measured largest group, see ``plans.quantiles``).
     """
     cols = [cols] if isinstance(cols, str) else list(cols)
     by = [by] if isinstance(by, str) else list(by or [])
@@ -97,7 +99,7 @@ def impute(
             if strategy == "mean":
                 stat = df.select(F.avg(present(df, c))).scalar()
             elif strategy == "median":
-                stat = quantiles(df, present(df, c), [0.5], approx=approx).scalar()
+                stat = quantiles(df, present(df, c), [0.5], approx=approx, method=quantile_method).scalar()
             else:
                 stat = group_mode(df, c).scalar().cast(df.schema[c].dataType)
             filled[c] = F.coalesce(present(df, c), stat)
@@ -107,7 +109,8 @@ def impute(
         stats = df.groupBy(*by).agg(*[F.avg(present(df, c)).alias(f"_bp_fill_{c}") for c in cols])
     elif strategy == "median":
         parts = [
-            quantiles(df, present(df, c), [0.5], by=by, names=[f"_bp_fill_{c}"], approx=approx)
+            quantiles(df, present(df, c), [0.5], by=by, names=[f"_bp_fill_{c}"], approx=approx,
+                      method=quantile_method)
             for c in cols
         ]
         stats = parts[0]

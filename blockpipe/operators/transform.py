@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from blockpipe.functions import as_column, present
-from blockpipe.plans.ranking import null_safe_join, quantiles, rank_within
+from blockpipe.plans.ranking import WINDOW_MAX_GROUP_ROWS, largest_group, null_safe_join, quantiles, rank_within
 from blockpipe.plans.sizing import broadcast_if_small
 
 
@@ -61,13 +61,18 @@ def smooth(
     order_by: Sequence[str | Column] | str,
     window: int = 3,
     out: str | None = None,
-    method: str = "ranked",
+    method: str = "auto",
     chunk_rows: int | None = None,
+    max_group_rows: int = WINDOW_MAX_GROUP_ROWS,
 ) -> DataFrame:
     """Moving average of ``col`` over the current row and the ``window - 1``
     rows before it, per ``partition_by`` in ``order_by`` order.
 
-    ``method="ranked"`` (default) is skew-safe. Rows get their exact position
+    ``method="auto"`` (default) measures the largest group first and uses
+    the plain window when it has at most ``max_group_rows`` rows (one task
+    sorts one group), the ranked plan otherwise.
+
+    ``method="ranked"`` is skew-safe. Rows get their exact position
     in their group (``rank_within``: range partitioning cuts a hot group into
     many tasks). Positions are cut into chunks of ``chunk_rows`` (default
     ``max(64 * window, 65536)``); a window per (group, chunk) is one balanced
@@ -83,13 +88,15 @@ def smooth(
     out = out or col
     if window < 1:
         raise ValueError("window must be at least 1")
+    if method == "auto":
+        method = "window" if largest_group(df, keys) <= max_group_rows else "ranked"
     if method == "window":
         from pyspark.sql import Window
 
         w = Window.partitionBy(*keys).orderBy(*[as_column(o) for o in order]).rowsBetween(-window + 1, 0)
         return df.withColumn(out, F.avg(present(df, col)).over(w))
     if method != "ranked":
-        raise ValueError(f"method must be 'ranked' or 'window', got {method!r}")
+        raise ValueError(f"method must be 'auto', 'ranked' or 'window', got {method!r}")
     from pyspark.sql import Window
 
     size = chunk_rows or max(64 * window, 65536)
@@ -129,12 +136,18 @@ def smooth(
 
 
 def outlier_bounds(
-    df: DataFrame, col: str, method: str = "iqr", k: float | None = None, approx: bool = False
+    df: DataFrame,
+    col: str,
+    method: str = "iqr",
+    k: float | None = None,
+    approx: bool = False,
+    quantile_method: str = "auto",
 ) -> DataFrame:
     """One row ``(lower, upper)``: values outside are outliers."""
     if method == "iqr":
         k = 1.5 if k is None else k
-        q = quantiles(df, present(df, col), [0.25, 0.75], names=["q1", "q3"], approx=approx)
+        q = quantiles(df, present(df, col), [0.25, 0.75], names=["q1", "q3"], approx=approx,
+                      method=quantile_method)
         iqr = F.col("q3") - F.col("q1")
         return q.select((F.col("q1") - k * iqr).alias("lower"), (F.col("q3") + k * iqr).alias("upper"))
     if method == "zscore":
@@ -145,13 +158,18 @@ def outlier_bounds(
 
 
 def drop_outliers(
-    df: DataFrame, col: str, method: str = "iqr", k: float | None = None, approx: bool = False
+    df: DataFrame,
+    col: str,
+    method: str = "iqr",
+    k: float | None = None,
+    approx: bool = False,
+    quantile_method: str = "auto",
 ) -> DataFrame:
     """Drop rows whose ``col`` lies outside the bounds (Tukey fences or
     ``|z| <= k``). Rows with a missing value are not outliers and stay. The
     bounds are one row, used as scalar subqueries: computed once, then
     constants in the filter (no join)."""
-    bounds = outlier_bounds(df, col, method, k, approx)
+    bounds = outlier_bounds(df, col, method, k, approx, quantile_method)
     lower, upper = bounds.select("lower").scalar(), bounds.select("upper").scalar()
     v = present(df, col)
     return df.where(v.isNull() | ((v >= lower) & (v <= upper)))
@@ -191,6 +209,7 @@ def discretize(
     edges: Sequence[float] | None = None,
     out: str = "bin",
     approx: bool = False,
+    quantile_method: str = "auto",
 ) -> DataFrame:
     """Continuous values to interval numbers ``0 .. n-1``.
 
@@ -209,7 +228,7 @@ def discretize(
     if method == "quantile":
         probs = [i / n for i in range(1, n)]
         names = [f"_bp_e{i}" for i in range(len(probs))]
-        q = quantiles(df, v, probs, names=names, approx=approx)
+        q = quantiles(df, v, probs, names=names, approx=approx, method=quantile_method)
         cuts = [q.select(nm).scalar() for nm in names]
     elif method == "edges":
         if not edges:

@@ -36,6 +36,20 @@ from blockpipe.session import checkpoint_root
 _RID = "_bp_rid"
 _PART = "_bp_part"
 
+# Largest group the simple plans may give to one task: Spark's exact
+# ``percentile`` keeps every distinct value of a group in one buffer, a plain
+# window sorts a whole group in one task. Bigger groups take the ranked plans.
+PERCENTILE_MAX_GROUP_ROWS = 1_000_000
+WINDOW_MAX_GROUP_ROWS = 10_000_000
+
+
+def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
+    """Rows in the biggest group of ``keys`` (all rows without keys): one
+    aggregation with map-side combine, a single number to the driver."""
+    if not keys:
+        return df.count()
+    return df.groupBy(*[F.col(k) for k in keys]).count().agg(F.max("count")).first()[0] or 0
+
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str):
     """Join on ``keys`` treating null = null; keeps the left key columns."""
@@ -110,13 +124,19 @@ def quantiles(
     names: Sequence[str] | None = None,
     approx: bool = False,
     accuracy: int = 10000,
+    method: str = "auto",
+    max_group_rows: int = PERCENTILE_MAX_GROUP_ROWS,
 ) -> DataFrame:
     """One row per group of ``by``: the ``probs`` quantiles of ``value``.
 
     Exact by default (linear interpolation between order statistics, as
     pandas ``quantile`` and DuckDB ``quantile_cont``). Nulls and NaN are
-    skipped. ``approx=True`` uses ``percentile_approx`` instead: one pass, a
-    bounded sketch per group, rank error about ``1/accuracy``.
+    skipped. ``method="auto"`` measures the largest group first: up to
+    ``max_group_rows`` rows, Spark's exact ``percentile`` aggregate; beyond,
+    the ranked plan below, whose work per task does not depend on group
+    sizes (``method="percentile"`` / ``"ranked"`` force one).
+    ``approx=True`` uses ``percentile_approx`` instead: one pass, a bounded
+    sketch per group, rank error about ``1/accuracy``.
     """
     by = list(by)
     names = list(names) if names else [f"q{i}" for i in range(len(probs))]
@@ -128,6 +148,14 @@ def quantiles(
         arr = F.percentile_approx("_bp_v", list(probs), accuracy)
         agg = base.groupBy(*by).agg(arr.alias("_bp_q"))
         return agg.select(*by, *[F.col("_bp_q")[i].alias(nm) for i, nm in enumerate(names)])
+    if method not in ("auto", "percentile", "ranked"):
+        raise ValueError(f"method must be 'auto', 'percentile' or 'ranked', got {method!r}")
+    if method == "auto":
+        method = "percentile" if largest_group(base, by) <= max_group_rows else "ranked"
+    if method == "percentile":
+        arr = F.percentile("_bp_v", F.array(*[F.lit(float(p)) for p in probs]))
+        agg = base.groupBy(*by).agg(arr.alias("_bp_q"))
+        return agg.select(*by, *[F.col("_bp_q")[i].alias(nm) for i, nm in enumerate(names)])
 
     # equal values collapse map-side, so neither a hot key nor a hot value
     # concentrates rows; each distinct value covers positions [pos, pos + n)

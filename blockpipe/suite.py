@@ -961,6 +961,36 @@ def q_block_adjacency(spark, sf):
     return adj.select("project", "block", F.array_join("adj", ",").alias("children"))
 
 
+# --- the skew-safe ranked plans, forced, on the same SQL -----------------------------------------------
+# (the queries above use method="auto", which picks the simple plans at these
+# sizes; these run the plans used when a group is too big for one task)
+
+
+@query("moving_average_ranked", ORACLE_SQL["moving_average"])
+def q_moving_average_ranked(spark, sf):
+    ev = table(spark, sf, "events")
+    out = ops.smooth(ev, "value", "user_id", ["ts", "event_id"], window=3, out="v", method="ranked")
+    return out.select("event_id", F.round("v", 6).alias("v"))
+
+
+@query("impute_median_by_group_ranked", ORACLE_SQL["impute_median_by_group"])
+def q_impute_median_by_group_ranked(spark, sf):
+    out = ops.impute(events_with_gaps(spark, sf), "value", "median", by="event_type", quantile_method="ranked")
+    return out.select("event_id", F.round("value", 6).alias("value"))
+
+
+@query("drop_outliers_iqr_ranked", ORACLE_SQL["drop_outliers_iqr"])
+def q_drop_outliers_iqr_ranked(spark, sf):
+    ev = table(spark, sf, "events").select("event_id", "value")
+    return ops.drop_outliers(ev, "value", "iqr", 1.5, quantile_method="ranked")
+
+
+@query("discretize_quantile_ranked", ORACLE_SQL["discretize_quantile"])
+def q_discretize_quantile_ranked(spark, sf):
+    ev = table(spark, sf, "events").select("event_id", "value")
+    return ops.discretize(ev, "value", "quantile", n=4, quantile_method="ranked").select("event_id", "bin")
+
+
 # --- A: sources, sinks, movement ------------------------------------------------------------------------
 
 

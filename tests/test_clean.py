@@ -35,6 +35,8 @@ def test_impute_strategies(spark):
     assert _vals(ops.impute(df, "v", "median"))[2] == pytest.approx(3.0)
     by_group = _vals(ops.impute(df, "v", "median", by="g"))
     assert by_group[2] == 3.0 and by_group[5] == 10.0
+    ranked = _vals(ops.impute(df, "v", "median", by="g", quantile_method="ranked"))
+    assert ranked == by_group
     assert _vals(ops.impute(df, "v", "mode", by="g"))[2] == 3.0
     approx = _vals(ops.impute(df, "v", "median", approx=True))
     assert approx[2] == 3.0
@@ -89,11 +91,11 @@ def test_impute_by_group_without_broadcast(spark):
     """Statistics too big to broadcast: the same answer through a shuffle join."""
     rows = [(i, i % 5, None if i % 4 == 0 else float(i)) for i in range(200)]
     df = spark.createDataFrame(rows, "id int, g int, v double")
-    want = _vals(ops.impute(df, "v", "median", by="g"))
+    want = _vals(ops.impute(df, "v", "median", by="g", quantile_method="ranked"))
     old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        out = ops.impute(df, "v", "median", by="g")
+        out = ops.impute(df, "v", "median", by="g", quantile_method="ranked")
         assert "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString()
         assert _vals(out) == want
     finally:

@@ -32,6 +32,7 @@ CASES = {
     "map_values": lambda df: ops.map_values(df, "s", {"a b": "ab"}),
     "split_column": lambda df: ops.split_column(df, "s", ["p", "q"]),
     "smooth": lambda df: ops.smooth(df, "v", "g", ["t", "id"], 2),
+    "smooth_ranked": lambda df: ops.smooth(df, "v", "g", ["t", "id"], 2, method="ranked"),
     "drop_outliers_iqr": lambda df: ops.drop_outliers(df, "v"),
     "drop_outliers_z": lambda df: ops.drop_outliers(df, "v", "zscore"),
     "discretize_width": lambda df: ops.discretize(df, "v"),
@@ -47,6 +48,8 @@ CASES = {
     "recommend_cleaning": lambda df: ops.recommend_cleaning({"d": df}),
     "recommend_transformations": lambda df: ops.recommend_transformations({"d": df}),
     "quantiles": lambda df: quantiles(df, "v", [0.5], by=["g"]),
+    "quantiles_ranked": lambda df: quantiles(df, "v", [0.5], by=["g"], method="ranked"),
+    "impute_median_ranked": lambda df: ops.impute(df, "v", "median", by="g", quantile_method="ranked"),
     "rank_within": lambda df: rank_within(df, ["g"], ["t", "id"]),
 }
 
@@ -61,12 +64,14 @@ def test_null_keys(nullkeys, name):
     assert CASES[name](nullkeys).count() >= 0
 
 
-def test_null_group_is_a_group(nullkeys):
-    med = {r.g: r.q0 for r in quantiles(nullkeys, "v", [0.5], by=["g"]).collect()}
+@pytest.mark.parametrize("method", ["ranked", "auto"])
+def test_null_group_is_a_group(nullkeys, method):
+    qmethod = "ranked" if method == "ranked" else "percentile"
+    med = {r.g: r.q0 for r in quantiles(nullkeys, "v", [0.5], by=["g"], method=qmethod).collect()}
     assert med == {None: 2.0, "x": 4.0}
     pos = {r.id: r._pos for r in rank_within(nullkeys, ["g"], ["t", "id"]).collect()}
     assert pos == {1: 0, 2: 1, 3: 2, 4: 0}
-    sm = {r.id: r.v for r in ops.smooth(nullkeys, "v", "g", ["t", "id"], 2).collect()}
+    sm = {r.id: r.v for r in ops.smooth(nullkeys, "v", "g", ["t", "id"], 2, method=method).collect()}
     assert sm == {1: 1.0, 2: 1.0, 3: 3.0, 4: 4.0}
 
 

@@ -31,9 +31,11 @@ def test_rank_within_matches_sort(spark, skewed):
             assert got[r[0]] == pos
 
 
-def test_exact_quantiles_match_numpy(spark, skewed):
+@pytest.mark.parametrize("method", ["ranked", "percentile", "auto"])
+def test_exact_quantiles_match_numpy(spark, skewed, method):
     df, rows = skewed
-    q = {r.k: (r.a, r.b, r.c) for r in quantiles(df, "v", [0.1, 0.5, 0.93], by=["k"], names=["a", "b", "c"]).collect()}
+    q = {r.k: (r.a, r.b, r.c) for r in quantiles(df, "v", [0.1, 0.5, 0.93], by=["k"], names=["a", "b", "c"],
+                                                 method=method).collect()}
     by_key = {}
     for r in rows:
         by_key.setdefault(r[1], []).append(r[2])
@@ -45,7 +47,8 @@ def test_exact_quantiles_match_numpy(spark, skewed):
 def test_smooth_ranked_equals_window(spark, skewed, window, chunk):
     df, _ = skewed
     df = df.withColumn("v", F.when(F.col("id") % 11 == 0, None).otherwise(F.col("v")))
-    a = {r.id: r.m for r in ops.smooth(df, "v", "k", ["t", "id"], window, out="m", chunk_rows=chunk).collect()}
+    a = {r.id: r.m for r in ops.smooth(df, "v", "k", ["t", "id"], window, out="m", chunk_rows=chunk,
+                                       method="ranked").collect()}
     b = {r.id: r.m for r in ops.smooth(df, "v", "k", ["t", "id"], window, out="m", method="window").collect()}
     assert a.keys() == b.keys()
     for i in a:
@@ -146,11 +149,13 @@ def test_pca_matches_numpy(spark):
     assert got[300] == [None, None]
 
 
-def test_quantiles_with_a_hot_value(spark):
+@pytest.mark.parametrize("method", ["ranked", "percentile"])
+def test_quantiles_with_a_hot_value(spark, method):
     """A third of one key's rows share one value: exact, same as numpy."""
     rows = [(1, 0.0 if i % 3 == 0 else float(i % 97)) for i in range(3000)] + [(2, 5.0), (2, 7.0)]
     df = spark.createDataFrame(rows, "k int, v double")
-    got = {r.k: (r.a, r.b) for r in quantiles(df, "v", [0.3, 0.5], by=["k"], names=["a", "b"]).collect()}
+    got = {r.k: (r.a, r.b) for r in quantiles(df, "v", [0.3, 0.5], by=["k"], names=["a", "b"],
+                                              method=method).collect()}
     vals = [v for k, v in rows if k == 1]
     assert got[1] == pytest.approx(tuple(np.quantile(vals, [0.3, 0.5])))
     assert got[2] == pytest.approx((5.6, 6.0))
@@ -185,9 +190,10 @@ def test_hot_key_is_split_across_partitions(uncoalesced, skewed):
 
 def test_quantiles_and_smooth_across_partitions(uncoalesced, skewed):
     df, rows = skewed
-    q = {r.k: r.m for r in quantiles(df, "v", [0.5], by=["k"], names=["m"]).collect()}
+    q = {r.k: r.m for r in quantiles(df, "v", [0.5], by=["k"], names=["m"], method="ranked").collect()}
     assert q[0] == pytest.approx(float(np.median([r[2] for r in rows if r[1] == 0])))
-    a = {r.id: r.m for r in ops.smooth(df, "v", "k", ["t", "id"], 5, out="m", chunk_rows=50).collect()}
+    a = {r.id: r.m for r in ops.smooth(df, "v", "k", ["t", "id"], 5, out="m", chunk_rows=50,
+                                       method="ranked").collect()}
     b = {r.id: r.m for r in ops.smooth(df, "v", "k", ["t", "id"], 5, out="m", method="window").collect()}
     assert all(a[i] == pytest.approx(b[i]) for i in b)
 
@@ -196,3 +202,13 @@ def test_parse_time_several_formats(spark):
     df = spark.createDataFrame([("2000-03-01",), ("01/04/2001 10:30",), ("nope",)], "s string")
     got = [r.t for r in ops.parse_time(df, "s", ["yyyy-MM-dd", "dd/MM/yyyy HH:mm"], out="t").collect()]
     assert got == [dt.datetime(2000, 3, 1), dt.datetime(2001, 4, 1, 10, 30), None]
+
+
+def test_auto_picks_ranked_for_big_groups(spark, skewed):
+    df, _ = skewed
+    small = {r.id: r.m for r in ops.smooth(df, "v", "k", ["t", "id"], 3, out="m", max_group_rows=10).collect()}
+    plain = {r.id: r.m for r in ops.smooth(df, "v", "k", ["t", "id"], 3, out="m", method="window").collect()}
+    assert all(small[i] == pytest.approx(plain[i]) for i in plain)
+    a = quantiles(df, "v", [0.5], by=["k"], max_group_rows=10).collect()
+    b = quantiles(df, "v", [0.5], by=["k"], method="percentile").collect()
+    assert sorted(map(tuple, a)) == sorted(map(tuple, b))
