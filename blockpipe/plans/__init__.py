@@ -11,7 +11,7 @@ from blockpipe.plans.blocks import (
     run_pipeline,
 )
 from blockpipe.plans.lineage import BLOCKS_DDL, block_adjacency
-from blockpipe.plans.model import ModelError, read_model, run_model
+from blockpipe.plans.model import ModelError, ensure_database, read_model, run_model
 from blockpipe.plans.ranking import group_mode, null_safe_join, quantiles, rank_within
 
 __all__ = [
@@ -21,6 +21,7 @@ __all__ = [
     "ModelError",
     "PipelineError",
     "block_adjacency",
+    "ensure_database",
     "blocks_table",
     "group_mode",
     "null_safe_join",

@@ -40,6 +40,7 @@ def run_model(
     schema: str | None = None,
     comments: Mapping[str, str] | None = None,
     table_comment: str | None = None,
+    location: str | None = None,
 ) -> DataFrame:
     """Run the model and publish it; return the published relation.
 
@@ -47,7 +48,8 @@ def run_model(
     catalog view ``schema.name`` with one (its sources must then be catalog
     tables). ``"table"``: written as table ``schema.name`` (default schema
     ``default``), replacing an earlier run. ``comments`` maps column names to
-    descriptions, stored as column comments.
+    descriptions, stored as column comments. A schema that does not exist yet
+    is created, at ``location`` when given (a shared folder).
     """
     if materialized not in ("view", "table"):
         raise ValueError(f"materialized must be 'view' or 'table', got {materialized!r}")
@@ -61,7 +63,7 @@ def run_model(
             df.createOrReplaceTempView(name)
             return spark.table(_quote(name))
         target = f"{_quote(schema or 'default')}.{_quote(name)}"
-        spark.sql(f"CREATE DATABASE IF NOT EXISTS {_quote(schema or 'default')}")
+        ensure_database(spark, schema or "default", location)
         if materialized == "view":
             if sources:
                 raise ModelError("a catalog view needs catalog sources, not DataFrames")
@@ -87,6 +89,12 @@ def run_model(
         raise ModelError(str(exc)) from exc
 
 
+def ensure_database(spark: SparkSession, name: str, location: str | None = None) -> None:
+    """Create the catalog database ``name`` unless it exists."""
+    where = f" LOCATION '{_escape(location)}'" if location else ""
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {_quote(name)}{where}")
+
+
 def _escape(text: str) -> str:
     return text.replace("\\", "\\\\").replace("'", "\\'")
 

@@ -13,7 +13,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from blockpipe import operators as ops
-from blockpipe.plans import Block, block_adjacency, pandas_block, run_block, run_model, run_pipeline
+from blockpipe.plans import (
+    Block,
+    block_adjacency,
+    ensure_database,
+    pandas_block,
+    read_model,
+    run_block,
+    run_model,
+    run_pipeline,
+)
 from blockpipe.session import scratch_path
 from blockpipe import sources as io
 
@@ -896,6 +905,33 @@ for _name, (_spark_sql, _duck_sql) in MODELS.items():
     query(_name, _oracle)(_model_query(_name, _spark_sql))
 
 
+MODEL_SCHEMA = "bp_models"
+
+
+def _model_schema(spark) -> str:
+    """A catalog database stored in the shared scratch folder."""
+    ensure_database(spark, MODEL_SCHEMA, scratch_path(spark, "models"))
+    return MODEL_SCHEMA
+
+
+@query(
+    "sql_model_table",
+    "select o_orderstatus, o_orderpriority, count(*) as n, round(sum(o_totalprice), 2) as total "
+    "from orders group by o_orderstatus, o_orderpriority",
+)
+def q_sql_model_table(spark, sf):
+    schema = _model_schema(spark)
+    sql = (
+        "select o_orderstatus, o_orderpriority, count(*) as n, round(sum(o_totalprice), 2) as total "
+        "from {orders} group by o_orderstatus, o_orderpriority"
+    )
+    run_model(
+        spark, "order_totals", sql, sources={"orders": table(spark, sf, "orders")}, materialized="table",
+        schema=schema, comments={"total": "sum of order prices, rounded to cents"},
+    )
+    return read_model(spark, "order_totals", schema)
+
+
 # --- G: user functions -------------------------------------------------------------------------------
 
 
@@ -1030,6 +1066,13 @@ def q_move_json(spark, sf):
     return io.move(spark, table(spark, sf, "customer"), dst, destination_fmt="json")
 
 
+@query("move_table", "select * from customer")
+def q_move_table(spark, sf):
+    schema = _model_schema(spark)
+    io.move(spark, table(spark, sf, "customer"), f"{schema}.customer_copy")
+    return io.read_table(spark, f"{schema}.customer_copy")
+
+
 @query("export_csv", "select * from part")
 def q_export_csv(spark, sf):
     part = table(spark, sf, "part")
