@@ -197,11 +197,11 @@ def run_pipeline(
             if not isinstance(result, (DataFrame, Mapping)):
                 raise TypeError(f"block {b.name!r} returned {type(result)}")
         if snapshot_dir is not None:
-            from blockpipe.sources.io import load_snapshot, save_snapshot
+            from blockpipe.sources.io import read_saved, save_snapshot
 
-            where = f"{snapshot_dir.rstrip('/')}/{b.name}"
-            save_snapshot(result, where)
-            saved = load_snapshot(spark, where)
+            frames = result if isinstance(result, Mapping) else {RESULT_NAME: result}
+            paths = save_snapshot(frames, f"{snapshot_dir.rstrip('/')}/{b.name}")
+            saved = {k: read_saved(spark, paths[k], frames[k].schema) for k in frames}
             result = saved if isinstance(result, Mapping) else saved[RESULT_NAME]
         elif persist_shared and fanout.get(b.name, 0) >= 2:
             if isinstance(result, Mapping):

@@ -9,6 +9,7 @@ from blockpipe.sources.io import (
     normalize_dates,
     read_csv,
     read_export,
+    read_saved,
     read_files,
     read_table,
     read_tables,
@@ -26,6 +27,7 @@ __all__ = [
     "normalize_dates",
     "read_csv",
     "read_export",
+    "read_saved",
     "read_files",
     "read_table",
     "read_tables",

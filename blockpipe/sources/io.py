@@ -7,6 +7,7 @@ object stores belong in the Hadoop configuration, never in arguments.
 
 from __future__ import annotations
 
+import json
 import logging
 import time
 import uuid
@@ -257,39 +258,49 @@ def read_export(spark: SparkSession, path: str, schema: StructType) -> DataFrame
 _MANIFEST = "manifest"
 
 
-def save_snapshot(dfs: Mapping[str, DataFrame] | DataFrame, directory: str) -> str:
-    """Persist all datasets of a block under ``directory``.
+def save_snapshot(dfs: Mapping[str, DataFrame] | DataFrame, directory: str) -> dict[str, str]:
+    """Persist all datasets of a block under ``directory``; returns
+    ``{dataset: path}`` of what was written.
 
     Each save writes a new version folder, then appends one manifest file
-    naming the version's datasets. Readers follow the newest manifest entry,
-    so a save that dies halfway leaves the previous snapshot in force, and a
-    save replaces all earlier datasets of the block.
+    naming the version's datasets and their schemas. Readers follow the
+    newest manifest entry, so a save that dies halfway leaves the previous
+    snapshot in force, and a save replaces all earlier datasets of the block.
     """
     if isinstance(dfs, DataFrame):
         dfs = {"result": dfs}
     version = time.time_ns()  # newer saves sort later
     base = directory.rstrip("/")
+    folder = f"{base}/v{version}-{uuid.uuid4().hex[:8]}"
     rows = []
     spark = None
     for name, df in dfs.items():
         spark = df.sparkSession
-        path = f"{base}/v{version}-{uuid.uuid4().hex[:8]}/{name}"
+        path = f"{folder}/{name}"
         df.write.mode("error").parquet(path)
-        rows.append((int(version), name, path))
+        rows.append((int(version), name, path, df.schema.json()))
     if spark is None:
-        return base
-    manifest = spark.createDataFrame(rows, "version bigint, dataset string, path string")
+        return {}
+    manifest = spark.createDataFrame(rows, "version bigint, dataset string, path string, schema string")
     manifest.coalesce(1).write.mode("append").parquet(f"{base}/{_MANIFEST}")
-    return base
+    return {r[1]: r[2] for r in rows}
+
+
+def read_saved(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+    """A saved dataset, read with its known schema (no footer inference)."""
+    if isinstance(schema, str):
+        schema = StructType.fromJson(json.loads(schema))
+    return spark.read.schema(schema).parquet(path)
 
 
 def load_snapshot(spark: SparkSession, directory: str) -> dict[str, DataFrame]:
-    """The datasets of the newest complete snapshot; ``{}`` when there is none."""
+    """The datasets of the newest complete snapshot; ``{}`` when there is none.
+    One small job reads the manifest rows of the newest version."""
     base = directory.rstrip("/")
     try:
         manifest = spark.read.parquet(f"{base}/{_MANIFEST}")
     except PySparkException:
         return {}
-    newest = manifest.agg(F.max("version").alias("v"))
-    rows = manifest.join(newest, manifest["version"] == newest["v"]).select("dataset", "path").collect()
-    return {r.dataset: spark.read.parquet(r.path) for r in sorted(rows, key=lambda r: r.dataset)}
+    newest = manifest.select(F.max("version")).scalar()
+    rows = manifest.where(F.col("version") == newest).select("dataset", "path", "schema").collect()
+    return {r.dataset: read_saved(spark, r.path, r.schema) for r in sorted(rows, key=lambda r: r.dataset)}
