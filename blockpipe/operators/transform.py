@@ -64,9 +64,12 @@ def smooth(
     method: str = "auto",
     chunk_rows: int | None = None,
     max_group_rows: int = WINDOW_MAX_GROUP_ROWS,
+    min_periods: int = 1,
 ) -> DataFrame:
     """Moving average of ``col`` over the current row and the ``window - 1``
-    rows before it, per ``partition_by`` in ``order_by`` order.
+    rows before it, per ``partition_by`` in ``order_by`` order. The average
+    is null where the window holds fewer than ``min_periods`` non-missing
+    values (``min_periods=window`` is pandas ``rolling(window).mean()``).
 
     ``method="auto"`` (default) measures the largest group first and uses
     the plain window when it has at most ``max_group_rows`` rows (one task
@@ -88,13 +91,16 @@ def smooth(
     out = out or col
     if window < 1:
         raise ValueError("window must be at least 1")
+    if not 1 <= min_periods <= window:
+        raise ValueError("min_periods must be between 1 and window")
     if method == "auto":
         method = "window" if largest_group(df, keys) <= max_group_rows else "ranked"
     if method == "window":
         from pyspark.sql import Window
 
         w = Window.partitionBy(*keys).orderBy(*[as_column(o) for o in order]).rowsBetween(-window + 1, 0)
-        return df.withColumn(out, F.avg(present(df, col)).over(w))
+        v = present(df, col)
+        return df.withColumn(out, F.when(F.count(v).over(w) >= min_periods, F.avg(v).over(w)))
     if method != "ranked":
         raise ValueError(f"method must be 'auto', 'ranked' or 'window', got {method!r}")
     from pyspark.sql import Window
@@ -128,7 +134,7 @@ def smooth(
         total_c = F.col("_bp_c") + F.coalesce(F.col("_bp_fc"), F.lit(0))
     else:
         total_s, total_c = F.col("_bp_s"), F.col("_bp_c")
-    avg = F.when(total_c > 0, total_s / total_c)
+    avg = F.when(total_c >= min_periods, total_s / total_c)
     return ranked.withColumn(out, avg).select(*[c for c in df.columns], *([out] if out not in df.columns else []))
 
 

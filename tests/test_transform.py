@@ -212,3 +212,15 @@ def test_auto_picks_ranked_for_big_groups(spark, skewed):
     a = quantiles(df, "v", [0.5], by=["k"], max_group_rows=10).collect()
     b = quantiles(df, "v", [0.5], by=["k"], method="percentile").collect()
     assert sorted(map(tuple, a)) == sorted(map(tuple, b))
+
+
+@pytest.mark.parametrize("method", ["window", "ranked"])
+def test_smooth_min_periods_like_pandas(spark, method):
+    import pandas as pd
+
+    vals = [1.0, 2.0, None, 4.0, 5.0, 6.0]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(vals)], "t long, v double").withColumn("g", F.lit(1))
+    got = [r.m for r in ops.smooth(df, "v", "g", ["t"], 3, out="m", method=method, min_periods=3,
+                                   chunk_rows=3).orderBy("t").collect()]
+    want = pd.Series(vals, dtype="float64").rolling(3).mean().tolist()
+    assert [None if w != w else pytest.approx(w) for w in want] == got
