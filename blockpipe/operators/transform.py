@@ -216,19 +216,27 @@ def discretize(
     out: str = "bin",
     approx: bool = False,
     quantile_method: str = "auto",
+    closed: str = "left",
 ) -> DataFrame:
     """Continuous values to interval numbers ``0 .. n-1``.
 
-    ``width``: ``n`` equal-width bins between min and max. ``quantile``: bin =
-    number of the ``n - 1`` inner quantile edges below the value. ``edges``:
-    the same with given edges. Statistics are scalar subqueries (one row,
+    ``width``: ``n`` equal-width bins between min and max, ``[a, b)`` with
+    the maximum in the last bin (``closed="left"``), or ``(a, b]`` with the
+    minimum in the first bin (``closed="right"``, as pandas ``cut``).
+    ``quantile``: bin = number of the ``n - 1`` inner quantile edges below
+    the value (as pandas ``qcut``). ``edges``: the same with given edges. Statistics are scalar subqueries (one row,
     computed once, then constants); there is no global sort or ``ntile``.
     """
     v = present(df, col).cast("double")
     if method == "width":
         lo, hi = df.select(F.min(v)).scalar(), df.select(F.max(v)).scalar()
         span = hi - lo
-        raw = F.floor((v - lo) / span * n).cast("bigint")
+        if closed == "left":
+            raw = F.floor((v - lo) / span * n).cast("bigint")
+        elif closed == "right":
+            raw = F.greatest(F.ceil((v - lo) / span * n).cast("bigint") - 1, F.lit(0).cast("bigint"))
+        else:
+            raise ValueError(f"closed must be 'left' or 'right', got {closed!r}")
         binned = F.when(span == 0, F.lit(0).cast("bigint")).otherwise(F.least(raw, F.lit(n - 1).cast("bigint")))
         return df.withColumn(out, F.when(v.isNotNull(), binned))
     if method == "quantile":

@@ -224,3 +224,14 @@ def test_smooth_min_periods_like_pandas(spark, method):
                                    chunk_rows=3).orderBy("t").collect()]
     want = pd.Series(vals, dtype="float64").rolling(3).mean().tolist()
     assert [None if w != w else pytest.approx(w) for w in want] == got
+
+
+def test_discretize_like_pandas(spark):
+    import pandas as pd
+
+    vals = [0.0, 1.0, 2.5, 5.0, 7.5, 9.0, 10.0, 3.3333333333, 6.0]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(vals)], "i int, v double")
+    right = [r.bin for r in ops.discretize(df, "v", "width", n=4, closed="right").orderBy("i").collect()]
+    assert right == pd.cut(pd.Series(vals), 4, labels=False).tolist()
+    quart = [r.bin for r in ops.discretize(df, "v", "quantile", n=4).orderBy("i").collect()]
+    assert quart == pd.qcut(pd.Series(vals), 4, labels=False).tolist()
