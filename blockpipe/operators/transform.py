@@ -375,11 +375,13 @@ def extract_features(
     method: str = "scale",
     k: int = 2,
     out: str = "pca",
+    ddof: int = 1,
 ) -> DataFrame:
     """Simpler numeric form of ``cols``.
 
-    ``scale``: z-scores; ``minmax``: to ``[0, 1]`` (statistics as scalar
-    subqueries, merged into one aggregation). ``pca``: the scores on the first ``k`` principal
+    ``scale``: z-scores with the sample (``ddof=1``, pandas) or population
+    (``ddof=0``) standard deviation; ``minmax``: to ``[0, 1]`` (statistics
+    as scalar subqueries, merged into one aggregation). ``pca``: the scores on the first ``k`` principal
     components of the centered columns, as an array column ``out``. The
     means and the covariance matrix come from one aggregation; only that
     ``len(cols)``-square matrix reaches the driver, for its eigenvectors; the
@@ -388,13 +390,16 @@ def extract_features(
     so that its largest loading is positive.
     """
     cols = list(cols)
+    if ddof not in (0, 1):
+        raise ValueError("ddof must be 0 or 1")
     if method in ("scale", "minmax"):
         # scalar subqueries over one source: Spark merges them into one aggregation
         scaled = {}
         for c in cols:
             v = present(df, c).cast("double")
             if method == "scale":
-                a, b = df.select(F.avg(v)).scalar(), df.select(F.stddev_samp(v)).scalar()
+                std = F.stddev_samp(v) if ddof == 1 else F.stddev_pop(v)
+                a, b = df.select(F.avg(v)).scalar(), df.select(std).scalar()
             else:
                 a, b = df.select(F.min(v)).scalar(), df.select(F.max(v) - F.min(v)).scalar()
             scaled[c] = F.when(b != 0, (v - a) / b)

@@ -125,6 +125,8 @@ def test_extract_features(spark):
     df = spark.createDataFrame([(1.0, 2.0), (2.0, 4.0), (3.0, 6.5)], "a double, b double")
     z = [r.a for r in ops.extract_features(df, ["a"], "scale").collect()]
     assert z == pytest.approx([-1.0, 0.0, 1.0])
+    zp = [r.a for r in ops.extract_features(df, ["a"], "scale", ddof=0).collect()]
+    assert zp == pytest.approx([-1.5 ** 0.5, 0.0, 1.5 ** 0.5])
     mm = [r.b for r in ops.extract_features(df, ["b"], "minmax").collect()]
     assert mm == pytest.approx([0.0, 2 / 4.5, 1.0])
     pca = ops.extract_features(df, ["a", "b"], "pca", k=1).collect()
