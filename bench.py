@@ -51,12 +51,20 @@ def main() -> None:
         suite.QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         return time.perf_counter() - t0
 
+    errors: dict[str, str] = {}
     for name in names:  # warm-up: JIT, file listing, Python workers
-        run(name)
-    times: dict[str, list[float]] = {n: [] for n in names}
+        try:
+            run(name)
+        except Exception as exc:  # a failing query is reported, not fatal
+            errors[name] = f"{type(exc).__name__}: {str(exc)[:300]}"
+    times: dict[str, list[float]] = {n: [] for n in names if n not in errors}
     for _ in range(runs):
-        for name in names:
-            times[name].append(run(name))
+        for name in list(times):
+            try:
+                times[name].append(run(name))
+            except Exception as exc:
+                errors[name] = f"{type(exc).__name__}: {str(exc)[:300]}"
+                del times[name]
     per_query = {n: round(statistics.median(t), 3) for n, t in times.items()}
     m = re.search(r"sf([0-9.]+)$", sf_dir)
     print(
@@ -70,6 +78,7 @@ def main() -> None:
                 "cpus": cpus,
                 "runs": runs,
                 "shuffle_partitions": spark.conf.get("spark.sql.shuffle.partitions"),
+                "errors": errors,
             }
         )
     )
