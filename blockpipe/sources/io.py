@@ -135,11 +135,15 @@ _CSV_READ_BACK_OPTS = {"header": "true", "escape": '"', "nullValue": "\u0000", "
 
 
 def _read_back(spark: SparkSession, path: str, fmt: str, schema: StructType) -> DataFrame:
+    """Read what was just written, with its schema and column order (a
+    partitioned write moves partition columns to the end)."""
     if fmt == "csv":
-        return spark.read.options(**_TEXT_TIME_OPTS, **_CSV_READ_BACK_OPTS).schema(schema).csv(path)
-    if fmt in ("json",):
-        return spark.read.options(**_TEXT_TIME_OPTS).schema(schema).json(path)
-    return read_files(spark, path, fmt, schema=schema)
+        df = spark.read.options(**_TEXT_TIME_OPTS, **_CSV_READ_BACK_OPTS).schema(schema).csv(path)
+    elif fmt == "json":
+        df = spark.read.options(**_TEXT_TIME_OPTS).schema(schema).json(path)
+    else:
+        df = read_files(spark, path, fmt, schema=schema)
+    return df.select(*[quoted(n) for n in schema.fieldNames()])
 
 
 def _writer(df: DataFrame, fmt: str, mode: str, partition_by: Sequence[str] | None, **opts):

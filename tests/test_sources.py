@@ -102,3 +102,13 @@ def test_bucketed_tables_join_without_shuffle(spark):
         assert "Exchange" not in plan
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_convert_partitioned_round_trip(spark, tmp_dir):
+    df = spark.createDataFrame([(1, "en", 1.5), (2, "de", None), (3, "en", 2.0)], "id int, lang string, x double")
+    df.write.json(f"{tmp_dir}/src")
+    back = io.convert_files(spark, f"{tmp_dir}/src", "json", f"{tmp_dir}/dst", "parquet",
+                            partition_by=["lang"], schema=df.schema)
+    assert back.columns == df.columns
+    assert sorted(back.collect()) == sorted(df.collect())
+    assert sorted(os.listdir(f"{tmp_dir}/dst"))[:2] == ["_SUCCESS", "lang=de"]
