@@ -131,7 +131,7 @@ def impute(
         if strategy == "mode":
             fill = fill.cast(df.schema[c].dataType)
         filled[c] = F.coalesce(present(df, c), fill)
-    return joined.withColumns(filled).select(*df.columns)
+    return joined.withColumns(filled).select(*[quoted(c) for c in df.columns])
 
 
 def correct_types(

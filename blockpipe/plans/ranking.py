@@ -52,7 +52,8 @@ def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str):
-    """Join on ``keys`` treating null = null; keeps the left key columns."""
+    """Join on ``keys`` treating null = null; one copy of each key column
+    (a full join takes the key from whichever side has the row)."""
     if not keys:
         raise ValueError("a null-safe join needs at least one key")
     r = right
@@ -61,7 +62,12 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
         renamed[k] = f"_bp_r_{k}"
         r = r.withColumnRenamed(k, renamed[k])
     cond = [left[k].eqNullSafe(r[renamed[k]]) for k in keys]
-    return left.join(r, on=cond, how=how).drop(*renamed.values())
+    joined = left.join(r, on=cond, how=how)
+    if how in ("full", "outer", "full_outer"):
+        joined = joined.withColumns({k: F.coalesce(left[k], r[renamed[k]]) for k in keys})
+    elif how in ("right", "right_outer"):
+        joined = joined.withColumns({k: r[renamed[k]] for k in keys})
+    return joined.drop(*renamed.values())
 
 
 def rank_within(

@@ -100,3 +100,16 @@ def test_impute_by_group_without_broadcast(spark):
         assert _vals(out) == want
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+
+@pytest.mark.parametrize("strategy", ["mean", "median", "mode"])
+def test_impute_several_columns_group_missing_in_one(spark, strategy):
+    rows = [(1, "a", None, 1.0), (2, "a", None, 3.0), (3, "b", 5.0, None), (4, "b", 7.0, 2.0), (5, "b", None, 2.0),
+            (6, "a", None, None)]
+    df = spark.createDataFrame(rows, "id int, g string, x double, y double")
+    out = {r.id: (r.x, r.y) for r in ops.impute(df, ["x", "y"], strategy, by="g").collect()}
+    assert out[1] == (None, 1.0)  # group a has no x at all: stays missing
+    assert out[6] == (None, {"mean": 2.0, "median": 2.0, "mode": 1.0}[strategy])  # but its y is filled
+    assert out[3][1] == 2.0  # group b's y is filled even though group a lacks x
+    assert out[5][0] == {"mean": 6.0, "median": 6.0, "mode": 5.0}[strategy]
