@@ -49,7 +49,8 @@ def integrate(
     key_cols = [quoted(k) for k in keys]
     if on_duplicate == "error":
         for name, df in zip(names, frames):
-            if df.groupBy(*key_cols).count().where("count > 1").limit(1).count():
+            sizes = df.groupBy(*key_cols).agg(F.count(F.lit(1)).alias("_bp_n"))
+            if sizes.where("_bp_n > 1").limit(1).count():
                 raise DuplicateKeyError(f"dataset {name!r} has repeated values of {keys}")
     tagged = [df.withColumn("_bp_prec", F.lit(i)) for i, df in enumerate(frames)]
     stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged)

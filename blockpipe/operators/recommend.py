@@ -127,8 +127,8 @@ def recommend_cleaning(dfs: Mapping[str, DataFrame], limit: int = DEFAULT_LIMIT)
             parts.append(df.agg(*aggs).select(F.inline(F.array(*cands))))
         if df.columns:
             dup = (
-                df.groupBy(*[quoted(c) for c in df.columns]).count()
-                .agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).alias("_bp_dup"))
+                df.groupBy(*[quoted(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("_bp_n"))
+                .agg(F.coalesce(F.sum(F.col("_bp_n") - 1), F.lit(0)).alias("_bp_dup"))
             )
             n = F.col("_bp_dup")
             parts.append(dup.select(F.inline(F.array(_candidate(

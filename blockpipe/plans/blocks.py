@@ -89,7 +89,9 @@ def pandas_block(
     """
     if keys:
         if max_group_rows is not None:
-            biggest = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+            from blockpipe.plans.ranking import largest_group
+
+            biggest = largest_group(df, keys)
             if biggest > max_group_rows:
                 raise GroupTooLargeError(
                     f"a group of {list(keys)} has {biggest} rows (limit {max_group_rows}); "

@@ -29,7 +29,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from blockpipe.functions import as_column
+from blockpipe.functions import as_column, quoted
 from blockpipe.plans.sizing import broadcast_if_small
 from blockpipe.session import checkpoint_root
 
@@ -48,7 +48,8 @@ def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
     aggregation with map-side combine, a single number to the driver."""
     if not keys:
         return df.count()
-    return df.groupBy(*[F.col(k) for k in keys]).count().agg(F.max("count")).first()[0] or 0
+    sizes = df.groupBy(*[quoted(k) for k in keys]).agg(F.count(F.lit(1)).alias("_bp_n"))
+    return sizes.agg(F.max("_bp_n")).first()[0] or 0
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str):

@@ -77,3 +77,12 @@ def test_null_group_is_a_group(nullkeys, method):
 
 def test_empty_block_table(spark):
     assert block_adjacency(spark.createDataFrame([], BLOCKS_DDL)).count() == 0
+
+
+def test_columns_named_like_helpers(spark):
+    """User columns called count / _pos do not clash with internal names."""
+    df = spark.createDataFrame([(1, "a", 2.0), (1, "a", 2.0), (2, "b", None)], "count int, g string, v double")
+    assert ops.recommend_cleaning({"t": df}).where("technique = 'drop_duplicates'").first().affected_rows == 1
+    assert ops.integrate([df.dropDuplicates()], "g", on_duplicate="error").count() == 2
+    assert quantiles(df, "v", [0.5], by=["count"]).count() == 1
+    assert ops.smooth(df, "v", "count", ["g"], 2).count() == 3
