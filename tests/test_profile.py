@@ -75,3 +75,14 @@ def test_odd_column_names(spark):
     assert ops.integrate([df, df], "a.b").count() == 1
     assert ops.recommend_cleaning({"t": df}).count() >= 1
     assert len(ops.preview_records(df).collect()) == 2
+
+
+def test_preview_records_nested_types(spark):
+    df = spark.sql(
+        "select array(1, 2) as a, map('k', 1.5) as m, named_struct('x', 1, 'y', 'z') as s, "
+        "cast(12.345 as decimal(10, 3)) as d, cast('hi' as binary) as b, date'2024-01-02' as day"
+    )
+    obj = json.loads(ops.preview_records(df).collect()[0].record)
+    assert obj["a"] == [1, 2] and obj["m"] == {"k": 1.5} and obj["s"] == {"x": 1, "y": "z"}
+    assert obj["d"] == 12.345 and obj["day"] == "2024-01-02T00:00:00.000"
+    assert ops.schema_profile(df).count() == 6
