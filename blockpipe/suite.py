@@ -659,6 +659,19 @@ def q_reduce_stratified(spark, sf):
     return ops.reduce_rows(docs, fractions, "doc_id", strata="lang", seed=7)
 
 
+@query(
+    "reduce_stratified_modulo",
+    """
+    select doc_id, lang from documents
+    where (lang = 'en' and doc_id % 10 < 5) or (lang in ('de', 'fr', 'es') and doc_id % 10 < 2.5)
+    """,
+)
+def q_reduce_stratified_modulo(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "lang")
+    fractions = {"en": 0.5, "de": 0.25, "fr": 0.25, "es": 0.25}
+    return ops.reduce_rows(docs, fractions, "doc_id", strata="lang", method="modulo", modulus=10)
+
+
 def _feature_sql() -> str:
     parts = []
     for f in ("l_quantity", "l_discount", "l_tax"):
