@@ -20,6 +20,11 @@ of the rows, that task does a third of the work. The helpers here never do:
   ``quantile_cont``). A hot key is cut by value, and a hot value is one row.
 * ``group_mode`` counts ``(keys, value)`` pairs with map-side combine, then
   keeps the top pair per key with a fixed-size ``min(struct)`` buffer.
+
+The ranked plans cost a range shuffle and a checkpoint, which only pays when
+a group is too big for one task. ``largest_group`` measures that first (one
+aggregation, one number to the driver), and the callers take the simple plan
+(``percentile``, a plain window) below a row threshold.
 """
 
 from __future__ import annotations
