@@ -21,7 +21,7 @@ from pyspark.sql.types import (
 
 from blockpipe.functions import as_column, is_missing, quoted
 
-# Preview rows per block, as in the reference UI.
+# Fixed value: preview rows per block by default.
 DEFAULT_PREVIEW_ROWS = 10
 
 PROFILE_COLUMNS = ("column_name", "data_type", "has_nulls")
@@ -35,8 +35,8 @@ def preview(df: DataFrame, n: int = DEFAULT_PREVIEW_ROWS, order_by: Sequence[str
 
 
 def _json_ready(df: DataFrame) -> list[Column]:
-    """Columns as the reference's JSON records show them: NaN as null,
-    intervals as seconds, everything else unchanged."""
+    """Columns as preview records show them: NaN as null, intervals as
+    seconds, everything else unchanged."""
     out = []
     for field in df.schema.fields:
         c = quoted(field.name)
@@ -87,7 +87,7 @@ def schema_profile(df: DataFrame, sample_rows: int | None = None) -> DataFrame:
 
     One aggregation over the whole frame computes every flag (partial
     aggregation per task, one tiny final merge). ``sample_rows`` limits the
-    check to the first rows, which is what the reference sees.
+    check to the first rows (a quick look at a sample).
     """
     src = df.limit(sample_rows) if sample_rows is not None else df
     fields = df.schema.fields
