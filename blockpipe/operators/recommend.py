@@ -17,11 +17,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import (
+    ArrayType,
+    DataType,
     DateType,
     DecimalType,
     DoubleType,
     FloatType,
+    MapType,
     StringType,
+    StructType,
     TimestampNTZType,
     TimestampType,
 )
@@ -91,49 +95,73 @@ def _empty(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], RESULT_DDL)
 
 
+def _groupable(t: DataType) -> bool:
+    """Whether rows can be grouped on a column of this type (maps cannot)."""
+    if isinstance(t, MapType):
+        return False
+    if isinstance(t, ArrayType):
+        return _groupable(t.elementType)
+    if isinstance(t, StructType):
+        return all(_groupable(f.dataType) for f in t.fields)
+    return True
+
+
 def recommend_cleaning(dfs: Mapping[str, DataFrame], limit: int = DEFAULT_LIMIT) -> DataFrame:
     """Up to ``limit`` cleaning suggestions, most affected rows first.
 
     Rules: missing values (null, NaN) -> ``impute``; text with leading or
     trailing whitespace -> ``standardize_text``; text whose values all parse
     as numbers -> ``correct_types``; repeated rows -> ``drop_duplicates``.
+
+    One pass per dataset: rows are grouped on all columns (the duplicate
+    count needs it; copies collapse map-side), and every rule counter is a
+    sum over the distinct rows weighted by their counts. A dataset with map
+    columns cannot be grouped: its counters come from the rows directly and
+    the duplicate rule is skipped.
     """
     parts = []
     spark = None
     for name, df in dfs.items():
         spark = df.sparkSession
+        if not df.columns:
+            continue
+        grouped = all(_groupable(f.dataType) for f in df.schema.fields)
+        if grouped:
+            src = df.groupBy(*[quoted(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("_bp_w"))
+            weight = F.col("_bp_w")
+        else:
+            src, weight = df, F.lit(1)
+
+        def tally(cond: Column) -> Column:
+            return F.coalesce(F.sum(F.when(cond, weight)), F.lit(0)).cast("bigint")
+
         aggs, cands = [], []
         for i, f in enumerate(df.schema.fields):
             c = quoted(f.name)
             miss = F.col(f"_bp_miss{i}")
-            aggs.append(F.count_if(is_missing(df, f.name)).alias(f"_bp_miss{i}"))
+            aggs.append(tally(is_missing(df, f.name)).alias(f"_bp_miss{i}"))
             cands.append(_candidate(0, name, f.name, "impute",
                                     _text(CLEANING_REASONS["impute"], c=f.name, n=miss), miss, miss > 0))
             if isinstance(f.dataType, StringType):
                 pad, cnt, num = (F.col(f"_bp_{k}{i}") for k in ("pad", "cnt", "num"))
+                # same as c != strip(c), but looks at two characters only
+                padded = F.left(c, F.lit(1)).rlike(r"(?U)^\s$") | F.right(c, F.lit(1)).rlike(r"(?U)^\s$")
                 aggs += [
-                    # same as c != strip(c), but looks at two characters only
-                    F.count_if(F.left(c, F.lit(1)).rlike(r"(?U)^\s$") | F.right(c, F.lit(1)).rlike(r"(?U)^\s$"))
-                    .alias(f"_bp_pad{i}"),
-                    F.count(c).alias(f"_bp_cnt{i}"),
-                    F.count(c.try_cast("double")).alias(f"_bp_num{i}"),
+                    tally(padded).alias(f"_bp_pad{i}"),
+                    tally(c.isNotNull()).alias(f"_bp_cnt{i}"),
+                    tally(c.try_cast("double").isNotNull()).alias(f"_bp_num{i}"),
                 ]
                 cands.append(_candidate(0, name, f.name, "standardize_text",
                                         _text(CLEANING_REASONS["standardize_text"], c=f.name, n=pad), pad, pad > 0))
                 cands.append(_candidate(0, name, f.name, "correct_types",
                                         _text(CLEANING_REASONS["correct_types"], c=f.name, n=cnt), cnt,
                                         (cnt > 0) & (num == cnt)))
-        if aggs:
-            parts.append(df.agg(*aggs).select(F.inline(F.array(*cands))))
-        if df.columns:
-            dup = (
-                df.groupBy(*[quoted(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("_bp_n"))
-                .agg(F.coalesce(F.sum(F.col("_bp_n") - 1), F.lit(0)).alias("_bp_dup"))
-            )
+        if grouped:
+            aggs.append(F.coalesce(F.sum(weight - 1), F.lit(0)).cast("bigint").alias("_bp_dup"))
             n = F.col("_bp_dup")
-            parts.append(dup.select(F.inline(F.array(_candidate(
-                0, name, "*", "drop_duplicates",
-                _text(CLEANING_REASONS["drop_duplicates"], d=name, n=n), n, n > 0)))))
+            cands.append(_candidate(0, name, "*", "drop_duplicates",
+                                    _text(CLEANING_REASONS["drop_duplicates"], d=name, n=n), n, n > 0))
+        parts.append(src.agg(*aggs).select(F.inline(F.array(*cands))))
     if not parts:
         return _empty(spark) if spark else None
     cands = reduce(DataFrame.unionAll, parts).where("keep")

@@ -31,3 +31,9 @@ def test_transformation_rules(spark):
     ]
     c = spark.sql("select 3L as other_id, 'y' as other").selectExpr("other_id as id", "other")
     assert [r.technique for r in ops.recommend_transformations({"b": b, "c": c}).collect()] == ["join_on_keys", "union"]
+
+
+def test_cleaning_with_a_map_column(spark):
+    df = spark.sql("select map('k', 1) as m, cast(null as string) as s union all select map('k', 2), 'x'")
+    got = {(r.column_name, r.technique) for r in ops.recommend_cleaning({"t": df}).collect()}
+    assert got == {("s", "impute")}  # no duplicate rule: rows with maps cannot be grouped
