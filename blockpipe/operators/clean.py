@@ -9,7 +9,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DataType
 
 from blockpipe.functions import is_missing, present, quoted, standardize_name, strip_whitespace
-from blockpipe.plans.ranking import null_safe_join, group_mode, quantiles
+from blockpipe.plans.ranking import (
+    PERCENTILE_MAX_GROUP_ROWS,
+    group_mode,
+    largest_group,
+    null_safe_join,
+    quantiles,
+)
 from blockpipe.plans.sizing import broadcast_if_small
 
 # Mappings up to this many entries become a map literal inside the projection
@@ -92,12 +98,24 @@ def impute(
         filled = {c: F.coalesce(present(df, c), F.lit(value).cast(df.schema[c].dataType)) for c in cols}
         return df.withColumns(filled)
 
+    if strategy == "median" and not approx and quantile_method == "auto":
+        # every column's median from one aggregation when the groups are small
+        small = largest_group(df, by) <= PERCENTILE_MAX_GROUP_ROWS
+        quantile_method = "percentile" if small else "ranked"
+    one_pass_median = strategy == "median" and not approx and quantile_method == "percentile"
+
+    def medians(keys):
+        exprs = [F.percentile(present(df, c).cast("double"), 0.5).alias(f"_bp_fill_{c}") for c in cols]
+        return df.groupBy(*keys).agg(*exprs)
+
     if not by:
         # a global statistic is one value: a scalar subquery, computed once
         filled = {}
         for c in cols:
             if strategy == "mean":
                 stat = df.select(F.avg(present(df, c))).scalar()
+            elif one_pass_median:
+                stat = medians([]).select(f"_bp_fill_{c}").scalar()
             elif strategy == "median":
                 stat = quantiles(df, present(df, c), [0.5], approx=approx, method=quantile_method).scalar()
             else:
@@ -107,6 +125,8 @@ def impute(
 
     if strategy == "mean":
         stats = df.groupBy(*by).agg(*[F.avg(present(df, c)).alias(f"_bp_fill_{c}") for c in cols])
+    elif one_pass_median:
+        stats = medians(by)
     elif strategy == "median":
         parts = [
             quantiles(df, present(df, c), [0.5], by=by, names=[f"_bp_fill_{c}"], approx=approx,
