@@ -55,7 +55,13 @@ def checkpoint_root(spark: SparkSession) -> str:
     On a cluster this must be set (a folder every executor can reach). Only a
     local-mode session without one gets a private folder, as in tests.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # a Spark Connect client has no context; the server checkpoints
+        root = spark.conf.get("spark.checkpoint.dir", None)
+        if not root:
+            raise RuntimeError("spark.checkpoint.dir is not set; name a folder shared by the cluster")
+        return root
     root = sc.getCheckpointDir()
     if root:
         return root
