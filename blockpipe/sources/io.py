@@ -30,11 +30,13 @@ log = logging.getLogger(__name__)
 FILE_FORMATS = ("parquet", "csv", "json", "orc", "text")
 
 
-def read_table(spark: SparkSession, name: str, fmt: str | None = None, **opts) -> DataFrame:
-    """One table: a catalog name (``fmt=None``) or a path in format ``fmt``."""
+def read_table(spark: SparkSession, name: str | None, fmt: str | None = None, **opts) -> DataFrame:
+    """One table: a catalog name (``fmt=None``), or a path / table id in
+    format ``fmt``; sources addressed by options only (JDBC) take no name."""
     if fmt is None:
         return spark.table(name)
-    return spark.read.format(fmt).options(**opts).load(name)
+    reader = spark.read.format(fmt).options(**opts)
+    return reader.load(name) if name else reader.load()
 
 
 def dataset_key(name: str) -> str:
