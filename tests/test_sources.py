@@ -36,6 +36,7 @@ def test_read_tables_keys_skip_and_collision(spark, tmp_dir):
     spark.range(4).write.parquet(f"{tmp_dir}/two.parquet")
     out = io.read_tables(spark, [f"{tmp_dir}/one.parquet", f"{tmp_dir}/two.parquet", f"{tmp_dir}/gone.parquet"], fmt="parquet")
     assert {k: v.count() for k, v in out.items()} == {"one": 3, "two": 4}
+    assert io.read_table(spark, None, "parquet", path=f"{tmp_dir}/one.parquet").count() == 3
     os.makedirs(f"{tmp_dir}/x", exist_ok=True)
     spark.range(5).write.parquet(f"{tmp_dir}/x/one.parquet")
     names = [f"{tmp_dir}/one.parquet", f"{tmp_dir}/x/one.parquet"]
