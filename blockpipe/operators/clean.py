@@ -57,7 +57,15 @@ def drop_duplicates(
     keys = list(subset) if subset else list(df.columns)
     # the group key is not repeated inside the kept row: it is shuffled once
     rest = [c for c in df.columns if c not in order and c not in keys]
-    ranked = F.struct(*[quoted(c) for c in order + rest])
+    # a missing keep_by value never wins: it ranks after (first) or before (last) any value
+    flags = [
+        (quoted(c).isNull() if keep == "first" else quoted(c).isNotNull()).alias(f"_bp_flag{i}")
+        for i, c in enumerate(order)
+    ]
+    ranked_cols = []
+    for flag, c in zip(flags, order):
+        ranked_cols += [flag, quoted(c)]
+    ranked = F.struct(*ranked_cols, *[quoted(c) for c in rest])
     pick = F.min(ranked) if keep == "first" else F.max(ranked)
     kept = df.groupBy(*[quoted(k) for k in keys]).agg(pick.alias("_bp_row"))
     return kept.select(

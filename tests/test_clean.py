@@ -113,3 +113,12 @@ def test_impute_several_columns_group_missing_in_one(spark, strategy):
     assert out[6] == (None, {"mean": 2.0, "median": 2.0, "mode": 1.0}[strategy])  # but its y is filled
     assert out[3][1] == 2.0  # group b's y is filled even though group a lacks x
     assert out[5][0] == {"mean": 6.0, "median": 6.0, "mode": 5.0}[strategy]
+
+
+
+def test_drop_duplicates_missing_keep_by_never_wins(spark):
+    df = spark.createDataFrame([(None, "x", "a"), (2, "x", "b"), (5, "x", "c"), (None, "y", "d")],
+                               "id int, k string, v string")
+    first = {r.k: r.v for r in ops.drop_duplicates(df, ["k"], keep_by="id").collect()}
+    last = {r.k: r.v for r in ops.drop_duplicates(df, ["k"], keep_by="id", keep="last").collect()}
+    assert first == {"x": "b", "y": "d"} and last == {"x": "c", "y": "d"}
