@@ -11,7 +11,7 @@ from pyspark.sql.types import DataType
 from blockpipe.functions import is_missing, present, quoted, standardize_name, strip_whitespace
 from blockpipe.plans.ranking import (
     PERCENTILE_MAX_GROUP_ROWS,
-    group_mode,
+    group_modes,
     largest_group,
     null_safe_join,
     quantiles,
@@ -127,7 +127,8 @@ def impute(
             elif strategy == "median":
                 stat = quantiles(df, present(df, c), [0.5], approx=approx, method=quantile_method).scalar()
             else:
-                stat = group_mode(df, c).scalar().cast(df.schema[c].dataType)
+                modes = group_modes(df, cols, [], [f"_bp_fill_{x}" for x in cols])
+                stat = modes.select(f"_bp_fill_{c}").scalar().cast(df.schema[c].dataType)
             filled[c] = F.coalesce(present(df, c), stat)
         return df.withColumns(filled)
 
@@ -145,10 +146,7 @@ def impute(
         for p in parts[1:]:
             stats = null_safe_join(stats, p, by, "full")
     else:
-        parts = [group_mode(df, c, by, name=f"_bp_fill_{c}") for c in cols]
-        stats = parts[0]
-        for p in parts[1:]:
-            stats = null_safe_join(stats, p, by, "full")
+        stats = group_modes(df, cols, by, [f"_bp_fill_{c}" for c in cols])
 
     # one row per group: broadcast when measured small, else a shuffle join
     stats, _ = broadcast_if_small(stats)

@@ -12,7 +12,7 @@ from blockpipe.plans.blocks import (
 )
 from blockpipe.plans.lineage import BLOCKS_DDL, block_adjacency
 from blockpipe.plans.model import ModelError, ensure_database, read_model, run_model
-from blockpipe.plans.ranking import group_mode, null_safe_join, quantiles, rank_within
+from blockpipe.plans.ranking import group_mode, group_modes, null_safe_join, quantiles, rank_within
 
 __all__ = [
     "BLOCKS_DDL",
@@ -24,6 +24,7 @@ __all__ = [
     "ensure_database",
     "blocks_table",
     "group_mode",
+    "group_modes",
     "null_safe_join",
     "pandas_block",
     "quantiles",

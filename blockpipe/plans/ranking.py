@@ -18,8 +18,9 @@ of the rows, that task does a third of the work. The helpers here never do:
   weights, then reads the values whose position ranges cover the two ranks
   around ``p * (n - 1)`` and interpolates linearly (pandas /
   ``quantile_cont``). A hot key is cut by value, and a hot value is one row.
-* ``group_mode`` counts ``(keys, value)`` pairs with map-side combine, then
-  keeps the top pair per key with a fixed-size ``min(struct)`` buffer.
+* ``group_modes`` counts ``(keys, column, value)`` for several columns in one
+  pass with map-side combine, then keeps the top value per key and column
+  with a fixed-size ``min(struct)`` buffer.
 
 The ranked plans cost a range shuffle and a checkpoint, which only pays when
 a group is too big for one task. ``largest_group`` measures that first (one
@@ -34,7 +35,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from blockpipe.functions import as_column, quoted
+from blockpipe.functions import as_column, present, quoted
 from blockpipe.plans.sizing import broadcast_if_small
 from blockpipe.session import checkpoint_root
 
@@ -201,15 +202,44 @@ def quantiles(
     return picked.select(*by, *out)
 
 
-def group_mode(df: DataFrame, value: str, by: Sequence[str] = (), name: str = "mode") -> DataFrame:
-    """Most frequent non-missing ``value`` per group; the smallest value wins a tie."""
+def group_modes(
+    df: DataFrame, values: Sequence[str], by: Sequence[str] = (), names: Sequence[str] | None = None
+) -> DataFrame:
+    """Most frequent non-missing value of each column in ``values``, per
+    group of ``by``; the smallest value wins a tie.
+
+    One pass for all columns: every row becomes one row per column, holding
+    the column's index and its value in that column's typed slot. Counting
+    ``(keys, column, value)`` combines copies map-side; the best value per
+    ``(keys, column)`` is a fixed-size ``min(struct(-count, value))``; a last
+    small aggregation puts the columns side by side.
+    """
     by = list(by)
-    v = F.col(value)
-    base = df.where(v.isNotNull())
-    if dict(df.dtypes)[value] in ("double", "float"):
-        base = base.where(~F.isnan(v))
-    counts = base.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_bp_c"))
-    best = counts.groupBy(*by).agg(
-        F.min(F.struct((-F.col("_bp_c")).alias("c"), F.col(value).alias("v"))).alias("_bp_best")
+    values = list(values)
+    names = list(names) if names else [f"mode_{v}" for v in values]
+    stacks = []
+    for i in range(len(values)):
+        slots = [
+            (present(df, v) if j == i else F.lit(None).cast(df.schema[v].dataType)).alias(f"v{j}")
+            for j, v in enumerate(values)
+        ]
+        stacks.append(F.struct(F.lit(i).alias("i"), F.struct(*slots).alias("v")))
+    stacked = df.select(*[quoted(k) for k in by], F.explode(F.array(*stacks)).alias("_bp_s"))
+    stacked = stacked.select(*by, F.col("_bp_s.i").alias("_bp_i"), F.col("_bp_s.v").alias("_bp_v"))
+    present_slot = F.lit(False)
+    for i in range(len(values)):
+        present_slot = present_slot | ((F.col("_bp_i") == i) & F.col("_bp_v").getField(f"v{i}").isNotNull())
+    counts = stacked.where(present_slot).groupBy(*by, "_bp_i", "_bp_v").agg(F.count(F.lit(1)).alias("_bp_c"))
+    best = counts.groupBy(*by, "_bp_i").agg(
+        F.min(F.struct((-F.col("_bp_c")).alias("c"), F.col("_bp_v").alias("v"))).getField("v").alias("_bp_v")
     )
-    return best.select(*by, F.col("_bp_best.v").alias(name))
+    picks = [
+        F.max(F.when(F.col("_bp_i") == i, F.col("_bp_v").getField(f"v{i}"))).alias(name)
+        for i, name in enumerate(names)
+    ]
+    return best.groupBy(*by).agg(*picks)
+
+
+def group_mode(df: DataFrame, value: str, by: Sequence[str] = (), name: str = "mode") -> DataFrame:
+    """Most frequent non-missing ``value`` per group; the smallest value wins a tie."""
+    return group_modes(df, [value], by, [name])

@@ -122,3 +122,16 @@ def test_drop_duplicates_missing_keep_by_never_wins(spark):
     first = {r.k: r.v for r in ops.drop_duplicates(df, ["k"], keep_by="id").collect()}
     last = {r.k: r.v for r in ops.drop_duplicates(df, ["k"], keep_by="id", keep="last").collect()}
     assert first == {"x": "b", "y": "d"} and last == {"x": "c", "y": "d"}
+
+
+
+def test_modes_of_several_columns_in_one_pass(spark):
+    from blockpipe.plans import group_modes
+
+    rows = [("a", 1, "x", 2.0), ("a", 1, "y", float("nan")), ("a", 2, "y", 3.0), ("a", 2, None, 3.0),
+            ("b", None, "z", None), ("b", 7, "z", 1.0)]
+    df = spark.createDataFrame(rows, "g string, n int, s string, d double")
+    got = {r.g: (r.mn, r.ms, r.md) for r in group_modes(df, ["n", "s", "d"], ["g"], ["mn", "ms", "md"]).collect()}
+    assert got == {"a": (1, "y", 3.0), "b": (7, "z", 1.0)}
+    whole = group_modes(df, ["n", "s"], names=["mn", "ms"]).collect()[0]
+    assert (whole.mn, whole.ms) == (1, "y")  # y and z tie twice each: the smaller wins
