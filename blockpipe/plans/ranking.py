@@ -217,6 +217,16 @@ def group_modes(
     by = list(by)
     values = list(values)
     names = list(names) if names else [f"mode_{v}" for v in values]
+    if len(values) == 1:
+        # one column: count (keys, value) directly, no stacking
+        v = present(df, values[0])
+        counts = (
+            df.where(v.isNotNull())
+            .groupBy(*[quoted(k) for k in by], v.alias("_bp_v"))
+            .agg(F.count(F.lit(1)).alias("_bp_c"))
+        )
+        best = F.min(F.struct((-F.col("_bp_c")).alias("c"), F.col("_bp_v").alias("v")))
+        return counts.groupBy(*by).agg(best.getField("v").alias(names[0]))
     stacks = []
     for i in range(len(values)):
         slots = [
