@@ -184,8 +184,8 @@ def standardize_text(
     """Uniform case and spacing. ``spaces``: ``remove`` all inner whitespace,
     ``collapse`` runs to one blank, or ``keep``."""
     cols = [cols] if isinstance(cols, str) else list(cols)
-    if case not in ("upper", "lower", None):
-        raise ValueError(f"case must be 'upper', 'lower' or None, got {case!r}")
+    if case not in ("upper", "lower", "title", None):
+        raise ValueError(f"case must be 'upper', 'lower', 'title' or None, got {case!r}")
     if spaces not in ("remove", "collapse", "keep"):
         raise ValueError(f"spaces must be 'remove', 'collapse' or 'keep', got {spaces!r}")
     out = {}
@@ -201,6 +201,8 @@ def standardize_text(
             e = F.upper(e)
         elif case == "lower":
             e = F.lower(e)
+        elif case == "title":
+            e = F.initcap(e)
         out[c] = e
     return df.withColumns(out)
 

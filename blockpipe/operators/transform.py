@@ -29,11 +29,18 @@ def parse_time(
     return df.withColumn(out or col, parsed.cast("timestamp_ntz"))
 
 
-def years_between(df: DataFrame, col: str, as_of, out: str = "age") -> DataFrame:
-    """Whole years from ``col`` to ``as_of`` (a timestamp, date text or column).
-    ``as_of`` is required: "now" would make the block unrepeatable."""
+TIME_UNITS = ("YEAR", "QUARTER", "MONTH", "WEEK", "DAY", "HOUR", "MINUTE", "SECOND")
+
+
+def years_between(df: DataFrame, col: str, as_of, out: str = "age", unit: str = "YEAR") -> DataFrame:
+    """Whole ``unit``s (years by default: an age) from ``col`` to ``as_of``
+    (a timestamp, date text or column). ``as_of`` is required: "now" would
+    make the block unrepeatable."""
+    unit = unit.upper()
+    if unit not in TIME_UNITS:
+        raise ValueError(f"unit must be one of {TIME_UNITS}, got {unit!r}")
     ref = as_of if isinstance(as_of, Column) else F.lit(as_of).cast("timestamp_ntz")
-    return df.withColumn(out, F.timestamp_diff("YEAR", F.col(col), ref))
+    return df.withColumn(out, F.timestamp_diff(unit, F.col(col), ref))
 
 
 def split_column(
@@ -42,10 +49,13 @@ def split_column(
     into: Sequence[str],
     sep: str = " ",
     drop: bool = False,
+    keep_rest: bool = False,
 ) -> DataFrame:
     """Split ``col`` on the literal ``sep`` into the columns ``into``;
-    missing or empty parts are null."""
-    parts = F.split(F.col(col), "\\Q" + sep + "\\E")
+    missing or empty parts are null. Parts beyond ``len(into)`` are dropped,
+    or with ``keep_rest`` left joined in the last column."""
+    limit = len(into) if keep_rest else -1
+    parts = F.split(F.col(col), "\\Q" + sep + "\\E", limit)
     new = {name: F.nullif(F.get(parts, i), F.lit("")) for i, name in enumerate(into)}
     out = df.withColumns(new)
     return out.drop(col) if drop and col not in into else out

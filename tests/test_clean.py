@@ -135,3 +135,9 @@ def test_modes_of_several_columns_in_one_pass(spark):
     assert got == {"a": (1, "y", 3.0), "b": (7, "z", 1.0)}
     whole = group_modes(df, ["n", "s"], names=["mn", "ms"]).collect()[0]
     assert (whole.mn, whole.ms) == (1, "y")  # y and z tie twice each: the smaller wins
+
+
+
+def test_standardize_text_title_case(spark):
+    df = spark.createDataFrame([("  big  RED box ",)], "s string")
+    assert ops.standardize_text(df, "s", case="title", spaces="collapse").collect()[0].s == "Big Red Box"

@@ -237,3 +237,13 @@ def test_discretize_like_pandas(spark):
     assert right == pd.cut(pd.Series(vals), 4, labels=False).tolist()
     quart = [r.bin for r in ops.discretize(df, "v", "quantile", n=4).orderBy("i").collect()]
     assert quart == pd.qcut(pd.Series(vals), 4, labels=False).tolist()
+
+
+def test_split_keep_rest_and_time_units(spark):
+    df = spark.createDataFrame([("Dr Mary Ann Smith",), ("Jo",)], "n string")
+    rows = ops.split_column(df, "n", ["title", "first", "rest"], keep_rest=True).collect()
+    assert (rows[0].title, rows[0].first, rows[0].rest) == ("Dr", "Mary", "Ann Smith")
+    assert (rows[1].title, rows[1].first, rows[1].rest) == ("Jo", None, None)
+    t = spark.sql("select timestamp_ntz'2024-01-31 00:00:00' as t")
+    out = ops.years_between(t, "t", "2024-03-01 00:00:00", out="months", unit="month").collect()[0]
+    assert out.months == 1
