@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType
 
-from blockpipe.functions import is_missing, present, quoted, standardize_name, strip_whitespace
+from blockpipe.functions import present, quoted, standardize_name, strip_whitespace
 from blockpipe.plans.ranking import (
     PERCENTILE_MAX_GROUP_ROWS,
     group_modes,
@@ -272,5 +272,4 @@ __all__ = [
     "standardize_names",
     "standardized_names",
     "standardize_values",
-    "is_missing",
 ]

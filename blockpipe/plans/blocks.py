@@ -14,7 +14,6 @@ from typing import Any
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 RESULT_NAME = "result"
 

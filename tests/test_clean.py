@@ -1,6 +1,5 @@
 import pytest
 from pyspark.errors import PySparkException
-from pyspark.sql import functions as F
 
 from blockpipe import operators as ops
 from blockpipe.functions import standardize_name
