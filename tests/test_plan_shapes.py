@@ -19,3 +19,5 @@ def test_no_nested_loops_and_python_only_where_asked(spark, name):
     assert not re.search(r"BroadcastNestedLoopJoin|CartesianProduct", plan), plan
     has_python = bool(re.search(r"ArrowEvalPython|BatchEvalPython|MapInPandas|FlatMapGroupsInPandas", plan))
     assert has_python == (name in PYTHON_ALLOWED)
+    # every query reads data: the given tables, or a checkpoint of data derived from them
+    assert "FileScan" in plan or "Scan ExistingRDD" in plan
