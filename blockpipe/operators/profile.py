@@ -60,11 +60,14 @@ def preview_records(
     dfs: Mapping[str, DataFrame] | DataFrame,
     n: int = DEFAULT_PREVIEW_ROWS,
     order_by: Sequence[str] | Mapping[str, Sequence[str]] | None = None,
+    as_array: bool = False,
 ) -> DataFrame:
     """``(dataset, record)``: preview rows as JSON objects, ISO timestamps at
     millisecond precision, nulls kept as ``null``. ``order_by`` is one
     ordering for all datasets or ``{dataset: ordering}``; without one, which
-    rows come first is up to the scan."""
+    rows come first is up to the scan. ``as_array=True`` gives one row per
+    dataset, ``(dataset, records)``, holding the ``n`` rows as one JSON array
+    in preview order (at most ``n`` rows are gathered per dataset)."""
     if isinstance(dfs, DataFrame):
         dfs = {"result": dfs}
     opts = {
@@ -78,7 +81,18 @@ def preview_records(
         order = order_by.get(name) if isinstance(order_by, Mapping) else order_by
         head = preview(df, n, order)
         rec = F.to_json(F.struct(*_json_ready(head)), opts)
-        parts.append(head.select(F.lit(name).alias("dataset"), rec.alias("record")))
+        rows = head.select(F.lit(name).alias("dataset"), rec.alias("record"))
+        if as_array:
+            # number the (at most n) rows in preview order, then join them in that order
+            numbered = head.select(F.struct(*_json_ready(head)).alias("_bp_r")).withColumn(
+                "_bp_i", F.monotonically_increasing_id()
+            )
+            ordered = F.sort_array(F.collect_list(F.struct("_bp_i", "_bp_r")))
+            rows = numbered.agg(
+                F.lit(name).alias("dataset"),
+                F.to_json(F.transform(ordered, lambda e: e["_bp_r"]), opts).alias("records"),
+            )
+        parts.append(rows)
     return reduce(DataFrame.unionAll, parts)
 
 

@@ -86,3 +86,11 @@ def test_preview_records_nested_types(spark):
     assert obj["a"] == [1, 2] and obj["m"] == {"k": 1.5} and obj["s"] == {"x": 1, "y": "z"}
     assert obj["d"] == 12.345 and obj["day"] == "2024-01-02T00:00:00.000"
     assert ops.schema_profile(df).count() == 6
+
+
+
+def test_preview_records_as_one_array(spark):
+    df = spark.range(30).select((29 - F.col("id")).alias("k"), F.lit(None).cast("string").alias("s"))
+    row = ops.preview_records({"d": df}, 5, order_by=["k"], as_array=True).collect()
+    assert [r.dataset for r in row] == ["d"]
+    assert json.loads(row[0].records) == [{"k": i, "s": None} for i in range(5)]
