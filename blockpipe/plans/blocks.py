@@ -190,13 +190,16 @@ def run_pipeline(
         args = dict(b.args)
         if _accepts(b.fn, "spark"):
             args.setdefault("spark", spark)
-        if b.source is not None:
-            result = run_block(b.fn, outputs[b.source], **args)
-        else:
-            # a first block reads data; it may return several datasets by name
-            result = b.fn(**args)
-            if not isinstance(result, (DataFrame, Mapping)):
-                raise TypeError(f"block {b.name!r} returned {type(result)}")
+        try:
+            if b.source is not None:
+                result = run_block(b.fn, outputs[b.source], **args)
+            else:
+                # a first block reads data; it may return several datasets by name
+                result = b.fn(**args)
+                if not isinstance(result, (DataFrame, Mapping)):
+                    raise TypeError(f"block {b.name!r} returned {type(result)}")
+        except Exception as exc:
+            raise PipelineError(f"block {b.name!r} failed: {exc}") from exc
         if snapshot_dir is not None:
             from blockpipe.sources.io import read_saved, save_snapshot
 

@@ -228,3 +228,13 @@ def test_blocks_table_feeds_adjacency(spark):
     ]
     adj = {r.block: list(r.adj) for r in block_adjacency(blocks_table(spark, "p", blocks)).collect()}
     assert adj == {"load": ["clean"], "clean": ["agg", "feat"], "agg": [], "feat": []}
+
+
+
+def test_failing_block_is_named(spark):
+    def boom(df):
+        raise ValueError("bad input")
+
+    with pytest.raises(PipelineError, match="'check' failed: bad input") as err:
+        run_pipeline(spark, [Block("src", lambda spark: spark.range(3)), Block("check", boom, source="src")])
+    assert isinstance(err.value.__cause__, ValueError)
