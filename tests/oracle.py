@@ -1,6 +1,6 @@
 """Run registered queries in Spark and their SQL in DuckDB; compare results.
 
-    python tests/oracle.py [sf_dir] [name ...]
+    python tests/oracle.py [sf_dir] [name ...] [--json report.json]
 
 Rows are compared order-insensitively after sorting columns by name; floats
 are compared exactly and, as a fallback, at 6 decimals.
@@ -82,8 +82,14 @@ def compare(spark, con, name: str, sf_dir: str) -> dict:
 
 
 def main(argv):
+    report_path = None
+    if "--json" in argv:
+        i = argv.index("--json")
+        report_path = argv[i + 1]
+        argv = argv[:i] + argv[i + 2:]
     sf_dir = argv[1] if len(argv) > 1 and argv[1].startswith("/") else "/root/testdata/sf0.01"
     names = [a for a in argv[1:] if not a.startswith("/")] or list(suite.QUERIES)
+    report = {}
     from blockpipe.session import get_session
 
     spark = get_session("local[8]", conf={"spark.sql.shuffle.partitions": "8"})
@@ -97,8 +103,15 @@ def main(argv):
             r = {"name": n, "status": f"ERROR {type(exc).__name__}: {str(exc)[:400]}"}
         ok = r["status"] in ("ok", "ok@6", "rows-only")
         bad += not ok
+        report[n] = {k: r.get(k) for k in ("status", "rows", "spark_sec")}
         print(f"{'PASS' if ok else 'FAIL'} {n}: {r['status']} rows={r.get('rows')} t={r.get('spark_sec')}", flush=True)
     print(f"{len(names) - bad}/{len(names)} passed")
+    if report_path:
+        import json
+
+        with open(report_path, "w") as fh:
+            json.dump({"sf_dir": sf_dir, "passed": len(names) - bad, "total": len(names), "queries": report}, fh,
+                      indent=1)
     return bad
 
 
