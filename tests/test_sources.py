@@ -113,3 +113,13 @@ def test_convert_partitioned_round_trip(spark, tmp_dir):
     assert back.columns == df.columns
     assert sorted(back.collect()) == sorted(df.collect())
     assert {"lang=de", "lang=en"} <= set(os.listdir(f"{tmp_dir}/dst"))
+
+
+def test_partitioned_table_write_and_move(spark):
+    df = spark.createDataFrame([(1, "en"), (2, "de"), (3, "en")], "id int, lang string")
+    io.write_table(df, "by_lang", partition_by=["lang"])
+    assert sorted(r.id for r in spark.table("by_lang").where("lang = 'en'").collect()) == [1, 3]
+    moved = io.move(spark, "by_lang", "by_lang_copy", partition_by=["lang"])
+    assert moved.count() == 3
+    plan = moved.where("lang = 'de'")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(lang" in plan  # the partition folders are pruned
