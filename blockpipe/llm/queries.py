@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from blockpipe.llm.common import only
 from blockpipe.llm.licenses import scan_licenses, scan_sql
+from blockpipe.llm.packing import pack_documents
+from blockpipe.llm.shards import shard_rows
+from blockpipe.llm.urls import filter_sql, filter_urls
+
+SHARDS = 40
+VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
 QUERIES = {}
 ORACLE_SQL = {}
@@ -30,3 +37,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op8(spark, sf):
     docs = only(table(spark, sf, "documents"), "doc_id", "text")
     return scan_licenses(docs).drop("text")
+
+
+@query("op6_url_vocabulary", filter_sql())
+def op6(spark, sf):
+    return filter_urls(only(table(spark, sf, "pages"), "page_id", "url")).drop("url")
+
+
+@query("op2_hypergeometric_shards")
+def op2(spark, sf):
+    sharded = shard_rows(spark, f"{sf.rstrip('/')}/documents.parquet", SHARDS)
+    text = F.coalesce("text", F.lit("")).cast("binary")
+    return sharded.select(
+        "doc_id",
+        (F.octet_length(text) + 16).cast("long").alias("size"),
+        F.crc32(text).alias("text_crc32"),
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+@query("op7_histogram_packing")
+def op7(spark, sf):
+    docs = only(table(spark, sf, "documents"), "doc_id", "text")
+    return pack_documents(docs, VOCABULARY).drop("ids")
