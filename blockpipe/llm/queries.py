@@ -11,6 +11,8 @@ from blockpipe.llm.licenses import scan_licenses, scan_sql
 from blockpipe.llm.packing import pack_documents
 from blockpipe.llm.shards import shard_rows
 from blockpipe.llm.urls import filter_sql, filter_urls
+from blockpipe.llm.warc import read_warc, write_warc
+from blockpipe.session import scratch_path
 
 SHARDS = 40
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -63,3 +65,36 @@ def op2(spark, sf):
 def op7(spark, sf):
     docs = only(table(spark, sf, "documents"), "doc_id", "text")
     return pack_documents(docs, VOCABULARY).drop("ids")
+
+
+@query(
+    "op3_warc_roundtrip",
+    """
+    with p as (select page_id, coalesce(html, '') as h from pages),
+    d as (select page_id, octet_length(encode(h)) as payload_bytes, sha256(h) as payload_digest from p),
+    g as (select payload_digest, min(page_id) as first from d where payload_bytes >= 100 group by 1)
+    select page_id, payload_bytes, payload_digest,
+           case when first is not null and first <> page_id then 'revisit' else 'response' end as record_type,
+           case when first <> page_id then first end as refers_to
+    from d left join g using (payload_digest)
+    """,
+)
+def op3(spark, sf):
+    path = scratch_path(spark, "warc")
+    write_warc(only(table(spark, sf, "pages"), "page_id", "url", "html"), path)
+    page_id = F.regexp_extract("record_id", r"(-?\d+)", 1).try_cast("long")
+    responses = read_warc(spark, path).where("record_type = 'response'").select(
+        page_id.alias("page_id"),
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_digest"),
+        "record_type",
+        F.lit(None).cast("long").alias("refers_to"),
+    )
+    revisits = read_warc(spark, path, payload=False).where("record_type = 'revisit'").select(
+        page_id.alias("page_id"),
+        F.col("payload_length").alias("payload_bytes"),
+        F.regexp_extract("payload_digest", "sha256:(.*)", 1).alias("payload_digest"),
+        "record_type",
+        F.regexp_extract("refers_to", r"(-?\d+)", 1).cast("long").alias("refers_to"),
+    )
+    return responses.unionAll(revisits)
