@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from blockpipe.llm.common import only
+from blockpipe.llm.decontaminate import find_passages
 from blockpipe.llm.licenses import scan_licenses, scan_sql
 from blockpipe.llm.packing import pack_documents
 from blockpipe.llm.shards import shard_rows
@@ -98,3 +99,8 @@ def op3(spark, sf):
         F.regexp_extract("refers_to", r"(-?\d+)", 1).cast("long").alias("refers_to"),
     )
     return responses.unionAll(revisits)
+
+
+@query("op9_simhash_decontamination")
+def op9(spark, sf):
+    return find_passages(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
