@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from blockpipe.llm.common import only
 from blockpipe.llm.decontaminate import find_passages
 from blockpipe.llm.licenses import scan_licenses, scan_sql
+from blockpipe.llm.neardup import near_duplicates
 from blockpipe.llm.packing import pack_documents
 from blockpipe.llm.shards import shard_rows
 from blockpipe.llm.urls import filter_sql, filter_urls
@@ -104,3 +105,8 @@ def op3(spark, sf):
 @query("op9_simhash_decontamination")
 def op9(spark, sf):
     return find_passages(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@query("op5_order_minhash")
+def op5(spark, sf):
+    return near_duplicates(table(spark, sf, "documents"))
