@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blockpipe.llm.common import only
+from blockpipe.llm import language, toxicity
+from blockpipe.llm.common import crc32_of_id, only
 from blockpipe.llm.decontaminate import find_passages
 from blockpipe.llm.licenses import scan_licenses, scan_sql
 from blockpipe.llm.neardup import near_duplicates
@@ -110,3 +111,34 @@ def op9(spark, sf):
 @query("op5_order_minhash")
 def op5(spark, sf):
     return near_duplicates(table(spark, sf, "documents"))
+
+
+def fold_of(folds: int) -> Column:
+    return F.pmod(crc32_of_id(F.col("doc_id")), F.lit(folds))
+
+
+@query("op4_toxicity_ratios")
+def op4(spark, sf):
+    docs = only(table(spark, sf, "documents"), "doc_id", "text")
+    labels = only(table(spark, sf, "labels"), "doc_id", "toxic")
+    model = toxicity.fit(docs.where(fold_of(3) != 1), labels.where(fold_of(3) != 1))
+    score = F.col("toxicity")
+    return toxicity.score_toxicity(docs, model).select(
+        "doc_id",
+        (fold_of(3) == 1).alias("held_out"),
+        score.alias("score"),
+        F.when(score >= toxicity.THRESHOLD, 1).otherwise(0).alias("predicted"),
+    )
+
+
+@query("op10_language_id")
+def op10(spark, sf):
+    docs = only(table(spark, sf, "documents"), "doc_id", "text", "lang")
+    model = language.fit(docs.where(fold_of(4) != 2))
+    return language.identify(docs.drop("lang"), model).select(
+        "doc_id",
+        (fold_of(4) == 2).alias("held_out"),
+        "lang_pred",
+        F.col("lang_score").alias("score"),
+        F.col("lang_rejected").alias("rejected"),
+    )
