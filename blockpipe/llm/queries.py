@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from blockpipe.llm import language, toxicity
+from blockpipe.llm.ann import nearest_neighbours
 from blockpipe.llm.common import crc32_of_id, only
 from blockpipe.llm.decontaminate import find_passages
 from blockpipe.llm.licenses import scan_licenses, scan_sql
@@ -142,3 +143,9 @@ def op10(spark, sf):
         F.col("lang_score").alias("score"),
         F.col("lang_rejected").alias("rejected"),
     )
+
+
+@query("op1_graph_neighbours")
+def op1(spark, sf):
+    vectors = only(table(spark, sf, "embeddings"), "vec_id", "embedding")
+    return nearest_neighbours(vectors, vectors.where("vec_id % 100 = 0"))
