@@ -206,9 +206,9 @@ def search(
     rows = queries.select(F.col(id_col).cast("long").alias("query_id"), F.col(vector_col).cast("array<double>").alias("q"))
     rows = rows.where(F.col("query_id").isNotNull() & valid_vector(F.col("q"))).distinct()
     blocks = max(1, math.ceil(rows.count() / query_block))
-    shards = index.select("dims", "shard")
+    shards = index.select(F.col("dims").alias("q_dims"), F.col("shard").alias("q_shard"))
     block = F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")
-    asked = rows.withColumn("dims", F.size("q")).withColumn("block", block).join(shards, "dims")
+    asked = rows.withColumn("q_dims", F.size("q")).withColumn("q_block", block).join(shards, "q_dims")
     held = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
     def find(shard: pd.DataFrame, ask: pd.DataFrame) -> pd.DataFrame:
@@ -231,8 +231,8 @@ def search(
                 out += [(query_id, i, d) for d, i in sorted(pairs)[:k]]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
-    keys = ["dims", "shard", "block"]
-    found = held.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(
+    asked = asked.groupBy("q_dims", "q_shard", "q_block")
+    found = held.groupBy("dims", "shard", "block").cogroup(asked).applyInPandas(
         find, "query_id long, vec_id long, score double"
     )
     best = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))

@@ -16,6 +16,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -175,28 +176,56 @@ def find_passages(
     its size is bound however many items there are. Whole texts are read in
     pieces of bounded size.
     """
-    spark = docs.sparkSession
-    items = benchmark.select(F.col(item_col).cast("long").alias("i"), normal_words(F.col(item_text_col)).alias("w"))
-    items = items.where("i is not null")
-    passes = max(1, math.ceil(items.count() / item_block))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), normal_words(F.col(text_col)).alias("w"))
     found = None
-    for p in range(passes):
-        rows = items.where(F.pmod(F.xxhash64("i"), F.lit(passes)) == p).toArrow()  # about item_block items
+    for rows in _item_blocks(benchmark, item_col, item_text_col, item_block):
         hits = texts.mapInArrow(_searcher(rows, threshold), HITS)
         found = hits if found is None else found.unionAll(hits)
     return found
 
 
-def _searcher(rows: pa.Table, threshold: float):
-    ids, texts = rows.column(0).to_pylist(), rows.column(1).combine_chunks()
+def flag_passages(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    flag: str = "contaminated",
+    text_col: str = "text",
+    item_col: str = "item_id",
+    item_text_col: str = "text",
+    threshold: float = THRESHOLD,
+    item_block: int = ITEM_BLOCK,
+) -> DataFrame:
+    """``docs`` plus a boolean column: whether the text holds a passage of any item,
+    by the rules of ``find_passages``; false for null and empty texts. Rows are judged
+    where they are, so ids may be null or repeated. A column named like the flag is
+    replaced."""
+    kept = [c for c in docs.columns if c != flag]
+    out = docs.select(*kept, F.lit(False).alias("__hit"), normal_words(F.col(text_col)).alias("__w"))
+    for rows in _item_blocks(benchmark, item_col, item_text_col, item_block):
+        out = out.withColumn("__hit", F.col("__hit") | _flagger(rows, threshold)("__w"))
+    return out.select(*kept, F.col("__hit").alias(flag))
+
+
+def _item_blocks(benchmark: DataFrame, item_col: str, text_col: str, item_block: int) -> Iterator[pa.Table]:
+    """The items (id, words) in tables of about ``item_block``, one at a time."""
+    items = benchmark.select(F.col(item_col).cast("long").alias("i"), normal_words(F.col(text_col)).alias("w"))
+    items = items.where("i is not null")
+    passes = max(1, math.ceil(items.count() / item_block))
+    for p in range(passes):
+        yield items.where(F.pmod(F.xxhash64("i"), F.lit(passes)) == p).toArrow()
+
+
+def _built(rows: pa.Table, hasher: WordHasher) -> Index:
+    texts = pa.chunked_array(rows.column(1).chunks, pa.string()).combine_chunks()
     if isinstance(texts, pa.ChunkedArray):
-        texts = pa.concat_arrays(texts.chunks) if texts.num_chunks else pa.array([], pa.string())
+        texts = pa.concat_arrays(texts.chunks or [pa.array([], pa.string())])
+    words, bounds = hasher.documents(texts)
+    return Index([(i, words[lo:hi].copy()) for i, lo, hi in zip(rows.column(0).to_pylist(), bounds[:-1], bounds[1:])])
 
+
+def _searcher(rows: pa.Table, threshold: float):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
-        words, bounds = hasher.documents(texts)
-        index = Index([(i, words[lo:hi].copy()) for i, lo, hi in zip(ids, bounds[:-1], bounds[1:])])
+        index = _built(rows, hasher)
         for batch in batches:
             out = []
             for lo, hi in text_groups(batch, 1):
@@ -211,3 +240,20 @@ def _searcher(rows: pa.Table, threshold: float):
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=names)
 
     return search
+
+
+def _flagger(rows: pa.Table, threshold: float):
+    @F.pandas_udf("boolean")
+    def flagged(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        hasher = WordHasher()
+        index = _built(rows, hasher)
+        for texts in batches:
+            batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.large_string())], names=["w"])
+            out = np.zeros(len(texts), dtype=bool)
+            for lo, hi in text_groups(batch, 0):
+                words, bounds = hasher.documents(batch.column(0).slice(lo, hi - lo))
+                for d, *_ in index.hits(words, bounds, threshold):
+                    out[lo + d] = True
+            yield pd.Series(out)
+
+    return flagged
