@@ -1,0 +1,417 @@
+"""Each operator's query against SQL or a plainer computation, at the smallest scale."""
+
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import public_tokenizers
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from blockpipe.llm import ann, neardup, packing, queries, shards, urls, warc
+from blockpipe.llm.decontaminate import find_passages, weighted_similarity
+from blockpipe.llm.words import WordHasher, shingles
+from tests.oracle import duck, rows
+
+SF = "/root/testdata/sf0.001"
+
+
+def documents(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet").toPandas()
+
+
+def plain_words(text: str) -> list[str]:
+    return re.findall(r"[^\W_]+", text.lower())
+
+
+def runs(words: list[str], k: int = 5) -> list[tuple]:
+    k = min(k, len(words))
+    return [tuple(words[i : i + k]) for i in range(len(words) - k + 1)] if k else []
+
+
+@pytest.mark.parametrize("name", list(queries.ORACLE_SQL))
+def test_query_matches_sql(spark, name):
+    got = queries.QUERIES[name](spark, SF).toPandas()
+    want = duck(SF).sql(queries.ORACLE_SQL[name]).df()
+    assert len(got) and rows(got, 6) == rows(want, 6)
+
+
+# --- 1 -------------------------------------------------------------------------------------
+
+
+def test_neighbours_recall_and_exact_scores(spark):
+    got = queries.QUERIES["op1_graph_neighbours"](spark, SF).toPandas()
+    data = spark.read.parquet(f"{SF}/embeddings.parquet").toPandas().sort_values("vec_id")
+    x = np.stack(data["embedding"]).astype(np.float64)
+    ids = data["vec_id"].to_numpy()
+    hit = total = 0
+    for q in ids[ids % 100 == 0]:
+        d = np.sqrt(((x - x[ids == q]) ** 2).sum(axis=1))
+        d[ids == q] = np.inf
+        best = [int(ids[i]) for i in np.lexsort((ids, d))[:10]]
+        mine = got[got["query_id"] == q].sort_values("rank")
+        assert mine["rank"].tolist() == list(range(1, 11))
+        assert mine["score"].tolist() == sorted(mine["score"])
+        assert np.allclose(mine["score"], [d[ids == v][0] for v in mine["vec_id"]], rtol=0, atol=1e-12)
+        hit += len(set(best) & set(mine["vec_id"]))
+        total += 10
+    assert hit / total >= 0.9
+
+
+def test_graph_search_over_several_shards_and_a_dense_clump(spark):
+    rng = np.random.default_rng(5)
+    x = np.concatenate((rng.normal(size=(1500, 16)), rng.normal(size=(1, 16)) + 1e-3 * rng.normal(size=(500, 16))))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = ann.nearest_neighbours(df, df.where("vec_id % 50 = 0"), k=5, shard_vectors=600).toPandas()
+    hit = 0
+    for q in range(0, 2000, 50):
+        d = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
+        d[q] = np.inf
+        hit += len(set(np.argsort(d)[:5]) & set(got[got["query_id"] == q]["vec_id"]))
+    assert hit / 200 >= 0.9
+
+
+def test_pruned_lists_are_diverse():
+    x = np.array([[0.0, 0], [1, 0], [1.1, 0], [0, 2], [0, 2.1]])
+    kept = ann.robust_prune(x, np.array([0]), np.array([[1, 2, 3, 4, 0, -1]]), 3, 1.2)
+    assert kept.tolist() == [[1, 3, -1]]
+
+
+# --- 2 -------------------------------------------------------------------------------------
+
+
+def test_matrix_rows_and_columns_are_exact():
+    counts, sizes = [5, 0, 17, 8], shards.shard_sizes(30, 7)
+    matrix = np.array(shards.communication_matrix(counts, sizes, 3))
+    assert matrix.sum(axis=1).tolist() == counts and matrix.sum(axis=0).tolist() == sizes
+    assert matrix.tolist() == shards.communication_matrix(counts, sizes, 3)
+
+
+def test_shards_hold_every_row_once_in_sizes_one_apart(spark):
+    got = queries.QUERIES["op2_hypergeometric_shards"](spark, SF).toPandas()
+    docs = documents(spark)
+    assert sorted(got["doc_id"]) == sorted(docs["doc_id"])
+    sizes = got.groupby("shard").size()
+    assert len(sizes) == 40 and sizes.max() - sizes.min() <= 1
+    for _, part in got.groupby("shard"):
+        assert sorted(part["slot"]) == list(range(len(part)))
+    text = dict(zip(docs["doc_id"], docs["text"]))
+    for r in got.itertuples():
+        raw = text[r.doc_id].encode()
+        assert (r.size, r.text_crc32, r.law) == (len(raw) + 16, zlib.crc32(raw), "rows")
+
+
+def test_shuffle_looks_uniform(spark):
+    df = spark.range(4000).withColumnRenamed("id", "doc_id").repartition(3)
+    got = shards.shard_rows(spark, df, 4, seed=9, block_rows=100, slot_rows=150).toPandas()
+    assert sorted(got["doc_id"]) == list(range(4000))
+    assert got.groupby("shard").size().tolist() == [1000] * 4
+    for s, part in got.groupby("shard"):
+        assert sorted(part["slot"]) == list(range(1000))
+        assert abs(np.corrcoef(part["slot"], part["doc_id"])[0, 1]) < 0.12
+        assert abs(part["doc_id"].mean() - 1999.5) < 150
+
+
+# --- 3 -------------------------------------------------------------------------------------
+
+
+def test_filters_are_pushed_into_the_archive_reader(spark, tmp_dir):
+    pages = spark.createDataFrame(
+        [(1, "http://a/1", "x" * 200), (2, "http://a/2", "x" * 200), (3, "http://b/3", "tiny"), (4, None, "tiny")],
+        "page_id long, url string, html string",
+    )
+    warc.write_warc(pages, f"{tmp_dir}/w")
+    found = warc.read_warc(spark, f"{tmp_dir}/w").where("record_type = 'revisit'").collect()
+    assert [(r.record_id, r.refers_to, r.payload, r.payload_length) for r in found] == [
+        ("<urn:record:2>", "<urn:record:1>", b"", 200)
+    ]
+    by_uri = warc.read_warc(spark, f"{tmp_dir}/w").where("target_uri like 'http://a/%' and record_type = 'response'")
+    assert [bytes(r.payload) for r in by_uri.collect()] == [b"x" * 200]
+    reader = warc.WarcReader({"path": f"{tmp_dir}/w"})
+    from pyspark.sql.datasource import EqualTo, GreaterThan
+
+    rest = GreaterThan(("payload_length",), 3)
+    assert list(reader.pushFilters([EqualTo(("record_type",), "response"), rest])) == [rest]
+    parts = [p for p in reader.partitions() if p.files]
+    assert sum(b.num_rows for p in parts for b in reader.read(p)) == 3
+
+
+def test_unwanted_payloads_are_not_decoded(monkeypatch):
+    import io
+
+    raw = b"".join(
+        warc.member(warc.record([("WARC-Type", t)], b"p" * 300_000)) for t in ("response", "metadata", "response")
+    )
+    out = list(warc.records(io.BytesIO(raw), lambda h: h["warc-type"] == "metadata", True))
+    assert [(h["warc-type"], len(p)) for h, p in out] == [("metadata", 300_000)]
+    read = []
+
+    class Watched(io.BytesIO):
+        def read(self, n=-1):
+            read.append(n)
+            return super().read(n)
+
+    assert list(warc.records(Watched(raw), lambda h: False, True)) == []
+    assert sum(read) < 3 * 5000  # heads only
+
+
+def test_plain_and_foreign_archives_are_read(spark, tmp_dir):
+    import gzip
+    import os
+
+    rec = warc.record([("WARC-Type", "resource"), ("WARC-Target-URI", "u:1")], b"abc")
+    os.makedirs(f"{tmp_dir}/w")
+    open(f"{tmp_dir}/w/a.warc", "wb").write(rec * 2)
+    open(f"{tmp_dir}/w/b.warc.gz", "wb").write(gzip.compress(rec) * 3)
+    got = warc.read_warc(spark, f"{tmp_dir}/w").collect()
+    assert len(got) == 5 and {bytes(r.payload) for r in got} == {b"abc"}
+    assert warc.read_warc(spark, f"{tmp_dir}/w").where("record_type = 'response'").count() == 0
+
+
+# --- 4, 10 ---------------------------------------------------------------------------------
+
+
+def test_toxicity_on_held_out_labels(spark):
+    got = queries.QUERIES["op4_toxicity_ratios"](spark, "/root/testdata/sf0.1").toPandas()
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet").toPandas()
+    assert got["score"].between(0, 1).all() and ((got["score"] >= 0.7) == (got["predicted"] == 1)).all()
+    held = got[got["held_out"]].merge(labels, on="doc_id")
+    assert held[held["toxic"] == 1]["predicted"].mean() > 0.85
+    assert held[held["toxic"] == 0]["predicted"].mean() < 0.01
+
+
+def test_language_on_held_out_documents(spark):
+    got = queries.QUERIES["op10_language_id"](spark, "/root/testdata/sf0.01").toPandas()
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").toPandas()
+    held = got[got["held_out"]].merge(docs, on="doc_id")
+    assert (held["lang"] == held["lang_pred"]).mean() > 0.97
+    assert got["rejected"].mean() < 0.01
+
+
+# --- 5 -------------------------------------------------------------------------------------
+
+
+def common_subsequence(a, b) -> int:
+    row = [0] * (len(b) + 1)
+    for x in a:
+        new = [0]
+        for j, y in enumerate(b):
+            new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
+        row = new
+    return row[-1]
+
+
+def test_banded_alignment_is_exact():
+    rng = np.random.default_rng(3)
+    linked = 0
+    for _ in range(600):
+        kinds = rng.choice([3, 40, 1000])
+        a = rng.integers(0, kinds, rng.integers(1, 60))
+        b = list(a)
+        for _ in range(rng.integers(0, 6)):
+            at = int(rng.integers(0, len(b) + 1))
+            b = b[:at] + [int(rng.integers(0, kinds))] * int(rng.integers(0, 2)) + b[at + int(rng.integers(0, 2)) :]
+        if not b:
+            continue
+        n = common_subsequence(a.tolist(), b)
+        want = n / (len(a) + len(b) - n)
+        got = neardup.aligned_similarity(a.astype(np.uint64), np.array(b, dtype=np.uint64))
+        assert got == (pytest.approx(want) if want >= 0.8 - 1e-12 else 0)
+        linked += got > 0
+    assert linked > 100
+
+
+def brute_classes(ids, texts):
+    """Single linkage of ordered shingle similarity, by all pairs that share a shingle."""
+    words = [plain_words(t) for t in texts]
+    seqs = [runs(w) for w in words]
+    root = list(range(len(ids)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    holders = defaultdict(set)
+    for i, s in enumerate(seqs):
+        for x in s:
+            holders[x].add(i)
+    pairs = Counter((i, j) for h in holders.values() for i in h for j in h if i < j)
+    for (i, j), n in pairs.items():
+        if n / max(len(set(seqs[i])), len(set(seqs[j]))) >= 0.6 and find(i) != find(j):
+            m = common_subsequence(seqs[i], seqs[j])
+            if m / (len(seqs[i]) + len(seqs[j]) - m) >= 0.8:
+                root[find(j)] = find(i)
+    smallest = {}
+    for i, d in enumerate(ids):
+        smallest[find(i)] = min(smallest.get(find(i), d), d)
+    return {d: smallest[find(i)] for i, d in enumerate(ids)}
+
+
+def test_near_duplicate_classes_match_all_pairs(spark):
+    docs = documents(spark)
+    docs = docs[docs["text"].str.len() < 4000]
+    rng = np.random.default_rng(1)
+    base = [f"w{rng.integers(0, 500)}" for _ in range(120)]
+    planted = []
+    for n in range(40):  # a chain of drifting copies, and copies of one original
+        w = list(base)
+        for at in rng.integers(0, 120, n % 6):
+            w[at] = f"z{rng.integers(0, 10**6)}"
+        planted.append((100_000 + n, " ".join(w)))
+    data = [*zip(docs["doc_id"].tolist(), docs["text"].tolist()), *planted]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    want = brute_classes(*zip(*data))
+    for block in (256, 8):
+        got = neardup.near_duplicates(df, block_texts=block).toPandas()
+        assert dict(zip(got["doc_id"], got["class_id"])) == want
+        assert (got["keep"] == (got["doc_id"] == got["class_id"])).all()
+
+
+def test_links_between_copies_that_are_far_from_the_first(spark):
+    rng = np.random.default_rng(2)
+    base = [f"w{rng.integers(0, 10**6)}" for _ in range(150)]
+
+    def copy(times):
+        w = list(base)
+        for at in rng.choice(150, times, replace=False):
+            w[at] = f"z{rng.integers(0, 10**6)}"
+        return " ".join(w)
+
+    # the bucket's smallest id is far from most; its near ones are found all the same
+    data = [(0, copy(3))] + [(i, copy(3)) for i in range(1, 30)] + [(99, " ".join(base))]
+    got = neardup.near_duplicates(spark.createDataFrame(data, "doc_id long, text string")).toPandas()
+    assert dict(zip(got["doc_id"], got["class_id"])) == brute_classes(*zip(*data))
+
+
+# --- 6 -------------------------------------------------------------------------------------
+
+
+def test_url_rules_and_words(spark):
+    cases = [
+        ("https://a.example.org/es/1", "example.org/es/", "block"),
+        ("https://example.org/en/17?x", "example.org/en/1", "block"),
+        ("https://notexample.org/en/17", "org/", "allow"),
+        ("https://X.ORG", None, "allow"),  # an empty path has no "/"
+        ("http://a.com/fr/casino", "com/fr/", "allow"),
+        ("http://a.net/casino", None, "block"),
+        ("http://a.net/casinos", None, "allow"),
+        ("http://a.net/adult-dating", None, "block"),
+        ("http://a.net/adult/adult", None, "allow"),  # one distinct soft term
+        ("casino", None, "block"),
+        (None, None, "allow"),
+        ("", None, "allow"),
+    ]
+    df = spark.createDataFrame([(i, u) for i, (u, _, _) in enumerate(cases)], "page_id long, url string")
+    got = urls.filter_urls(df).orderBy("page_id").collect()
+    assert [(r.url, r.rule, r.verdict) for r in got] == cases
+    assert (got[3].host, got[3].path, got[9].host, got[10].host) == ("x.org", "", "", "")
+
+
+# --- 7 -------------------------------------------------------------------------------------
+
+
+def best_fit_decreasing(histogram, capacity):
+    rooms = []
+    for n in sorted((n for n, c in histogram.items() for _ in range(c)), reverse=True):
+        fits = [i for i, r in enumerate(rooms) if r >= n]
+        if fits:
+            rooms[min(fits, key=lambda i: rooms[i])] -= n
+        else:
+            rooms.append(capacity - n)
+    return sorted(rooms)
+
+
+def test_plan_by_counts_equals_best_fit_of_single_pieces():
+    rng = np.random.default_rng(4)
+    for _ in range(60):
+        capacity = int(rng.integers(5, 60))
+        histogram = Counter(rng.integers(1, capacity + 1, rng.integers(1, 150)).tolist())
+        used = defaultdict(int)
+        for length, first, last, at, each, base in packing.plan(dict(histogram), capacity):
+            for k in range(last - first):
+                assert base + k % each * length + length <= capacity
+                used[at + k // each] += length
+        assert sorted(capacity - u for u in used.values()) == best_fit_decreasing(histogram, capacity)
+
+
+def test_pieces_tile_sequences_and_carry_the_tokenizers_ids(spark):
+    from tokenizers import Tokenizer
+
+    docs = documents(spark)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer = Tokenizer.from_file(path)
+    df = spark.createDataFrame(docs[["doc_id", "text"]])
+    got = packing.pack_documents(df, path).toPandas()
+    for _, seq in got.groupby("sequence_id"):
+        seq, at = seq.sort_values("offset"), 0
+        for r in seq.itertuples():
+            assert r.offset == at
+            at += r.length
+        assert at <= 4096
+    by_doc = {d: p.sort_values("piece") for d, p in got.groupby("doc_id")}
+    for r in docs.itertuples():
+        want = np.asarray(tokenizer.encode(r.text, add_special_tokens=False).ids + [1], dtype="<u4").tobytes()
+        parts = by_doc[r.doc_id]
+        assert b"".join(parts["ids"]) == want
+        assert parts["ids_crc32"].tolist() == [zlib.crc32(want[i : i + 16384]) for i in range(0, len(want), 16384)]
+        assert parts["start"].tolist() == list(range(0, len(want) // 4, 4096))
+    assert got["sequence_id"].nunique() == -(-int(got["length"].sum()) // 4096)  # no fewer would do
+
+
+@pytest.mark.parametrize(
+    "text",
+    ["", " ", "it's  don't'll '' 's x's 12ab3 ÀÉ_ñ--%% “q”…€ _a_", "<|endoftext|> a", "日本語 текст İı ΑΣ Σ", "a\x1fb\x85c\u00a0d", "e\u0301 é", "x²½ª"],
+)
+def test_odd_texts_are_encoded_as_the_tokenizer_does(text):
+    encoder = packing.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    want = encoder.tokenizer.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(encoder.ids(text), "<u4").tolist() == want
+
+
+# --- 9 -------------------------------------------------------------------------------------
+
+
+def test_passages_match_all_windows(spark):
+    docs, bench = documents(spark), spark.read.parquet(f"{SF}/benchmark.parquet").toPandas()
+    items = {i: plain_words(t) for i, t in zip(bench["item_id"], bench["text"])}
+    near = list(items.values())
+    extra = []
+    for n, w in enumerate(near[:20]):  # passages with an edit, in other words
+        w = list(w)
+        w[-1] = "changed"
+        extra.append((10_000 + n, " ".join(["before"] * 9 + w + ["after"] * 9)))
+    data = [*zip(docs["doc_id"].tolist(), docs["text"].tolist()), *extra]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): r.similarity for r in find_passages(df, spark.createDataFrame(bench)).collect()}
+    want = {}
+    for d, text in data:
+        words = plain_words(text)
+        where = defaultdict(list)
+        for i, s in enumerate(runs(words)):
+            where[s].append(i)
+        for item, w in items.items():
+            of, n = Counter(runs(w)), min(len(w), len(words))
+            at = [i for s in of for i in where.get(s, ())]
+            if not at:
+                continue
+            for first in range(max(0, min(at) - n), min(len(words) - n, max(at) + 5) + 1):
+                sim = weighted_similarity(Counter(runs(words[first : first + n])), of)
+                if sim >= 0.8:
+                    want[d, item] = max(want.get((d, item), 0), sim)
+    assert got == pytest.approx(want)
+    assert len(want) >= 20
+
+
+def test_word_hashes_follow_the_words():
+    texts = ["", " ", "a b a ", " x ", "w" * 2000 + " " + "é ü é "]
+    hashes, bounds = WordHasher().documents(pa.array(texts))
+    assert np.diff(bounds).tolist() == [0, 0, 3, 1, 4]
+    flat = [w for t in texts for w in t.split()]
+    assert len(hashes) == len(flat)
+    for i, a in enumerate(flat):
+        for j, b in enumerate(flat):
+            assert (hashes[i] == hashes[j]) == (a == b)
+    assert len(shingles(hashes[:3])) == 1 and len(shingles(hashes)) == len(flat) - 4
