@@ -12,6 +12,7 @@ from __future__ import annotations
 import bisect
 import math
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -27,7 +28,7 @@ from blockpipe.llm.common import written
 CAPACITY = 4096
 END_ID = 1
 RANK_ROWS = 200_000
-CACHED_WORDS = 400_000
+CACHED_CHUNKS = 500_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
 
@@ -39,38 +40,52 @@ WORD = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 PLAIN = "\t\n\r -~À-ÖØ-öø-ÿ–—‘’“”…€"
 
 
-class WordIds(dict):
-    """word -> its ids as little-endian unsigned 32-bit bytes, filled on demand."""
+def byte_letters() -> dict[int, str]:
+    """The letters that byte-level vocabularies write bytes as: a printable Latin-1
+    character stands for itself, the other bytes take the letters from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(own)]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
-    def __init__(self, tokenizer, limit: int):
-        self.tokenizer, self.limit = tokenizer, limit
 
-    def __missing__(self, word: str) -> bytes:
-        ids = np.asarray(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        if len(self) >= self.limit:
-            self.clear()
-        self[word] = ids
+class ChunkIds(dict):
+    """Blank-free stretch of lower-cased text -> its ids as little-endian unsigned
+    32-bit bytes, found on demand: split into words, each merged by the vocabulary."""
+
+    def __init__(self, tokenizer, limit: int):
+        self.merge, self.limit = tokenizer.model.tokenize, limit
+        self.split = regex.compile(WORD).findall
+        self.letters = byte_letters()
+
+    def __missing__(self, chunk: str) -> bytes:
+        found = []
+        for word in self.split(chunk):
+            if not word.isascii():
+                word = "".join(map(self.letters.__getitem__, word.encode()))
+            found += [t.id for t in self.merge(word)]
+        ids = np.asarray(found, dtype="<u4").tobytes()
+        if len(self) < self.limit:  # the frequent ones come early
+            self[chunk] = ids
         return ids
 
 
 class Encoder:
-    """Ids of whole texts, the same as ``Tokenizer.encode`` gives. The vocabulary
-    splits a text into words and merges inside words only, so the ids of a
-    word are looked up once and kept."""
+    """Ids of whole texts, the same as ``Tokenizer.encode`` gives. No word of the
+    vocabulary spans a blank, so the ids of a stretch between blanks are found once
+    and kept."""
 
-    def __init__(self, path: str, limit: int = CACHED_WORDS):
+    def __init__(self, path: str, limit: int = CACHED_CHUNKS):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words = WordIds(self.tokenizer, limit)
-        self.split = regex.compile(WORD).findall
-        self.odd = regex.compile(f"[^{PLAIN}]|<\\|").search
+        self.chunks = ChunkIds(self.tokenizer, limit)
+        self.odd = re.compile(f"[^{PLAIN}]|<\\|").search
 
     def ids(self, text: str) -> bytes:
         if self.odd(text):
             found = self.tokenizer.encode(text, add_special_tokens=False).ids
             return np.asarray(found, dtype="<u4").tobytes()
-        return b"".join(map(self.words.__getitem__, self.split(text.lower())))
+        return b"".join(map(self.chunks.__getitem__, text.lower().split()))
 
 
 def tokenize(
