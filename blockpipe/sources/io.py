@@ -16,7 +16,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DateType, StructType
+from pyspark.sql.types import CharType, DateType, StringType, StructType, VarcharType
 
 from blockpipe.functions import quoted
 
@@ -130,17 +130,46 @@ _TEXT_TIME_OPTS = {
 
 
 # CSV as written here: RFC 4180 quoting (inner quotes doubled), null as an
-# empty field, an empty string as "". Reading it back with a null marker that
-# never occurs keeps the two apart (Spark's default reads both as null).
-_CSV_WRITE_OPTS = {"header": "true", "escape": '"', "nullValue": "", "emptyValue": '""'}
-_CSV_READ_BACK_OPTS = {"header": "true", "escape": '"', "nullValue": "\u0000", "emptyValue": ""}
+# empty field, an empty string as "", blanks at the ends kept. Reading it back
+# with a null marker that never occurs keeps the two apart (Spark's default reads
+# both as null). Only one-column files differ: there a null would be an empty
+# line, which readers skip, so it is written as the marker itself.
+_NULL_MARK = "\u0000"
+_CSV_OPTS = {
+    "header": "true",
+    "escape": '"',
+    "lineSep": "\n",
+    "ignoreLeadingWhiteSpace": "false",
+    "ignoreTrailingWhiteSpace": "false",
+}
+# A file whose quoted values hold line breaks can't be split over tasks, so files
+# are kept to this many rows.
+CSV_FILE_ROWS = 500_000
+
+
+def _has_text(schema: StructType) -> bool:
+    return any(isinstance(f.dataType, (StringType, CharType, VarcharType)) for f in schema.fields)
+
+
+def _csv_write_opts(schema: StructType) -> dict[str, str]:
+    opts = {**_CSV_OPTS, "nullValue": _NULL_MARK if len(schema.fields) == 1 else "", "emptyValue": '""'}
+    if _has_text(schema):
+        opts["maxRecordsPerFile"] = str(CSV_FILE_ROWS)
+    return opts
+
+
+def _csv_read_opts(schema: StructType) -> dict[str, str]:
+    """Values of other than text hold no line breaks; such files stay splittable
+    (but for one column, where line by line reading skips the marker)."""
+    whole = _has_text(schema) or len(schema.fields) == 1
+    return {**_CSV_OPTS, "nullValue": _NULL_MARK, "emptyValue": "", "multiLine": str(whole).lower()}
 
 
 def _read_back(spark: SparkSession, path: str, fmt: str, schema: StructType) -> DataFrame:
     """Read what was just written, with its schema and column order (a
     partitioned write moves partition columns to the end)."""
     if fmt == "csv":
-        df = spark.read.options(**_TEXT_TIME_OPTS, **_CSV_READ_BACK_OPTS).schema(schema).csv(path)
+        df = spark.read.options(**_TEXT_TIME_OPTS, **_csv_read_opts(schema)).schema(schema).csv(path)
     elif fmt == "json":
         df = spark.read.options(**_TEXT_TIME_OPTS).schema(schema).json(path)
     else:
@@ -153,7 +182,7 @@ def _writer(df: DataFrame, fmt: str, mode: str, partition_by: Sequence[str] | No
     if fmt in ("csv", "json"):
         w = w.options(**_TEXT_TIME_OPTS)
     if fmt == "csv":
-        w = w.options(**_CSV_WRITE_OPTS)
+        w = w.options(**_csv_write_opts(df.schema))
     if partition_by:
         w = w.partitionBy(*partition_by)
     return w.options(**opts)
@@ -250,7 +279,7 @@ def export_csv(df: DataFrame, path: str, n: int | None = None, mode: str = "over
     first rows only (a preview)."""
     out = df.limit(n) if n is not None else df
     # no quoteAll: Spark would quote nulls too, making them "" like empty text
-    out.write.mode(mode).options(**_TEXT_TIME_OPTS, **_CSV_WRITE_OPTS).csv(path)
+    out.write.mode(mode).options(**_TEXT_TIME_OPTS, **_csv_write_opts(df.schema)).csv(path)
     return path
 
 
@@ -262,6 +291,7 @@ def read_export(spark: SparkSession, path: str, schema: StructType) -> DataFrame
 # --- A8: block snapshots ---------------------------------------------------------------
 
 _MANIFEST = "manifest"
+_MANIFEST_DDL = "version bigint, dataset string, path string, schema string"
 
 
 def save_snapshot(dfs: Mapping[str, DataFrame] | DataFrame, directory: str) -> dict[str, str]:
@@ -271,7 +301,8 @@ def save_snapshot(dfs: Mapping[str, DataFrame] | DataFrame, directory: str) -> d
     Each save writes a new version folder, then appends one manifest file
     naming the version's datasets and their schemas. Readers follow the
     newest manifest entry, so a save that dies halfway leaves the previous
-    snapshot in force, and a save replaces all earlier datasets of the block.
+    snapshot in force, and a save replaces all earlier datasets of the block: a
+    save of no dataset at all leaves an empty snapshot.
     """
     if isinstance(dfs, DataFrame):
         dfs = {"result": dfs}
@@ -279,15 +310,17 @@ def save_snapshot(dfs: Mapping[str, DataFrame] | DataFrame, directory: str) -> d
     base = directory.rstrip("/")
     folder = f"{base}/v{version}-{uuid.uuid4().hex[:8]}"
     rows = []
-    spark = None
+    spark = SparkSession.active()
     for name, df in dfs.items():
-        spark = df.sparkSession
         path = f"{folder}/{name}"
         df.write.mode("error").parquet(path)
         rows.append((int(version), name, path, df.schema.json()))
-    if spark is None:
+    if not rows:
+        spark.createDataFrame([(int(version), None, None, None)], _MANIFEST_DDL).coalesce(1).write.mode(
+            "append"
+        ).parquet(f"{base}/{_MANIFEST}")
         return {}
-    manifest = spark.createDataFrame(rows, "version bigint, dataset string, path string, schema string")
+    manifest = spark.createDataFrame(rows, _MANIFEST_DDL)
     manifest.coalesce(1).write.mode("append").parquet(f"{base}/{_MANIFEST}")
     return {r[1]: r[2] for r in rows}
 
@@ -308,5 +341,5 @@ def load_snapshot(spark: SparkSession, directory: str) -> dict[str, DataFrame]:
     except PySparkException:
         return {}
     newest = manifest.select(F.max("version")).scalar()
-    rows = manifest.where(F.col("version") == newest).select("dataset", "path", "schema").collect()
+    rows = manifest.where((F.col("version") == newest) & F.col("dataset").isNotNull()).select("dataset", "path", "schema").collect()
     return {r.dataset: read_saved(spark, r.path, r.schema) for r in sorted(rows, key=lambda r: r.dataset)}
