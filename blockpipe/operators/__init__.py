@@ -12,7 +12,14 @@ from blockpipe.operators.clean import (
     standardize_values,
     standardized_names,
 )
-from blockpipe.operators.combine import DuplicateKeyError, integrate, join_on_condition, join_on_keys, union
+from blockpipe.operators.combine import (
+    AllPairsError,
+    SchemaClashError,
+    integrate,
+    join_on_condition,
+    join_on_keys,
+    union,
+)
 from blockpipe.operators.profile import (
     dataset_summary,
     preview,
@@ -37,7 +44,8 @@ from blockpipe.operators.transform import (
 )
 
 __all__ = [
-    "DuplicateKeyError",
+    "AllPairsError",
+    "SchemaClashError",
     "aggregate",
     "construct",
     "correct_types",

@@ -2,40 +2,48 @@
 
 from __future__ import annotations
 
+import contextlib
+import io
+import re
 from collections.abc import Mapping, Sequence
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, DecimalType, IntegralType
 
 from blockpipe.functions import as_column, quoted
 
 JOIN_KINDS = ("inner", "left", "right", "full", "left_semi", "left_anti")
 
 
-class DuplicateKeyError(ValueError):
-    """An input of ``integrate`` has more than one row for a key."""
+class SchemaClashError(ValueError):
+    """A column shared by several inputs has different types."""
 
 
 def integrate(
     dfs: Sequence[DataFrame] | Mapping[str, DataFrame],
     key: Sequence[str] | str,
     precedence: Sequence[str] | None = None,
-    on_duplicate: str = "merge",
+    on_duplicate: str = "error",
 ) -> DataFrame:
     """Merge the records of several tables into one row per key.
 
     For every column, the value comes from the first table in precedence
-    order (list order, or ``precedence`` names for a dict) whose value is not
-    null. For tables unique per key this is a full outer join plus
-    ``coalesce``; it is planned as one union and one aggregation: a single
-    shuffle for any number of tables, map-side combine, and one small buffer
-    per column, so a hot key costs one buffer row per task.
-
-    ``on_duplicate="merge"`` also merges repeated keys inside one table (the
-    smallest non-null value of the best table wins, so reruns agree).
-    ``"error"`` first checks every input for a repeated key (one aggregation
-    per input) and raises ``DuplicateKeyError``.
+    order (list order, or ``precedence`` names for a dict) whose record has one
+    that is not null. It is planned as one union and one aggregation: a single
+    shuffle for any number of tables, map-side combine, and one buffer per table,
+    so a hot key costs one buffer row per task. A record with a null in its key
+    matches no other and stays as it is.
+
+    Keys must be unique within a table: by default a repeated one makes the job that
+    computes the result fail (found in the same aggregation). With
+    ``on_duplicate="merge"`` a table's smallest record for the key (compared column by
+    column) stands for it, always as a whole.
+
+    A shared column must have one type everywhere (``SchemaClashError``); ``merge``
+    can't order records with map or variant columns (``ValueError``).
     """
     if on_duplicate not in ("merge", "error"):
         raise ValueError(f"on_duplicate must be 'merge' or 'error', got {on_duplicate!r}")
@@ -46,26 +54,59 @@ def integrate(
     else:
         frames = list(dfs)
         names = [str(i) for i in range(len(frames))]
+    kinds: dict[str, DataType] = {}
+    for name, df in zip(names, frames):
+        for f in df.schema.fields:
+            if kinds.setdefault(f.name, f.dataType) != f.dataType:
+                raise SchemaClashError(
+                    f"column {f.name!r} is {f.dataType.simpleString()} in dataset {name!r}, "
+                    f"elsewhere {kinds[f.name].simpleString()}"
+                )
+            if on_duplicate == "merge" and re.search("map<|variant", f.dataType.simpleString()):
+                raise ValueError(f"records with column {f.name!r} can't be ordered; remove it or repeated keys")
+    values = [c for c in kinds if c not in keys]
     key_cols = [quoted(k) for k in keys]
-    if on_duplicate == "error":
-        for name, df in zip(names, frames):
-            sizes = df.groupBy(*key_cols).agg(F.count(F.lit(1)).alias("_bp_n"))
-            if sizes.where("_bp_n > 1").limit(1).count():
-                raise DuplicateKeyError(f"dataset {name!r} has repeated values of {keys}")
-    tagged = [df.withColumn("_bp_prec", F.lit(i)) for i, df in enumerate(frames)]
-    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged)
-    value_cols: list[str] = []
-    for df in frames:
-        value_cols += [c for c in df.columns if c not in keys and c not in value_cols]
-    last = len(frames)
-    aggs = [
-        # (precedence, value), missing values ranked after every table
-        F.min(F.struct(F.when(quoted(c).isNotNull(), F.col("_bp_prec")).otherwise(last), quoted(c).alias("v")))
-        .getField("v")
-        .alias(c)
-        for c in value_cols
+    no_null = F.lit(True)
+    for k in key_cols:
+        no_null = no_null & k.isNotNull()
+
+    def record(df: DataFrame) -> Column:
+        own = [quoted(c).alias(f"v{i}") for i, c in enumerate(values) if c in df.columns]
+        return F.struct(*own) if own else F.struct(F.lit(0).alias("none"))
+
+    records = [record(df) for df in frames]
+    types = [df.select(r).schema[0].dataType for df, r in zip(frames, records)]
+    tagged = [
+        df.where(no_null).select(
+            *key_cols,
+            *[
+                (records[i] if i == j else F.lit(None).cast(types[i])).alias(f"_bp_r{i}")
+                for i in range(len(frames))
+            ],
+        )
+        for j, df in enumerate(frames)
+    ]
+    stacked = reduce(DataFrame.unionAll, tagged)
+    aggs = []
+    for i, name in enumerate(names):
+        row = F.col(f"_bp_r{i}")
+        if on_duplicate == "merge":
+            pick = F.min(row)
+        else:
+            clash = F.raise_error(F.lit(f"dataset {name!r} has a repeated value of {keys}"))
+            pick = F.when(F.count(row) > 1, clash).otherwise(F.any_value(row, True))
+        aggs.append(pick.alias(f"_bp_r{i}"))
+    merged = stacked.groupBy(*key_cols).agg(*aggs)
+    out = [
+        F.coalesce(*[F.col(f"_bp_r{i}").getField(f"v{j}") for i, df in enumerate(frames) if c in df.columns]).alias(c)
+        for j, c in enumerate(values)
     ]
-    return stacked.groupBy(*key_cols).agg(*aggs)
+    whole = merged.select(*key_cols, *out)
+    for df in frames:
+        alone = [quoted(c) if c in df.columns else F.lit(None).cast(kinds[c]).alias(c) for c in [*keys, *values]]
+        if any(df.schema[k].nullable for k in keys):
+            whole = whole.unionAll(df.where(~no_null).select(*alone))
+    return whole
 
 
 def join_on_keys(
@@ -95,45 +136,75 @@ def join_on_keys(
     return left.join(right, on=keys, how=how)
 
 
+class AllPairsError(ValueError):
+    """A join would compare every left row with every right row."""
+
+
+def _compares_all_pairs(joined: DataFrame) -> bool:
+    with contextlib.redirect_stdout(io.StringIO()) as plan:
+        joined.explain("simple")
+    return re.search("NestedLoopJoin|CartesianProduct", plan.getvalue()) is not None
+
+
 def join_on_condition(
     left: DataFrame,
     right: DataFrame,
     cond: str | Column,
     how: str = "inner",
     band: tuple[str | Column, str | Column, float, float] | None = None,
+    all_pairs: bool = False,
 ) -> DataFrame:
     """Join on any condition (theta join).
 
-    Without ``band`` Spark plans a nested-loop join, which compares all
-    pairs; use it for small inputs only. ``band=(l, r, lo, hi)`` states that
-    ``cond`` implies ``l + lo <= r <= l + hi``. Then both sides get a bucket
-    of width ``hi - lo``: the left row's bucket of ``l``, and the right row is
-    copied to the (at most two) left buckets that can match it. The join is
-    an equi-join on the bucket with ``cond`` as residual filter, so only
-    neighbouring values are compared. Each left row meets each right row at
-    most once, so outer, semi and anti joins stay exact.
+    A condition with an equality between the sides is an equi-join. One without is a
+    nested loop over all pairs, which must be asked for with ``all_pairs=True``
+    (else ``AllPairsError``), or a band join.
+
+    ``band=(l, r, lo, hi)`` states that ``cond`` implies ``l + lo <= r <= l + hi``.
+    Then both sides get buckets of width ``hi - lo``: the left row the bucket of
+    ``l``, and the right row is copied to the buckets of all left values that can
+    match it and one more on either side, which takes up any rounding of the
+    bucket arithmetic. The join is an equi-join on the bucket with ``cond`` as
+    residual filter. Each left row meets each right row at most once, so outer,
+    semi and anti joins stay exact. Right and full joins are the inner or left join
+    and the right rows that match nothing, found by the same band the other way.
+    Whole numbers and decimals are bucketed in decimal arithmetic.
     """
     if how not in JOIN_KINDS:
         raise ValueError(f"how must be one of {JOIN_KINDS}, got {how!r}")
     cond_col = F.expr(cond) if isinstance(cond, str) else cond
     if band is None:
-        return left.join(right, on=cond_col, how=how)
-    if how in ("right", "full"):
-        raise ValueError("band joins support inner, left, left_semi and left_anti")
+        joined = left.join(right, on=cond_col, how=how)
+        if not all_pairs and _compares_all_pairs(joined):
+            raise AllPairsError("the condition has no equality: give a band, or all_pairs=True for small inputs")
+        return joined
     l_col, r_col, lo, hi = band
-    width = float(hi) - float(lo)
-    if width <= 0:
+    if hi <= lo:
         raise ValueError("band must have hi > lo")
-    lv = as_column(l_col).cast("double")
-    rv = as_column(r_col).cast("double")
-    lb = left.withColumn("_bp_bl", F.floor(lv / width))
-    first = F.floor((rv - hi) / width)
-    last = F.floor((rv - lo) / width)
+    if how in ("right", "full"):
+        matched = join_on_condition(left, right, cond, "inner" if how == "right" else "left", band)
+        alone = join_on_condition(right, left, cond, "left_anti", (r_col, l_col, -hi, -lo))
+        nulls = [F.lit(None).cast(f.dataType) for f in left.schema.fields]
+        return matched.unionAll(alone.select(*nulls, *[alone[c] for c in alone.columns]))
+    lv, rv, lo, hi = _band_values(left, right, as_column(l_col), as_column(r_col), lo, hi)
+    width = hi - lo
+    lb = left.withColumn("_bp_bl", F.floor(lv / width).cast("bigint"))
+    first = F.floor((rv - hi) / width).cast("bigint") - 1
+    last = F.floor((rv - lo) / width).cast("bigint") + 1
     rb = right.withColumn("_bp_br", F.explode(F.sequence(first, last)))
     joined = lb.join(rb, on=(F.col("_bp_bl") == F.col("_bp_br")) & cond_col, how=how)
     return joined.drop("_bp_bl", "_bp_br")
 
 
+def _band_values(left, right, l_col, r_col, lo, hi):
+    """The band's values and bounds in decimals if both sides are exact, else doubles."""
+    kinds = [df.select(c).schema[0].dataType for df, c in ((left, l_col), (right, r_col))]
+    if all(isinstance(k, (IntegralType, DecimalType)) for k in kinds):
+        as_type, lo, hi = "decimal(28,8)", Decimal(str(lo)), Decimal(str(hi))
+        return l_col.cast(as_type), r_col.cast(as_type), F.lit(lo).cast("decimal(20,8)"), F.lit(hi).cast("decimal(20,8)")
+    return l_col.cast("double"), r_col.cast("double"), F.lit(float(lo)), F.lit(float(hi))
+
+
 def union(dfs: Sequence[DataFrame] | Mapping[str, DataFrame], distinct: bool = False) -> DataFrame:
     """Stack datasets with the same columns (by name) and types.
 

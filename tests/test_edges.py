@@ -40,7 +40,7 @@ CASES = {
     "reduce_rows": lambda df: ops.reduce_rows(df, 0.5, "id"),
     "feature_scores": lambda df: ops.feature_scores(df, ["v", "t"], "id"),
     "scale": lambda df: ops.extract_features(df, ["v"], "scale"),
-    "integrate": lambda df: ops.integrate([df, df], "id"),
+    "integrate": lambda df: ops.integrate([df, df], "id", on_duplicate="merge"),
     "union": lambda df: ops.union([df, df], distinct=True),
     "band_join": lambda df: ops.join_on_condition(
         df.alias("a"), df.alias("b"), "a.v < b.v and b.v < a.v + 2", band=("a.v", "b.v", 0, 2)
