@@ -17,15 +17,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import (
-    ArrayType,
-    DataType,
     DateType,
     DecimalType,
     DoubleType,
     FloatType,
     MapType,
     StringType,
-    StructType,
     TimestampNTZType,
     TimestampType,
 )
@@ -95,15 +92,18 @@ def _empty(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], RESULT_DDL)
 
 
-def _groupable(t: DataType) -> bool:
-    """Whether rows can be grouped on a column of this type (maps cannot)."""
-    if isinstance(t, MapType):
-        return False
-    if isinstance(t, ArrayType):
-        return _groupable(t.elementType)
-    if isinstance(t, StructType):
-        return all(_groupable(f.dataType) for f in t.fields)
-    return True
+def _row_digest(df: DataFrame) -> Column:
+    """16 bytes that stand for a whole row: the MD5 of its JSON, nulls included, map
+    entries in key order, minus zero as zero."""
+    parts = []
+    for i, f in enumerate(df.schema.fields):
+        c = quoted(f.name)
+        if isinstance(f.dataType, MapType):
+            c = F.array_sort(F.map_entries(c))
+        elif isinstance(f.dataType, (DoubleType, FloatType)):
+            c = c + F.lit(0.0)
+        parts.append(c.alias(f"c{i}"))
+    return F.unhex(F.md5(F.to_json(F.struct(*parts), {"ignoreNullFields": "false"})))
 
 
 def recommend_cleaning(dfs: Mapping[str, DataFrame], limit: int = DEFAULT_LIMIT) -> DataFrame:
@@ -113,11 +113,9 @@ def recommend_cleaning(dfs: Mapping[str, DataFrame], limit: int = DEFAULT_LIMIT)
     trailing whitespace -> ``standardize_text``; text whose values all parse
     as numbers -> ``correct_types``; repeated rows -> ``drop_duplicates``.
 
-    One pass per dataset: rows are grouped on all columns (the duplicate
-    count needs it; copies collapse map-side), and every rule counter is a
-    sum over the distinct rows weighted by their counts. A dataset with map
-    columns cannot be grouped: its counters come from the rows directly and
-    the duplicate rule is skipped.
+    Two scans per dataset: one aggregation for all counters, which shuffles one row
+    per task, and one that counts repeated rows by a 16-byte digest of the row, so
+    long texts are never shuffled. Columns of any type are allowed.
     """
     parts = []
     spark = None
@@ -125,15 +123,9 @@ def recommend_cleaning(dfs: Mapping[str, DataFrame], limit: int = DEFAULT_LIMIT)
         spark = df.sparkSession
         if not df.columns:
             continue
-        grouped = all(_groupable(f.dataType) for f in df.schema.fields)
-        if grouped:
-            src = df.groupBy(*[quoted(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("_bp_w"))
-            weight = F.col("_bp_w")
-        else:
-            src, weight = df, F.lit(1)
 
         def tally(cond: Column) -> Column:
-            return F.coalesce(F.sum(F.when(cond, weight)), F.lit(0)).cast("bigint")
+            return F.count_if(cond)
 
         aggs, cands = [], []
         for i, f in enumerate(df.schema.fields):
@@ -156,12 +148,12 @@ def recommend_cleaning(dfs: Mapping[str, DataFrame], limit: int = DEFAULT_LIMIT)
                 cands.append(_candidate(0, name, f.name, "correct_types",
                                         _text(CLEANING_REASONS["correct_types"], c=f.name, n=cnt), cnt,
                                         (cnt > 0) & (num == cnt)))
-        if grouped:
-            aggs.append(F.coalesce(F.sum(weight - 1), F.lit(0)).cast("bigint").alias("_bp_dup"))
-            n = F.col("_bp_dup")
-            cands.append(_candidate(0, name, "*", "drop_duplicates",
-                                    _text(CLEANING_REASONS["drop_duplicates"], d=name, n=n), n, n > 0))
-        parts.append(src.agg(*aggs).select(F.inline(F.array(*cands))))
+        copies = df.groupBy(_row_digest(df).alias("_bp_d")).agg((F.count(F.lit(1)) - 1).alias("_bp_n"))
+        extra = copies.agg(F.coalesce(F.sum("_bp_n"), F.lit(0)).cast("bigint").alias("_bp_dup"))
+        n = F.col("_bp_dup")
+        repeated = _candidate(0, name, "*", "drop_duplicates",
+                              _text(CLEANING_REASONS["drop_duplicates"], d=name, n=n), n, n > 0)
+        parts += [df.agg(*aggs).select(F.inline(F.array(*cands))), extra.select(F.inline(F.array(repeated)))]
     if not parts:
         return _empty(spark) if spark else None
     cands = reduce(DataFrame.unionAll, parts).where("keep")
@@ -183,13 +175,13 @@ def recommend_transformations(dfs: Mapping[str, DataFrame], limit: int = DEFAULT
     datasets with columns of the same name and type -> ``join_on_keys``; two
     datasets with equal schemas -> ``union``. The last two compare schemas
     on the driver; their ``affected_rows`` are the rows of the first dataset
-    (join) or of both (union), counted in the same per-dataset aggregation.
+    (join) or of both (union), counted in the same per-dataset aggregation: every
+    dataset is scanned once, however many pairs there are.
     """
     prio = {t: i for i, t in enumerate(TRANSFORMATION_PRIORITY)}
     parts = []
     spark = None
     names = list(dfs)
-    one_row: dict[str, DataFrame] = {}
     for name, df in dfs.items():
         spark = df.sparkSession
         aggs, cands = [], []
@@ -214,33 +206,34 @@ def recommend_transformations(dfs: Mapping[str, DataFrame], limit: int = DEFAULT
                 cands.append(_candidate(prio["discretize"], name, f.name, "discretize",
                                         _text(TRANSFORMATION_REASONS["discretize"], c=f.name), cnt, cnt > 0))
         aggs.append(F.count(F.lit(1)).alias("_bp_rows"))
-        one_row[name] = df.agg(*aggs)
-        if cands:
-            parts.append(one_row[name].select(F.inline(F.array(*cands))))
+        cands.append(_candidate(-1, name, None, "rows", F.lit(""), F.col("_bp_rows"), F.lit(True)))
+        parts.append(df.agg(*aggs).select(F.inline(F.array(*cands))))
+    if not parts:
+        return _empty(spark) if spark else None
+    # all single-dataset candidates and row counts in one row (its size is the schemas')
+    one = reduce(DataFrame.unionAll, parts).agg(F.collect_list(F.struct("*")).alias("all"))
+    counts = F.map_from_entries(
+        F.transform(
+            F.filter("all", lambda x: x["technique"] == "rows"), lambda x: F.struct(x["dataset"], x["affected_rows"])
+        )
+    )
+    one = one.withColumn("counts", counts)
+    found = []
     for i, a in enumerate(names):
         for b in names[i + 1:]:
             sa = {f.name: f.dataType for f in dfs[a].schema.fields}
             sb = {f.name: f.dataType for f in dfs[b].schema.fields}
             shared = [c for c in sa if c in sb and sa[c] == sb[c]]
-            if not shared and sa != sb:
-                continue
-            # rows of each dataset: a's one-row table, b's count as a scalar subquery
-            rows = one_row[a].select(
-                F.col("_bp_rows").alias("_bp_ra"), one_row[b].select("_bp_rows").scalar().alias("_bp_rb")
-            )
-            pair = f"{a}, {b}"
-            found = []
+            pair, rows_a, rows_b = f"{a}, {b}", F.col("counts")[a], F.col("counts")[b]
             if shared:
                 cols = ", ".join(shared)
                 reason = TRANSFORMATION_REASONS["join_on_keys"].format(d=a, e=b, c=cols)
                 found.append(_candidate(prio["join_on_keys"], pair, cols, "join_on_keys", F.lit(reason),
-                                        F.col("_bp_ra"), F.lit(True)))
+                                        rows_a, F.lit(True)))
             if sa == sb:
                 reason = TRANSFORMATION_REASONS["union"].format(d=a, e=b)
                 found.append(_candidate(prio["union"], pair, "*", "union", F.lit(reason),
-                                        F.col("_bp_ra") + F.col("_bp_rb"), F.lit(True)))
-            parts.append(rows.select(F.inline(F.array(*found))))
-    if not parts:
-        return _empty(spark) if spark else None
-    cands = reduce(DataFrame.unionByName, parts).where("keep")
+                                        rows_a + rows_b, F.lit(True)))
+    every = F.concat(F.col("all"), F.array(*found)) if found else F.col("all")
+    cands = one.select(F.inline(every)).where("keep and technique <> 'rows'")
     return _rank(cands, [F.col("priority"), F.col("dataset"), F.col("column_name")], limit)
