@@ -10,12 +10,14 @@ or DataFrames (or catalog table names) passed in ``sources`` and referenced as
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
-_SOURCE_REF = re.compile(r"\{\{\s*source\(\s*['\"]([^'\"]+)['\"]\s*,\s*['\"]([^'\"]+)['\"]\s*\)\s*\}\}")
+_SOURCE_REF = re.compile(r"\{\{\s*source\(\s*['\"]([^'\"]+)['\"]\s*(?:,\s*['\"]([^'\"]+)['\"]\s*)?\)\s*\}\}")
+# Fixed value: the schema of models and sources that name none.
+DEFAULT_SCHEMA = "main"
 
 
 class ModelError(RuntimeError):
@@ -27,8 +29,20 @@ def _quote(name: str) -> str:
 
 
 def resolve_sources(sql: str) -> str:
-    """``{{ source('s', 't') }}`` becomes the catalog name `s`.`t`."""
-    return _SOURCE_REF.sub(lambda m: f"{_quote(m.group(1))}.{_quote(m.group(2))}", sql)
+    """``{{ source('s', 't') }}`` becomes the catalog name `s`.`t`, and
+    ``{{ source('t') }}`` that of `t` in the default schema."""
+    def name(m):
+        schema, table = (m.group(1), m.group(2)) if m.group(2) else (DEFAULT_SCHEMA, m.group(1))
+        return f"{_quote(schema)}.{_quote(table)}"
+
+    return _SOURCE_REF.sub(name, sql)
+
+
+def _only_named(sql: str, names: Sequence[str]) -> str:
+    """Braces that are no ``{name}`` of a given source, doubled: they are text."""
+    named = "|".join(re.escape(n) for n in sorted(names, key=len, reverse=True))
+    parts = re.split(rf"(\{{(?:{named})\}})", sql) if named else [sql]
+    return "".join(p if i % 2 else p.replace("{", "{{").replace("}", "}}") for i, p in enumerate(parts))
 
 
 def run_model(
@@ -47,7 +61,7 @@ def run_model(
     ``materialized="view"``: a temporary view ``name`` without ``schema``, a
     catalog view ``schema.name`` with one (its sources must then be catalog
     tables). ``"table"``: written as table ``schema.name`` (default schema
-    ``default``), replacing an earlier run. ``comments`` maps column names to
+    ``main``), replacing an earlier run. ``comments`` maps column names to
     descriptions, stored as column comments. A schema that does not exist yet
     is created, at ``location`` when given (a shared folder).
     """
@@ -56,14 +70,14 @@ def run_model(
     text = resolve_sources(sql)
     try:
         frames = {k: spark.table(v) if isinstance(v, str) else v for k, v in (sources or {}).items()}
-        df = spark.sql(text, **frames)
+        df = spark.sql(_only_named(text, list(frames)), **frames) if frames else spark.sql(text)
         for col, note in (comments or {}).items():
             df = df.withMetadata(col, {**df.schema[col].metadata, "comment": note})
         if materialized == "view" and schema is None:
             df.createOrReplaceTempView(name)
             return spark.table(_quote(name))
-        target = f"{_quote(schema or 'default')}.{_quote(name)}"
-        ensure_database(spark, schema or "default", location)
+        target = f"{_quote(schema or DEFAULT_SCHEMA)}.{_quote(name)}"
+        ensure_database(spark, schema or DEFAULT_SCHEMA, location)
         if materialized == "view":
             if sources:
                 raise ModelError("a catalog view needs catalog sources, not DataFrames")
