@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DataType
+from pyspark.sql.types import DataType, IntegralType, StringType, StructField, StructType
 
 from blockpipe.functions import present, quoted, standardize_name, strip_whitespace
 from blockpipe.plans.ranking import (
@@ -18,10 +18,6 @@ from blockpipe.plans.ranking import (
 )
 from blockpipe.plans.sizing import broadcast_if_small
 
-# Mappings up to this many entries become a map literal inside the projection
-# (no join, no shuffle); larger ones are joined as a table.
-MAP_LITERAL_MAX_ENTRIES = 10_000
-
 
 def drop_missing(
     df: DataFrame,
@@ -47,7 +43,9 @@ def drop_duplicates(
     (``dropDuplicates``). With ``keep_by`` the row with the smallest
     (``keep="first"``) or largest (``keep="last"``) ``keep_by`` values
     survives, ties broken by the remaining columns, so reruns agree. Both are
-    one hash aggregation with map-side combine; a hot key costs one buffer row.
+    one aggregation with map-side combine; a hot key costs one buffer row. Rows with
+    text or nested columns are kept by sorting each partition, as such buffers are
+    not of fixed width.
     """
     if keep_by is None:
         return df.dropDuplicates(list(subset) if subset else None)
@@ -103,6 +101,9 @@ def impute(
     if strategy == "constant":
         if value is None:
             raise ValueError("constant imputation needs a value")
+        for c in cols:
+            if isinstance(df.schema[c].dataType, IntegralType) and isinstance(value, float) and not value.is_integer():
+                raise ValueError(f"{value!r} is no whole number, but column {c!r} holds only such")
         filled = {c: F.coalesce(present(df, c), F.lit(value).cast(df.schema[c].dataType)) for c in cols}
         return df.withColumns(filled)
 
@@ -119,6 +120,7 @@ def impute(
     if not by:
         # a global statistic is one value: a scalar subquery, computed once
         filled = {}
+        modes = group_modes(df, cols, [], [f"_bp_fill_{x}" for x in cols]) if strategy == "mode" else None
         for c in cols:
             if strategy == "mean":
                 stat = df.select(F.avg(present(df, c))).scalar()
@@ -127,7 +129,6 @@ def impute(
             elif strategy == "median":
                 stat = quantiles(df, present(df, c), [0.5], approx=approx, method=quantile_method).scalar()
             else:
-                modes = group_modes(df, cols, [], [f"_bp_fill_{x}" for x in cols])
                 stat = modes.select(f"_bp_fill_{c}").scalar().cast(df.schema[c].dataType)
             filled[c] = F.coalesce(present(df, c), stat)
         return df.withColumns(filled)
@@ -194,9 +195,9 @@ def standardize_text(
         if strip:
             e = strip_whitespace(e)
         if spaces == "remove":
-            e = F.regexp_replace(e, r"\s+", "")
+            e = F.regexp_replace(e, r"(?U)\s+", "")
         elif spaces == "collapse":
-            e = F.regexp_replace(e, r"\s+", " ")
+            e = F.regexp_replace(e, r"(?U)\s+", " ")
         if case == "upper":
             e = F.upper(e)
         elif case == "lower":
@@ -207,6 +208,20 @@ def standardize_text(
     return df.withColumns(out)
 
 
+def _mapping_rows(mapping: Mapping, text: bool) -> list[tuple]:
+    """The entries of a dict; for a text column both sides as text."""
+    def as_text(x):
+        return x if x is None or isinstance(x, str) else str(x)
+
+    rows: dict = {}
+    for k, v in mapping.items():
+        k, v = (as_text(k), as_text(v)) if text else (k, v)
+        if k in rows and rows[k] != v:
+            raise ValueError(f"value {k!r} is mapped to both {rows[k]!r} and {v!r}")
+        rows[k] = v
+    return [(k, v) for k, v in rows.items() if k is not None and v is not None]
+
+
 def map_values(
     df: DataFrame,
     col: str,
@@ -215,29 +230,26 @@ def map_values(
 ) -> DataFrame:
     """Replace variants by one form; unmapped values stay as they are.
 
-    A mapping given as a dict of up to ``MAP_LITERAL_MAX_ENTRIES`` entries is
-    a map literal in the projection: no join and no shuffle. A larger dict,
-    or a DataFrame ``(from, to)``, is a left join on the value; adaptive
-    execution broadcasts it when its measured size is small.
+    ``mapping`` is a dict or a DataFrame ``(from, to)``; either is a table of the
+    column's type, left-joined on the value, whatever its size (Spark broadcasts it
+    if it is small). A null ``from`` matches nothing and a null ``to`` changes
+    nothing. A value with two different targets is an error: at once in a dict, when
+    the result is computed for a DataFrame.
     """
     out = out or col
-    if isinstance(mapping, Mapping) and len(mapping) <= MAP_LITERAL_MAX_ENTRIES:
-        if not mapping:
-            return df.withColumn(out, F.col(col))
-        lit_map = F.create_map(*[F.lit(x) for kv in mapping.items() for x in kv])
-        return df.withColumn(out, F.coalesce(F.try_element_at(lit_map, F.col(col)), F.col(col)))
+    kind = df.schema[col].dataType
     if isinstance(mapping, Mapping):
-        key_type = df.schema[col].dataType.simpleString()
-        table = df.sparkSession.createDataFrame(
-            list(mapping.items()), f"_bp_from {key_type}, _bp_to {key_type}"
-        )
+        rows = _mapping_rows(mapping, isinstance(kind, StringType))
+        ddl = StructType([StructField("_bp_from", kind), StructField("_bp_to", kind)])
+        table = df.sparkSession.createDataFrame(rows, ddl)
     else:
         a, b = mapping.columns[:2]
-        table = mapping.select(F.col(a).alias("_bp_from"), F.col(b).alias("_bp_to"))
-    # one target per value; a value mapped twice takes the smallest target
-    table = table.groupBy("_bp_from").agg(F.min("_bp_to").alias("_bp_to"))
-    joined = df.join(table, df[col] == table["_bp_from"], "left")
-    return joined.withColumn(out, F.coalesce(F.col("_bp_to"), F.col(col))).drop("_bp_from", "_bp_to")
+        pairs = mapping.select(quoted(a).cast(kind).alias("_bp_from"), quoted(b).cast(kind).alias("_bp_to"))
+        clash = F.raise_error(F.concat(F.lit("a value is mapped to several targets: "), F.col("_bp_from").cast("string")))
+        one = F.when(F.min("_bp_to") != F.max("_bp_to"), clash.cast(kind)).otherwise(F.min("_bp_to"))
+        table = pairs.where("_bp_from is not null").groupBy("_bp_from").agg(one.alias("_bp_to"))
+    joined = df.join(table, quoted(col) == F.col("_bp_from"), "left")
+    return joined.withColumn(out, F.coalesce(F.col("_bp_to"), quoted(col))).drop("_bp_from", "_bp_to")
 
 
 def standardized_names(names: Sequence[str]) -> list[str]:

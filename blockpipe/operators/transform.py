@@ -2,31 +2,48 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from blockpipe.functions import as_column, present
-from blockpipe.plans.ranking import WINDOW_MAX_GROUP_ROWS, largest_group, null_safe_join, quantiles, rank_within
+from blockpipe.plans.ranking import WINDOW_MAX_GROUP_ROWS, largest_group, null_safe_join, quantiles, rank_within, row_hash
 from blockpipe.plans.sizing import broadcast_if_small
 
 
 # --- D1-D3: time and text -------------------------------------------------------
 
 
+def _utc_clock(instant: Column) -> Column:
+    """The clock time of an instant in UTC, whatever the session's zone is."""
+    seconds = (F.unix_micros(instant).cast("decimal(20,0)") / F.lit(1_000_000).cast("decimal(8,0)")).cast("decimal(18,6)")
+    return F.lit("1970-01-01").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds)
+
+
+def _parsed_clock(c: Column, fmt: str) -> Column:
+    bare = re.sub(r"'[^']*'", "", fmt)
+    if re.search(r"[VzOXxZ]", bare):  # the text names its own zone
+        return _utc_clock(F.try_to_timestamp(c, F.lit(fmt)))
+    return _utc_clock(F.try_to_timestamp(F.concat(c, F.lit(" +00:00")), F.lit(fmt + " XXX")))
+
+
 def parse_time(
     df: DataFrame, col: str, fmt: str | Sequence[str] | None = None, out: str | None = None
 ) -> DataFrame:
     """Text to ``timestamp_ntz``; text that does not parse becomes null.
-    ``fmt`` may list several patterns: the first that parses a value wins."""
-    c = F.col(col)
+    ``fmt`` may list several patterns: the first that parses a value wins. Clock
+    times stay as written; text that names a zone is turned into UTC. Neither
+    depends on the session's time zone."""
+    c = F.col(col).cast("string")
     if fmt is None:
-        parsed = F.try_to_timestamp(c)
+        zoned = c.rlike(r"(?i)\d{1,2}:.*(Z|[+-]\d{1,2}(:?\d{2})?|\[?[A-Z]+/[A-Z_]+\]?|\b(UTC|GMT)\S*)\s*$")
+        parsed = F.when(zoned, _utc_clock(c.try_cast("timestamp"))).otherwise(c.try_cast("timestamp_ntz"))
     else:
         fmts = [fmt] if isinstance(fmt, str) else list(fmt)
-        parsed = F.coalesce(*[F.try_to_timestamp(c, F.lit(f)) for f in fmts])
-    return df.withColumn(out or col, parsed.cast("timestamp_ntz"))
+        parsed = F.coalesce(*[_parsed_clock(c, f) for f in fmts])
+    return df.withColumn(out or col, parsed)
 
 
 TIME_UNITS = ("YEAR", "QUARTER", "MONTH", "WEEK", "DAY", "HOUR", "MINUTE", "SECOND")
@@ -49,11 +66,11 @@ def split_column(
     into: Sequence[str],
     sep: str = " ",
     drop: bool = False,
-    keep_rest: bool = False,
+    keep_rest: bool = True,
 ) -> DataFrame:
     """Split ``col`` on the literal ``sep`` into the columns ``into``;
-    missing or empty parts are null. Parts beyond ``len(into)`` are dropped,
-    or with ``keep_rest`` left joined in the last column."""
+    missing or empty parts are null. Parts beyond ``len(into)`` stay joined in the
+    last column; ``keep_rest=False`` drops them."""
     limit = len(into) if keep_rest else -1
     parts = F.split(F.col(col), "\\Q" + sep + "\\E", limit)
     new = {name: F.nullif(F.get(parts, i), F.lit("")) for i, name in enumerate(into)}
@@ -98,6 +115,7 @@ def smooth(
     """
     keys = [partition_by] if isinstance(partition_by, str) else list(partition_by)
     order = [order_by] if isinstance(order_by, str) else list(order_by)
+    order = [*order, row_hash(df)]  # rows tied in the given order come in one order in every run and plan
     out = out or col
     if window < 1:
         raise ValueError("window must be at least 1")
@@ -140,11 +158,13 @@ def smooth(
         )
         fix, _ = broadcast_if_small(fix)
         ranked = null_safe_join(ranked, fix, [*keys, "_bp_pos"], "left")
-        total_s = F.coalesce(F.col("_bp_s"), F.lit(0.0)) + F.coalesce(F.col("_bp_fs"), F.lit(0.0))
+        zero = F.lit(0).cast(ranked.schema["_bp_s"].dataType)
+        total_s = F.coalesce(F.col("_bp_s"), zero) + F.coalesce(F.col("_bp_fs"), zero)
         total_c = F.col("_bp_c") + F.coalesce(F.col("_bp_fc"), F.lit(0))
     else:
         total_s, total_c = F.col("_bp_s"), F.col("_bp_c")
-    avg = F.when(total_c >= min_periods, total_s / total_c)
+    # the type that the plain window gives
+    avg = F.when(total_c >= min_periods, (total_s / total_c).cast(df.select(F.avg(present(df, col))).schema[0].dataType))
     return ranked.withColumn(out, avg).select(*[c for c in df.columns], *([out] if out not in df.columns else []))
 
 
@@ -290,9 +310,9 @@ def reduce_rows(
 ) -> DataFrame:
     """Keep a repeatable share of rows, chosen by ``key``.
 
-    ``method="hash"``: keep rows with ``pmod(xxhash64(key, seed), 2^20) <
-    fraction * 2^20``; the same keys survive every run and on every engine
-    layout. ``fraction`` may be a ``{stratum: fraction}`` dict with
+    ``method="hash"``: keep rows whose first 20 bits of ``md5("seed|key|...")``
+    are below ``fraction * 2^20`` (keys as text, null as empty); the same keys
+    survive in every run, and in any engine that has md5. ``fraction`` may be a ``{stratum: fraction}`` dict with
     ``strata`` naming the column (stratified; strata not listed are dropped).
     ``method="modulo"``: systematic sample of an integral key, keeping
     ``pmod(key + seed, modulus) < fraction * modulus``.
@@ -308,7 +328,8 @@ def reduce_rows(
     else:
         frac = F.lit(float(fraction))
     if method == "hash":
-        bucket = F.pmod(F.xxhash64(F.lit(seed), *[F.col(k) for k in keys]), F.lit(_HASH_BUCKETS))
+        text = F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys])
+        bucket = F.conv(F.left(F.md5(text), F.lit(5)), 16, 10).cast("int")
         keep = bucket < frac * _HASH_BUCKETS
     elif method == "modulo":
         if len(keys) != 1 or not modulus:
@@ -393,9 +414,9 @@ def extract_features(
     (``ddof=0``) standard deviation; ``minmax``: to ``[0, 1]`` (statistics
     as scalar subqueries, merged into one aggregation). ``pca``: the scores on the first ``k`` principal
     components of the centered columns, as an array column ``out``. The
-    means and the covariance matrix come from one aggregation; only that
-    ``len(cols)``-square matrix reaches the driver, for its eigenvectors; the
-    projection is a plain column expression. Rows with a missing value are
+    means come from one aggregation, the components from Spark ML's PCA (a tree
+    aggregation of vectors; only the ``len(cols)``-square covariance reaches the
+    driver); the projection is a plain column expression. Rows with a missing value are
     left out of the fit and get null scores. Each component's sign is fixed
     so that its largest loading is positive.
     """
@@ -421,34 +442,32 @@ def extract_features(
 
 def _pca(df: DataFrame, cols: Sequence[str], k: int, out: str) -> DataFrame:
     import numpy as np
+    from pyspark.ml.feature import PCA
+    from pyspark.ml.functions import array_to_vector
 
     d = len(cols)
     if not 1 <= k <= d:
         raise ValueError(f"k must be between 1 and {d}")
-    xs = [present(df, c).cast("double") for c in cols]
-    complete = F.lit(True)
-    for x in xs:
-        complete = complete & x.isNotNull()
-    fit = [F.when(complete, x) for x in xs]
-    aggs = [F.avg(x).alias(f"m{i}") for i, x in enumerate(fit)]
-    aggs += [F.covar_samp(fit[i], fit[j]).alias(f"c{i}_{j}") for i in range(d) for j in range(i, d)]
-    row = df.agg(*aggs).first()  # d means and d(d+1)/2 covariances
+    values = F.array(*[present(df, c).cast("double") for c in cols])
+    vectors = df.select(values.alias("v")).where(~F.exists("v", lambda x: x.isNull()))
+    row = vectors.agg(*[F.avg(F.col("v")[i]).alias(f"m{i}") for i in range(d)]).first()
+    if row is None or row["m0"] is None:  # no complete row
+        return df.withColumn(out, F.lit(None).cast("array<double>"))
     means = np.array([row[f"m{i}"] for i in range(d)], dtype=float)
-    cov = np.zeros((d, d))
-    for i in range(d):
-        for j in range(i, d):
-            cov[i, j] = cov[j, i] = row[f"c{i}_{j}"]
-    vals, vecs = np.linalg.eigh(cov)
-    order = np.argsort(vals)[::-1][:k]
-    comps = vecs[:, order]
+
+    def centred(v: Column) -> Column:
+        return F.zip_with(v, F.lit(means.tolist()), lambda x, m: x - m)
+
+    fitted = PCA(k=k, inputCol="v", outputCol="p").fit(vectors.select(array_to_vector(centred(F.col("v"))).alias("v")))
+    comps = fitted.pc.toArray().copy()  # len(cols) by k
     for j in range(k):
         if comps[np.argmax(np.abs(comps[:, j])), j] < 0:
             comps[:, j] = -comps[:, j]
-    scores = []
-    for j in range(k):
-        terms = [(xs[i] - float(means[i])) * float(comps[i, j]) for i in range(d)]
-        total = terms[0]
-        for t in terms[1:]:
-            total = total + t
-        scores.append(F.when(complete, total))
-    return df.withColumn(out, F.array(*scores))
+    # a missing value makes every score null
+    scores = [
+        F.aggregate(F.zip_with("_bp_v", F.lit(comps[:, j].tolist()), lambda x, w: x * w), F.lit(0.0), lambda a, x: a + x)
+        for j in range(k)
+    ]
+    missing = F.exists("_bp_v", lambda x: x.isNull())
+    scored = df.withColumn("_bp_v", centred(values))
+    return scored.withColumn(out, F.array(*[F.when(~missing, s) for s in scores])).drop("_bp_v")

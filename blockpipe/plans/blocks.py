@@ -56,33 +56,30 @@ def run_block(fn: Callable[..., Any], df: DataFrame | Mapping[str, DataFrame] |
         if df is None:
             raise TypeError("a block returned a Column but has no upstream DataFrame")
         return df.select(result)
-    raise TypeError(f"Return value must be a DataFrame or Column, but got {type(result)}")
+    name = getattr(fn, "__name__", repr(fn))
+    raise TypeError(f"block {name!r} gave a {type(result).__name__}; a block gives a DataFrame or one Column")
 
 
 class GroupTooLargeError(RuntimeError):
     """A group is too big to hand to one pandas call."""
 
 
-# Default cap on the rows of one group given to one pandas call.
-MAX_GROUP_ROWS = 2_000_000
-
-
 def pandas_block(
     df: DataFrame,
     fn: Callable,
     schema: str,
     keys: Sequence[str] | None = None,
-    max_group_rows: int | None = MAX_GROUP_ROWS,
+    max_group_rows: int | None = None,
 ) -> DataFrame:
     """Run pandas code at scale.
 
     With ``keys``, ``fn(pandas.DataFrame) -> pandas.DataFrame`` runs once per
     group (``applyInPandas``): use it when the code needs whole groups. A
     group is one task's work and one pandas frame in memory, so a hot key
-    cannot be split without changing what ``fn`` sees. The largest group is
-    therefore measured first (one aggregation with map-side combine) and a
-    group above ``max_group_rows`` raises ``GroupTooLargeError`` before any
-    pandas code runs; ``None`` skips the check. Without keys, ``fn`` maps each
+    cannot be split without changing what ``fn`` sees. With ``max_group_rows`` the
+    largest group is measured first (one aggregation with map-side combine), and a
+    bigger one raises ``GroupTooLargeError`` before any pandas code runs; by
+    default any group is passed on. Without keys, ``fn`` maps each
     Arrow batch (``mapInPandas``) and must be row-wise. Whole-frame pandas
     code is not supported: it cannot scale.
     """

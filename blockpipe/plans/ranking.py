@@ -41,6 +41,7 @@ from blockpipe.session import checkpoint_root
 
 _RID = "_bp_rid"
 _PART = "_bp_part"
+_SEQ = "_bp_seq"
 
 # Largest group the simple plans may give to one task: Spark's exact
 # ``percentile`` keeps every distinct value of a group in one buffer, a plain
@@ -58,6 +59,13 @@ def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
     return sizes.agg(F.max("_bp_n")).first()[0] or 0
 
 
+def row_hash(df: DataFrame) -> Column:
+    """A hash of the whole row (but for types without one), to order tied rows."""
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    hashed = [quoted(n) for n, t in kinds.items() if "map<" not in t and "variant" not in t]
+    return F.xxhash64(*hashed) if hashed else F.lit(0).cast("bigint")
+
+
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str):
     """Join on ``keys`` treating null = null; one copy of each key column
     (a full join takes the key from whichever side has the row)."""
@@ -87,19 +95,23 @@ def rank_within(
 ) -> DataFrame:
     """Add ``pos_col``: the 0-based position of each row among rows of its key,
     in ``order_by`` order (ascending, nulls first). ``size_col`` adds the key's
-    row count. Ties get distinct, arbitrary positions, like ``row_number``.
+    row count. Ties get distinct positions, like ``row_number``, in the order of a
+    hash of the row; they count for the range partitioning too, so rows of one key and
+    one order value are cut into many partitions, and equal rows by their place.
 
     With ``weight`` (a non-negative integer column, e.g. a count of collapsed
     duplicates) a row's position is the total weight of the rows before it,
     and the size is the key's total weight.
     """
     keys = list(keys)
-    sort_cols = [F.col(k) for k in keys] + [as_column(o) for o in order_by]
+    sort_cols = [F.col(k) for k in keys] + [as_column(o) for o in order_by] + [row_hash(df), F.col(_SEQ)]
     # no fixed count: adaptive execution sizes the range partitions from the
     # data (merging neighbours keeps every partition a contiguous range)
     ranged = (
-        df.repartitionByRange(*sort_cols)
+        df.withColumn(_SEQ, F.monotonically_increasing_id())
+        .repartitionByRange(*sort_cols)
         .sortWithinPartitions(*sort_cols)
+        .drop(_SEQ)
         # upper 31 bits: partition index; lower 33 bits: row index in the sorted partition
         .withColumn(_RID, F.monotonically_increasing_id())
     )
@@ -190,13 +202,14 @@ def quantiles(
             F.max(F.when(covers(lo[i]), F.col("_bp_v"))).alias(f"_bp_lo{i}"),
             F.max(F.when(covers(hi[i]), F.col("_bp_v"))).alias(f"_bp_hi{i}"),
             F.max(F.lit(float(p)) * last - lo[i]).alias(f"_bp_f{i}"),
+            F.max(hi[i] - F.lit(float(p)) * last).alias(f"_bp_g{i}"),
         ]
     picked = ranked.where(wanted).groupBy(*by).agg(*aggs)
+    # the same arithmetic as ``percentile``, so both methods give equal edges
     out = [
-        (
-            F.col(f"_bp_lo{i}")
-            + F.col(f"_bp_f{i}") * (F.col(f"_bp_hi{i}") - F.col(f"_bp_lo{i}"))
-        ).alias(nm)
+        F.when(F.col(f"_bp_lo{i}") == F.col(f"_bp_hi{i}"), F.col(f"_bp_lo{i}"))
+        .otherwise(F.col(f"_bp_g{i}") * F.col(f"_bp_lo{i}") + F.col(f"_bp_f{i}") * F.col(f"_bp_hi{i}"))
+        .alias(nm)
         for i, nm in enumerate(names)
     ]
     return picked.select(*by, *out)

@@ -5,36 +5,29 @@ have as many rows as there are groups, which nothing bounds in advance. A
 planner estimate for such a table is a guess, and adaptive execution decides
 only after the big side has already been shuffled. So the derived table is
 materialized once (checkpointed to the shared checkpoint folder; it is small
-next to the data it summarizes), counted, and broadcast only when its rows
-times its row width fit under ``spark.sql.autoBroadcastJoinThreshold``.
+next to the data it summarizes), its bytes are counted, and it is broadcast only
+when they fit under ``spark.sql.autoBroadcastJoinThreshold``.
 Otherwise it stays a normal join input and Spark shuffles both sides.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import (
-    ArrayType,
-    BinaryType,
-    DataType,
-    MapType,
-    StringType,
-    StructType,
-)
+from pyspark.sql.types import AtomicType, BinaryType, StringType, StructField
 
+from blockpipe.functions import quoted
 from blockpipe.session import checkpoint_root
 
 
-def _width(t: DataType) -> int:
-    """A generous bytes-per-value estimate."""
-    if isinstance(t, (StringType, BinaryType)):
-        return 64
-    if isinstance(t, StructType):
-        return sum(_width(f.dataType) for f in t.fields)
-    if isinstance(t, (ArrayType, MapType)):
-        return 256
-    return 8
+def _value_bytes(f: StructField) -> Column:
+    """What a value takes: 8 bytes, and for text or nested values what they hold."""
+    c = quoted(f.name)
+    if isinstance(f.dataType, (StringType, BinaryType)):
+        return 16 + F.coalesce(F.octet_length(c), F.lit(0))
+    if isinstance(f.dataType, AtomicType):
+        return F.lit(8)
+    return 64 + 8 * F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0))
 
 
 def broadcast_limit_bytes(df: DataFrame) -> int:
@@ -47,18 +40,21 @@ def broadcast_limit_bytes(df: DataFrame) -> int:
     return int(raw)
 
 
-def measured(df: DataFrame) -> tuple[DataFrame, int]:
-    """Materialize ``df`` once and count its rows."""
+def measured(df: DataFrame) -> tuple[DataFrame, int, int]:
+    """Materialize ``df`` once; its rows and their bytes, both counted."""
     checkpoint_root(df.sparkSession)
     kept = df.checkpoint(eager=True)
-    return kept, kept.count()
+    row = F.lit(16)
+    for f in kept.schema.fields:
+        row = row + _value_bytes(f)
+    found = kept.agg(F.count(F.lit(1)).alias("n"), F.sum(row.cast("bigint")).alias("b")).first()
+    return kept, found.n, found.b or 0
 
 
 def broadcast_if_small(df: DataFrame) -> tuple[DataFrame, bool]:
     """``(table, broadcast?)``: the materialized table, wrapped in a broadcast
     hint when its measured size is under the broadcast threshold."""
-    kept, rows = measured(df)
+    kept, _, size = measured(df)
     limit = broadcast_limit_bytes(df)
-    row_bytes = 16 + sum(_width(f.dataType) for f in kept.schema.fields)
-    small = limit >= 0 and rows * row_bytes <= limit
+    small = 0 <= size <= limit
     return (F.broadcast(kept) if small else kept), small
