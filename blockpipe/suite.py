@@ -439,6 +439,22 @@ def q_map_values(spark, sf):
     return ops.map_values(cust, "c_mktsegment", {"AUTOMOBILE": "AUTO", "MACHINERY": "MACH"})
 
 
+@query(
+    "map_values_table",
+    """
+    select o_orderkey, case when o_custkey % 2 = 0 then c_name else o_clerk end as o_clerk
+    from (select o_orderkey, o_custkey, cast(o_custkey as varchar) as o_clerk from orders) o
+    join customer on c_custkey = o_custkey
+    """,
+)
+def q_map_values_table(spark, sf):
+    """Customer keys as text, those of even ones mapped to names by a table."""
+    cust = table(spark, sf, "customer").where("c_custkey % 2 = 0")
+    names = cust.select(F.col("c_custkey").cast("string").alias("from"), F.col("c_name").alias("to"))
+    orders = table(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").cast("string").alias("o_clerk"))
+    return ops.map_values(orders, "o_clerk", names)
+
+
 @query(
     "standardize_names",
     "select p_partkey, replace(lower(trim(p_name)), ' ', '_') as p_name_key, "
@@ -652,7 +668,13 @@ def q_reduce(spark, sf):
     return ops.reduce_rows(docs, 0.1, "doc_id", method="modulo", modulus=10)
 
 
-@query("reduce_stratified")
+@query(
+    "reduce_stratified",
+    """
+    select doc_id, lang from documents
+    where cast('0x' || left(md5('7|' || doc_id), 5) as int) < 1048576 * case lang when 'en' then 0.5 else 0.25 end
+    """,
+)
 def q_reduce_stratified(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "lang")
     fractions = {"en": 0.5, "de": 0.25, "fr": 0.25, "es": 0.25}
@@ -715,28 +737,51 @@ def q_minmax(spark, sf):
     return out.select("event_id", F.round("value", 6).alias("scaled"))
 
 
-@query("pca")
+@query(
+    "pca",
+    """
+    with m as (select avg(l_quantity) as mx, avg(l_extendedprice) as my, var_samp(l_quantity) as a,
+                      covar_samp(l_quantity, l_extendedprice) as b, var_samp(l_extendedprice) as c from lineitem),
+    t as (select *, 0.5 * atan2(2 * b, a - c) as angle from m),
+    s as (select *, case when abs(cos(angle)) >= abs(sin(angle)) then sign(cos(angle)) else sign(sin(angle)) end as s1,
+                 case when abs(sin(angle)) >= abs(cos(angle)) then sign(-sin(angle)) else sign(cos(angle)) end as s2
+          from t)
+    select l_orderkey, l_linenumber,
+           round(s1 * (cos(angle) * (l_quantity - mx) + sin(angle) * (l_extendedprice - my)), 3) as pc1,
+           round(s2 * (-sin(angle) * (l_quantity - mx) + cos(angle) * (l_extendedprice - my)), 3) as pc2
+    from lineitem, s
+    """,
+)
 def q_pca(spark, sf):
-    li = table(spark, sf, "lineitem").select(
-        "l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"
+    """Two columns, whose components have a closed form."""
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice")
+    out = ops.extract_features(li, ["l_quantity", "l_extendedprice"], "pca", k=2)
+    return out.select(
+        "l_orderkey", "l_linenumber", F.round(F.col("pca")[0], 3).alias("pc1"), F.round(F.col("pca")[1], 3).alias("pc2")
     )
-    out = ops.extract_features(li, ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], "pca", k=2)
-    return out.select("l_orderkey", "l_linenumber", F.col("pca")[0].alias("pc1"), F.col("pca")[1].alias("pc2"))
 
 
-# --- E: several datasets ------------------------------------------------------------------------
+@query(
+    "select_features_top",
+    "select l_orderkey, l_linenumber, l_quantity, l_tax, l_extendedprice from lineitem",
+)
+def q_select_features_top(spark, sf):
+    """The two features with the largest correlation to the price, and the price."""
+    li = table(spark, sf, "lineitem").withColumn("l_tax", F.col("l_tax") + 0 * F.col("l_extendedprice"))
+    li = li.withColumn("noise", F.lit(1.0))
+    _, reduced = ops.select_features(
+        li, ["l_quantity", "noise", "l_tax"], "l_extendedprice", top_k=2, keep=("l_orderkey", "l_linenumber")
+    )
+    return reduced
+
 
-_URGENT = "o_orderpriority = '1-URGENT'"
-_BUILDING = "c_mktsegment = 'BUILDING'"
+# --- E: several datasets ------------------------------------------------------------------------
 
 
 def _join_sides(spark, sf):
-    orders = table(spark, sf, "orders").where(_URGENT).select("o_orderkey", "o_custkey", "o_totalprice")
-    cust = (
-        table(spark, sf, "customer")
-        .where(_BUILDING)
-        .select(F.col("c_custkey").alias("o_custkey"), "c_name")
-    )
+    """All orders, and all customers under a key that leaves rows of both unmatched."""
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    cust = table(spark, sf, "customer").select((F.col("c_custkey") * 2).alias("o_custkey"), "c_name")
     return orders, cust
 
 
@@ -755,8 +800,8 @@ for _kind, _sql_kind in _JOIN_SQL.items():
         f"join_{_kind}",
         f"""
         select o.o_orderkey, coalesce(o.o_custkey, c.c_custkey) as o_custkey, o.o_totalprice, c.c_name
-        from (select * from orders where {_URGENT}) o
-        {_sql_kind} (select * from customer where {_BUILDING}) c on o.o_custkey = c.c_custkey
+        from orders o
+        {_sql_kind} (select c_custkey * 2 as c_custkey, c_name from customer) c on o.o_custkey = c.c_custkey
         """,
     )(_make(_kind))
 
@@ -776,8 +821,8 @@ for _kind, _sql_kind in {"left_semi": "semi join", "left_anti": "anti join"}.ite
         f"join_{_kind}",
         f"""
         select o.o_orderkey, o.o_custkey, o.o_totalprice
-        from (select * from orders where {_URGENT}) o
-        {_sql_kind} (select * from customer where {_BUILDING}) c on o.o_custkey = c.c_custkey
+        from orders o
+        {_sql_kind} (select c_custkey * 2 as c_custkey, c_name from customer) c on o.o_custkey = c.c_custkey
         """,
     )(_make_semi(_kind))
 
@@ -820,18 +865,61 @@ def q_join_condition_left(spark, sf):
     return out.select(F.col("a.s_suppkey").alias("a_key"), F.col("b.s_suppkey").alias("b_key"))
 
 
+_DECIMAL_BAND = "b_bal >= a_bal and b_bal <= a_bal + 0.1"
+
+
+def _decimal_band_sides(spark, sf):
+    """Customers and suppliers by balance to one decimal; the band's edge is hit often."""
+    a = table(spark, sf, "customer").select(
+        F.col("c_custkey").alias("a_key"), F.round("c_acctbal", 1).cast("decimal(12,1)").alias("a_bal")
+    )
+    b = table(spark, sf, "supplier").select(
+        F.col("s_suppkey").alias("b_key"), F.round("s_acctbal", 1).cast("decimal(12,1)").alias("b_bal")
+    )
+    return a, b
+
+
+for _kind, _sql_kind in {"inner": "join", "right": "right join", "full": "full join"}.items():
+    def _make_band(kind):
+        def q(spark, sf):
+            a, b = _decimal_band_sides(spark, sf)
+            out = ops.join_on_condition(a, b, _DECIMAL_BAND, kind, band=("a_bal", "b_bal", 0, 0.1))
+            return out.select("a_key", "b_key")
+        return q
+
+    query(
+        f"join_band_{_kind}",
+        f"""
+        select a.a_key, b.b_key
+        from (select c_custkey as a_key, cast(round(c_acctbal, 1) as decimal(12,1)) as a_bal from customer) a
+        {_sql_kind} (select s_suppkey as b_key, cast(round(s_acctbal, 1) as decimal(12,1)) as b_bal from supplier) b
+        on {_DECIMAL_BAND}
+        """,
+    )(_make_band(_kind))
+
+
 @query(
     "merge_records",
     """
-    select coalesce(d.doc_id, l.doc_id) as doc_id, d.lang, d.source,
+    with d as (select case when doc_id % 3 <> 0 then doc_id end as doc_id,
+                      case when doc_id % 2 = 0 then lang end as lang, source from documents),
+    l as (select case when doc_id % 5 <> 0 then doc_id end as doc_id, 'label' as lang, quality, toxic from labels)
+    select coalesce(d.doc_id, l.doc_id) as doc_id, coalesce(d.lang, l.lang) as lang, d.source,
            coalesce(l.quality, -1) as quality, coalesce(l.toxic, -1) as toxic
-    from (select doc_id, lang, source from documents where lang = 'en') d
-    full join labels l on d.doc_id = l.doc_id
+    from d full join l on d.doc_id = l.doc_id
     """,
 )
 def q_merge_records(spark, sf):
-    docs = table(spark, sf, "documents").where("lang = 'en'").select("doc_id", "lang", "source")
-    labels = table(spark, sf, "labels")
+    """Two tables that share a column besides the key, some keys null on either side."""
+    docs = table(spark, sf, "documents").select(
+        F.when(F.col("doc_id") % 3 != 0, F.col("doc_id")).alias("doc_id"),
+        F.when(F.col("doc_id") % 2 == 0, F.col("lang")).alias("lang"),
+        "source",
+    )
+    labels = table(spark, sf, "labels").select(
+        F.when(F.col("doc_id") % 5 != 0, F.col("doc_id")).alias("doc_id"),
+        F.lit("label").alias("lang"), "quality", "toxic",
+    )
     merged = ops.integrate({"documents": docs, "labels": labels}, "doc_id")
     return merged.select(
         "doc_id", "lang", "source",
@@ -956,6 +1044,25 @@ def q_run_block_column(spark, sf):
     return run_block(doubled, df=table(spark, sf, "orders"))
 
 
+@query(
+    "pandas_block_keyed",
+    """
+    with c as (select event_id, user_id, cast(round(value * 100) as bigint) as cents from events)
+    select event_id, user_id,
+           cast(cents * count(*) over w - sum(cents) over w as bigint) as spread from c
+    window w as (partition by user_id)
+    """,
+)
+def q_pandas_block_keyed(spark, sf):
+    """A user's whole group in one pandas call: each value against the group's mean, in exact cents."""
+    def spread(pdf):
+        cents = (pdf["value"] * 100).round().astype("int64")
+        return pdf[["event_id", "user_id"]].assign(spread=cents * len(pdf) - cents.sum())
+
+    ev = table(spark, sf, "events").select("event_id", "user_id", "value")
+    return pandas_block(ev, spread, "event_id bigint, user_id bigint, spread bigint", keys=["user_id"])
+
+
 @query(
     "pandas_block",
     "select event_id, cast(round(value * 100) as bigint) as value_cents from events",
@@ -1073,6 +1180,33 @@ def q_convert_csv(spark, sf):
     return io.convert_files(spark, f"{sf.rstrip('/')}/lineitem.parquet", "parquet", dst, "csv")
 
 
+@query("convert_csv_text", "select * from documents")
+def q_convert_csv_text(spark, sf):
+    """Texts with line breaks, quotes and blanks at the ends, to CSV files and back."""
+    dst = scratch_path(spark, "documents_csv")
+    return io.convert_files(spark, f"{sf.rstrip('/')}/documents.parquet", "parquet", dst, "csv")
+
+
+@query("move_csv", "select * from documents")
+def q_move_csv(spark, sf):
+    dst = scratch_path(spark, "documents_moved")
+    return io.move(spark, table(spark, sf, "documents"), dst, destination_fmt="csv")
+
+
+@query("export_csv_text", "select * from documents")
+def q_export_csv_text(spark, sf):
+    docs = table(spark, sf, "documents")
+    return io.read_export(spark, io.export_csv(docs, scratch_path(spark, "documents_export")), docs.schema)
+
+
+@query("read_csv", "select * from customer")
+def q_read_csv(spark, sf):
+    """A table written as CSV and read with a given schema."""
+    cust = table(spark, sf, "customer")
+    path = io.write_files(cust, scratch_path(spark, "customer_csv"), "csv")
+    return io.read_csv(spark, path, schema=cust.schema, escape='"')
+
+
 @query("move_json", "select * from customer")
 def q_move_json(spark, sf):
     dst = scratch_path(spark, "customer_json")
