@@ -106,7 +106,9 @@ def pandas_block(
 class Block:
     """One linked block: ``fn`` gets ``args`` plus ``df`` (source output) and
     ``spark`` when it takes them. ``source`` names the upstream block;
-    ``section`` and ``section_type`` place it in the pipeline's layout."""
+    ``section`` and ``section_type`` place it in the pipeline's layout;
+    ``snapshot=False`` leaves it out of a pipeline's snapshots (for blocks that only
+    read or project, which cost less to repeat than to store)."""
 
     name: str
     fn: Callable[..., Any]
@@ -114,6 +116,7 @@ class Block:
     args: dict[str, Any] = field(default_factory=dict)
     section: str = "main"
     section_type: str = "Transformation"
+    snapshot: bool = True
 
 
 def blocks_table(spark: SparkSession, project: str, blocks: Sequence[Block]) -> DataFrame:
@@ -173,8 +176,8 @@ def run_pipeline(
     part is computed once; lost cached partitions are rebuilt from lineage.
     A cycle or a missing source fails before anything runs.
 
-    With ``snapshot_dir`` (a shared folder), every block's datasets are saved
-    as a snapshot under ``snapshot_dir/<block>`` as soon as the block runs,
+    With ``snapshot_dir`` (a shared folder), the datasets of every block (but those
+    with ``snapshot=False``) are saved as a snapshot under ``snapshot_dir/<block>`` as soon as the block runs,
     and later blocks read the saved data: each block is computed once and
     its lineage ends at its snapshot. Persisting is then unnecessary."""
     order = topological_order(blocks)
@@ -197,7 +200,7 @@ def run_pipeline(
                     raise TypeError(f"block {b.name!r} returned {type(result)}")
         except Exception as exc:
             raise PipelineError(f"block {b.name!r} failed: {exc}") from exc
-        if snapshot_dir is not None:
+        if snapshot_dir is not None and b.snapshot:
             from blockpipe.sources.io import read_saved, save_snapshot
 
             frames = result if isinstance(result, Mapping) else {RESULT_NAME: result}

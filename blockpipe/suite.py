@@ -96,9 +96,10 @@ def net_by_priority_blocks(sf_dir: str) -> list[Block]:
 
     return [
         Block("lineitem", read, args={"name": "lineitem",
-                                      "columns": ["l_orderkey", "l_extendedprice", "l_discount"]}),
-        Block("complete", ops.drop_missing, source="lineitem"),
-        Block("priced", net_price, source="complete"),
+                                      "columns": ["l_orderkey", "l_extendedprice", "l_discount"]},
+              snapshot=False),
+        Block("complete", ops.drop_missing, source="lineitem", snapshot=False),
+        Block("priced", net_price, source="complete", snapshot=False),
         Block("orders_net", per_order, source="priced"),
         Block("joined", with_orders, source="orders_net"),
         Block("summary", per_priority, source="joined"),
@@ -120,7 +121,7 @@ def q_net_by_priority(spark, sf):
 
 @query("net_by_priority_snapshots", ORACLE_SQL["net_by_priority"])
 def q_net_by_priority_snapshots(spark, sf):
-    """The same pipeline with every block's output saved and read back."""
+    """The same pipeline with the outputs of all blocks but the row-local ones saved and read back."""
     out = run_pipeline(spark, net_by_priority_blocks(sf), snapshot_dir=scratch_path(spark, "pipeline"))
     return out["summary"]
 

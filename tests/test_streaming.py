@@ -4,7 +4,6 @@ import os
 import shutil
 
 from blockpipe import operators as ops
-from blockpipe.streaming import ROW_LOCAL_BLOCKS
 
 EVENTS = "/root/testdata/sf0.001/events.parquet"
 
@@ -31,4 +30,3 @@ def test_row_local_blocks_on_a_stream(spark, tmp_dir):
     )
     assert got.count() == batch.count() > 0
     assert got.where("event_type = 'click'").count() == 0
-    assert {"drop_missing", "construct", "parse_time", "map_values", "reduce_rows"} <= set(ROW_LOCAL_BLOCKS)
