@@ -2,7 +2,7 @@
 session (200 shuffle partitions, no blockpipe defaults, no checkpoint folder)
 in a chosen session time zone, each compared with its DuckDB SQL.
 
-    python tests/driver_check.py [sf_dir] [time_zone]
+    python tests/driver_check.py [sf_dir] [time_zone] [name ...]
 """
 
 from __future__ import annotations
@@ -33,11 +33,13 @@ def main(argv):
     print("entry rows:", entry.entry(spark).count())
     con = duck(sf)
     bad = []
-    for name in entry.queries():
-        status = compare(spark, con, name, sf)["status"]
+    queries, sql = entry.queries(), entry.oracle_sql()
+    names = argv[3:] or list(queries)
+    for name in names:
+        status = compare(spark, con, name, sf, queries, sql)["status"]
         if status not in ("ok", "ok@6", "rows-only"):
             bad.append((name, status[:200]))
-    print(f"checked {len(entry.queries())} queries in {tz}; mismatches: {bad}")
+    print(f"checked {len(names)} queries in {tz}; mismatches: {bad}")
     return 1 if bad else 0
 
 

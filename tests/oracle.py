@@ -52,13 +52,13 @@ def rows(pdf: pd.DataFrame, digits=None):
     return cols, sorted(out, key=repr)
 
 
-def compare(spark, con, name: str, sf_dir: str) -> dict:
+def compare(spark, con, name: str, sf_dir: str, queries=suite.QUERIES, oracle_sql=suite.ORACLE_SQL) -> dict:
     t0 = time.time()
-    sdf = suite.QUERIES[name](spark, sf_dir)
+    sdf = queries[name](spark, sf_dir)
     got = sdf.toPandas()
     t1 = time.time()
     res = {"name": name, "rows": len(got), "spark_sec": round(t1 - t0, 2)}
-    sql = suite.ORACLE_SQL.get(name)
+    sql = oracle_sql.get(name)
     if sql is None:
         res["status"] = "rows-only"
         return res
