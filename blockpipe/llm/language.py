@@ -40,6 +40,9 @@ class LanguageModel:
         self.languages, self.logits, self.intercepts = languages, logits, intercepts
         self.temperature, self.least = temperature, least
 
+    def values(self) -> tuple:
+        return self.languages, self.logits, self.intercepts, self.temperature, self.least
+
     def margins(self, texts: list[str]) -> np.ndarray:
         owner, bucket = ngrams(texts, BITS)
         many = np.maximum(np.bincount(owner, minlength=len(texts)), 1)
@@ -125,15 +128,20 @@ def fit(
 ) -> LanguageModel:
     """Train on ``docs`` with a language and a letter in the text: of each language up
     to ``sample`` texts of at most ``SAMPLE_CHARS`` characters, those with the smallest
-    hash of their id. The driver gets these texts and no others. Without any such
+    hash of their id (a hash's 30 bits). The driver gets these texts and no others. Without any such
     text the model knows no language and rejects everything."""
     spark = docs.sparkSession
     text = F.col(text_col)
     known = docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull())
     known = known.where((F.length(text) <= SAMPLE_CHARS) & text.rlike(r"\p{L}"))
     known = known.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).alias("lang"), text.alias("t"))
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    ids = known.select("id", "lang").withColumn("n", F.row_number().over(first)).where(F.col("n") <= sample)
+    # a hash of the id thins each language to about the sample's size before it is ranked
+    ids = known.select("id", "lang", F.xxhash64("id").alias("h"))
+    sizes = ids.groupBy("lang").agg(F.count(F.lit(1)).alias("size"))
+    share = F.pmod("h", F.lit(1 << 30)) / F.lit(float(1 << 30))
+    thinned = ids.join(sizes, "lang").where(share < F.lit(2.0 * sample) / F.col("size"))
+    first = Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 30)), "id")
+    ids = thinned.withColumn("n", F.row_number().over(first)).where(F.col("n") <= sample)
     rows = ids.select("id", "lang").distinct().toPandas()
     if not len(rows):
         return train([], [])
@@ -152,11 +160,12 @@ def identify(
     model's bound). Ties go to the smaller name. Columns of those names are replaced;
     repeated rows are judged alike; an empty table gives an empty result. No
     shuffle; the model is of fixed size."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    # plain values: a broadcast is unpickled where this package need not be installed
+    shared = docs.sparkSession.sparkContext.broadcast(model.values())
 
     @F.pandas_udf("lang string, score double")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        model = shared.value
+        model = LanguageModel(*shared.value)
         names = np.array(model.languages, dtype=object)
         for words in batches:
             batch = pa.RecordBatch.from_arrays([pa.array(words, pa.large_string())], names=["w"])
