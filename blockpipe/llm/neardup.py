@@ -272,7 +272,8 @@ def near_duplicates(
 
     pairs = written(shared.where("rep <> pivot").select("rep", "pivot").distinct(), "pairs")
     needed = pairs.select(F.col("rep").alias("id")).unionAll(pairs.select(F.col("pivot").alias("id"))).distinct()
-    texts = written(rows.select("id", "w").join(needed, "id", "left_semi"), "candidate-texts")
+    # a merge join at every size, so that the work grows with the input and no faster
+    texts = written(rows.select("id", "w").join(needed.hint("merge"), "id", "left_semi"), "candidate-texts")
     sim = pair_similarity(threshold)
     left = texts.select(F.col("id").alias("rep"), F.col("w").alias("lw"))
     right = texts.select(F.col("id").alias("pivot"), F.col("w").alias("rw"))
