@@ -55,6 +55,7 @@ def run_model(
     comments: Mapping[str, str] | None = None,
     table_comment: str | None = None,
     location: str | None = None,
+    source_comments: Mapping[str, Mapping[str, str]] | None = None,
 ) -> DataFrame:
     """Run the model and publish it; return the published relation.
 
@@ -62,7 +63,9 @@ def run_model(
     catalog view ``schema.name`` with one (its sources must then be catalog
     tables). ``"table"``: written as table ``schema.name`` (default schema
     ``main``), replacing an earlier run. ``comments`` maps column names to
-    descriptions, stored as column comments. A schema that does not exist yet
+    descriptions, stored as column comments; ``source_comments`` describes the
+    columns of sources (``{source: {column: text}}``), and a model's columns that are
+    a source's unchanged keep its description unless they have their own. A schema that does not exist yet
     is created, at ``location`` when given (a shared folder).
     """
     if materialized not in ("view", "table"):
@@ -70,6 +73,10 @@ def run_model(
     text = resolve_sources(sql)
     try:
         frames = {k: spark.table(v) if isinstance(v, str) else v for k, v in (sources or {}).items()}
+        for k, notes in (source_comments or {}).items():
+            for col, note in notes.items():
+                known = frames[k].schema[col].metadata
+                frames[k] = frames[k].withMetadata(col, {**known, "comment": note})
         df = spark.sql(_only_named(text, list(frames)), **frames) if frames else spark.sql(text)
         for col, note in (comments or {}).items():
             df = df.withMetadata(col, {**df.schema[col].metadata, "comment": note})

@@ -183,6 +183,16 @@ def test_model_braces_and_sources(spark):
     assert spark.table("main.published").count() == 1
 
 
+def test_source_descriptions_reach_the_model(spark):
+    o = spark.createDataFrame([(1, 2, 3)], "a int, b int, c int")
+    run_model(
+        spark, "described", "select a, b, c + 1 as d from {o}", {"o": o}, materialized="table", schema="described_db",
+        comments={"b": "own"}, source_comments={"o": {"a": "from the source", "b": "hidden", "c": "gone"}},
+    )
+    notes = {r.col_name: r.comment for r in spark.sql("describe described_db.described").collect()}
+    assert notes == {"a": "from the source", "b": "own", "d": None}
+
+
 def test_mode_of_several_columns_reads_the_input_twice(spark, tmp_dir):
     spark.createDataFrame([(1, "a", None), (1, None, 2), (None, "a", 2)], "x int, y string, z int").write.parquet(f"{tmp_dir}/p")
     from tests.plan_report import final_plan
