@@ -108,10 +108,16 @@ def train(texts: list[str], labels: list[str], seed: int = 1) -> LanguageModel:
 
 def calibrated(model: LanguageModel, texts: list[str], y: np.ndarray) -> LanguageModel:
     """With the temperature of the least negative log-likelihood, and the largest
-    rejection bound that keeps all but ``REJECT_SHARE`` of the right predictions."""
+    rejection bound that keeps all but ``REJECT_SHARE`` of the right predictions. As in
+    Platt's scaling, a label counts as certain only as far as so many texts can show,
+    so that texts which are all told rightly don't make every score 1."""
     margins = model.margins(texts)
     grid = np.geomspace(0.05, 20, 121)
-    loss = [-np.log(_softmax(margins / t)[np.arange(len(y)), y] + 1e-300).mean() for t in grid]
+    others = max(1, margins.shape[1] - 1)
+    doubt = 1 / (len(y) + 2) if margins.shape[1] > 1 else 0.0
+    target = np.full(margins.shape, doubt / others)
+    target[np.arange(len(y)), y] = 1 - doubt
+    loss = [-(target * np.log(_softmax(margins / t) + 1e-300)).sum(axis=1).mean() for t in grid]
     temperature = float(grid[int(np.argmin(loss))])
     best = _softmax(margins / temperature)
     right = np.sort(best.max(axis=1)[best.argmax(axis=1) == y])
