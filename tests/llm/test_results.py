@@ -361,6 +361,19 @@ def test_pieces_tile_sequences_and_carry_the_tokenizers_ids(spark):
     assert got["sequence_id"].nunique() == -(-int(got["length"].sum()) // 4096)  # no fewer would do
 
 
+def test_a_length_that_most_pieces_share_is_ranked_in_parts(spark):
+    pieces = spark.range(500).selectExpr(
+        "id as doc_id", "0 as piece", "if(id % 5 = 0, 300, 1000) as length", "id as ids_crc32"
+    ).withColumn("length", F.col("length").cast("long"))
+    whole, parts = (packing.assign(pieces, rank_rows=n).toPandas() for n in (10**6, 7))
+    for got in (whole, parts):
+        assert len(got) == 500 and got["sequence_id"].nunique() == 108
+        for _, seq in got.groupby("sequence_id"):
+            seq = seq.sort_values("offset")
+            assert seq["offset"].tolist() == [0, *seq["length"].cumsum()[:-1]]
+            assert seq["length"].sum() <= 4096
+
+
 @pytest.mark.parametrize(
     "text",
     ["", " ", "it's  don't'll '' 's x's 12ab3 ÀÉ_ñ--%% “q”…€ _a_", "<|endoftext|> a", "日本語 текст İı ΑΣ Σ", "a\x1fb\x85c\u00a0d", "e\u0301 é", "x²½ª"],
