@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,7 +22,7 @@ from blockpipe.llm.ngrams import counted, ngrams
 from blockpipe.llm.words import normal_words, text_groups
 
 BITS = 20
-SAMPLE_TEXTS = 6_000  # labelled texts of each label that a fit uses at most
+SAMPLE_TEXTS = 4_000  # labelled texts of each label that a fit uses at most
 SMOOTHING = 0.5
 MIN_Z = 3.0
 PENALTY = 1e-4
@@ -64,23 +65,20 @@ def log_count_ratios(toxic: np.ndarray, other: np.ndarray, n_toxic: int, n_other
 
 
 def fit_logistic(
-    lists: list[np.ndarray], values: list[np.ndarray], labels: np.ndarray, scale: np.ndarray
+    owner: np.ndarray, feature: np.ndarray, value: np.ndarray, labels: np.ndarray, scale: np.ndarray
 ) -> tuple[np.ndarray, float]:
     """Weights of the features scaled by ``scale``, and an intercept: full-batch
     gradient descent with momentum, squared weights penalised, both labels of equal
-    weight. ``lists`` are the feature indexes of each text, ``values`` their values."""
-    sizes = np.array([len(x) for x in lists])
-    flat = np.concatenate(lists) if len(lists) else np.zeros(0, np.int64)
-    owner = np.repeat(np.arange(len(lists)), sizes)
-    value = scale[flat] * (np.concatenate(values) if len(values) else np.zeros(0))
+    weight. ``feature`` and ``value`` are the texts' features, ``owner`` their texts."""
+    n, value = len(labels), value * scale[feature]
     weight = np.where(labels == 1, 0.5 / max(1, (labels == 1).sum()), 0.5 / max(1, (labels == 0).sum()))
-    norm = np.quantile(np.bincount(owner, value**2, minlength=len(lists)), 0.99) if len(lists) else 1.0
+    norm = np.quantile(np.bincount(owner, value**2, minlength=n), 0.99)
     rate = 4.0 / (norm + 1)
     w, b, vw, vb = np.zeros(len(scale)), 0.0, np.zeros(len(scale)), 0.0
     for _ in range(STEPS):
-        margin = np.bincount(owner, value * w[flat], minlength=len(lists)) + b
+        margin = np.bincount(owner, value * w[feature], minlength=n) + b
         error = weight * (1 / (1 + np.exp(-np.clip(margin, -40, 40))) - labels)
-        vw = 0.9 * vw - rate * (np.bincount(flat, value * error[owner], minlength=len(scale)) + PENALTY * w)
+        vw = 0.9 * vw - rate * (np.bincount(feature, value * error[owner], minlength=len(scale)) + PENALTY * w)
         vb = 0.9 * vb - error.sum()
         w, b = w + vw, b + vb
     return w * scale, b
@@ -151,16 +149,14 @@ def fit(
                 kept = number[bucket] >= 0
                 owner, index, value = owner[kept], number[bucket[kept]], value[kept]
                 ends = pa.array(np.searchsorted(owner, np.arange(part.num_rows + 1)).astype(np.int32))
-                lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (index, value)]
-                yield pa.RecordBatch.from_arrays([*lists, *part.columns[1:]], names=["f", "v", "label", "id"])
-
-    schema = "f array<int>, v array<double>, label int, id long"
-    table = texts.select("w", "label", "id").mapInArrow(sparse, schema).toArrow()
-    order = np.argsort(np.asarray(table.column(3).to_pylist()), kind="stable")  # sums do not depend on tasks
-    lists = [np.asarray(x, dtype=np.int64) for x in table.column(0).to_pylist()]
-    values = [np.asarray(x, dtype=np.float64) for x in table.column(1).to_pylist()]
-    y = np.asarray(table.column(2).to_pylist(), dtype=np.float64)
-    w, b = fit_logistic([lists[i] for i in order], [values[i] for i in order], y[order], ratio[clear])
+                lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (index, value.astype(np.float32))]
+                yield pa.RecordBatch.from_arrays([*lists, part.column(1)], names=["f", "v", "label"])
+
+    table = texts.select("w", "label").mapInArrow(sparse, "f array<int>, v array<float>, label int").toArrow()
+    sizes = pc.list_value_length(table.column(0)).to_numpy()
+    feature, value = (pc.list_flatten(table.column(i)).to_numpy() for i in (0, 1))
+    labels = table.column(2).to_numpy().astype(np.float64)
+    w, b = fit_logistic(np.repeat(np.arange(len(sizes)), sizes), feature, value, labels, ratio[clear])
     weights[clear] = w
     return ToxicityModel(weights, float(b))
 

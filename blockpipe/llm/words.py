@@ -101,7 +101,7 @@ def shingles(words: np.ndarray, k: int = SHINGLE_WORDS) -> np.ndarray:
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 
 
-def text_groups(batch: pa.RecordBatch, column: int, most_bytes: int = 4 << 20) -> Iterator[tuple[int, int]]:
+def text_groups(batch: pa.RecordBatch, column: int, most_bytes: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Row ranges of a batch whose texts come to about ``most_bytes``; a longer
     text is a range of its own."""
     sizes = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
