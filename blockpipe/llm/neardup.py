@@ -235,9 +235,11 @@ def near_duplicates(
     2. Texts that share a sketch key form a bucket. Each is aligned with the bucket's
        smallest id, so a bucket of any size gives one candidate each, not all pairs.
     3. Where a bucket still has texts of different components, its texts meet in
-       blocks of at most about ``block_texts``: pairs between components that pass an
-       upper bound on the alignment are aligned. So no linked candidate pair is left
-       apart, and none is written out but for links found.
+       blocks of about ``block_texts``: pairs between components that pass an upper
+       bound on the alignment are aligned. So no linked candidate pair is left apart,
+       and none is written out but for links found. Members of a bucket's largest
+       component only meet the others, so the work grows with the number of texts
+       times that of texts outside it.
 
     A key that many rows share costs a skewed join, which is split; counts and minima
     are formed before any shuffle. Texts are shuffled only for candidates.
@@ -282,20 +284,13 @@ def near_duplicates(
     first = written(connected_components(links), "first-components")
 
     member = shared.where("n > 2").join(first.withColumnRenamed("id", "rep"), "rep", "left").select(
-        "bucket", "rep", "n", F.coalesce("component", "rep").alias("comp")
-    )
-    mixed = member.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-    blocks = F.ceil(F.col("n") / block_texts).cast("int")
-    apart = (
-        member.join(mixed.select("bucket"), "bucket", "left_semi")
-        .withColumn("blocks", blocks)
-        .withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select(
-            "bucket", "rep", "comp", "block",
-            F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
-        )
+        "bucket", "rep", F.coalesce("component", "rep").alias("comp")
     )
+    parts = member.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n"))
+    mixed = parts.groupBy("bucket").agg(
+        F.max(F.struct("n", "comp")).alias("main"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("comps")
+    ).where("comps > 1")
+    apart = _dealt(member, mixed, block_texts)
     met = apart.join(texts.withColumnRenamed("id", "rep"), "rep").select(
         "bucket", "i", "j", F.col("rep").alias("id"), "comp", "block", "w"
     )
@@ -310,6 +305,35 @@ def near_duplicates(
     return classed.withColumn("keep", F.col("doc_id").eqNullSafe(F.col("class_id")))
 
 
+def _dealt(member: DataFrame, mixed: DataFrame, block_texts: int) -> DataFrame:
+    """Members of buckets with several components, dealt to pairs of blocks (i, j) in
+    which every two of different components meet. The largest component's members
+    need only meet the others, so they are copied once for each block of others: a
+    bucket whose texts are nearly all linked costs hardly more than its size."""
+    sized = mixed.select(
+        "bucket",
+        F.col("main.comp").alias("main"),
+        F.ceil(F.col("main.n") / block_texts).cast("int").alias("mains"),
+        F.ceil((F.col("n") - F.col("main.n")) / block_texts).cast("int").alias("others"),
+    )
+    rows = member.join(sized, "bucket").withColumn("is_main", F.col("comp") == F.col("main"))
+    rows = rows.withColumn("b", F.pmod(F.xxhash64("rep"), F.when(F.col("is_main"), F.col("mains")).otherwise(F.col("others"))).cast("int"))
+    rows = rows.withColumn("block", F.when(F.col("is_main"), F.col("b")).otherwise(F.col("mains") + F.col("b")))
+    # blocks of the main component are numbered from 0, the others' after them
+    all_others = F.sequence(F.lit(0), F.col("others") - 1)
+    to_main = F.transform(all_others, lambda x: F.struct(x.alias("i"), F.col("block").alias("j")))
+    later = F.filter(
+        F.sequence(F.lit(0), F.col("mains") + F.col("others") - 1), lambda j: (j < F.col("mains")) | (j >= F.col("block"))
+    )
+    own = F.transform(later, lambda j: F.struct(F.col("b").alias("i"), j.alias("j")))
+    earlier = F.filter(all_others, lambda x: x < F.col("b"))
+    to_own = F.transform(earlier, lambda x: F.struct(x.alias("i"), F.col("block").alias("j")))
+    pairs = F.when(F.col("is_main"), to_main).otherwise(F.concat(own, to_own))
+    return rows.select("bucket", "rep", "comp", "block", F.explode(pairs).alias("p")).select(
+        "bucket", "rep", "comp", "block", "p.i", "p.j"
+    )
+
+
 def _sketcher(sketches: int, minima: int):
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
