@@ -10,7 +10,6 @@ ranking and a join.
 from __future__ import annotations
 
 import bisect
-import math
 import os
 import re
 import zlib
@@ -24,11 +23,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from blockpipe.llm.common import written
+from blockpipe.llm.words import text_groups
 
 CAPACITY = 4096
 END_ID = 1
-RANK_ROWS = 200_000
-CACHED_CHUNKS = 500_000
+RANK_ROWS = 1_000
+CACHED_CHUNKS = 400_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
 
@@ -107,19 +107,22 @@ def tokenize(
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         encoder = Encoder(vocabulary)
+        names = ("doc_id", "piece", "start", "length", "ids_crc32", "ids")
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+
+        def table(rows):
+            columns = zip(*rows) if rows else [()] * len(names)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=names)
+
         for batch in batches:
-            out = ([], [], [], [], [], [])
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                text = text.as_py()
-                ids = (encoder.ids(text) if text else b"") + end
-                for k, at in enumerate(range(0, len(ids), step)):
-                    part = ids[at : at + step]
-                    row = (doc_id, k, at // 4, len(part) // 4, zlib.crc32(part), part if with_ids else None)
-                    for column, value in zip(out, row):
-                        column.append(value)
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            names = ("doc_id", "piece", "start", "length", "ids_crc32", "ids")
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names=names)
+            for lo, hi in text_groups(batch, 1):
+                part, rows = batch.slice(lo, hi - lo), []
+                for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    ids = (encoder.ids(text) if text else b"") + end
+                    for k, at in enumerate(range(0, len(ids), step)):
+                        cut = ids[at : at + step]
+                        rows.append((doc_id, k, at // 4, len(cut) // 4, zlib.crc32(cut), cut if with_ids else None))
+                yield table(rows)
 
     chosen = docs.select(F.col(id_col).cast("long"), F.col(text_col))
     return chosen.mapInArrow(pieces, PIECES)
@@ -174,18 +177,22 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int,
     return rows
 
 
-def ranked_by_length(pieces: DataFrame, salts: int) -> DataFrame:
+def ranked_by_length(pieces: DataFrame, histogram: dict[int, int], rank_rows: int) -> DataFrame:
     """``pieces`` plus ``__rank``, gapless from 0 among the pieces of a length. A
-    length that most pieces share is ranked in ``salts`` parts, whose counts give
-    the ranks' starts, so it is not one task's work."""
-    salted = pieces.withColumn("__salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int"))
+    length that many pieces share is ranked in parts of about ``rank_rows``, whose
+    counts give the ranks' starts, so it is not one task's work. The table of how
+    many parts a length has is bound by the capacity and broadcast."""
+    spark = pieces.sparkSession
+    parts = spark.createDataFrame([(n, -(-c // rank_rows)) for n, c in histogram.items()], "length long, __parts long")
+    mixed = F.xxhash64("doc_id", "piece", "ids_crc32")
+    salted = pieces.join(F.broadcast(parts), "length").withColumn("__salt", F.pmod(mixed, F.col("__parts")))
     counts = salted.groupBy("length", "__salt").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy("length").orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("length", "__salt", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
     within = Window.partitionBy("length", "__salt").orderBy("doc_id", "piece", "ids_crc32")
     ranked = salted.withColumn("__rank", F.row_number().over(within) - 1)
     return ranked.join(starts, ["length", "__salt"]).withColumn("__rank", F.col("__rank") + F.col("__start")).drop(
-        "__salt", "__start"
+        "__salt", "__start", "__parts"
     )
 
 
@@ -200,8 +207,7 @@ def assign(pieces: DataFrame, capacity: int = CAPACITY, rank_rows: int = RANK_RO
     slots = spark.createDataFrame(
         rows, "length long, __first long, __last long, __bin long, __each long, __base long"
     )
-    salts = max(1, math.ceil(max(histogram.values(), default=0) / rank_rows))
-    taken = ranked_by_length(pieces, salts).join(F.broadcast(slots), "length")
+    taken = ranked_by_length(pieces, histogram, rank_rows).join(F.broadcast(slots), "length")
     taken = taken.where("__rank >= __first and __rank < __last")
     nth = F.col("__rank") - F.col("__first")
     return taken.withColumn("sequence_id", F.col("__bin") + F.floor(nth / F.col("__each"))).withColumn(
