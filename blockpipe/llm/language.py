@@ -19,6 +19,7 @@ from pyspark.sql.window import Window
 
 from blockpipe.llm.ngrams import ngrams
 from blockpipe.llm.words import normal_words, text_groups
+from blockpipe.plans.sizing import broadcast_if_small
 
 BITS = 17
 DIMENSIONS = 16
@@ -143,7 +144,7 @@ def fit(
     known = known.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).alias("lang"), text.alias("t"))
     # a hash of the id thins each language to about the sample's size before it is ranked
     ids = known.select("id", "lang", F.xxhash64("id").alias("h"))
-    sizes = ids.groupBy("lang").agg(F.count(F.lit(1)).alias("size"))
+    sizes, _ = broadcast_if_small(ids.groupBy("lang").agg(F.count(F.lit(1)).alias("size")))
     share = F.pmod("h", F.lit(1 << 30)) / F.lit(float(1 << 30))
     thinned = ids.join(sizes, "lang").where(share < F.lit(2.0 * sample) / F.col("size"))
     first = Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 30)), "id")
