@@ -309,14 +309,18 @@ def _dealt(member: DataFrame, mixed: DataFrame, block_texts: int) -> DataFrame:
     """Members of buckets with several components, dealt to pairs of blocks (i, j) in
     which every two of different components meet. The largest component's members
     need only meet the others, so they are copied once for each block of others: a
-    bucket whose texts are nearly all linked costs hardly more than its size."""
+    bucket whose texts are nearly all linked costs hardly more than its size. A bucket
+    that fits into one block is one."""
+    one = F.col("n") <= block_texts
     sized = mixed.select(
         "bucket",
         F.col("main.comp").alias("main"),
-        F.ceil(F.col("main.n") / block_texts).cast("int").alias("mains"),
-        F.ceil((F.col("n") - F.col("main.n")) / block_texts).cast("int").alias("others"),
+        F.when(one, 0).otherwise(F.ceil(F.col("main.n") / block_texts)).cast("int").alias("mains"),
+        F.when(one, 1).otherwise(F.ceil((F.col("n") - F.col("main.n")) / block_texts)).cast("int").alias("others"),
+    )
+    rows = member.join(sized, "bucket").withColumn(
+        "is_main", (F.col("comp") == F.col("main")) & (F.col("mains") > 0)
     )
-    rows = member.join(sized, "bucket").withColumn("is_main", F.col("comp") == F.col("main"))
     rows = rows.withColumn("b", F.pmod(F.xxhash64("rep"), F.when(F.col("is_main"), F.col("mains")).otherwise(F.col("others"))).cast("int"))
     rows = rows.withColumn("block", F.when(F.col("is_main"), F.col("b")).otherwise(F.col("mains") + F.col("b")))
     # blocks of the main component are numbered from 0, the others' after them
