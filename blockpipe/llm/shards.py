@@ -23,6 +23,7 @@ from blockpipe.session import scratch_path
 BLOCK_ROWS = 16_384
 GROUPS = 1_024
 SLOT_ROWS = 20_000
+DRAW_ROWS = 10**9  # numpy draws from fewer rows than this
 
 
 def shard_sizes(rows: int, shards: int) -> list[int]:
@@ -30,15 +31,40 @@ def shard_sizes(rows: int, shards: int) -> list[int]:
     return [rows // shards + (s < rows % shards) for s in range(shards)]
 
 
+def halved(rng: np.random.Generator, left: np.ndarray) -> np.ndarray:
+    """Of each shard's places those with heads if every place tosses a fair coin;
+    a sum of draws of at most ``DRAW_ROWS`` tosses."""
+    full, rest = np.divmod(left, DRAW_ROWS)
+    heads = rng.binomial(rest, 0.5)
+    for s in np.flatnonzero(full):
+        heads[s] += rng.binomial(DRAW_ROWS, 0.5, full[s]).sum()
+    return heads
+
+
+def drawn_places(rng: np.random.Generator, left: np.ndarray, n: int) -> np.ndarray:
+    """How many of ``n`` places, drawn without replacement, each shard gives: a
+    multivariate hypergeometric draw. From ``DRAW_ROWS`` places and more every place
+    tosses a coin and those with heads are drawn first: they are all in, or all
+    of the draw is among them. Either way about half of the places are decided."""
+    sure = np.zeros_like(left)
+    while left.sum() >= DRAW_ROWS:
+        heads = halved(rng, left)
+        if heads.sum() <= n:
+            sure, left, n = sure + heads, left - heads, n - int(heads.sum())
+        else:
+            left = heads
+    return sure + rng.multivariate_hypergeometric(left, n, method="marginals")
+
+
 def communication_matrix(counts: list[int], sizes: list[int], seed: int) -> list[list[int]]:
     """One row for each part: how many of its rows go to each shard. Rows sum to
     ``counts``, columns to ``sizes``; each row is a multivariate hypergeometric
-    draw from what the shards have left."""
+    draw from what the shards have left, whatever their number of rows."""
     rng = np.random.Generator(np.random.PCG64(seed))
     left = np.array(sizes, dtype=np.int64)
     matrix = []
     for n in counts:
-        draw = rng.multivariate_hypergeometric(left, n, method="marginals")
+        draw = drawn_places(rng, left, n)
         left -= draw
         matrix.append(draw.tolist())
     return matrix

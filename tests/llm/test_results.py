@@ -89,6 +89,33 @@ def test_matrix_rows_and_columns_are_exact():
     assert matrix.tolist() == shards.communication_matrix(counts, sizes, 3)
 
 
+def test_matrix_of_more_rows_than_numpy_draws_from():
+    for counts in ([10**9, 0, 5, 3 * 10**9 + 7], [2 * 10**12, 10**9 - 1, 1]):
+        sizes = shards.shard_sizes(sum(counts), 7)
+        matrix = np.array(shards.communication_matrix(counts, sizes, 3))
+        assert matrix.sum(axis=1).tolist() == counts and matrix.sum(axis=0).tolist() == sizes and matrix.min() >= 0
+
+
+def test_halving_keeps_the_law(monkeypatch):
+    def draws(many):
+        rng = np.random.Generator(np.random.PCG64(5))
+        return np.array([shards.drawn_places(rng, np.array([5, 2, 4]), 4) for _ in range(many)])
+
+    plain = Counter(map(tuple, draws(20_000).tolist()))
+    monkeypatch.setattr(shards, "DRAW_ROWS", 3)
+    halved = Counter(map(tuple, draws(20_000).tolist()))
+    assert set(halved) == set(plain)
+    assert max(abs(halved[k] - plain[k]) for k in plain) < 400  # five standard errors
+    monkeypatch.undo()
+    left, n = np.array([3, 1, 2]) * 10**9, 15 * 10**8
+    rng = np.random.Generator(np.random.PCG64(6))
+    got = np.array([shards.drawn_places(rng, left, n) for _ in range(1_000)])
+    share = left / left.sum()
+    deviation = np.sqrt(n * share * (1 - share) * (left.sum() - n) / (left.sum() - 1))
+    assert (np.abs(got.mean(axis=0) - n * share) < 5 * deviation / 1_000**0.5).all()
+    assert (np.abs(got.std(axis=0) / deviation - 1) < 0.12).all()
+
+
 def test_shards_hold_every_row_once_in_sizes_one_apart(spark):
     got = queries.QUERIES["op2_hypergeometric_shards"](spark, SF).toPandas()
     docs = documents(spark)
