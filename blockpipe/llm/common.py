@@ -24,6 +24,13 @@ def only(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*[df[c] for c in columns])
 
 
+def one_text(df: DataFrame, text: str, *keys: str) -> DataFrame:
+    """(keys, text): one row for each key, with the text of the smallest digest;
+    null only if all are. Copies meet in a grouped minimum, first in their own task."""
+    digest = F.when(F.col(text).isNotNull(), F.struct(F.xxhash64(text), F.col(text).alias(text)))
+    return df.groupBy(*keys).agg(F.min(digest).alias("__least")).select(*keys, F.col(f"__least.{text}").alias(text))
+
+
 def crc32_of_id(id_col: Column) -> Column:
     """crc32 of the id written as text; the folds of the classifiers use it."""
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary"))

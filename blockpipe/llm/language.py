@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from blockpipe.llm.common import one_text, written
 from blockpipe.llm.ngrams import ngrams
 from blockpipe.llm.words import normal_words, text_groups
 from blockpipe.plans.sizing import broadcast_if_small
@@ -135,25 +136,27 @@ def fit(
 ) -> LanguageModel:
     """Train on ``docs`` with a language and a letter in the text: of each language up
     to ``sample`` texts of at most ``SAMPLE_CHARS`` characters, those with the smallest
-    hash of their id (a hash's 30 bits). The driver gets these texts and no others. Without any such
-    text the model knows no language and rejects everything."""
+    hash of their id (a hash's 30 bits). Of several rows of an id in a language the text
+    of the smallest digest counts, and only that. The driver gets these texts and no
+    others. Without any such text the model knows no language and rejects everything."""
     spark = docs.sparkSession
     text = F.col(text_col)
     known = docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull())
     known = known.where((F.length(text) <= SAMPLE_CHARS) & text.rlike(r"\p{L}"))
     known = known.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).alias("lang"), text.alias("t"))
     # a hash of the id thins each language to about the sample's size before it is ranked
-    ids = known.select("id", "lang", F.xxhash64("id").alias("h"))
+    ids = written(known.select("id", "lang").distinct(), "labelled-ids").withColumn("h", F.xxhash64("id"))
     sizes, _ = broadcast_if_small(ids.groupBy("lang").agg(F.count(F.lit(1)).alias("size")))
     share = F.pmod("h", F.lit(1 << 30)) / F.lit(float(1 << 30))
     thinned = ids.join(sizes, "lang").where(share < F.lit(2.0 * sample) / F.col("size"))
     first = Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 30)), "id")
     ids = thinned.withColumn("n", F.row_number().over(first)).where(F.col("n") <= sample)
-    rows = ids.select("id", "lang").distinct().toPandas()
+    rows = ids.select("id", "lang").toPandas()
     if not len(rows):
         return train([], [])
     chosen = spark.createDataFrame([(int(i), str(x)) for i, x in zip(rows["id"], rows["lang"])], "id long, lang string")
-    picked = known.join(F.broadcast(chosen), ["id", "lang"]).select(F.xxhash64("id").alias("h"), "lang", normal_words(F.col("t")).alias("w"))
+    picked = one_text(known.join(F.broadcast(chosen), ["id", "lang"]), "t", "id", "lang")
+    picked = picked.select(F.xxhash64("id").alias("h"), "lang", normal_words(F.col("t")).alias("w"))
     table = picked.orderBy("h", "lang", "w").toPandas()
     return train(table["w"].tolist(), table["lang"].tolist())
 

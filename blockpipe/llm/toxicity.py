@@ -18,6 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from blockpipe.llm.common import one_text, written
 from blockpipe.llm.ngrams import counted, ngrams
 from blockpipe.llm.words import normal_words, text_groups
 
@@ -110,8 +111,8 @@ def fit(
     texts are, and the driver gets one count for each of at most ``2 ** BITS``
     n-grams and the chosen texts' clear features.
 
-    Of several labels for an id the largest holds; null labels and ids are
-    ignored. With no labelled text of either label, all scores are 0.5 or follow
+    Of several labels for an id the largest holds, of several rows of an id the
+    text of the smallest digest; null labels and ids are ignored. With no labelled text of either label, all scores are 0.5 or follow
     the one label's share.
     """
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label"))
@@ -125,8 +126,9 @@ def fit(
     spark = docs.sparkSession
     rows = chosen.toPandas()  # at most 2 * sample ids
     chosen = spark.createDataFrame([(int(i), int(y)) for i, y in zip(rows["id"], rows["label"])], "id long, label int")
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), normal_words(F.col(text_col)).alias("w"))
-    texts = texts.join(F.broadcast(chosen), "id")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
+    texts = one_text(texts.join(F.broadcast(chosen), "id"), "t", "id", "label")
+    texts = written(texts.select(normal_words(F.col("t")).alias("w"), "label"), "labelled-texts")
 
     counts = texts.select("w", "label").mapInArrow(_counts, "bucket long, toxic long, other long")
     total = counts.groupBy("bucket").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other")).toPandas()

@@ -112,6 +112,32 @@ def test_classifiers(spark):
     assert {(r.lang_pred, r.lang_rejected) for r in unknown} == {("und", True)}
 
 
+def test_fits_take_one_row_of_an_id(spark, monkeypatch):
+    ordinary = [f"the weather in town number{i} is fine and people walk along the river" for i in range(40)]
+    insults = [f"you are a stinking grotbag and number{i} a vile snotling" for i in range(40)]
+    once = [(i, t) for i, t in enumerate(ordinary + insults)] + [(80, "the harvest was good and bread is cheap")]
+    copies = [once[-1]] * 3000 + [(80, "zz other text of the id")] * 2
+    labels = spark.createDataFrame([(i, int(i >= 40)) for i in range(81)], "doc_id long, toxic int")
+    plain, repeated = (spark.createDataFrame(r, "doc_id long, text string") for r in (once, once + copies[:3000]))
+    scores = []
+    for docs in (plain, repeated):
+        model = toxicity.fit(docs, labels)
+        got = toxicity.score_toxicity(plain, model).orderBy("doc_id").collect()
+        scores.append([r.toxicity for r in got])
+    assert scores[1] == pytest.approx(scores[0], abs=1e-6)
+    # several texts of an id: one counts, whatever the order of the rows
+    models = [toxicity.fit(spark.createDataFrame(r, "doc_id long, text string"), labels) for r in (once + copies, copies + once)]
+    assert models[0].weights == pytest.approx(models[1].weights, abs=1e-6)
+
+    seen = []
+    monkeypatch.setattr(language, "train", lambda texts, langs: seen.append(sorted(zip(texts, langs))))
+    english = [(i, t, "en") for i, t in once]
+    german = [(100 + i, f"das Wetter in Stadt {i} ist gut", "de") for i in range(30)]
+    for rows in (english + german, english + german + [english[0]] * 2000 + [english[7]] * 2000):
+        language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample=50)
+    assert seen[0] == seen[1] and len(seen[0]) == 80
+
+
 def test_near_duplicates(spark):
     docs = odd_documents(spark).withColumn("class_id", F.lit("x"))
     got = sorted((r.doc_id or 0, r.class_id or 0, r.keep) for r in neardup.near_duplicates(docs).collect())
