@@ -23,7 +23,7 @@ from blockpipe.llm.ngrams import counted, ngrams
 from blockpipe.llm.words import normal_words, text_groups
 
 BITS = 20
-SAMPLE_TEXTS = 4_000  # labelled texts of each label that a fit uses at most
+SAMPLE_TEXTS = 6_000  # labelled texts of each label that a fit uses at most
 SMOOTHING = 0.5
 MIN_Z = 3.0
 PENALTY = 1e-4
@@ -66,21 +66,36 @@ def log_count_ratios(toxic: np.ndarray, other: np.ndarray, n_toxic: int, n_other
 
 
 def fit_logistic(
-    owner: np.ndarray, feature: np.ndarray, value: np.ndarray, labels: np.ndarray, scale: np.ndarray
+    parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], labels: np.ndarray, scale: np.ndarray
 ) -> tuple[np.ndarray, float]:
     """Weights of the features scaled by ``scale``, and an intercept: full-batch
     gradient descent with momentum, squared weights penalised, both labels of equal
-    weight. ``feature`` and ``value`` are the texts' features, ``owner`` their texts."""
-    n, value = len(labels), value * scale[feature]
+    weight. A part has some texts' number of features, all their features and values;
+    the texts of all parts are in the order of ``labels``. Beside the parts, memory
+    is that of the largest part."""
     weight = np.where(labels == 1, 0.5 / max(1, (labels == 1).sum()), 0.5 / max(1, (labels == 0).sum()))
-    norm = np.quantile(np.bincount(owner, value**2, minlength=n), 0.99)
+    ends = np.cumsum([0] + [len(sizes) for sizes, _, _ in parts])
+
+    def owners(k: int) -> np.ndarray:
+        return np.repeat(np.arange(len(parts[k][0])), parts[k][0])
+
+    def by_text(k: int, values: np.ndarray) -> np.ndarray:
+        return np.bincount(owners(k), values, minlength=len(parts[k][0]))
+
+    norms = [by_text(k, (value * scale[feature]) ** 2) for k, (_, feature, value) in enumerate(parts)]
+    norm = np.quantile(np.concatenate(norms), 0.99)
     rate = 4.0 / (norm + 1)
     w, b, vw, vb = np.zeros(len(scale)), 0.0, np.zeros(len(scale)), 0.0
     for _ in range(STEPS):
-        margin = np.bincount(owner, value * w[feature], minlength=n) + b
-        error = weight * (1 / (1 + np.exp(-np.clip(margin, -40, 40))) - labels)
-        vw = 0.9 * vw - rate * (np.bincount(feature, value * error[owner], minlength=len(scale)) + PENALTY * w)
-        vb = 0.9 * vb - error.sum()
+        scaled, slope, total = w * scale, np.zeros(len(scale)), 0.0
+        for k, (_, feature, value) in enumerate(parts):
+            texts = slice(ends[k], ends[k + 1])
+            margin = by_text(k, value * scaled[feature]) + b
+            error = weight[texts] * (1 / (1 + np.exp(-np.clip(margin, -40, 40))) - labels[texts])
+            slope += np.bincount(feature, value * error[owners(k)], minlength=len(scale))
+            total += error.sum()
+        vw = 0.9 * vw - rate * (slope * scale + PENALTY * w)
+        vb = 0.9 * vb - total
         w, b = w + vw, b + vb
     return w * scale, b
 
@@ -155,10 +170,13 @@ def fit(
                 yield pa.RecordBatch.from_arrays([*lists, part.column(1)], names=["f", "v", "label"])
 
     table = texts.select("w", "label").mapInArrow(sparse, "f array<int>, v array<float>, label int").toArrow()
-    sizes = pc.list_value_length(table.column(0)).to_numpy()
-    feature, value = (pc.list_flatten(table.column(i)).to_numpy() for i in (0, 1))
-    labels = table.column(2).to_numpy().astype(np.float64)
-    w, b = fit_logistic(np.repeat(np.arange(len(sizes)), sizes), feature, value, labels, ratio[clear])
+    # a batch's features stay in Arrow's buffers, 8 bytes each
+    parts = [
+        (pc.list_value_length(x.column(0)).to_numpy(), x.column(0).flatten().to_numpy(), x.column(1).flatten().to_numpy())
+        for x in table.to_batches()
+        if x.num_rows
+    ]
+    w, b = fit_logistic(parts, table.column(2).to_numpy().astype(np.float64), ratio[clear])
     weights[clear] = w
     return ToxicityModel(weights, float(b))
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from blockpipe.llm import ann, neardup, packing, queries, shards, urls, warc
+from blockpipe.llm import ann, neardup, packing, queries, shards, toxicity, urls, warc
 from blockpipe.llm.decontaminate import find_passages, weighted_similarity
 from blockpipe.llm.words import WordHasher, shingles
 from tests.oracle import duck, rows
@@ -209,6 +209,26 @@ def test_toxicity_on_held_out_labels(spark):
     assert held[held["toxic"] == 0]["predicted"].mean() < 0.01
 
 
+def test_toxicity_fits_on_its_whole_sample():
+    assert toxicity.SAMPLE_TEXTS == 6_000
+    rng = np.random.Generator(np.random.PCG64(2))
+    labels, scale = rng.integers(0, 2, 60).astype(np.float64), rng.normal(0, 1, 9)
+    sizes = rng.integers(0, 8, 60)
+    feature = rng.integers(0, 9, sizes.sum()).astype(np.int32)
+    value = rng.random(sizes.sum()).astype(np.float32)
+    at = np.cumsum([0, *sizes])
+    whole = toxicity.fit_logistic([(sizes, feature, value)], labels, scale)
+    cut = [(sizes[i:j], feature[at[i] : at[j]], value[at[i] : at[j]]) for i, j in ((0, 1), (1, 20), (20, 60))]
+    parts = toxicity.fit_logistic(cut, labels, scale)
+    assert whole[0] == pytest.approx(parts[0]) and whole[1] == pytest.approx(parts[1])
+    design = np.zeros((60, 9))
+    np.add.at(design, (np.repeat(np.arange(60), sizes), feature), value * scale[feature])
+    w = whole[0] / scale
+    error = 1 / (1 + np.exp(-(design @ w + whole[1]))) - labels
+    weight = np.where(labels == 1, 0.5 / labels.sum(), 0.5 / (1 - labels).sum())
+    assert np.abs(design.T @ (weight * error) + toxicity.PENALTY * w).max() < 1e-3
+
+
 def test_language_on_held_out_documents(spark):
     got = queries.QUERIES["op10_language_id"](spark, "/root/testdata/sf0.01").toPandas()
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").toPandas()
