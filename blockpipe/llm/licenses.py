@@ -77,8 +77,12 @@ KNOWN_LICENSES = [
     ("CC0-1.0", "Released under CC0 1.0."),
 ]
 
-# A line that only states a copyright is no part of the licence itself.
-COPYRIGHT_LINE = r"(^|\n)[ \t]*(copyright|\(c\)|©)[^\n]*"
+# A line that only states a copyright is no part of the licence itself: one that
+# begins with the word and (c), the sign or a year, or with one of those and a year.
+_YEAR = r"([<\[{]?\d\d(\d\d|yy)|[<\[{](year|yyyy))"
+COPYRIGHT_LINE = (
+    r"(^|\n)[ \t]*(copyright[ \t:]*(\(c\)|©|" + _YEAR + r")|(\(c\)|©)[ \t]*(copyright[ \t]*)?" + _YEAR + r")[^\n]*"
+)
 
 # Applied in turn to the lower-cased text; every pattern means the same to
 # Java's and to RE2's regular expressions. Afterwards each word has a blank of
@@ -96,6 +100,17 @@ def _padded(words: str) -> str:
     return " " + words.replace(" ", "  ") + " "
 
 
+def _spellings() -> list[tuple[str, str]]:
+    """What to replace in the padded words; spellings of several words also where
+    the text was wrapped inside them."""
+    out = [(_padded(spelling), _padded(same)) for spelling, same in EQUIVALENT_SPELLINGS]
+    for spelling, same in EQUIVALENT_SPELLINGS:
+        if " " in spelling:
+            for gap in (" \n ", "   \n ", " \n   ", "   \n   "):
+                out.append((f" {spelling.replace(' ', gap)} ", f" {same.replace(' ', gap)} "))
+    return out
+
+
 def canonical_lines(text: Column) -> Column:
     """The lower-cased text without copyright lines, its words parted by blanks,
     in equivalent spellings, lines kept. Null stays null."""
@@ -103,8 +118,8 @@ def canonical_lines(text: Column) -> Column:
     for pattern, new in PATTERNS:
         c = F.regexp_replace(c, F.lit(pattern), F.lit(new))
     c = F.concat(F.lit(" "), c, F.lit(" "))
-    for spelling, same in EQUIVALENT_SPELLINGS:
-        c = F.replace(c, F.lit(_padded(spelling)), F.lit(_padded(same)))
+    for spelling, same in _spellings():
+        c = F.replace(c, F.lit(spelling), F.lit(same))
     return c
 
 
@@ -124,8 +139,8 @@ def canonical_lines_sql(text: str) -> str:
         quoted = new.replace("\n", "' || chr(10) || '")
         c = f"regexp_replace({c}, '{pattern}', '{quoted}', 'g')"
     c = f"' ' || {c} || ' '"
-    for spelling, same in EQUIVALENT_SPELLINGS:
-        c = f"replace({c}, '{_padded(spelling)}', '{_padded(same)}')"
+    for spelling, same in _spellings():
+        c = f"replace({c}, '{spelling}', '{same}')"
     return c
 
 

@@ -1,6 +1,11 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables, clashing columns."""
 
+import re
+import textwrap
+
+import duckdb
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -182,6 +187,43 @@ def test_licenses(spark):
     assert {r.license for r in licenses.scan_licenses(df, known=[]).collect()} == {None}
 
 
+STATEMENT = re.compile(r"\s*(copyright\s*\(c\)|copyright \[yyyy\])", re.I)
+
+
+def wrapped(text: str, width: int) -> str:
+    """Every paragraph filled anew; lines that state a copyright stay alone."""
+    out = []
+    for paragraph in re.split(r"\n\s*\n", text):
+        lines = [[]]
+        for line in paragraph.split("\n"):
+            if STATEMENT.match(line):
+                lines += [[line], []]
+            else:
+                lines[-1].append(line)
+        out.append("\n".join(textwrap.fill(" ".join(x), width, break_on_hyphens=False) for x in lines if x))
+    return "\n\n".join(out)
+
+
+def found_licenses(spark, rows):
+    """license_digest -> licence by Spark, held against the SQL form."""
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.license for r in licenses.scan_licenses(df).collect()}
+    con = duckdb.connect()
+    table = pa.table({"doc_id": [r[0] for r in rows], "text": [r[1] for r in rows]})
+    con.register("documents", table)
+    assert got == {r[0]: r[2] for r in con.execute(licenses.scan_sql()).fetchall()}
+    return got
+
+
+def test_licenses_in_any_wrapping(spark):
+    known = licenses.known_licenses() if hasattr(licenses, "known_licenses") else licenses.KNOWN_LICENSES
+    cases = [(name, wrapped(text, width)) for name, text in known for width in (60, 72, 80)]
+    isc = dict(licenses.KNOWN_LICENSES)["ISC"].replace("copyright notice and this", "\ncopyright notice and this")
+    cases += [("ISC", "(c) 2019 Some One\n© 2020 Other\nCopyright <year> A\nCopyright [2021] B\n" + isc)]
+    got = found_licenses(spark, [(i, text) for i, (_, text) in enumerate(cases)])
+    assert [(k, name) for k, (name, _) in enumerate(cases) if got[k] != name] == []
+
+
 def test_decontamination(spark):
     item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi"
     bench = spark.createDataFrame(
