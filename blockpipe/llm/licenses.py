@@ -7,6 +7,11 @@ digests of known licences: one hash join, in SQL functions only.
 
 from __future__ import annotations
 
+import functools
+import re
+import textwrap
+from importlib import resources
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,6 +82,78 @@ KNOWN_LICENSES = [
     ("CC0-1.0", "Released under CC0 1.0."),
 ]
 
+# Whole texts kept as files beside this one, as (licence, file, where the
+# text without a title begins, where the terms end if a sample notice follows).
+_GNU = ("Copyright (C)", "END OF TERMS AND CONDITIONS")
+WHOLE_TEXTS = [
+    ("Apache-2.0", "Apache-2.0", "TERMS AND CONDITIONS FOR USE", "END OF TERMS AND CONDITIONS"),
+    ("Artistic-1.0-Perl", "Artistic", "Preamble", None),
+    ("BSD-3-Clause", "BSD", None, None),
+    ("CC0-1.0", "CC0-1.0", "CREATIVE COMMONS CORPORATION", None),
+    ("CC0-1.0", "CC0-1.0", "CC0 1.0 Universal", None),
+    ("CC0-1.0", "CC0-1.0", "Statement of Purpose", None),
+    ("GFDL-1.2-only", "GFDL-1.2", "Copyright (C)", "ADDENDUM:"),
+    ("GFDL-1.3-only", "GFDL-1.3", "Copyright (C)", "ADDENDUM:"),
+    ("GPL-1.0-only", "GPL-1", *_GNU),
+    ("GPL-2.0-only", "GPL-2", *_GNU),
+    ("GPL-3.0-only", "GPL-3", *_GNU),
+    ("LGPL-2.0-only", "LGPL-2", *_GNU),
+    ("LGPL-2.1-only", "LGPL-2.1", *_GNU),
+    ("LGPL-3.0-only", "LGPL-3", "Copyright (C)", None),
+    ("MPL-1.1", "MPL-1.1", "1. Definitions.", "EXHIBIT A"),
+    ("MPL-2.0", "MPL-2.0", "1. Definitions", "Exhibit A - Source"),
+]
+
+# Customary title lines of the short licences.
+TITLES = {
+    "MIT": ["MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)"],
+    "ISC": ["ISC License", "The ISC License", "ISC License (ISC)"],
+    "0BSD": ["BSD Zero Clause License", "Zero-Clause BSD", "0BSD License"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "The BSD 2-Clause License", "Simplified BSD License"],
+    "BSD-3-Clause": ["BSD 3-Clause License", "The BSD 3-Clause License", "New BSD License", "BSD License"],
+    "Zlib": ["zlib License", "The zlib License", "The zlib/libpng License"],
+}
+_THIRD_CLAUSE = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n"
+
+
+def _rewrapped(text: str, width: int) -> str:
+    """With the copyright statements of the licence's own authors filled to ``width``:
+    the rest of a statement that was wrapped stays in the canonical text."""
+    statement = r"(?mi)^[ \t]*copyright \(c\) \d{4}.*$"
+    return re.sub(statement, lambda m: textwrap.fill(m[0].strip(), width), text) if width else text
+
+
+@functools.cache
+def _known() -> list[tuple[str, str]]:
+    short = [(name, text) for name, text in KNOWN_LICENSES if name in TITLES and len(text) > 500]
+    two = dict(short)["BSD-2-Clause"]
+    short.append(("BSD-3-Clause", two.replace("THIS SOFTWARE IS", _THIRD_CLAUSE + "THIS SOFTWARE IS", 1)))
+    found = list(KNOWN_LICENSES)
+    files = resources.files(__package__) / "known_licenses"
+    for name, file, begin, end in WHOLE_TEXTS:
+        text = (files / f"{file}.txt").read_text(encoding="utf-8")
+        at = [0] + ([text.index(begin)] if begin else [])
+        stops = [len(text)]
+        if end:
+            last = text.rindex(end)
+            stops += [last, last + len(end)] if end.startswith("END OF") else [last]
+        if name in TITLES:
+            short.append((name, text))
+        found += [(name, _rewrapped(text[lo:hi], width)) for lo in at for hi in stops for width in (0, 58, 60, 70, 72)]
+    for name, text in short:
+        title, _, body = text.partition("\n")
+        body = body if title in TITLES[name] else text
+        bodies = [body, re.sub(r"(?m)^\d\. ", "* ", body)] if name.startswith("BSD") else [body]
+        found += [(name, f"{t}\n\n{b}") for b in bodies for t in ["", *TITLES[name]]]
+    return list(dict.fromkeys(found))
+
+
+def known_licenses() -> list[tuple[str, str]]:
+    """(licence, text): the texts and notices above and the files' whole texts, with
+    and without their titles, and with and without the sample notice at the end."""
+    return list(_known())
+
+
 # A line that only states a copyright is no part of the licence itself: one that
 # begins with the word and (c), the sign or a year, or with one of those and a year.
 _YEAR = r"([<\[{]?\d\d(\d\d|yy)|[<\[{](year|yyyy))"
@@ -152,7 +229,7 @@ def known_digests(spark: SparkSession, known: list[tuple[str, str]] | None = Non
     """(license_digest, license), one row per distinct canonical text; of two
     names for one text the smaller is kept, texts that are empty once canonical
     are left out. As long as the list given."""
-    rows = spark.createDataFrame(KNOWN_LICENSES if known is None else known, "license string, text string")
+    rows = spark.createDataFrame(known_licenses() if known is None else known, "license string, text string")
     return (
         rows.select("license", canonical(F.col("text")).alias("canon"))
         .where("canon <> ''")
@@ -182,8 +259,8 @@ def scan_licenses(
     replaced. An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    table = known_digests(spark, known)
-    names = {r.license_digest: r.license for r in table.collect()}  # as long as the parameter
+    names = {r.license_digest: r.license for r in known_digests(spark, known).collect()}  # as long as the list
+    table = spark.createDataFrame(list(names.items()), "license_digest string, license string")
     kept = docs.drop("license_digest", "license", "license_lines")
     lines, flat = "__lines", "__flat"
     out = kept.withColumn(lines, canonical_lines(F.col(text_col))).withColumn(flat, one_line(F.col(lines)))
@@ -204,8 +281,7 @@ def scan_licenses(
 def scan_sql(source: str = "documents", known: list[tuple[str, str]] | None = None) -> str:
     """``scan_licenses`` for (doc_id, text) of ``source`` as DuckDB SQL."""
     values = ", ".join(
-        "('" + n + "', '" + t.replace("'", "''").replace("\n", "' || chr(10) || '") + "')"
-        for n, t in (KNOWN_LICENSES if known is None else known)
+        "('" + n + "', '" + t.replace("'", "''") + "')" for n, t in (known_licenses() if known is None else known)
     )
     return f"""
     with known as (

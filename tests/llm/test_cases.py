@@ -1,5 +1,6 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables, clashing columns."""
 
+import pathlib
 import re
 import textwrap
 
@@ -224,6 +225,25 @@ def test_licenses_in_any_wrapping(spark):
     assert [(k, name) for k, (name, _) in enumerate(cases) if got[k] != name] == []
 
 
+def test_whole_licenses_with_and_without_titles(spark):
+    mit = dict(licenses.KNOWN_LICENSES[:1])["MIT"].partition("\n")[2]
+    bsd = dict(licenses.KNOWN_LICENSES)["BSD-2-Clause"]
+    cases = [("MIT", title + "\n\nCopyright (c) 2001 X\n\n" + mit) for title in ("", "The MIT License (MIT)", "MIT License")]
+    cases += [("BSD-2-Clause", "BSD 2-Clause License\n\n" + bsd.replace("1. ", "* ").replace("2. ", "* "))]
+    names = {
+        "Apache-2.0": "Apache-2.0", "Artistic": "Artistic-1.0-Perl", "BSD": "BSD-3-Clause", "CC0-1.0": "CC0-1.0",
+        "GFDL-1.2": "GFDL-1.2-only", "GFDL-1.3": "GFDL-1.3-only", "GPL-1": "GPL-1.0-only", "GPL-2": "GPL-2.0-only",
+        "GPL-3": "GPL-3.0-only", "LGPL-2": "LGPL-2.0-only", "LGPL-2.1": "LGPL-2.1-only", "LGPL-3": "LGPL-3.0-only",
+        "MPL-1.1": "MPL-1.1", "MPL-2.0": "MPL-2.0",
+    }
+    folder = pathlib.Path(licenses.__file__).parent / "known_licenses"
+    cases += [(name, (folder / f"{file}.txt").read_text()) for file, name in names.items()]
+    terms = (folder / "Apache-2.0.txt").read_text()
+    cases += [("Apache-2.0", terms[terms.index("TERMS AND") : terms.index("APPENDIX")]), (None, terms + " more")]
+    got = found_licenses(spark, [(i, text) for i, (_, text) in enumerate(cases)])
+    assert [got[i] for i in range(len(cases))] == [name for name, _ in cases]
+
+
 def test_decontamination(spark):
     item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi"
     bench = spark.createDataFrame(
