@@ -8,12 +8,15 @@ from pyspark.sql import functions as F
 
 from blockpipe.llm import language, toxicity
 from blockpipe.llm.ann import nearest_neighbours
+from blockpipe.llm.caps import linked_vectors
 from blockpipe.llm.common import crc32_of_id, only
 from blockpipe.llm.decontaminate import find_passages
 from blockpipe.llm.licenses import scan_licenses, scan_sql
 from blockpipe.llm.neardup import near_duplicates
 from blockpipe.llm.packing import pack_documents
+from blockpipe.llm.repair import damaged, repair_conversations
 from blockpipe.llm.shards import shard_rows
+from blockpipe.llm.spelling import spelling_groups
 from blockpipe.llm.urls import filter_sql, filter_urls
 from blockpipe.llm.warc import read_warc, write_warc
 from blockpipe.session import scratch_path
@@ -149,3 +152,19 @@ def op10(spark, sf):
 def op1(spark, sf):
     vectors = only(table(spark, sf, "embeddings"), "vec_id", "embedding")
     return nearest_neighbours(vectors, vectors.where("vec_id % 100 = 0"))
+
+
+@query("op11_cap_filters")
+def op11(spark, sf):
+    return linked_vectors(only(table(spark, sf, "embeddings"), "vec_id", "embedding"))
+
+
+@query("op12_frequency_trie")
+def op12(spark, sf):
+    return spelling_groups(only(table(spark, sf, "documents"), "doc_id", "text"))
+
+
+@query("op13_hirschberg_repair")
+def op13(spark, sf):
+    turns = only(table(spark, sf, "conversations"), "conv_id", "turn", "role", "text")
+    return repair_conversations(damaged(turns), present_col="present")
