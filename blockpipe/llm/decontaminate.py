@@ -1,7 +1,7 @@
 """Benchmark passages in documents, by SimHash of item-sized windows.
 
 Every item is fingerprinted by windows a little shorter than itself, taken at its
-start and its end; every window of that many words in every document is
+start, its middle and its end; every window of that many words in every document is
 fingerprinted too, from running sums over the words' bits. Fingerprints within a
 Hamming radius are found through blocks: with ``BLOCKS`` blocks and a radius below
 twice their number, some block differs in at most one bit, so looking up each
@@ -16,7 +16,6 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,6 +29,7 @@ WINDOW_SHARE = 0.85  # a window has at most this share of its item's words
 WINDOW_STEP = 1.25  # from one window size to the next
 ITEM_BLOCK = 20_000  # items looked for in one pass over the documents
 CHUNK_WORDS = 1 << 15
+MOST_COUNT = (1 << 16) - 1
 
 HITS = "doc_id long, item_id long, similarity double, first_word long, n_words long"
 
@@ -46,12 +46,17 @@ def window_size(n: int, sizes: list[int]) -> int:
     return max([s for s in sizes if s <= max(1, n * WINDOW_SHARE)])
 
 
-def running_bits(words: np.ndarray) -> np.ndarray:
-    """Running counts of the words' set bits, one column for each of 64 bits,
-    modulo 2^16 (windows are shorter)."""
+def running_bits(words: np.ndarray, most: int) -> np.ndarray:
+    """Running counts of the words' set bits, one column for each of 64 bits, modulo
+    2^8 for windows of up to ``most`` < 2^8 words, else modulo 2^16 (windows are
+    shorter than that). Four 16-bit columns are summed as one number, for at most
+    ``MOST_COUNT`` words at a time, so none runs over into the next."""
     bits = np.unpackbits(words.view(np.uint8).reshape(-1, 8), axis=1)
-    sums = np.zeros((len(words) + 1, 64), dtype=np.uint16)
-    np.cumsum(bits, axis=0, dtype=np.uint16, out=sums[1:])
+    sums = np.zeros((len(words) + 1, 64), dtype=np.uint8 if most < 1 << 8 else np.uint16)
+    for at in range(0, len(words), MOST_COUNT):
+        four = bits[at : at + MOST_COUNT].astype(np.uint16).view(np.uint64)
+        part = np.cumsum(four, axis=0).view(np.uint16).astype(sums.dtype)
+        sums[at + 1 : at + 1 + len(part)] = part + sums[at]
     return sums
 
 
@@ -59,7 +64,7 @@ def fingerprints(sums: np.ndarray, size: int) -> np.ndarray:
     """SimHash of every window of ``size`` words: a bit is set if more than half
     of the window's words have it."""
     ones = sums[size:] - sums[:-size]
-    return np.packbits(ones > size // 2, axis=1).view(np.uint64).ravel()
+    return np.packbits((ones > size // 2).ravel()).view(np.uint64)
 
 
 def weighted_similarity(a: Counter, b: Counter) -> float:
@@ -79,8 +84,8 @@ class Index:
         entries: dict[int, list[tuple[int, int, int]]] = {}
         for k, (_, words, _) in enumerate(self.items):
             size = window_size(len(words), sizes)
-            prints = fingerprints(running_bits(words), size)
-            for offset in sorted({0, len(words) - size}):
+            prints = fingerprints(running_bits(words, size), size)
+            for offset in sorted({0, (len(words) - size) // 2, len(words) - size}):
                 entries.setdefault(size, []).append((int(prints[offset]), k, offset))
         self.classes = [self._class(size, rows) for size, rows in sorted(entries.items())]
         self.most = max(entries, default=1)
@@ -95,7 +100,7 @@ class Index:
             keys = keys.ravel().astype(np.int64)
             order = np.argsort(keys, kind="stable")
             starts = np.searchsorted(keys[order], np.arange(65537))
-            blocks.append((starts, (order // len(flips)).astype(np.int64)))
+            blocks.append((starts[1:] > starts[:-1], starts, (order // len(flips)).astype(np.int64)))
         return size, prints, np.array([r[1] for r in rows]), np.array([r[2] for r in rows]), blocks
 
     def candidates(self, words: np.ndarray) -> Iterator[tuple[int, int, int]]:
@@ -103,22 +108,22 @@ class Index:
         at = 0
         while at < len(words):
             part = words[at : at + CHUNK_WORDS + self.most - 1]
-            sums = running_bits(part)
+            sums = running_bits(part, self.most)
             for size, prints, items, offsets, blocks in self.classes:
                 if len(part) < size:
                     continue
                 found = fingerprints(sums, size)[:CHUNK_WORDS]
                 pairs = []
-                for b, (starts, order) in enumerate(blocks):
-                    keys = ((found >> np.uint64(16 * b)) & np.uint64(0xFFFF)).astype(np.int64)
-                    first = starts[keys]
-                    many = starts[keys + 1] - first
-                    hit = np.flatnonzero(many)
+                for b, (known, starts, order) in enumerate(blocks):
+                    keys = (found >> np.uint64(16 * b)).astype(np.uint16)
+                    hit = np.flatnonzero(known[keys])
                     if not len(hit):
                         continue
-                    where = np.repeat(hit, many[hit])
-                    step = np.arange(len(where)) - np.repeat(np.cumsum(many[hit]) - many[hit], many[hit])
-                    entry = order[np.repeat(first[hit], many[hit]) + step]
+                    keys = keys[hit].astype(np.int64)
+                    first, many = starts[keys], starts[keys + 1] - starts[keys]
+                    where = np.repeat(hit, many)
+                    step = np.arange(len(where)) - np.repeat(np.cumsum(many) - many, many)
+                    entry = order[np.repeat(first, many) + step]
                     near = np.bitwise_count(found[where] ^ prints[entry]) <= RADIUS
                     pairs.append(where[near] * len(prints) + entry[near])
                 for pair in np.unique(np.concatenate(pairs)) if pairs else ():
@@ -198,11 +203,13 @@ def flag_passages(
     by the rules of ``find_passages``; false for null and empty texts. Rows are judged
     where they are, so ids may be null or repeated. A column named like the flag is
     replaced."""
-    kept = [c for c in docs.columns if c != flag]
-    out = docs.select(*kept, F.lit(False).alias("__hit"), normal_words(F.col(text_col)).alias("__w"))
-    for rows in _item_blocks(benchmark, item_col, item_text_col, item_block):
-        out = out.withColumn("__hit", F.col("__hit") | _flagger(rows, threshold)("__w"))
-    return out.select(*kept, F.col("__hit").alias(flag))
+    row = F.struct(*[docs[c] for c in docs.columns if c != flag]).alias("__row")
+    out = docs.select(row, F.col(text_col).alias("__text"))
+    hit = F.lit(False)
+    for k, rows in enumerate(_item_blocks(benchmark, item_col, item_text_col, item_block)):
+        out = out.withColumn(f"__hit{k}", _flagger(rows, threshold)(normal_words(F.col("__text"))))
+        hit = hit | F.col(f"__hit{k}")
+    return out.select("__row.*", hit.alias(flag))
 
 
 def _item_blocks(benchmark: DataFrame, item_col: str, text_col: str, item_block: int) -> Iterator[pa.Table]:
@@ -243,17 +250,17 @@ def _searcher(rows: pa.Table, threshold: float):
 
 
 def _flagger(rows: pa.Table, threshold: float):
-    @F.pandas_udf("boolean")
-    def flagged(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("boolean")
+    def flagged(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         hasher = WordHasher()
         index = _built(rows, hasher)
         for texts in batches:
-            batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.large_string())], names=["w"])
+            batch = pa.RecordBatch.from_arrays([texts], names=["w"])
             out = np.zeros(len(texts), dtype=bool)
             for lo, hi in text_groups(batch, 0):
                 words, bounds = hasher.documents(batch.column(0).slice(lo, hi - lo))
                 for d, *_ in index.hits(words, bounds, threshold):
                     out[lo + d] = True
-            yield pd.Series(out)
+            yield pa.array(out)
 
     return flagged
