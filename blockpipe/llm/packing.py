@@ -12,6 +12,8 @@ from __future__ import annotations
 import bisect
 import os
 import re
+import sys
+import types
 import zlib
 from collections.abc import Iterator
 
@@ -88,6 +90,17 @@ class Encoder:
         return b"".join(map(self.chunks.__getitem__, text.lower().split()))
 
 
+def _encoder(path: str) -> Encoder:
+    """The worker process's encoder for a vocabulary, so that later tasks of the
+    process find the chunks it knows."""
+    kept = sys.modules.setdefault("blockpipe_worker_state", types.ModuleType("blockpipe_worker_state"))
+    encoders = kept.__dict__.setdefault("encoders", {})
+    if path not in encoders:
+        encoders.clear()  # one at a time
+        encoders[path] = Encoder(path)
+    return encoders[path]
+
+
 def tokenize(
     docs: DataFrame,
     vocabulary: str,
@@ -106,7 +119,7 @@ def tokenize(
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder = Encoder(vocabulary)
+        encoder = _encoder(vocabulary)
         names = ("doc_id", "piece", "start", "length", "ids_crc32", "ids")
         kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
 
@@ -184,7 +197,9 @@ def ranked_by_length(pieces: DataFrame, histogram: dict[int, int], rank_rows: in
     many parts a length has is bound by the capacity and broadcast."""
     spark = pieces.sparkSession
     parts = spark.createDataFrame([(n, -(-c // rank_rows)) for n, c in histogram.items()], "length long, __parts long")
-    mixed = F.xxhash64("doc_id", "piece", "ids_crc32")
+    # repeated rows are told apart by their place in the written table
+    pieces = pieces.withColumn("__place", F.monotonically_increasing_id())
+    mixed = F.xxhash64("doc_id", "piece", "ids_crc32", "__place")
     salted = pieces.join(F.broadcast(parts), "length").withColumn("__salt", F.pmod(mixed, F.col("__parts")))
     counts = salted.groupBy("length", "__salt").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy("length").orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1)
@@ -192,7 +207,7 @@ def ranked_by_length(pieces: DataFrame, histogram: dict[int, int], rank_rows: in
     within = Window.partitionBy("length", "__salt").orderBy("doc_id", "piece", "ids_crc32")
     ranked = salted.withColumn("__rank", F.row_number().over(within) - 1)
     return ranked.join(starts, ["length", "__salt"]).withColumn("__rank", F.col("__rank") + F.col("__start")).drop(
-        "__salt", "__start", "__parts"
+        "__salt", "__start", "__parts", "__place"
     )
 
 
