@@ -2,9 +2,37 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 ORDERS = (3, 4, 5)
+PIECE_CHARS = 1 << 17
+
+
+def pieces(texts: list[str], most: int = PIECE_CHARS) -> Iterator[tuple[np.ndarray, list[str]]]:
+    """(owners, pieces): all texts, cut after a blank where longer than about ``most``
+    characters, in groups of about as many. An n-gram lies inside a word, so the pieces
+    have just the text's n-grams. Where a text is cut depends on nothing else; a word
+    longer than ``most`` stays whole."""
+    owners, group, held = [], [], 0
+    for i, text in enumerate(texts):
+        at = 0
+        while at < len(text) or not text:
+            end = len(text)
+            if end - at > most:
+                end = text.rfind(" ", at, at + most) + 1 or text.find(" ", at + most) + 1 or len(text)
+                end = end if end > at else len(text)
+            if group and held + end - at > most:
+                yield np.array(owners), group
+                owners, group, held = [], [], 0
+            owners.append(i)
+            group.append(text[at:end])
+            held, at = held + end - at, end
+            if not text:
+                break
+    if group:
+        yield np.array(owners), group
 
 
 def ngrams(texts: list[str], bits: int, orders: tuple[int, ...] = ORDERS) -> tuple[np.ndarray, np.ndarray]:

@@ -12,14 +12,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from blockpipe.llm.common import one_text, written
-from blockpipe.llm.ngrams import counted, ngrams
+from blockpipe.llm.ngrams import PIECE_CHARS, counted, ngrams, pieces
 from blockpipe.llm.words import normal_words, text_groups
 
 BITS = 20
@@ -33,9 +32,20 @@ THRESHOLD = 0.7
 
 
 def _features(part: pa.RecordBatch, column: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, bucket, value), ordered by text."""
+    """(text, bucket, value), ordered by text. Long texts are counted in pieces."""
     texts = part.column(column).to_pylist()
-    owner, bucket, times = counted(*ngrams(texts, BITS), BITS)
+    owner, bucket, times, cut = [], [], [], False
+    for text, group in pieces(texts):
+        o, b, t = counted(*ngrams(group, BITS), BITS)
+        cut = cut or (len(owner) > 0 and len(owner[-1]) > 0 and owner[-1][-1] == text[0])
+        owner.append(text[o])
+        bucket.append(b)
+        times.append(t)
+    owner, bucket, times = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (owner, bucket, times))
+    if cut:  # sum up the pieces of a text
+        keys, place = np.unique((owner << BITS) | bucket, return_inverse=True)
+        times = np.bincount(place, times).astype(np.int64)
+        owner, bucket = keys >> BITS, keys & ((1 << BITS) - 1)
     words = np.array([t.count(" ") for t in texts], dtype=np.float64)
     return owner, bucket, np.sqrt(100 * times / (words[owner] + SPARE_WORDS))
 
@@ -44,7 +54,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each n-gram, how many toxic and how many other texts of a task have it."""
     toxic, other = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, np.int64)
     for batch in batches:
-        for lo, hi in text_groups(batch, 0):
+        for lo, hi in text_groups(batch, 0, PIECE_CHARS):
             part = batch.slice(lo, hi - lo)
             owner, bucket, _ = _features(part, 0)
             label = np.asarray(part.column(1).to_pylist(), dtype=np.int64)
@@ -127,8 +137,14 @@ def fit(
     n-grams and the chosen texts' clear features.
 
     Of several labels for an id the largest holds, of several rows of an id the
-    text of the smallest digest; null labels and ids are ignored. With no labelled text of either label, all scores are 0.5 or follow
-    the one label's share.
+    text of the smallest digest; null labels and ids are ignored, and ids must be
+    numbers; a null text counts as empty. With no labelled text of either label, all
+    scores are 0.5 or follow the one label's share. Of few labelled texts hardly any
+    n-gram's ratio is clear (``MIN_Z``), so such a model tells little.
+
+    A chosen text is worked off in pieces; the driver gets at most 8 bytes for each of
+    its clear n-grams, 8 MB a text at most (``2 ** BITS`` of them), some kilobytes as
+    a rule.
     """
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label"))
     known = known.where("id is not null and label in (0, 1)").groupBy("id").agg(F.max("label").alias("label"))
@@ -160,7 +176,7 @@ def fit(
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi in text_groups(batch, 0):
+            for lo, hi in text_groups(batch, 0, PIECE_CHARS):
                 part = batch.slice(lo, hi - lo)
                 owner, bucket, value = _features(part, 0)
                 kept = number[bucket] >= 0
@@ -190,12 +206,12 @@ def score_toxicity(
     table gives an empty result. No shuffle; the model is of fixed size."""
     broadcast = docs.sparkSession.sparkContext.broadcast((model.weights, model.intercept))
 
-    @F.pandas_udf("double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = ToxicityModel(*broadcast.value)
         for words in batches:
-            batch = pa.RecordBatch.from_arrays([pa.array(words, pa.large_string())], names=["w"])
-            parts = [model.score(batch.slice(lo, hi - lo), 0) for lo, hi in text_groups(batch, 0)]
-            yield pd.Series(np.concatenate(parts) if parts else np.zeros(0))
+            batch = pa.RecordBatch.from_arrays([words], names=["w"])
+            parts = [model.score(batch.slice(lo, hi - lo), 0) for lo, hi in text_groups(batch, 0, PIECE_CHARS)]
+            yield pa.array(np.concatenate(parts) if parts else np.zeros(0), pa.float64())
 
     return docs.withColumn("toxicity", score(normal_words(F.col(text_col))))
