@@ -20,10 +20,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def _judged(docs: DataFrame, judge, reject: Column, *inputs: str) -> DataFrame:
-    """The rows of ``docs`` that ``judge``, given only the input columns, does not
-    reject. Rows travel along as one column, so no name can clash."""
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("__row"), *[docs[c] for c in inputs])
+TEXT = "__row.text"
+
+
+def _judged(docs: DataFrame, judge, reject: Column) -> DataFrame:
+    """The rows of ``docs`` that ``judge`` does not reject. It is given each row as one
+    column, so no name can clash, and the text as a field of that, so a row that
+    waits for its answer holds its text once."""
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("__row"))
     return judge(rows).where(~reject).select("__row.*")
 
 
@@ -31,7 +35,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Documents whose language is told with confidence. Those without a letter, null
     and empty ones included, go, and those below the calibrated bound."""
     model = language.fit(docs.select("doc_id", "text", "lang"))
-    return _judged(docs, lambda rows: language.identify(rows, model), F.col("lang_rejected"), "doc_id", "text")
+    return _judged(docs, lambda rows: language.identify(rows, model, text_col=TEXT), F.col("lang_rejected"))
 
 
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +43,7 @@ def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     still there train the model."""
     model = toxicity.fit(docs.select("doc_id", "text"), _table(spark, sf_dir, "labels").select("doc_id", "toxic"))
     reject = F.col("toxicity") >= toxicity.THRESHOLD
-    return _judged(docs, lambda rows: toxicity.score_toxicity(rows, model), reject, "doc_id", "text")
+    return _judged(docs, lambda rows: toxicity.score_toxicity(rows, model, text_col=TEXT), reject)
 
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,13 +64,13 @@ def remove_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     """Documents that hold no passage of the benchmark."""
     benchmark = _table(spark, sf_dir, "benchmark").select("item_id", "text")
     return _judged(
-        docs, lambda rows: decontaminate.flag_passages(rows, benchmark), F.col("contaminated"), "doc_id", "text"
+        docs, lambda rows: decontaminate.flag_passages(rows, benchmark, text_col=TEXT), F.col("contaminated")
     )
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the documents and their places in sequences."""
-    return packing.pack_documents(docs.select("doc_id", "text"), VOCABULARY).drop("ids")
+    return packing.pack_documents(docs.select("doc_id", "text"), VOCABULARY, with_ids=False).drop("ids")
 
 
 STAGES = [
