@@ -5,6 +5,7 @@ from blockpipe.plans.blocks import (
     Block,
     GroupTooLargeError,
     PipelineError,
+    PipelineOutputs,
     blocks_table,
     pandas_block,
     run_block,
@@ -12,6 +13,7 @@ from blockpipe.plans.blocks import (
 )
 from blockpipe.plans.lineage import BLOCKS_DDL, block_adjacency
 from blockpipe.plans.model import ModelError, ensure_database, read_model, run_model
+from blockpipe.plans.resume import PipelineRun, resume_pipeline
 from blockpipe.plans.ranking import group_mode, group_modes, null_safe_join, quantiles, rank_within
 
 __all__ = [
@@ -20,6 +22,8 @@ __all__ = [
     "GroupTooLargeError",
     "ModelError",
     "PipelineError",
+    "PipelineOutputs",
+    "PipelineRun",
     "block_adjacency",
     "ensure_database",
     "blocks_table",
@@ -30,6 +34,7 @@ __all__ = [
     "quantiles",
     "rank_within",
     "read_model",
+    "resume_pipeline",
     "run_block",
     "run_model",
     "run_pipeline",

@@ -108,7 +108,9 @@ class Block:
     ``spark`` when it takes them. ``source`` names the upstream block;
     ``section`` and ``section_type`` place it in the pipeline's layout;
     ``snapshot=False`` leaves it out of a pipeline's snapshots (for blocks that only
-    read or project, which cost less to repeat than to store)."""
+    read or project, which cost less to repeat than to store). ``reads`` names what
+    the block reads beside its source (paths or catalog tables): ``resume_pipeline``
+    computes it again when that changes."""
 
     name: str
     fn: Callable[..., Any]
@@ -117,6 +119,26 @@ class Block:
     section: str = "main"
     section_type: str = "Transformation"
     snapshot: bool = True
+    reads: Sequence[str] = ()
+
+
+class PipelineOutputs(dict):
+    """Outputs by block. ``release()``, or leaving a ``with`` block, frees what the run
+    has persisted; the outputs still work, computed from their sources."""
+
+    def __init__(self):
+        super().__init__()
+        self.persisted: list[DataFrame] = []
+
+    def release(self) -> None:
+        while self.persisted:
+            self.persisted.pop().unpersist()
+
+    def __enter__(self) -> PipelineOutputs:
+        return self
+
+    def __exit__(self, *error) -> None:
+        self.release()
 
 
 def blocks_table(spark: SparkSession, project: str, blocks: Sequence[Block]) -> DataFrame:
@@ -169,11 +191,12 @@ def run_pipeline(
     blocks: Sequence[Block],
     persist_shared: bool = True,
     snapshot_dir: str | None = None,
-) -> dict[str, DataFrame | dict[str, DataFrame]]:
+) -> PipelineOutputs:
     """Run linked blocks in dependency order; each gets its source block's
     output, and one source may feed several blocks. A block whose output
     feeds two or more blocks is persisted (memory and disk), so the shared
-    part is computed once; lost cached partitions are rebuilt from lineage.
+    part is computed once; lost cached partitions are rebuilt from lineage. The result's
+    ``release()`` frees them.
     A cycle or a missing source fails before anything runs.
 
     With ``snapshot_dir`` (a shared folder), the datasets of every block (but those
@@ -185,7 +208,7 @@ def run_pipeline(
     for b in blocks:
         if b.source is not None:
             fanout[b.source] = fanout.get(b.source, 0) + 1
-    outputs: dict[str, DataFrame | dict[str, DataFrame]] = {}
+    outputs = PipelineOutputs()
     for b in order:
         args = dict(b.args)
         if _accepts(b.fn, "spark"):
@@ -212,5 +235,6 @@ def run_pipeline(
                 result = {k: v.persist(StorageLevel.MEMORY_AND_DISK) for k, v in result.items()}
             else:
                 result = result.persist(StorageLevel.MEMORY_AND_DISK)
+            outputs.persisted += list(result.values()) if isinstance(result, Mapping) else [result]
         outputs[b.name] = result
     return outputs

@@ -291,12 +291,15 @@ def read_export(spark: SparkSession, path: str, schema: StructType) -> DataFrame
 # --- A8: block snapshots ---------------------------------------------------------------
 
 _MANIFEST = "manifest"
-_MANIFEST_DDL = "version bigint, dataset string, path string, schema string"
+_MANIFEST_DDL = "version bigint, dataset string, path string, schema string, fingerprint string"
 
 
-def save_snapshot(dfs: Mapping[str, DataFrame] | DataFrame, directory: str) -> dict[str, str]:
+def save_snapshot(
+    dfs: Mapping[str, DataFrame] | DataFrame, directory: str, fingerprint: str | None = None
+) -> dict[str, str]:
     """Persist all datasets of a block under ``directory``; returns
-    ``{dataset: path}`` of what was written.
+    ``{dataset: path}`` of what was written. ``saved_under`` finds the snapshot by
+    its ``fingerprint``.
 
     Each save writes a new version folder, then appends one manifest file
     naming the version's datasets and their schemas. Readers follow the
@@ -314,9 +317,9 @@ def save_snapshot(dfs: Mapping[str, DataFrame] | DataFrame, directory: str) -> d
     for name, df in dfs.items():
         path = f"{folder}/{name}"
         df.write.mode("error").parquet(path)
-        rows.append((int(version), name, path, df.schema.json()))
+        rows.append((int(version), name, path, df.schema.json(), fingerprint))
     if not rows:
-        spark.createDataFrame([(int(version), None, None, None)], _MANIFEST_DDL).coalesce(1).write.mode(
+        spark.createDataFrame([(int(version), None, None, None, fingerprint)], _MANIFEST_DDL).coalesce(1).write.mode(
             "append"
         ).parquet(f"{base}/{_MANIFEST}")
         return {}
@@ -332,14 +335,30 @@ def read_saved(spark: SparkSession, path: str, schema: StructType | str) -> Data
     return spark.read.schema(schema).parquet(path)
 
 
-def load_snapshot(spark: SparkSession, directory: str) -> dict[str, DataFrame]:
-    """The datasets of the newest complete snapshot; ``{}`` when there is none.
-    One small job reads the manifest rows of the newest version."""
-    base = directory.rstrip("/")
+def _manifest(spark: SparkSession, directory: str) -> DataFrame | None:
     try:
-        manifest = spark.read.parquet(f"{base}/{_MANIFEST}")
+        found = spark.read.schema(_MANIFEST_DDL).parquet(f"{directory.rstrip('/')}/{_MANIFEST}")
+        return found if found.inputFiles() else None
     except PySparkException:
-        return {}
-    newest = manifest.select(F.max("version")).scalar()
-    rows = manifest.where((F.col("version") == newest) & F.col("dataset").isNotNull()).select("dataset", "path", "schema").collect()
+        return None
+
+
+def _datasets(spark: SparkSession, manifest: DataFrame) -> dict[str, DataFrame] | None:
+    newest = manifest.agg(F.max("version")).first()[0]
+    if newest is None:
+        return None
+    rows = manifest.where((F.col("version") == newest) & F.col("dataset").isNotNull()).collect()
     return {r.dataset: read_saved(spark, r.path, r.schema) for r in sorted(rows, key=lambda r: r.dataset)}
+
+
+def load_snapshot(spark: SparkSession, directory: str) -> dict[str, DataFrame]:
+    """The datasets of the newest complete snapshot; ``{}`` when there is none.
+    Two small jobs read the manifest."""
+    manifest = _manifest(spark, directory)
+    return (_datasets(spark, manifest) if manifest is not None else None) or {}
+
+
+def saved_under(spark: SparkSession, directory: str, fingerprint: str) -> dict[str, DataFrame] | None:
+    """The datasets of the newest complete snapshot with this fingerprint, or None."""
+    manifest = _manifest(spark, directory)
+    return _datasets(spark, manifest.where(F.col("fingerprint") == fingerprint)) if manifest is not None else None
