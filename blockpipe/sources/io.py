@@ -16,9 +16,20 @@ from collections.abc import Mapping, Sequence
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import CharType, DateType, StringType, StructType, VarcharType
+from pyspark.sql.types import (
+    ArrayType,
+    BinaryType,
+    CharType,
+    DateType,
+    MapType,
+    StringType,
+    StructField,
+    StructType,
+    VarcharType,
+)
 
 from blockpipe.functions import quoted
+from blockpipe.sources.csv import read_csv_records
 
 try:  # TIME arrived in Spark 4.1
     from pyspark.sql.types import TimeType
@@ -93,15 +104,32 @@ def normalize_dates(df: DataFrame) -> DataFrame:
     return df.withColumns(changed) if changed else df
 
 
+# Options that reading by records takes; with others Spark's own reader is used.
+_RECORD_OPTS = {
+    "sep", "quote", "nullValue", "emptyValue", "nanValue", "positiveInf", "negativeInf", "dateFormat",
+    "timestampFormat", "timestampNTZFormat", "locale", "mode", "ignoreLeadingWhiteSpace", "ignoreTrailingWhiteSpace",
+}
+
+
 def read_csv(
     spark: SparkSession,
-    path: str,
+    path: str | Sequence[str],
     header: bool = True,
     schema: StructType | str | None = None,
     **opts,
 ) -> DataFrame:
-    """CSV from any Hadoop file system path. Without a schema, types are
-    inferred (one extra pass); give one for large inputs."""
+    """CSV (UTF-8, RFC 4180) from any Hadoop file system path: quotes are doubled inside
+    quoted values, which may hold separators and line breaks; blanks are kept; an
+    empty value is null, a quoted empty one is an empty text. A file of any size is read by many tasks, also with line
+    breaks in quotes (``sources.csv``). Without a schema, types are inferred (one
+    extra pass); give one for large inputs.
+
+    With options beyond those of ``_RECORD_OPTS`` (another ``escape``, ``encoding``,
+    ``multiLine``, ...) Spark's own reader is used with just these."""
+    if opts.get("escape") == opts.get("quote", '"'):
+        opts.pop("escape")
+    if set(opts) <= _RECORD_OPTS and not _in_folders(spark, path):
+        return read_csv_records(spark, path, header, schema, **opts)
     reader = spark.read.option("header", header).options(**opts)
     if schema is not None:
         reader = reader.schema(schema)
@@ -110,6 +138,11 @@ def read_csv(
     return reader.csv(path)
 
 
+def _in_folders(spark: SparkSession, path: str | Sequence[str]) -> bool:
+    """Whether folders named ``column=value`` hold some of the columns."""
+    return spark.read.text(path).columns != ["value"]
+
+
 def read_files(spark: SparkSession, path: str, fmt: str = "parquet", schema=None, **opts) -> DataFrame:
     """Files in ``fmt`` from a path or object store URI (``s3a://``, ...)."""
     if fmt not in FILE_FORMATS:
@@ -142,9 +175,6 @@ _CSV_OPTS = {
     "ignoreLeadingWhiteSpace": "false",
     "ignoreTrailingWhiteSpace": "false",
 }
-# A file whose quoted values hold line breaks can't be split over tasks, so files
-# are kept to this many rows.
-CSV_FILE_ROWS = 500_000
 
 
 def _has_text(schema: StructType) -> bool:
@@ -152,10 +182,7 @@ def _has_text(schema: StructType) -> bool:
 
 
 def _csv_write_opts(schema: StructType) -> dict[str, str]:
-    opts = {**_CSV_OPTS, "nullValue": _NULL_MARK if len(schema.fields) == 1 else "", "emptyValue": '""'}
-    if _has_text(schema):
-        opts["maxRecordsPerFile"] = str(CSV_FILE_ROWS)
-    return opts
+    return {**_CSV_OPTS, "nullValue": _NULL_MARK if len(schema.fields) == 1 else "", "emptyValue": '""'}
 
 
 def _csv_read_opts(schema: StructType) -> dict[str, str]:
@@ -165,11 +192,49 @@ def _csv_read_opts(schema: StructType) -> dict[str, str]:
     return {**_CSV_OPTS, "nullValue": _NULL_MARK, "emptyValue": "", "multiLine": str(whole).lower()}
 
 
+_NESTED = (ArrayType, MapType, StructType)
+
+
+def _as_csv(df: DataFrame) -> DataFrame:
+    """Columns that CSV has no form for as text: binary in base 64, nested ones as JSON."""
+    changed = {}
+    for f in df.schema.fields:
+        if isinstance(f.dataType, BinaryType):
+            changed[f.name] = F.base64(quoted(f.name))
+        elif isinstance(f.dataType, _NESTED):
+            changed[f.name] = F.to_json(quoted(f.name), {**_TEXT_TIME_OPTS, "ignoreNullFields": "false"})
+    return df.withColumns(changed) if changed else df
+
+
+def _from_csv(df: DataFrame, schema: StructType) -> DataFrame:
+    out = []
+    for f in schema.fields:
+        c = quoted(f.name)
+        if isinstance(f.dataType, BinaryType):
+            c = F.unbase64(c)
+        elif isinstance(f.dataType, _NESTED):
+            c = F.from_json(c, f.dataType, _TEXT_TIME_OPTS)
+        out.append(c.alias(f.name))
+    return df.select(*out)
+
+
+def _read_csv_back(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    odd = (BinaryType, *_NESTED)
+    stored = StructType(
+        [StructField(f.name, StringType() if isinstance(f.dataType, odd) else f.dataType) for f in schema.fields]
+    )
+    if _has_text(stored) and not _in_folders(spark, path):  # line breaks in quotes, split all the same
+        df = read_csv_records(spark, path, schema=stored, **_TEXT_TIME_OPTS)
+    else:
+        df = spark.read.options(**_TEXT_TIME_OPTS, **_csv_read_opts(stored)).schema(stored).csv(path)
+    return _from_csv(df, schema)
+
+
 def _read_back(spark: SparkSession, path: str, fmt: str, schema: StructType) -> DataFrame:
     """Read what was just written, with its schema and column order (a
     partitioned write moves partition columns to the end)."""
     if fmt == "csv":
-        df = spark.read.options(**_TEXT_TIME_OPTS, **_csv_read_opts(schema)).schema(schema).csv(path)
+        df = _read_csv_back(spark, path, schema)
     elif fmt == "json":
         df = spark.read.options(**_TEXT_TIME_OPTS).schema(schema).json(path)
     else:
@@ -178,6 +243,7 @@ def _read_back(spark: SparkSession, path: str, fmt: str, schema: StructType) ->
 
 
 def _writer(df: DataFrame, fmt: str, mode: str, partition_by: Sequence[str] | None, **opts):
+    df = _as_csv(df) if fmt == "csv" else df
     w = df.write.format(fmt).mode(mode)
     if fmt in ("csv", "json"):
         w = w.options(**_TEXT_TIME_OPTS)
@@ -275,10 +341,12 @@ def convert_files(
 
 def export_csv(df: DataFrame, path: str, n: int | None = None, mode: str = "overwrite") -> str:
     """CSV for download: header, values quoted where needed, inner quotes
-    doubled, null as an empty field, empty text as ``""``. ``n`` keeps the
+    doubled, null as an empty field, empty text as ``""``, binary in base 64, nested values as
+    JSON. ``n`` keeps the
     first rows only (a preview)."""
     out = df.limit(n) if n is not None else df
     # no quoteAll: Spark would quote nulls too, making them "" like empty text
+    out = _as_csv(out)
     out.write.mode(mode).options(**_TEXT_TIME_OPTS, **_csv_write_opts(df.schema)).csv(path)
     return path
 

@@ -1214,7 +1214,15 @@ def q_read_csv(spark, sf):
     """A table written as CSV and read with a given schema."""
     cust = table(spark, sf, "customer")
     path = io.write_files(cust, scratch_path(spark, "customer_csv"), "csv")
-    return io.read_csv(spark, path, schema=cust.schema, escape='"')
+    return io.read_csv(spark, path, schema=cust.schema)
+
+
+@query("read_csv_documents", "select * from documents")
+def q_read_csv_documents(spark, sf):
+    """Texts with quotes and line breaks, written as CSV and read with the defaults."""
+    docs = table(spark, sf, "documents")
+    path = io.write_files(docs, scratch_path(spark, "documents_csv"), "csv")
+    return io.read_csv(spark, path, schema=docs.schema)
 
 
 @query("move_json", "select * from customer")
