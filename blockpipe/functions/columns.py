@@ -11,13 +11,24 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, DoubleType, FloatType
 
 
+# Lossless text formats for timestamps written as text.
+TEXT_TIME_OPTS = {
+    "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+    "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+}
+
+
 def as_column(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
 def quoted(name: str) -> Column:
     """The column with exactly this name (dots and blanks are not nesting)."""
-    return F.col("`" + name.replace("`", "``") + "`")
+    return F.col(in_backticks(name))
+
+
+def in_backticks(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
 
 
 def is_fractional(dtype: DataType) -> bool:

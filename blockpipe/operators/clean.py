@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, IntegralType, StringType, StructField, StructType
 
+from blockpipe.functions.columns import in_backticks
 from blockpipe.functions import present, quoted, standardize_name, strip_whitespace
 from blockpipe.plans.ranking import (
     PERCENTILE_MAX_GROUP_ROWS,
@@ -28,7 +29,7 @@ def drop_missing(
     """Drop rows with missing values (null, or NaN in float columns)."""
     if how not in ("any", "all"):
         raise ValueError(f"how must be 'any' or 'all', got {how!r}")
-    return df.dropna(how=how, thresh=thresh, subset=list(subset) if subset else None)
+    return df.dropna(how=how, thresh=thresh, subset=[in_backticks(c) for c in subset] if subset else None)
 
 
 def drop_duplicates(
@@ -96,6 +97,9 @@ def impute(
     """
     cols = [cols] if isinstance(cols, str) else list(cols)
     by = [by] if isinstance(by, str) else list(by or [])
+    fill = "_bp_fill_"
+    while any(c.startswith(fill) for c in df.columns):
+        fill = "_" + fill
     if strategy not in IMPUTE_STRATEGIES:
         raise ValueError(f"strategy must be one of {IMPUTE_STRATEGIES}, got {strategy!r}")
     if strategy == "constant":
@@ -114,32 +118,32 @@ def impute(
     one_pass_median = strategy == "median" and not approx and quantile_method == "percentile"
 
     def medians(keys):
-        exprs = [F.percentile(present(df, c).cast("double"), 0.5).alias(f"_bp_fill_{c}") for c in cols]
+        exprs = [F.percentile(present(df, c).cast("double"), 0.5).alias(f"{fill}{c}") for c in cols]
         return df.groupBy(*keys).agg(*exprs)
 
     if not by:
         # a global statistic is one value: a scalar subquery, computed once
         filled = {}
-        modes = group_modes(df, cols, [], [f"_bp_fill_{x}" for x in cols]) if strategy == "mode" else None
+        modes = group_modes(df, cols, [], [f"{fill}{x}" for x in cols]) if strategy == "mode" else None
         for c in cols:
             if strategy == "mean":
                 stat = df.select(F.avg(present(df, c))).scalar()
             elif one_pass_median:
-                stat = medians([]).select(f"_bp_fill_{c}").scalar()
+                stat = medians([]).select(quoted(f"{fill}{c}")).scalar()
             elif strategy == "median":
                 stat = quantiles(df, present(df, c), [0.5], approx=approx, method=quantile_method).scalar()
             else:
-                stat = modes.select(f"_bp_fill_{c}").scalar().cast(df.schema[c].dataType)
+                stat = modes.select(quoted(f"{fill}{c}")).scalar().cast(df.schema[c].dataType)
             filled[c] = F.coalesce(present(df, c), stat)
         return df.withColumns(filled)
 
     if strategy == "mean":
-        stats = df.groupBy(*by).agg(*[F.avg(present(df, c)).alias(f"_bp_fill_{c}") for c in cols])
+        stats = df.groupBy(*by).agg(*[F.avg(present(df, c)).alias(f"{fill}{c}") for c in cols])
     elif one_pass_median:
         stats = medians(by)
     elif strategy == "median":
         parts = [
-            quantiles(df, present(df, c), [0.5], by=by, names=[f"_bp_fill_{c}"], approx=approx,
+            quantiles(df, present(df, c), [0.5], by=by, names=[f"{fill}{c}"], approx=approx,
                       method=quantile_method)
             for c in cols
         ]
@@ -147,17 +151,17 @@ def impute(
         for p in parts[1:]:
             stats = null_safe_join(stats, p, by, "full")
     else:
-        stats = group_modes(df, cols, by, [f"_bp_fill_{c}" for c in cols])
+        stats = group_modes(df, cols, by, [f"{fill}{c}" for c in cols])
 
     # one row per group: broadcast when measured small, else a shuffle join
     stats, _ = broadcast_if_small(stats)
     joined = null_safe_join(df, stats, by, "left")
     filled = {}
     for c in cols:
-        fill = F.col(f"_bp_fill_{c}")
+        stat = quoted(f"{fill}{c}")
         if strategy == "mode":
-            fill = fill.cast(df.schema[c].dataType)
-        filled[c] = F.coalesce(present(df, c), fill)
+            stat = stat.cast(df.schema[c].dataType)
+        filled[c] = F.coalesce(present(df, c), stat)
     return joined.withColumns(filled).select(*[quoted(c) for c in df.columns])
 
 
@@ -170,7 +174,7 @@ def correct_types(
         raise ValueError(f"on_error must be 'null' or 'fail', got {on_error!r}")
     cast = {}
     for c, t in types.items():
-        col = F.col(c)
+        col = quoted(c)
         cast[c] = col.try_cast(t) if on_error == "null" else col.cast(t)
     return df.withColumns(cast)
 
@@ -191,7 +195,7 @@ def standardize_text(
         raise ValueError(f"spaces must be 'remove', 'collapse' or 'keep', got {spaces!r}")
     out = {}
     for c in cols:
-        e = F.col(c)
+        e = quoted(c)
         if strip:
             e = strip_whitespace(e)
         if spaces == "remove":

@@ -131,8 +131,10 @@ def join_on_keys(
     if how == "full" and split_full:
         matched = left.join(right, on=keys, how="left")
         right_only = right.join(left.select(*keys).distinct(), on=keys, how="left_anti")
-        both = matched.unionByName(right_only, allowMissingColumns=True)
-        return both.select(*matched.columns)
+        # by position, as columns besides the keys may share a name: keys, left's, right's
+        nulls = [F.lit(None).cast(f.dataType) for f in left.schema.fields if f.name not in keys]
+        own = [quoted(c) for c in right.columns if c not in keys]
+        return matched.unionAll(right_only.select(*[quoted(k) for k in keys], *nulls, *own))
     return left.join(right, on=keys, how=how)
 
 
@@ -188,14 +190,36 @@ def join_on_condition(
         return matched.unionAll(alone.select(*nulls, *[alone[c] for c in alone.columns]))
     lv, rv, lo, hi = _band_values(left, right, as_column(l_col), as_column(r_col), lo, hi)
     width = hi - lo
-    lb = left.withColumn("_bp_bl", F.floor(lv / width).cast("bigint"))
-    first = F.floor((rv - hi) / width).cast("bigint") - 1
-    last = F.floor((rv - lo) / width).cast("bigint") + 1
-    rb = right.withColumn("_bp_br", F.explode(F.sequence(first, last)))
+    lb = left.withColumn("_bp_bl", _bucket(lv / width))
+    rb = right.withColumn("_bp_br", F.explode(_buckets((rv - hi) / width, (rv - lo) / width)))
     joined = lb.join(rb, on=(F.col("_bp_bl") == F.col("_bp_br")) & cond_col, how=how)
     return joined.drop("_bp_bl", "_bp_br")
 
 
+# Buckets beyond these numbers, where doubles have no more places behind the point,
+# are one bucket at either end; NaN, larger than all numbers, is in the upper one.
+_MOST_BUCKET, _END_BUCKET = 1 << 52, 1 << 60
+
+
+def _bucket(ratio: Column) -> Column:
+    size = ratio.cast("double")
+    inner = F.when(F.abs(size) < _MOST_BUCKET, F.floor(ratio).cast("bigint"))
+    return F.when(F.isnan(size) | (size >= _MOST_BUCKET), _END_BUCKET).when(size <= -_MOST_BUCKET, -_END_BUCKET).otherwise(inner)
+
+
+def _buckets(first: Column, last: Column) -> Column:
+    """All buckets from one before ``first`` to one after ``last``; null for null."""
+    lo, hi = first.cast("double"), last.cast("double")
+    within = ~F.isnan(lo) & ~F.isnan(hi) & (lo < _MOST_BUCKET) & (hi > -_MOST_BUCKET)
+    start = F.when(lo <= -_MOST_BUCKET, -_MOST_BUCKET).otherwise(F.floor(F.when(within, first)).cast("bigint") - 1)
+    stop = F.when(hi >= _MOST_BUCKET, _MOST_BUCKET).otherwise(F.floor(F.when(within, last)).cast("bigint") + 1)
+    none = F.array().cast("array<bigint>")
+    inner = F.when(within, F.sequence(F.when(within, start), F.when(within, stop))).otherwise(none)
+    above = F.when(F.isnan(hi) | (hi >= _MOST_BUCKET - 4), F.array(F.lit(_END_BUCKET))).otherwise(none)
+    below = F.when(lo <= -_MOST_BUCKET + 4, F.array(F.lit(-_END_BUCKET))).otherwise(none)
+    return F.when(first.isNotNull() & last.isNotNull(), F.concat(below, inner, above))
+
+
 def _band_values(left, right, l_col, r_col, lo, hi):
     """The band's values and bounds in decimals if both sides are exact, else doubles."""
     kinds = [df.select(c).schema[0].dataType for df, c in ((left, l_col), (right, r_col))]

@@ -12,9 +12,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import (
+    ArrayType,
+    DataType,
     DayTimeIntervalType,
     DoubleType,
     FloatType,
+    MapType,
     StructType,
     YearMonthIntervalType,
 )
@@ -34,14 +37,39 @@ def preview(df: DataFrame, n: int = DEFAULT_PREVIEW_ROWS, order_by: Sequence[str
     return df.limit(n)
 
 
+def _has_fraction(kind: DataType) -> bool:
+    """Whether a type is, or holds somewhere, floats or doubles (map keys aside)."""
+    if isinstance(kind, ArrayType):
+        return _has_fraction(kind.elementType)
+    if isinstance(kind, MapType):
+        return _has_fraction(kind.valueType)
+    if isinstance(kind, StructType):
+        return any(_has_fraction(f.dataType) for f in kind.fields)
+    return isinstance(kind, (DoubleType, FloatType))
+
+
+def _without_nan(c: Column, kind: DataType) -> Column:
+    """``c`` with every NaN in it null."""
+    if not _has_fraction(kind):
+        return c
+    if isinstance(kind, ArrayType):
+        return F.transform(c, lambda x: _without_nan(x, kind.elementType))
+    if isinstance(kind, MapType):
+        return F.transform_values(c, lambda _, x: _without_nan(x, kind.valueType))
+    if isinstance(kind, StructType):
+        fields = [_without_nan(c.getField(f.name), f.dataType).alias(f.name) for f in kind.fields]
+        return F.when(c.isNotNull(), F.struct(*fields))
+    return F.when(~F.isnan(c), c)
+
+
 def _json_ready(df: DataFrame) -> list[Column]:
     """Columns as preview records show them: NaN as null, intervals as
     seconds, everything else unchanged."""
     out = []
     for field in df.schema.fields:
         c = quoted(field.name)
-        if isinstance(field.dataType, (DoubleType, FloatType)):
-            c = F.when(~F.isnan(c), c)
+        if _has_fraction(field.dataType):
+            c = _without_nan(c, field.dataType)
         elif isinstance(field.dataType, DayTimeIntervalType):
             q = "`" + field.name.replace("`", "``") + "`"
             c = (

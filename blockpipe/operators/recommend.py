@@ -27,6 +27,7 @@ from pyspark.sql.types import (
     TimestampType,
 )
 
+from blockpipe.functions.columns import TEXT_TIME_OPTS
 from blockpipe.functions import is_missing, quoted
 
 DEFAULT_LIMIT = 5
@@ -103,7 +104,8 @@ def _row_digest(df: DataFrame) -> Column:
         elif isinstance(f.dataType, (DoubleType, FloatType)):
             c = c + F.lit(0.0)
         parts.append(c.alias(f"c{i}"))
-    return F.unhex(F.md5(F.to_json(F.struct(*parts), {"ignoreNullFields": "false"})))
+    exact = {"ignoreNullFields": "false", **TEXT_TIME_OPTS}  # to the microsecond
+    return F.unhex(F.md5(F.to_json(F.struct(*parts), exact)))
 
 
 def recommend_cleaning(dfs: Mapping[str, DataFrame], limit: int = DEFAULT_LIMIT) -> DataFrame:

@@ -8,9 +8,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from blockpipe.functions import as_column, present
-from blockpipe.plans.ranking import WINDOW_MAX_GROUP_ROWS, largest_group, null_safe_join, quantiles, rank_within, row_hash
-from blockpipe.plans.sizing import broadcast_if_small
+from blockpipe.functions import as_column, present, quoted
+from blockpipe.plans.ranking import WINDOW_MAX_GROUP_ROWS, largest_group, quantiles, rank_within, row_hash
 
 
 # --- D1-D3: time and text -------------------------------------------------------
@@ -36,7 +35,7 @@ def parse_time(
     ``fmt`` may list several patterns: the first that parses a value wins. Clock
     times stay as written; text that names a zone is turned into UTC. Neither
     depends on the session's time zone."""
-    c = F.col(col).cast("string")
+    c = quoted(col).cast("string")
     if fmt is None:
         zoned = c.rlike(r"(?i)\d{1,2}:.*(Z|[+-]\d{1,2}(:?\d{2})?|\[?[A-Z]+/[A-Z_]+\]?|\b(UTC|GMT)\S*)\s*$")
         parsed = F.when(zoned, _utc_clock(c.try_cast("timestamp"))).otherwise(c.try_cast("timestamp_ntz"))
@@ -57,7 +56,7 @@ def years_between(df: DataFrame, col: str, as_of, out: str = "age", unit: str =
     if unit not in TIME_UNITS:
         raise ValueError(f"unit must be one of {TIME_UNITS}, got {unit!r}")
     ref = as_of if isinstance(as_of, Column) else F.lit(as_of).cast("timestamp_ntz")
-    return df.withColumn(out, F.timestamp_diff(unit, F.col(col), ref))
+    return df.withColumn(out, F.timestamp_diff(unit, quoted(col), ref))
 
 
 def split_column(
@@ -72,7 +71,8 @@ def split_column(
     missing or empty parts are null. Parts beyond ``len(into)`` stay joined in the
     last column; ``keep_rest=False`` drops them."""
     limit = len(into) if keep_rest else -1
-    parts = F.split(F.col(col), "\\Q" + sep + "\\E", limit)
+    literal = "\\Q" + sep.replace("\\E", "\\E\\\\E\\Q") + "\\E"
+    parts = F.split(quoted(col), literal, limit)
     new = {name: F.nullif(F.get(parts, i), F.lit("")) for i, name in enumerate(into)}
     out = df.withColumns(new)
     return out.drop(col) if drop and col not in into else out
@@ -106,15 +106,16 @@ def smooth(
     in their group (``rank_within``: range partitioning cuts a hot group into
     many tasks). Positions are cut into chunks of ``chunk_rows`` (default
     ``max(64 * window, 65536)``); a window per (group, chunk) is one balanced
-    shuffle whatever the group sizes. The first ``window - 1`` rows of a
-    chunk also need the last rows of the chunk before: those tail rows (a
-    ``(window - 1) / chunk_rows`` share of the data) are summed per target
-    position and joined in, broadcast when measured small.
+    shuffle whatever the group sizes. The last ``window - 1`` rows of a
+    chunk (a ``(window - 1) / chunk_rows`` share of the data) are copied to the
+    next one, so every row's window holds the same rows in the same order as the
+    plain window: both plans give equal averages, bit for bit.
     ``method="window"`` is the plain window function, cheaper when no group
     is large.
     """
     keys = [partition_by] if isinstance(partition_by, str) else list(partition_by)
     order = [order_by] if isinstance(order_by, str) else list(order_by)
+    order = [quoted(o) if isinstance(o, str) and o in df.columns else o for o in order]
     order = [*order, row_hash(df)]  # rows tied in the given order come in one order in every run and plan
     out = out or col
     if window < 1:
@@ -126,7 +127,7 @@ def smooth(
     if method == "window":
         from pyspark.sql import Window
 
-        w = Window.partitionBy(*keys).orderBy(*[as_column(o) for o in order]).rowsBetween(-window + 1, 0)
+        w = Window.partitionBy(*[quoted(k) for k in keys]).orderBy(*[as_column(o) for o in order]).rowsBetween(-window + 1, 0)
         v = present(df, col)
         return df.withColumn(out, F.when(F.count(v).over(w) >= min_periods, F.avg(v).over(w)))
     if method != "ranked":
@@ -136,36 +137,18 @@ def smooth(
     size = chunk_rows or max(64 * window, 65536)
     if size < window:
         raise ValueError("chunk_rows must be at least the window")
-    ranked = rank_within(df, keys, order, pos_col="_bp_pos").withColumn(
-        "_bp_chunk", F.floor(F.col("_bp_pos") / size)
-    ).withColumn("_bp_v", present(df, col))
-    inside = Window.partitionBy(*keys, "_bp_chunk").orderBy("_bp_pos").rowsBetween(-window + 1, 0)
-    ranked = ranked.withColumns(
-        {"_bp_s": F.sum("_bp_v").over(inside), "_bp_c": F.count("_bp_v").over(inside)}
+    ranked = rank_within(df, keys, order, pos_col="_bp_pos")
+    own = F.floor(F.col("_bp_pos") / size)
+    # a chunk's last rows also lead the next chunk, for the windows of its first rows
+    leads = F.col("_bp_pos") - own * size >= size - (window - 1)
+    placed = ranked.withColumn("_bp_own", own).withColumn(
+        "_bp_chunk", F.explode(F.when(leads, F.array(own, own + 1)).otherwise(F.array(own)))
     )
-    if window > 1:
-        # tails feed the first window-1 rows of the next chunk
-        offset = F.col("_bp_pos") - F.col("_bp_chunk") * size
-        tails = ranked.where(offset >= size - (window - 1)).select(
-            *keys,
-            F.explode(F.sequence(F.col("_bp_pos") + 1, F.col("_bp_pos") + (window - 1))).alias("_bp_t"),
-            "_bp_v",
-            "_bp_chunk",
-        )
-        tails = tails.where(F.floor(F.col("_bp_t") / size) == F.col("_bp_chunk") + 1)
-        fix = tails.groupBy(*keys, F.col("_bp_t").alias("_bp_pos")).agg(
-            F.sum("_bp_v").alias("_bp_fs"), F.count("_bp_v").alias("_bp_fc")
-        )
-        fix, _ = broadcast_if_small(fix)
-        ranked = null_safe_join(ranked, fix, [*keys, "_bp_pos"], "left")
-        zero = F.lit(0).cast(ranked.schema["_bp_s"].dataType)
-        total_s = F.coalesce(F.col("_bp_s"), zero) + F.coalesce(F.col("_bp_fs"), zero)
-        total_c = F.col("_bp_c") + F.coalesce(F.col("_bp_fc"), F.lit(0))
-    else:
-        total_s, total_c = F.col("_bp_s"), F.col("_bp_c")
-    # the type that the plain window gives
-    avg = F.when(total_c >= min_periods, (total_s / total_c).cast(df.select(F.avg(present(df, col))).schema[0].dataType))
-    return ranked.withColumn(out, avg).select(*[c for c in df.columns], *([out] if out not in df.columns else []))
+    w = Window.partitionBy(*[quoted(k) for k in keys], "_bp_chunk").orderBy("_bp_pos").rowsBetween(-window + 1, 0)
+    v = present(df, col)
+    averaged = placed.withColumn("_bp_avg", F.when(F.count(v).over(w) >= min_periods, F.avg(v).over(w)))
+    averaged = averaged.where(F.col("_bp_own") == F.col("_bp_chunk")).withColumn(out, F.col("_bp_avg"))
+    return averaged.select(*[quoted(c) for c in df.columns], *([quoted(out)] if out not in df.columns else []))
 
 
 # --- D5: outliers ----------------------------------------------------------------
@@ -222,16 +205,18 @@ def aggregate(
     """Summaries per key: ``{out: (function name, column)}`` or ``{out: Column}``.
     Catalyst plans a partial (map-side) and a final aggregation."""
     keys = [keys] if isinstance(keys, str) else list(keys)
+    if set(keys) & set(aggs):
+        raise ValueError(f"a summary is named like a key: {sorted(set(keys) & set(aggs))}")
     exprs = []
     for name, spec in aggs.items():
         if isinstance(spec, Column):
             e = spec
         else:
             fn, c = spec
-            arg = F.lit(1) if c == "*" else F.col(c)
+            arg = F.lit(1) if c == "*" else quoted(c)
             e = getattr(F, fn)(arg)
         exprs.append(e.alias(name))
-    return df.groupBy(*keys).agg(*exprs)
+    return df.groupBy(*[quoted(k) for k in keys]).agg(*exprs)
 
 
 # --- D7: discretization --------------------------------------------------------------
@@ -323,18 +308,18 @@ def reduce_rows(
             raise ValueError("a fraction per stratum needs the strata column")
         frac = F.try_element_at(
             F.create_map(*[F.lit(x) for kv in fraction.items() for x in (kv[0], float(kv[1]))]),
-            F.col(strata),
+            quoted(strata),
         )
     else:
         frac = F.lit(float(fraction))
     if method == "hash":
-        text = F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys])
+        text = F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(quoted(k).cast("string"), F.lit("")) for k in keys])
         bucket = F.conv(F.left(F.md5(text), F.lit(5)), 16, 10).cast("int")
         keep = bucket < frac * _HASH_BUCKETS
     elif method == "modulo":
         if len(keys) != 1 or not modulus:
             raise ValueError("method='modulo' needs one integral key and a modulus")
-        keep = F.pmod(F.col(keys[0]) + seed, F.lit(modulus)) < frac * modulus
+        keep = F.pmod(quoted(keys[0]) + seed, F.lit(modulus)) < frac * modulus
     else:
         raise ValueError(f"method must be 'hash' or 'modulo', got {method!r}")
     return df.where(F.coalesce(keep, F.lit(False)))

@@ -36,6 +36,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from blockpipe.functions import as_column, present, quoted
+from blockpipe.functions.columns import in_backticks
 from blockpipe.plans.sizing import broadcast_if_small
 from blockpipe.session import checkpoint_root
 
@@ -76,12 +77,13 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     for k in keys:
         renamed[k] = f"_bp_r_{k}"
         r = r.withColumnRenamed(k, renamed[k])
-    cond = [left[k].eqNullSafe(r[renamed[k]]) for k in keys]
+    own, other = {k: left[in_backticks(k)] for k in keys}, {k: r[in_backticks(renamed[k])] for k in keys}
+    cond = [own[k].eqNullSafe(other[k]) for k in keys]
     joined = left.join(r, on=cond, how=how)
     if how in ("full", "outer", "full_outer"):
-        joined = joined.withColumns({k: F.coalesce(left[k], r[renamed[k]]) for k in keys})
+        joined = joined.withColumns({k: F.coalesce(own[k], other[k]) for k in keys})
     elif how in ("right", "right_outer"):
-        joined = joined.withColumns({k: r[renamed[k]] for k in keys})
+        joined = joined.withColumns(other)
     return joined.drop(*renamed.values())
 
 
@@ -104,7 +106,7 @@ def rank_within(
     and the size is the key's total weight.
     """
     keys = list(keys)
-    sort_cols = [F.col(k) for k in keys] + [as_column(o) for o in order_by] + [row_hash(df), F.col(_SEQ)]
+    sort_cols = [quoted(k) for k in keys] + [as_column(o) for o in order_by] + [row_hash(df), F.col(_SEQ)]
     # no fixed count: adaptive execution sizes the range partitions from the
     # data (merging neighbours keeps every partition a contiguous range)
     ranged = (
@@ -118,18 +120,18 @@ def rank_within(
     checkpoint_root(df.sparkSession)
     ranged = ranged.checkpoint(eager=True).withColumn(_PART, F.shiftright(F.col(_RID), 33))
     amount = F.col(weight) if weight else F.lit(1)
-    chunks = ranged.groupBy(_PART, *keys).agg(
+    chunks = ranged.groupBy(_PART, *[quoted(k) for k in keys]).agg(
         F.min(_RID).alias("_bp_start"), F.sum(amount).cast("bigint").alias("_bp_n")
     )
-    earlier = Window.partitionBy(*keys).orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(*[quoted(k) for k in keys]).orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
     chunks = chunks.withColumn("_bp_before", F.coalesce(F.sum("_bp_n").over(earlier), F.lit(0)))
     if size_col:
-        chunks = chunks.withColumn(size_col, F.sum("_bp_n").over(Window.partitionBy(*keys)))
+        chunks = chunks.withColumn(size_col, F.sum("_bp_n").over(Window.partitionBy(*[quoted(k) for k in keys])))
     chunks, _ = broadcast_if_small(chunks.drop("_bp_n"))
     if weight:
         # weight of the earlier rows of the same chunk: a window per
         # (partition, key) slice, whose size the range partitioning bounds
-        inside = Window.partitionBy(_PART, *keys).orderBy(_RID).rowsBetween(Window.unboundedPreceding, -1)
+        inside = Window.partitionBy(_PART, *[quoted(k) for k in keys]).orderBy(_RID).rowsBetween(Window.unboundedPreceding, -1)
         local = F.coalesce(F.sum(amount).over(inside), F.lit(0))
         ranged = ranged.withColumn("_bp_local", local)
     else:

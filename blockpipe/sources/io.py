@@ -29,6 +29,7 @@ from pyspark.sql.types import (
 )
 
 from blockpipe.functions import quoted
+from blockpipe.functions.columns import TEXT_TIME_OPTS
 from blockpipe.sources.csv import read_csv_records
 
 try:  # TIME arrived in Spark 4.1
@@ -155,13 +156,6 @@ def read_files(spark: SparkSession, path: str, fmt: str = "parquet", schema=None
     return reader.load(path)
 
 
-# Lossless text formats for timestamps written to CSV or JSON.
-_TEXT_TIME_OPTS = {
-    "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
-    "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
-}
-
-
 # CSV as written here: RFC 4180 quoting (inner quotes doubled), null as an
 # empty field, an empty string as "", blanks at the ends kept. Reading it back
 # with a null marker that never occurs keeps the two apart (Spark's default reads
@@ -202,7 +196,7 @@ def _as_csv(df: DataFrame) -> DataFrame:
         if isinstance(f.dataType, BinaryType):
             changed[f.name] = F.base64(quoted(f.name))
         elif isinstance(f.dataType, _NESTED):
-            changed[f.name] = F.to_json(quoted(f.name), {**_TEXT_TIME_OPTS, "ignoreNullFields": "false"})
+            changed[f.name] = F.to_json(quoted(f.name), {**TEXT_TIME_OPTS, "ignoreNullFields": "false"})
     return df.withColumns(changed) if changed else df
 
 
@@ -213,7 +207,7 @@ def _from_csv(df: DataFrame, schema: StructType) -> DataFrame:
         if isinstance(f.dataType, BinaryType):
             c = F.unbase64(c)
         elif isinstance(f.dataType, _NESTED):
-            c = F.from_json(c, f.dataType, _TEXT_TIME_OPTS)
+            c = F.from_json(c, f.dataType, TEXT_TIME_OPTS)
         out.append(c.alias(f.name))
     return df.select(*out)
 
@@ -224,9 +218,9 @@ def _read_csv_back(spark: SparkSession, path: str, schema: StructType) -> DataFr
         [StructField(f.name, StringType() if isinstance(f.dataType, odd) else f.dataType) for f in schema.fields]
     )
     if _has_text(stored) and not _in_folders(spark, path):  # line breaks in quotes, split all the same
-        df = read_csv_records(spark, path, schema=stored, **_TEXT_TIME_OPTS)
+        df = read_csv_records(spark, path, schema=stored, **TEXT_TIME_OPTS)
     else:
-        df = spark.read.options(**_TEXT_TIME_OPTS, **_csv_read_opts(stored)).schema(stored).csv(path)
+        df = spark.read.options(**TEXT_TIME_OPTS, **_csv_read_opts(stored)).schema(stored).csv(path)
     return _from_csv(df, schema)
 
 
@@ -236,7 +230,7 @@ def _read_back(spark: SparkSession, path: str, fmt: str, schema: StructType) ->
     if fmt == "csv":
         df = _read_csv_back(spark, path, schema)
     elif fmt == "json":
-        df = spark.read.options(**_TEXT_TIME_OPTS).schema(schema).json(path)
+        df = spark.read.options(**TEXT_TIME_OPTS).schema(schema).json(path)
     else:
         df = read_files(spark, path, fmt, schema=schema)
     return df.select(*[quoted(n) for n in schema.fieldNames()])
@@ -246,7 +240,7 @@ def _writer(df: DataFrame, fmt: str, mode: str, partition_by: Sequence[str] | No
     df = _as_csv(df) if fmt == "csv" else df
     w = df.write.format(fmt).mode(mode)
     if fmt in ("csv", "json"):
-        w = w.options(**_TEXT_TIME_OPTS)
+        w = w.options(**TEXT_TIME_OPTS)
     if fmt == "csv":
         w = w.options(**_csv_write_opts(df.schema))
     if partition_by:
@@ -347,7 +341,7 @@ def export_csv(df: DataFrame, path: str, n: int | None = None, mode: str = "over
     out = df.limit(n) if n is not None else df
     # no quoteAll: Spark would quote nulls too, making them "" like empty text
     out = _as_csv(out)
-    out.write.mode(mode).options(**_TEXT_TIME_OPTS, **_csv_write_opts(df.schema)).csv(path)
+    out.write.mode(mode).options(**TEXT_TIME_OPTS, **_csv_write_opts(df.schema)).csv(path)
     return path
 
 
