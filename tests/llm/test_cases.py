@@ -136,7 +136,10 @@ def test_fits_take_one_row_of_an_id(spark, monkeypatch):
     assert models[0].weights == pytest.approx(models[1].weights, abs=1e-6)
 
     seen = []
-    monkeypatch.setattr(language, "train", lambda texts, langs: seen.append(sorted(zip(texts, langs))))
+    def noted(examples, langs):
+        seen.append(sorted((x.snippets, x.buckets.tolist(), x.many, lang) for x, lang in zip(examples, langs)))
+
+    monkeypatch.setattr(language, "train", noted)
     english = [(i, t, "en") for i, t in once]
     german = [(100 + i, f"das Wetter in Stadt {i} ist gut", "de") for i in range(30)]
     for rows in (english + german, english + german + [english[0]] * 2000 + [english[7]] * 2000):
