@@ -11,7 +11,7 @@ from pyspark.sql.types import DataType, IntegralType, StringType, StructField, S
 from blockpipe.functions.columns import in_backticks
 from blockpipe.functions import present, quoted, standardize_name, strip_whitespace
 from blockpipe.plans.ranking import (
-    PERCENTILE_MAX_GROUP_ROWS,
+    GATHERED_VALUES,
     group_modes,
     largest_group,
     null_safe_join,
@@ -92,8 +92,8 @@ def impute(
     constant; per group: a table with one row per group, materialized and
     measured, then broadcast when small and otherwise sort-merge joined with
     skew splitting). Median is exact unless ``approx=True``:
-    ``quantile_method`` picks Spark's ``percentile`` or the skew-safe ranked
-    plan (``"auto"``: by the measured largest group, see ``plans.quantiles``).
+    ``quantile_method`` as in ``plans.quantiles``; by default the values of big groups
+    are narrowed by counting, and what is left is gathered.
     """
     cols = [cols] if isinstance(cols, str) else list(cols)
     by = [by] if isinstance(by, str) else list(by or [])
@@ -112,9 +112,9 @@ def impute(
         return df.withColumns(filled)
 
     if strategy == "median" and not approx and quantile_method == "auto":
-        # every column's median from one aggregation when the groups are small
-        small = largest_group(df, by) <= PERCENTILE_MAX_GROUP_ROWS
-        quantile_method = "percentile" if small else "ranked"
+        # no group needs narrowing: every column's median from one aggregation
+        if largest_group(df, by) <= GATHERED_VALUES:
+            quantile_method = "percentile"
     one_pass_median = strategy == "median" and not approx and quantile_method == "percentile"
 
     def medians(keys):

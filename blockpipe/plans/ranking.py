@@ -13,19 +13,19 @@ of the rows, that task does a third of the work. The helpers here never do:
   are checkpointed to the shared checkpoint folder before they are used twice:
   range bounds come from sampling, so two evaluations of the exchange (or a
   re-run after a lost executor) could cut the data differently.
-* ``quantiles`` first collapses equal values of a key into one row with a
-  count (map-side combine), ranks those rows by value with the counts as
-  weights, then reads the values whose position ranges cover the two ranks
-  around ``p * (n - 1)`` and interpolates linearly (pandas /
-  ``quantile_cont``). A hot key is cut by value, and a hot value is one row.
+* ``quantiles`` narrows the range of values around the two ranks next to
+  ``p * (n - 1)``: each scan counts the values of the range in bins (map-side
+  combine) and goes on with the bin that holds the ranks, until few enough values are
+  left to be gathered. Only counts are shuffled, whatever a group's size. The two
+  values are interpolated linearly (pandas / ``quantile_cont``).
 * ``group_modes`` counts ``(keys, column, value)`` for several columns in one
   pass with map-side combine, then keeps the top value per key and column
   with a fixed-size ``min(struct)`` buffer.
 
 The ranked plans cost a range shuffle and a checkpoint, which only pays when
 a group is too big for one task. ``largest_group`` measures that first (one
-aggregation, one number to the driver), and the callers take the simple plan
-(``percentile``, a plain window) below a row threshold.
+aggregation, one number to the driver), and the moving average takes a plain window
+below a row threshold.
 """
 
 from __future__ import annotations
@@ -37,18 +37,19 @@ from pyspark.sql import functions as F
 
 from blockpipe.functions import as_column, present, quoted
 from blockpipe.functions.columns import in_backticks
-from blockpipe.plans.sizing import broadcast_if_small
+from blockpipe.plans.sizing import broadcast_if_small, measured
 from blockpipe.session import checkpoint_root
 
 _RID = "_bp_rid"
 _PART = "_bp_part"
 _SEQ = "_bp_seq"
 
-# Largest group the simple plans may give to one task: Spark's exact
-# ``percentile`` keeps every distinct value of a group in one buffer, a plain
-# window sorts a whole group in one task. Bigger groups take the ranked plans.
-PERCENTILE_MAX_GROUP_ROWS = 1_000_000
+# A plain window sorts a whole group in one task; bigger groups take the ranked plan.
 WINDOW_MAX_GROUP_ROWS = 10_000_000
+# Values of a group's narrowed range that one buffer may gather.
+GATHERED_VALUES = 200_000
+# Bins that a narrowed range is cut into, and bins for each doubling of a value before.
+_RANGE_BINS, _BINS_A_DOUBLING = 4096, 8
 
 
 def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
@@ -152,37 +153,53 @@ def quantiles(
     approx: bool = False,
     accuracy: int = 10000,
     method: str = "auto",
-    max_group_rows: int = PERCENTILE_MAX_GROUP_ROWS,
+    max_group_rows: int = GATHERED_VALUES,
 ) -> DataFrame:
     """One row per group of ``by``: the ``probs`` quantiles of ``value``.
 
     Exact by default (linear interpolation between order statistics, as
     pandas ``quantile`` and DuckDB ``quantile_cont``). Nulls and NaN are
-    skipped. ``method="auto"`` measures the largest group first: up to
-    ``max_group_rows`` rows, Spark's exact ``percentile`` aggregate; beyond,
-    the ranked plan below, whose work per task does not depend on group
-    sizes (``method="percentile"`` / ``"ranked"`` force one).
-    ``approx=True`` uses ``percentile_approx`` instead: one pass, a bounded
+    skipped; -0.0 counts as 0.0. ``method="auto"`` counts the groups' rows, narrows
+    the value ranges of groups with more than ``max_group_rows`` until at most so
+    many values are left for each quantile, and then gathers what is left: all values
+    of a small group (Spark's ``percentile``), the narrowed ranges of a big one. The
+    results are the same bit by bit. Every narrowing scans ``df`` once more, so its
+    rows must come out alike each time. ``method="narrowed"`` narrows every group
+    down to single values, ``"percentile"`` gathers every group whole, and
+    ``"ranked"`` numbers the sorted distinct values instead.
+    ``approx=True`` uses ``percentile_approx``: one pass, a bounded
     sketch per group, rank error about ``1/accuracy``.
     """
     by = list(by)
     names = list(names) if names else [f"q{i}" for i in range(len(probs))]
-    v = as_column(value).cast("double")
-    base = df.select(*by, v.alias("_bp_v")).where(
+    v = as_column(value).cast("double") + F.lit(0.0)
+    base = df.select(*[quoted(k) for k in by], v.alias("_bp_v")).where(
         F.col("_bp_v").isNotNull() & ~F.isnan("_bp_v")
     )
+    keys = [quoted(k) for k in by]
+
+    def each(arr: Column, rows: DataFrame) -> DataFrame:
+        agg = rows.groupBy(*keys).agg(arr.alias("_bp_q"))
+        return agg.select(*keys, *[F.col("_bp_q")[i].alias(nm) for i, nm in enumerate(names)])
+
     if approx:
-        arr = F.percentile_approx("_bp_v", list(probs), accuracy)
-        agg = base.groupBy(*by).agg(arr.alias("_bp_q"))
-        return agg.select(*by, *[F.col("_bp_q")[i].alias(nm) for i, nm in enumerate(names)])
-    if method not in ("auto", "percentile", "ranked"):
-        raise ValueError(f"method must be 'auto', 'percentile' or 'ranked', got {method!r}")
-    if method == "auto":
-        method = "percentile" if largest_group(base, by) <= max_group_rows else "ranked"
+        return each(F.percentile_approx("_bp_v", list(probs), accuracy), base)
+    if method not in ("auto", "narrowed", "percentile", "ranked"):
+        raise ValueError(f"method must be 'auto', 'narrowed', 'percentile' or 'ranked', got {method!r}")
+    whole = F.percentile("_bp_v", F.array(*[F.lit(float(p)) for p in probs]))
     if method == "percentile":
-        arr = F.percentile("_bp_v", F.array(*[F.lit(float(p)) for p in probs]))
-        agg = base.groupBy(*by).agg(arr.alias("_bp_q"))
-        return agg.select(*by, *[F.col("_bp_q")[i].alias(nm) for i, nm in enumerate(names)])
+        return each(whole, base)
+    if method != "ranked":
+        gathered = 1 if method == "narrowed" else max_group_rows
+        sizes = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_bp_n"))
+        big, n_big, _ = measured(sizes.where(F.col("_bp_n") > gathered))
+        if n_big == 0:
+            return each(whole, base)
+        found = _narrowed_quantiles(base, big, by, probs, names, gathered)
+        if not by:
+            return found
+        others, _ = broadcast_if_small(big.select(*keys))
+        return each(whole, null_safe_join(base, others, by, "left_anti")).unionAll(found)
 
     # equal values collapse map-side, so neither a hot key nor a hot value
     # concentrates rows; each distinct value covers positions [pos, pos + n)
@@ -207,14 +224,119 @@ def quantiles(
             F.max(hi[i] - F.lit(float(p)) * last).alias(f"_bp_g{i}"),
         ]
     picked = ranked.where(wanted).groupBy(*by).agg(*aggs)
-    # the same arithmetic as ``percentile``, so both methods give equal edges
     out = [
-        F.when(F.col(f"_bp_lo{i}") == F.col(f"_bp_hi{i}"), F.col(f"_bp_lo{i}"))
-        .otherwise(F.col(f"_bp_g{i}") * F.col(f"_bp_lo{i}") + F.col(f"_bp_f{i}") * F.col(f"_bp_hi{i}"))
-        .alias(nm)
-        for i, nm in enumerate(names)
+        _between(*[F.col(f"_bp_{x}{i}") for x in ("lo", "hi", "f", "g")]).alias(nm) for i, nm in enumerate(names)
     ]
-    return picked.select(*by, *out)
+    return picked.select(*keys, *out)
+
+
+def _between(low: Column, high: Column, above_low: Column, below_high: Column) -> Column:
+    """The same arithmetic as ``percentile``, so all methods give equal numbers."""
+    return F.when(low == high, low).otherwise(below_high * low + above_low * high)
+
+
+def _narrowed_quantiles(
+    base: DataFrame, big: DataFrame, by: Sequence[str], probs: Sequence[float], names: Sequence[str], gathered: int
+) -> DataFrame:
+    """``quantiles`` of the groups in ``big`` (keys and ``_bp_n``, their rows).
+
+    A target is one quantile of one group: its two ranks, and the range ``a``..``b`` of
+    values that holds both, with the ``below`` rows under it and the ``c`` rows in it.
+    Ranks that fall into two bins are neighbours, so they are the one bin's largest
+    value and the other's smallest. ``big`` has at most a row for every ``gathered``
+    rows, which bounds the table of targets; it is written each round, the data never.
+    """
+    keys = [quoted(k) for k in by]
+    wanted = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p")) for i, p in enumerate(probs)]))
+    place = F.col("_bp_t.p") * (F.col("_bp_n") - 1)
+    targets = big.withColumn("_bp_t", wanted).select(
+        *keys, "_bp_n", F.col("_bp_t.i").alias("_bp_i"), F.floor(place).alias("_bp_lo"), F.ceil(place).alias("_bp_hi"),
+        (place - F.floor(place)).alias("_bp_f"), (F.ceil(place) - place).alias("_bp_g"),
+        F.lit(0).cast("bigint").alias("_bp_below"), F.col("_bp_n").alias("_bp_c"),
+        F.lit(float("-inf")).alias("_bp_a"), F.lit(float("inf")).alias("_bp_b"), F.lit(False).alias("_bp_split"),
+    )
+    several = ~F.col("_bp_split") & (F.col("_bp_a") < F.col("_bp_b"))
+    wide = several & (F.col("_bp_c") > gathered)
+    closed = []
+    while True:
+        targets, _, _ = measured(_narrow(base, targets, by, len(probs)))
+        closed.append(targets.where(~wide))
+        targets = targets.where(wide)
+        if targets.isEmpty():
+            break
+    targets = closed[0]
+    for more in closed[1:]:
+        targets = targets.unionAll(more)
+    done = targets.where(~several).select(*keys, "_bp_i", "_bp_f", "_bp_g", "_bp_a", "_bp_b")
+    rest = targets.where(several)
+    if not rest.isEmpty():
+        values = _in_ranges(base, rest, by, len(probs)).groupBy(*keys, "_bp_a")
+        values = values.agg(F.sort_array(F.collect_list("_bp_v")).alias("_bp_vs"))
+        joined = null_safe_join(rest, values, [*by, "_bp_a"], "inner")
+        at = [F.get("_bp_vs", (F.col(r) - F.col("_bp_below")).cast("int")) for r in ("_bp_lo", "_bp_hi")]
+        done = done.unionAll(joined.select(*keys, "_bp_i", "_bp_f", "_bp_g", at[0], at[1]))
+    out = _between(F.col("_bp_a"), F.col("_bp_b"), F.col("_bp_f"), F.col("_bp_g"))
+    picks = [F.max(F.when(F.col("_bp_i") == i, out)).alias(nm) for i, nm in enumerate(names)]
+    return done.groupBy(*keys).agg(*picks)
+
+
+def _in_ranges(base: DataFrame, targets: DataFrame, by: Sequence[str], n: int) -> DataFrame:
+    """The rows whose value is in a range of its group's targets, with that range. Ranges
+    of a group are equal or have no value in common."""
+    own = F.col("_bp_i")
+    sides = [F.max(F.when(own == i, F.col(f"_bp_{x}"))).alias(f"_bp_{x}{i}") for i in range(n) for x in "ab"]
+    ranges = targets.groupBy(*[quoted(k) for k in by]).agg(*sides)
+    if by:
+        ranges, _ = broadcast_if_small(ranges)
+        rows = null_safe_join(base, ranges, by, "inner")
+    else:  # one row of two numbers a quantile: constants
+        rows = base.withColumns({k: F.lit(x).cast("double") for k, x in ranges.first().asDict().items()})
+    v = F.col("_bp_v")
+    ends = [
+        F.coalesce(*[F.when(v.between(F.col(f"_bp_a{i}"), F.col(f"_bp_b{i}")), F.col(f"_bp_{x}{i}")) for i in range(n)])
+        for x in "ab"
+    ]
+    rows = rows.select(*[quoted(k) for k in by], v, ends[0].alias("_bp_a"), ends[1].alias("_bp_b"))
+    return rows.where(F.col("_bp_a").isNotNull())
+
+
+def _narrow(base: DataFrame, targets: DataFrame, by: Sequence[str], n: int) -> DataFrame:
+    """``targets`` with their ranges narrowed to the bins of one more scan.
+
+    Bins grow with the value: first by its sign and logarithm, so no distribution of
+    values needs many rounds, then at equal steps between a range's ends, which
+    are values themselves, so that every round tells them apart.
+    """
+    keys = [quoted(k) for k in by]
+    v, a, b = F.col("_bp_v"), F.col("_bp_a"), F.col("_bp_b")
+    size, most = F.abs(v), 1 << 20
+    scale = F.floor(F.log2(F.when((size > 0) & (size < float("inf")), size)) * _BINS_A_DOUBLING) + (most >> 1)
+    scale = F.when(size == 0, 0).when(size == float("inf"), most).otherwise(scale)
+    step = F.least(F.floor((v - a) / (b - a) * _RANGE_BINS), F.lit(_RANGE_BINS - 1))
+    number = F.when(a == float("-inf"), F.when(v < 0, -scale).otherwise(scale)).otherwise(step).cast("int")
+    rows = _in_ranges(base, targets, by, n).select(*keys, "_bp_a", number.alias("_bp_bin"), "_bp_v")
+    bins = rows.groupBy(*keys, "_bp_a", "_bp_bin").agg(
+        F.count(F.lit(1)).alias("_bp_k"), F.min("_bp_v").alias("_bp_min"), F.max("_bp_v").alias("_bp_max")
+    )
+    fixed = [*keys, *[F.col(f"_bp_{x}") for x in ("n", "i", "lo", "hi", "f", "g")]]
+    joined = null_safe_join(targets.drop("_bp_b", "_bp_c", "_bp_split"), bins, [*by, "_bp_a"], "inner")
+    earlier = Window.partitionBy(*keys, "_bp_i").orderBy("_bp_bin").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.col("_bp_below") + F.coalesce(F.sum("_bp_k").over(earlier), F.lit(0))
+    placed = joined.withColumn("_bp_start", start)
+
+    def held(rank: str) -> Column:
+        inside = (F.col("_bp_start") <= F.col(rank)) & (F.col(rank) < F.col("_bp_start") + F.col("_bp_k"))
+        parts = [F.col(f"_bp_{x}").alias(x) for x in ("bin", "start", "k", "min", "max")]
+        return F.max(F.when(inside, F.struct(*parts)))
+
+    found = placed.groupBy(*fixed).agg(held("_bp_lo").alias("_bp_l"), held("_bp_hi").alias("_bp_h"))
+    low, high = F.col("_bp_l"), F.col("_bp_h")
+    one = low["bin"] == high["bin"]
+    return found.select(
+        *fixed, low["start"].alias("_bp_below"), low["k"].alias("_bp_c"),
+        F.when(one, low["min"]).otherwise(low["max"]).alias("_bp_a"),
+        F.when(one, low["max"]).otherwise(high["min"]).alias("_bp_b"), (~one).alias("_bp_split"),
+    )
 
 
 def group_modes(

@@ -1157,6 +1157,24 @@ def q_discretize_quantile_ranked(spark, sf):
     return ops.discretize(ev, "value", "quantile", n=4, quantile_method="ranked").select("event_id", "bin")
 
 
+@query("impute_median_by_group_narrowed", ORACLE_SQL["impute_median_by_group"])
+def q_impute_median_by_group_narrowed(spark, sf):
+    out = ops.impute(events_with_gaps(spark, sf), "value", "median", by="event_type", quantile_method="narrowed")
+    return out.select("event_id", F.round("value", 6).alias("value"))
+
+
+@query("drop_outliers_iqr_narrowed", ORACLE_SQL["drop_outliers_iqr"])
+def q_drop_outliers_iqr_narrowed(spark, sf):
+    ev = table(spark, sf, "events").select("event_id", "value")
+    return ops.drop_outliers(ev, "value", "iqr", 1.5, quantile_method="narrowed")
+
+
+@query("discretize_quantile_narrowed", ORACLE_SQL["discretize_quantile"])
+def q_discretize_quantile_narrowed(spark, sf):
+    ev = table(spark, sf, "events").select("event_id", "value")
+    return ops.discretize(ev, "value", "quantile", n=4, quantile_method="narrowed").select("event_id", "bin")
+
+
 # --- A: sources, sinks, movement ------------------------------------------------------------------------
 
 
