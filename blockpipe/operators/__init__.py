@@ -17,6 +17,7 @@ from blockpipe.operators.combine import (
     SchemaClashError,
     integrate,
     join_on_condition,
+    join_on_inequality,
     join_on_keys,
     union,
 )
@@ -59,6 +60,7 @@ __all__ = [
     "impute",
     "integrate",
     "join_on_condition",
+    "join_on_inequality",
     "join_on_keys",
     "map_values",
     "outlier_bounds",

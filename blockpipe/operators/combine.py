@@ -11,9 +11,11 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DataType, DecimalType, IntegralType
+from pyspark.sql.types import DataType, DecimalType, IntegralType, StringType
 
 from blockpipe.functions import as_column, quoted
+from blockpipe.functions.columns import in_backticks
+from blockpipe.plans.sizing import broadcast_if_small, measured
 
 JOIN_KINDS = ("inner", "left", "right", "full", "left_semi", "left_anti")
 
@@ -138,6 +140,10 @@ def join_on_keys(
     return left.join(right, on=keys, how=how)
 
 
+# Rows of either side that meet in one tile of a hot bucket.
+TILE_ROWS = 20_000
+
+
 class AllPairsError(ValueError):
     """A join would compare every left row with every right row."""
 
@@ -155,6 +161,7 @@ def join_on_condition(
     how: str = "inner",
     band: tuple[str | Column, str | Column, float, float] | None = None,
     all_pairs: bool = False,
+    tile_rows: int = TILE_ROWS,
 ) -> DataFrame:
     """Join on any condition (theta join).
 
@@ -171,6 +178,15 @@ def join_on_condition(
     semi and anti joins stay exact. Right and full joins are the inner or left join
     and the right rows that match nothing, found by the same band the other way.
     Whole numbers and decimals are bucketed in decimal arithmetic.
+
+    Many equal values share a bucket however narrow the band is. So the buckets' rows
+    are counted first, and a bucket whose pairs exceed ``tile_rows`` squared is cut into
+    tiles of about ``tile_rows`` rows of each side: a left row goes to one row of
+    tiles, a right row to one column, and each pair meets in one tile. The rows of
+    such buckets are written once with their tiles' numbers, so a lost executor can't
+    change them. Counting runs when the join is called.
+
+    A semi or anti join on one inequality needs no pairs: ``join_on_inequality``.
     """
     if how not in JOIN_KINDS:
         raise ValueError(f"how must be one of {JOIN_KINDS}, got {how!r}")
@@ -184,16 +200,107 @@ def join_on_condition(
     if hi <= lo:
         raise ValueError("band must have hi > lo")
     if how in ("right", "full"):
-        matched = join_on_condition(left, right, cond, "inner" if how == "right" else "left", band)
-        alone = join_on_condition(right, left, cond, "left_anti", (r_col, l_col, -hi, -lo))
+        matched = join_on_condition(left, right, cond, "inner" if how == "right" else "left", band, tile_rows=tile_rows)
+        alone = join_on_condition(right, left, cond, "left_anti", (r_col, l_col, -hi, -lo), tile_rows=tile_rows)
         nulls = [F.lit(None).cast(f.dataType) for f in left.schema.fields]
         return matched.unionAll(alone.select(*nulls, *[alone[c] for c in alone.columns]))
     lv, rv, lo, hi = _band_values(left, right, as_column(l_col), as_column(r_col), lo, hi)
     width = hi - lo
     lb = left.withColumn("_bp_bl", _bucket(lv / width))
     rb = right.withColumn("_bp_br", F.explode(_buckets((rv - hi) / width, (rv - lo) / width)))
-    joined = lb.join(rb, on=(F.col("_bp_bl") == F.col("_bp_br")) & cond_col, how=how)
-    return joined.drop("_bp_bl", "_bp_br")
+    same = F.col("_bp_bl") == F.col("_bp_br")
+    hot, n_hot, _ = measured(_hot_buckets(lb, rb, tile_rows))
+    if n_hot == 0:
+        return lb.join(rb, on=same & cond_col, how=how).drop("_bp_bl", "_bp_br")
+    hot, _ = broadcast_if_small(hot)
+    cold_l = lb.join(hot, F.col("_bp_bl") == F.col("_bp_b"), "left_anti")
+    cold_r = rb.join(hot, F.col("_bp_br") == F.col("_bp_b"), "left_anti")
+    cold = cold_l.join(cold_r, on=same & cond_col, how=how).drop("_bp_bl", "_bp_br")
+    return cold.unionAll(_tiled(lb, rb, hot, cond_col, how))
+
+
+def _hot_buckets(lb: DataFrame, rb: DataFrame, tile_rows: int) -> DataFrame:
+    """Buckets with too many pairs for one task, and the tiles of each side: at most a
+    row for every ``tile_rows`` squared pairs."""
+    lefts = lb.groupBy(F.col("_bp_bl").alias("_bp_b")).agg(F.count(F.lit(1)).alias("_bp_n"))
+    rights = rb.groupBy(F.col("_bp_br").alias("_bp_b")).agg(F.count(F.lit(1)).alias("_bp_m"))
+    pairs = F.col("_bp_n").cast("double") * F.col("_bp_m")
+    tiles = [F.ceil(F.col(c) / tile_rows).alias(out) for c, out in (("_bp_n", "_bp_tl"), ("_bp_m", "_bp_tr"))]
+    return lefts.join(rights, "_bp_b").where(pairs > float(tile_rows) ** 2).select("_bp_b", *tiles)
+
+
+def _tiled(lb: DataFrame, rb: DataFrame, hot: DataFrame, cond: Column, how: str) -> DataFrame:
+    """The join of the left rows in hot buckets: inner, left, semi or anti."""
+
+    def numbered(side: DataFrame, bucket: str, tiles: str, own: str) -> DataFrame:
+        rows = side.join(hot, F.col(bucket) == F.col("_bp_b")).withColumn(f"{own}_id", F.monotonically_increasing_id())
+        return rows.withColumn(own, F.pmod(F.xxhash64(f"{own}_id"), F.col(tiles))).drop("_bp_b").checkpoint(eager=True)
+
+    def copied(side: DataFrame, tiles: str, other: str) -> DataFrame:
+        return side.withColumn(other, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(tiles) - 1)))
+
+    lefts = numbered(lb, "_bp_bl", "_bp_tl", "_bp_l")
+    rights = numbered(rb, "_bp_br", "_bp_tr", "_bp_r")
+    extra = ["_bp_bl", "_bp_br", "_bp_tl", "_bp_tr", "_bp_l", "_bp_r", "_bp_l_id", "_bp_r_id", "_bp_l2", "_bp_r2"]
+    many_l, many_r = copied(lefts, "_bp_tr", "_bp_r2"), copied(rights, "_bp_tl", "_bp_l2").drop("_bp_tl", "_bp_tr")
+    same = [F.col(a) == F.col(b) for a, b in (("_bp_bl", "_bp_br"), ("_bp_l", "_bp_l2"), ("_bp_r2", "_bp_r"))]
+    on = reduce(Column.__and__, same) & cond
+    if how == "inner":
+        return many_l.join(many_r, on, "inner").drop(*extra)
+    # a left row is in several tiles: it has a partner if it has one in any of them
+    matched = many_l.join(many_r, on, "left_semi").select(F.col("_bp_l_id").alias("_bp_found")).distinct()
+    kind = "left_semi" if how == "left_semi" else "left_anti"
+    picked = lefts.join(matched, F.col("_bp_l_id") == F.col("_bp_found"), kind).drop(*extra)
+    if how != "left":
+        return picked
+    nulls = [F.lit(None).cast(f.dataType) for f in rb.schema.fields if f.name != "_bp_br"]
+    return many_l.join(many_r, on, "inner").drop(*extra).unionAll(picked.select("*", *nulls))
+
+
+_COMPARED = {
+    "<": (F.max, Column.__lt__),
+    "<=": (F.max, Column.__le__),
+    ">": (F.min, Column.__gt__),
+    ">=": (F.min, Column.__ge__),
+}
+
+
+def join_on_inequality(
+    left: DataFrame,
+    right: DataFrame,
+    inequality: tuple[str | Column, str, str | Column],
+    on: Sequence[str] | str = (),
+    how: str = "left_semi",
+) -> DataFrame:
+    """Left rows for which some right row (``left_anti``: none) has the same ``on`` and a
+    value that stands in the inequality ``(left value, "<", "<=", ">" or ">=", right value)``.
+
+    Some value is larger if the largest is: the right side is reduced to its
+    largest (smallest) value for each key, with map-side combine, so nothing meets in
+    pairs. Without ``on`` that is one number in a filter; else one row a key, broadcast
+    if measured small, and otherwise joined with the left side's hot keys split.
+    Nulls stand in no inequality and null keys match nothing, as in SQL's ``exists``;
+    NaN is above all numbers. Text is compared with text only (``TypeError``), as its
+    order is not that of the numbers written in it.
+    """
+    l_val, sign, r_val = inequality
+    if sign not in _COMPARED:
+        raise ValueError(f"the inequality must be one of {tuple(_COMPARED)}, got {sign!r}")
+    if how not in ("left_semi", "left_anti"):
+        raise ValueError(f"how must be 'left_semi' or 'left_anti', got {how!r}")
+    extreme, compared = _COMPARED[sign]
+    l_val, r_val = as_column(l_val), as_column(r_val)
+    text = [isinstance(df.select(c).schema[0].dataType, StringType) for df, c in ((left, l_val), (right, r_val))]
+    if text[0] != text[1]:
+        raise TypeError("text can't be compared with values of another type: cast one side")
+    keys = [on] if isinstance(on, str) else list(on)
+    if not keys:
+        holds = F.coalesce(compared(l_val, right.select(extreme(r_val)).scalar()), F.lit(False))
+        return left.where(holds if how == "left_semi" else ~holds)
+    best = right.groupBy(*[quoted(k).alias(f"_bp_k{i}") for i, k in enumerate(keys)]).agg(extreme(r_val).alias("_bp_x"))
+    best, _ = broadcast_if_small(best)
+    same = [left[in_backticks(k)] == F.col(f"_bp_k{i}") for i, k in enumerate(keys)]
+    return left.join(best, reduce(Column.__and__, same) & compared(l_val, F.col("_bp_x")), how)
 
 
 # Buckets beyond these numbers, where doubles have no more places behind the point,

@@ -875,6 +875,52 @@ def q_join_condition_left(spark, sf):
     return out.select(F.col("a.s_suppkey").alias("a_key"), F.col("b.s_suppkey").alias("b_key"))
 
 
+_NEAR_NATION = "abs(c_nationkey - s_nationkey) <= 1 and s_acctbal > c_acctbal + 9000"
+
+for _kind, _sql_kind in {"inner": "join", "left": "left join", "left_semi": "semi join", "full": "full join"}.items():
+    def _make_tiles(kind):
+        def q(spark, sf):
+            """25 values share out all rows: every bucket is hot."""
+            c = table(spark, sf, "customer").select("c_custkey", "c_nationkey", "c_acctbal")
+            s = table(spark, sf, "supplier").select("s_suppkey", "s_nationkey", "s_acctbal")
+            band = ("c_nationkey", "s_nationkey", -1, 1)
+            out = ops.join_on_condition(c, s, _NEAR_NATION, kind, band=band, tile_rows=100)
+            return out.select("c_custkey", *(["s_suppkey"] if kind != "left_semi" else []))
+        return q
+
+    query(
+        f"join_band_hot_{_kind}",
+        f"select c_custkey{', s_suppkey' if _kind != 'left_semi' else ''} "
+        f"from customer {_sql_kind} supplier on {_NEAR_NATION}",
+    )(_make_tiles(_kind))
+
+
+@query(
+    "semi_join_inequality",
+    """
+    select c_custkey, c_acctbal from customer
+    where exists (select 1 from supplier where s_nationkey = c_nationkey and s_acctbal - 9000 > c_acctbal)
+    """,
+)
+def q_semi_join_inequality(spark, sf):
+    c = table(spark, sf, "customer").select("c_custkey", F.col("c_nationkey").alias("nation"), "c_acctbal")
+    s = table(spark, sf, "supplier").select(F.col("s_nationkey").alias("nation"), (F.col("s_acctbal") - 9000).alias("least"))
+    return ops.join_on_inequality(c, s, ("c_acctbal", "<", "least"), on="nation").drop("nation")
+
+
+@query(
+    "anti_join_inequality",
+    """
+    select l_orderkey, l_linenumber, l_extendedprice from lineitem
+    where not exists (select 1 from part where p_retailprice * 40 <= l_extendedprice)
+    """,
+)
+def q_anti_join_inequality(spark, sf):
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
+    parts = table(spark, sf, "part").select((F.col("p_retailprice") * 40).alias("price"))
+    return ops.join_on_inequality(lines, parts, ("l_extendedprice", ">=", "price"), how="left_anti")
+
+
 _DECIMAL_BAND = "b_bal >= a_bal and b_bal <= a_bal + 0.1"
 
 
