@@ -21,6 +21,7 @@ from blockpipe.operators.combine import (
     join_on_keys,
     union,
 )
+from blockpipe.operators.discover import value_patterns, value_variants
 from blockpipe.operators.profile import (
     dataset_summary,
     preview,
@@ -28,6 +29,7 @@ from blockpipe.operators.profile import (
     schema_profile,
 )
 from blockpipe.operators.recommend import recommend_cleaning, recommend_transformations
+from blockpipe.operators.sampling import sample_rows
 from blockpipe.operators.transform import (
     aggregate,
     construct,
@@ -70,6 +72,7 @@ __all__ = [
     "recommend_cleaning",
     "recommend_transformations",
     "reduce_rows",
+    "sample_rows",
     "schema_profile",
     "select_features",
     "smooth",
@@ -79,5 +82,7 @@ __all__ = [
     "standardize_values",
     "standardized_names",
     "union",
+    "value_patterns",
+    "value_variants",
     "years_between",
 ]

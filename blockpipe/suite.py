@@ -1221,6 +1221,124 @@ def q_discretize_quantile_narrowed(spark, sf):
     return ops.discretize(ev, "value", "quantile", n=4, quantile_method="narrowed").select("event_id", "bin")
 
 
+# --- C6: formats and variants found in values; D9: samples of an exact size ------------------------------
+
+# Customers' segments, some of them in other spellings or by their initials.
+_SEGMENTS = """
+    select c_custkey, c_nationkey, case c_custkey % 12
+      when 0 then lower(c_mktsegment || ' market of goods')
+      when 1 then 'MARKET OF GOODS, ' || c_mktsegment
+      when 2 then left(c_mktsegment, 1) || 'MG'
+      when 3 then left(c_mktsegment, 1) || '.M.G.'
+      when 4 then null
+      else c_mktsegment || ' MARKET OF GOODS' end as segment
+    from customer"""
+_VARIANTS = f"""
+    seg as ({_SEGMENTS}),
+    val as (select segment as v, count(*) as n, trim(regexp_replace(lower(segment), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) as t
+            from seg where segment is not null group by segment),
+    keyed as (select *, case when regexp_matches(t, '^\\S( \\S)+$') then replace(t, ' ', '')
+                             else array_to_string(list_sort(list_distinct(string_split(t, ' '))), ' ') end as k
+              from val where t <> ''),
+    best as (select * from keyed qualify row_number() over (partition by k order by n desc, v) = 1),
+    firsts as (
+      select distinct b.k as long_k, b.v as long_v, b.n as long_n, w.i
+      from best b, lateral (select unnest([
+        array_to_string([x[1] for x in string_split(b.t, ' ')], ''),
+        array_to_string([x[1] for x in string_split(b.t, ' ')
+                         if x not in ('a', 'and', 'de', 'for', 'in', 'of', 'on', 'the', 'to')], '')]) as i) w
+      where contains(b.t, ' ') and not regexp_matches(b.t, '^\\S( \\S)+$') and length(w.i) > 1),
+    alone as (select i, any_value(long_v) as long_v, any_value(long_n) as long_n from firsts group by i having count(*) = 1),
+    variants as (
+      select * from (
+        select c.v as value, coalesce(a.long_v, b.v) as target, c.n, coalesce(a.long_n, b.n) as target_n,
+               case when a.i is null then 'spelling' else 'initials' end as rule
+        from keyed c join best b using (k)
+        left join alone a on a.i = b.k and regexp_matches(b.k, '^\\p{{L}}{{2,}}$') and b.v = upper(b.v))
+      where value <> target)"""
+
+
+def _segments(spark, sf):
+    table(spark, sf, "customer").createOrReplaceTempView("_bp_segments_customer")
+    return spark.sql(_SEGMENTS.replace("from customer", "from _bp_segments_customer"))
+
+
+@query("value_variants", f"with {_VARIANTS} select * from variants")
+def q_value_variants(spark, sf):
+    return ops.value_variants(_segments(spark, sf), "segment")
+
+
+@query(
+    "map_found_variants",
+    f"""
+    with {_VARIANTS}
+    select c_custkey, coalesce(target, segment) as segment from seg left join variants on segment = value
+    """,
+)
+def q_map_found_variants(spark, sf):
+    segments = _segments(spark, sf)
+    found = ops.value_variants(segments, "segment")
+    return ops.map_values(segments, "segment", found).select("c_custkey", "segment")
+
+
+@query(
+    "value_patterns",
+    """
+    with val as (select 'name' as column_name, c_name as v from customer union all
+                 select 'segment', c_mktsegment from customer union all
+                 select 'date', o from (select case when c_custkey % 3 = 0 then c_custkey || '/05/2020'
+                                                    else '2020-05-' || c_custkey end as o from customer)),
+    pat as (select column_name, v, regexp_replace(regexp_replace(regexp_replace(
+              v, '\\p{Ll}+', 'a', 'g'), '\\p{Lu}+', 'A', 'g'), '[0-9]+', '9', 'g') as pattern
+            from val where v is not null)
+    select column_name, pattern, count(*) as n,
+           round(count(*) / sum(count(*)) over (partition by column_name), 9) as share, min(v) as example
+    from pat group by column_name, pattern
+    """,
+)
+def q_value_patterns(spark, sf):
+    number = F.col("c_custkey").cast("string")
+    date = F.when(F.col("c_custkey") % 3 == 0, F.concat(number, F.lit("/05/2020"))).otherwise(F.concat(F.lit("2020-05-"), number))
+    values = table(spark, sf, "customer").select(F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"), date.alias("date"))
+    return ops.value_patterns(values, ["name", "segment", "date"]).withColumn("share", F.round("share", 9))
+
+
+@query(
+    "sample_strata",
+    """
+    with p as (select doc_id, lang, (cast('0x' || left(md5('5|' || doc_id), 13) as bigint) + 0.5) / 4503599627370496.0 as p
+               from documents)
+    select doc_id, lang, round(greatest(count(*) over (partition by lang) / 30.0, 1), 6) as inclusion_weight
+    from p qualify row_number() over (partition by lang order by p) <= 30
+    """,
+)
+def q_sample_strata(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "lang")
+    return ops.sample_rows(docs, 30, "doc_id", "lang", seed=5).withColumn(
+        "inclusion_weight", F.round("inclusion_weight", 6)
+    )
+
+
+@query(
+    "sample_weighted",
+    """
+    with p as (select o_orderkey, o_orderpriority, o_totalprice, -ln(
+                 (cast('0x' || left(md5('9|' || o_orderkey), 13) as bigint) + 0.5) / 4503599627370496.0) / o_totalprice as p
+               from orders),
+    r as (select *, row_number() over w as r, count(*) over (partition by o_orderpriority) as n,
+                 nth_value(p, 101) over (w rows between unbounded preceding and unbounded following) as t
+          from p window w as (partition by o_orderpriority order by p))
+    select o_orderkey, o_orderpriority, o_totalprice,
+           round(case when n <= 100 then 1.0 else 1 / (1 - exp(-o_totalprice * t)) end, 4) as stands_for
+    from r where r <= 100
+    """,
+)
+def q_sample_weighted(spark, sf):
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice")
+    found = ops.sample_rows(orders, 100, "o_orderkey", "o_orderpriority", "o_totalprice", seed=9, out="stands_for")
+    return found.withColumn("stands_for", F.round("stands_for", 4))
+
+
 # --- A: sources, sinks, movement ------------------------------------------------------------------------
 
 
