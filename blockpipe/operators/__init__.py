@@ -29,6 +29,7 @@ from blockpipe.operators.profile import (
     schema_profile,
 )
 from blockpipe.operators.recommend import recommend_cleaning, recommend_transformations
+from blockpipe.operators.relevance import mutual_information, select_informative
 from blockpipe.operators.sampling import sample_rows
 from blockpipe.operators.transform import (
     aggregate,
@@ -65,6 +66,7 @@ __all__ = [
     "join_on_inequality",
     "join_on_keys",
     "map_values",
+    "mutual_information",
     "outlier_bounds",
     "parse_time",
     "preview",
@@ -75,6 +77,7 @@ __all__ = [
     "sample_rows",
     "schema_profile",
     "select_features",
+    "select_informative",
     "smooth",
     "split_column",
     "standardize_names",

@@ -17,7 +17,7 @@ from blockpipe.plans.ranking import (
     null_safe_join,
     quantiles,
 )
-from blockpipe.plans.sizing import broadcast_if_small
+from blockpipe.plans.sizing import broadcast_if_small, broadcast_limit_bytes
 
 
 def drop_missing(
@@ -235,8 +235,8 @@ def map_values(
     """Replace variants by one form; unmapped values stay as they are.
 
     ``mapping`` is a dict or a DataFrame ``(from, to)``; either is a table of the
-    column's type, left-joined on the value, whatever its size (Spark broadcasts it
-    if it is small). A null ``from`` matches nothing and a null ``to`` changes
+    column's type, left-joined on the value, whatever its size (broadcast if
+    it is small). A null ``from`` matches nothing and a null ``to`` changes
     nothing. A value with two different targets is an error: at once in a dict, when
     the result is computed for a DataFrame.
     """
@@ -246,6 +246,8 @@ def map_values(
         rows = _mapping_rows(mapping, isinstance(kind, StringType))
         ddl = StructType([StructField("_bp_from", kind), StructField("_bp_to", kind)])
         table = df.sparkSession.createDataFrame(rows, ddl)
+        if sum(64 + 4 * len(str(x)) for pair in rows for x in pair) <= broadcast_limit_bytes(df):
+            table = F.broadcast(table)  # its rows are here, so their size is known
     else:
         a, b = mapping.columns[:2]
         pairs = mapping.select(quoted(a).cast(kind).alias("_bp_from"), quoted(b).cast(kind).alias("_bp_to"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -399,9 +400,10 @@ def extract_features(
     (``ddof=0``) standard deviation; ``minmax``: to ``[0, 1]`` (statistics
     as scalar subqueries, merged into one aggregation). ``pca``: the scores on the first ``k`` principal
     components of the centered columns, as an array column ``out``. The
-    means come from one aggregation, the components from Spark ML's PCA (a tree
-    aggregation of vectors; only the ``len(cols)``-square covariance reaches the
-    driver); the projection is a plain column expression. Rows with a missing value are
+    means come from one aggregation; the covariance of up to ``PCA_PLAIN_COLS`` columns from
+    another, beyond that the components from Spark ML's PCA (a tree aggregation of
+    vectors; only the ``len(cols)``-square covariance reaches the driver); the
+    projection is a column expression. Rows with a missing value are
     left out of the fit and get null scores. Each component's sign is fixed
     so that its largest loading is positive.
     """
@@ -425,34 +427,59 @@ def extract_features(
     raise ValueError(f"method must be 'scale', 'minmax' or 'pca', got {method!r}")
 
 
+# Columns whose sums of products are plain aggregates of one row.
+PCA_PLAIN_COLS = 16
+
+
 def _pca(df: DataFrame, cols: Sequence[str], k: int, out: str) -> DataFrame:
     import numpy as np
-    from pyspark.ml.feature import PCA
-    from pyspark.ml.functions import array_to_vector
 
     d = len(cols)
     if not 1 <= k <= d:
         raise ValueError(f"k must be between 1 and {d}")
-    values = F.array(*[present(df, c).cast("double") for c in cols])
-    vectors = df.select(values.alias("v")).where(~F.exists("v", lambda x: x.isNull()))
-    row = vectors.agg(*[F.avg(F.col("v")[i]).alias(f"m{i}") for i in range(d)]).first()
+    values = [present(df, c).cast("double") for c in cols]
+    missing = reduce(Column.__or__, [v.isNull() for v in values])
+    row = df.where(~missing).agg(*[F.avg(v).alias(f"m{i}") for i, v in enumerate(values)]).first()
     if row is None or row["m0"] is None:  # no complete row
         return df.withColumn(out, F.lit(None).cast("array<double>"))
-    means = np.array([row[f"m{i}"] for i in range(d)], dtype=float)
-
-    def centred(v: Column) -> Column:
-        return F.zip_with(v, F.lit(means.tolist()), lambda x, m: x - m)
-
-    fitted = PCA(k=k, inputCol="v", outputCol="p").fit(vectors.select(array_to_vector(centred(F.col("v"))).alias("v")))
-    comps = fitted.pc.toArray().copy()  # len(cols) by k
+    means = [row[f"m{i}"] for i in range(d)]
+    fit = _plain_components if d <= PCA_PLAIN_COLS else _ml_components
+    comps = fit(df.where(~missing), values, means, k)  # len(cols) by k
     for j in range(k):
         if comps[np.argmax(np.abs(comps[:, j])), j] < 0:
             comps[:, j] = -comps[:, j]
     # a missing value makes every score null
+    if d <= PCA_PLAIN_COLS:
+        centred = [v - m for v, m in zip(values, means)]
+        scores = [sum((x * float(w) for x, w in zip(centred, comps[:, j])), F.lit(0.0)) for j in range(k)]
+        return df.withColumn(out, F.array(*[F.when(~missing, s) for s in scores]))
+    vector = F.zip_with(F.array(*values), F.lit(means), lambda x, m: x - m)
     scores = [
         F.aggregate(F.zip_with("_bp_v", F.lit(comps[:, j].tolist()), lambda x, w: x * w), F.lit(0.0), lambda a, x: a + x)
         for j in range(k)
     ]
-    missing = F.exists("_bp_v", lambda x: x.isNull())
-    scored = df.withColumn("_bp_v", centred(values))
-    return scored.withColumn(out, F.array(*[F.when(~missing, s) for s in scores])).drop("_bp_v")
+    unknown = F.exists("_bp_v", lambda x: x.isNull())
+    scored = df.withColumn("_bp_v", vector)
+    return scored.withColumn(out, F.array(*[F.when(~unknown, s) for s in scores])).drop("_bp_v")
+
+
+def _plain_components(df: DataFrame, values: Sequence[Column], means: Sequence[float], k: int):
+    """Eigenvectors of the centred columns' products, summed in one aggregation."""
+    import numpy as np
+
+    d = len(values)
+    centred = [v - m for v, m in zip(values, means)]
+    sums = df.agg(*[F.sum(centred[i] * centred[j]) for i in range(d) for j in range(i, d)]).first()
+    products = np.zeros((d, d))
+    products[np.triu_indices(d)] = sums
+    _, vectors = np.linalg.eigh(products, UPLO="U")
+    return vectors[:, ::-1][:, :k].copy()
+
+
+def _ml_components(df: DataFrame, values: Sequence[Column], means: Sequence[float], k: int):
+    from pyspark.ml.feature import PCA
+    from pyspark.ml.functions import array_to_vector
+
+    centred = F.zip_with(F.array(*values), F.lit(list(means)), lambda x, m: x - m)
+    fitted = PCA(k=k, inputCol="v", outputCol="p").fit(df.select(array_to_vector(centred).alias("v")))
+    return fitted.pc.toArray().copy()

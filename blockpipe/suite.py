@@ -1339,6 +1339,47 @@ def q_sample_weighted(spark, sf):
     return found.withColumn("stands_for", F.round("stands_for", 4))
 
 
+_LINE_FEATURES = ("l_quantity", "l_discount", "l_tax", "l_returnflag", "l_extendedprice")
+
+
+def _information_sql() -> str:
+    numbers = [c for c in _LINE_FEATURES if c != "l_returnflag"]
+    steps = [
+        f"least(cast(floor(({c} - (select min({c}) from lineitem)) / "
+        f"((select max({c}) from lineitem) - (select min({c}) from lineitem)) * 8) as int), 7) as {c}" for c in numbers
+    ]
+    binned = ", ".join([*steps, "cast('0x' || left(md5(l_returnflag), 8) as bigint) % 8 as l_returnflag"])
+    pairs = [(a, b) for i, a in enumerate(_LINE_FEATURES) for b in _LINE_FEATURES[i:]]
+    counts = " union all ".join(
+        f"select '{a}' as a, '{b}' as b, {a} as x, {b} as y, count(*) as n from binned group by {', '.join({a: 1, b: 1})}"
+        for a, b in pairs
+    )
+    return f"""
+    with binned as (select {binned} from lineitem), counts as ({counts}),
+    parts as (select a, b, n / sum(n) over w as share,
+                     n * sum(n) over w / (sum(n) over (partition by a, b, x) * sum(n) over (partition by a, b, y)) as lift
+              from counts window w as (partition by a, b))
+    select a, b, round(sum(share * ln(lift)), 9) as information from parts group by a, b"""
+
+
+@query("mutual_information", _information_sql())
+def q_mutual_information(spark, sf):
+    lines = table(spark, sf, "lineitem").select(*_LINE_FEATURES)
+    return ops.mutual_information(lines, _LINE_FEATURES, bins=8).withColumn("information", F.round("information", 9))
+
+
+@query(
+    "select_informative",
+    "select l_orderkey, l_linenumber, l_quantity, l_extendedprice from lineitem",
+)
+def q_select_informative(spark, sf):
+    """A feature and its copy in another unit: one of them stays."""
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice")
+    lines = lines.withColumn("dozens", F.col("l_quantity") / 12)
+    keep = ["l_orderkey", "l_linenumber"]
+    return ops.select_informative(lines, ["l_quantity", "dozens"], "l_extendedprice", top_k=2, keep=keep)[1]
+
+
 # --- A: sources, sinks, movement ------------------------------------------------------------------------
 
 
