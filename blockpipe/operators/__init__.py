@@ -22,6 +22,7 @@ from blockpipe.operators.combine import (
     union,
 )
 from blockpipe.operators.discover import value_patterns, value_variants
+from blockpipe.operators.joinkeys import suggest_joins
 from blockpipe.operators.profile import (
     dataset_summary,
     preview,
@@ -84,6 +85,7 @@ __all__ = [
     "standardize_text",
     "standardize_values",
     "standardized_names",
+    "suggest_joins",
     "union",
     "value_patterns",
     "value_variants",

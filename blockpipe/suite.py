@@ -358,6 +358,46 @@ def q_recommend_transformations(spark, sf):
     return ops.recommend_transformations(dfs)
 
 
+# Columns under names that tell nothing, by kind.
+_KEY_SETS = {
+    "customers": ("customer", {"a": "c_custkey", "b": "c_nationkey", "c": "c_name"}),
+    "orders": ("orders", {"a": "o_orderkey", "d": "o_custkey", "e": "o_orderpriority"}),
+    "lines": ("lineitem", {"f": "l_orderkey", "g": "l_partkey", "h": "l_suppkey", "i": "l_linenumber"}),
+    "parts": ("part", {"j": "p_partkey", "k": "p_name"}),
+    "nations": ("nation", {"l": "n_nationkey", "m": "n_name"}),
+}
+_KEY_TEXTS = ("c_name", "o_orderpriority", "p_name", "n_name")
+
+
+def _keys_sql() -> str:
+    cols = [(d, out, t, c) for d, (t, named) in _KEY_SETS.items() for out, c in named.items()]
+    pairs = []
+    for d, x, t, c in cols:
+        for e, y, u, k in cols:
+            if d != e and (c in _KEY_TEXTS) == (k in _KEY_TEXTS):
+                pairs.append(
+                    f"select '{d}' as left_dataset, '{x}' as left_column, '{e}' as right_dataset, '{y}' as right_column, "
+                    f"(select count(distinct {c}) from {t}) as left_values, "
+                    f"(select count(distinct {k}) from {u}) as right_values, (select count({k}) from {u}) as right_rows, "
+                    f"(select count(*) from (select distinct {c} as v from {t}) "
+                    f"semi join (select {k} as v from {u}) using (v)) as shared_values"
+                )
+    return f"""
+    with pairs as ({" union all ".join(pairs)})
+    select * exclude (right_rows), shared_values / left_values as containment, shared_values / right_values as coverage
+    from pairs where right_values = right_rows and containment >= 0.95 and coverage >= 0.1
+    """
+
+
+@query("suggest_joins", _keys_sql())
+def q_suggest_joins(spark, sf):
+    """Foreign keys of five tables found by their values, the columns' names hidden."""
+    return ops.suggest_joins({
+        d: table(spark, sf, t).select(*[F.col(c).alias(out) for out, c in named.items()])
+        for d, (t, named) in _KEY_SETS.items()
+    })
+
+
 # --- C: cleaning -------------------------------------------------------------------------------
 
 
