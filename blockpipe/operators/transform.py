@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from blockpipe.functions import as_column, present, quoted
+from blockpipe.operators.widepca import block_pca
 from blockpipe.plans.ranking import WINDOW_MAX_GROUP_ROWS, largest_group, quantiles, rank_within, row_hash
 
 
@@ -393,6 +394,7 @@ def extract_features(
     k: int = 2,
     out: str = "pca",
     ddof: int = 1,
+    solver: str | None = None,
 ) -> DataFrame:
     """Simpler numeric form of ``cols``.
 
@@ -401,9 +403,11 @@ def extract_features(
     as scalar subqueries, merged into one aggregation). ``pca``: the scores on the first ``k`` principal
     components of the centered columns, as an array column ``out``. The
     means come from one aggregation; the covariance of up to ``PCA_PLAIN_COLS`` columns from
-    another, beyond that the components from Spark ML's PCA (a tree aggregation of
-    vectors; only the ``len(cols)``-square covariance reaches the driver); the
-    projection is a column expression. Rows with a missing value are
+    another, of up to ``PCA_SQUARE_COLS`` from Spark ML's PCA (a tree aggregation of
+    vectors; the ``len(cols)``-square covariance reaches the driver), and the
+    projection is a column expression. Wider tables take ``solver="block"`` (see
+    ``operators.widepca``), which holds a few vectors of ``len(cols)`` and no square. ``solver`` (``"plain"``,
+    ``"square"``, ``"block"``) forces one. Rows with a missing value are
     left out of the fit and get null scores. Each component's sign is fixed
     so that its largest loading is positive.
     """
@@ -423,33 +427,40 @@ def extract_features(
             scaled[c] = F.when(b != 0, (v - a) / b)
         return df.withColumns(scaled)
     if method == "pca":
-        return _pca(df, cols, k, out)
+        return _pca(df, cols, k, out, solver)
     raise ValueError(f"method must be 'scale', 'minmax' or 'pca', got {method!r}")
 
 
 # Columns whose sums of products are plain aggregates of one row.
 PCA_PLAIN_COLS = 16
+# Columns whose square covariance may reach the driver (8 MB).
+PCA_SQUARE_COLS = 1024
 
 
-def _pca(df: DataFrame, cols: Sequence[str], k: int, out: str) -> DataFrame:
+def _pca(df: DataFrame, cols: Sequence[str], k: int, out: str, solver: str | None) -> DataFrame:
     import numpy as np
 
     d = len(cols)
     if not 1 <= k <= d:
         raise ValueError(f"k must be between 1 and {d}")
+    solver = solver or ("plain" if d <= PCA_PLAIN_COLS else "square" if d <= PCA_SQUARE_COLS else "block")
+    if solver not in ("plain", "square", "block"):
+        raise ValueError(f"solver must be 'plain', 'square' or 'block', got {solver!r}")
+    if solver == "block":
+        return block_pca(df, [quoted(c).cast("double") for c in cols], k, out)
     values = [present(df, c).cast("double") for c in cols]
     missing = reduce(Column.__or__, [v.isNull() for v in values])
     row = df.where(~missing).agg(*[F.avg(v).alias(f"m{i}") for i, v in enumerate(values)]).first()
     if row is None or row["m0"] is None:  # no complete row
         return df.withColumn(out, F.lit(None).cast("array<double>"))
     means = [row[f"m{i}"] for i in range(d)]
-    fit = _plain_components if d <= PCA_PLAIN_COLS else _ml_components
+    fit = _plain_components if solver == "plain" else _ml_components
     comps = fit(df.where(~missing), values, means, k)  # len(cols) by k
     for j in range(k):
         if comps[np.argmax(np.abs(comps[:, j])), j] < 0:
             comps[:, j] = -comps[:, j]
     # a missing value makes every score null
-    if d <= PCA_PLAIN_COLS:
+    if solver == "plain":
         centred = [v - m for v, m in zip(values, means)]
         scores = [sum((x * float(w) for x, w in zip(centred, comps[:, j])), F.lit(0.0)) for j in range(k)]
         return df.withColumn(out, F.array(*[F.when(~missing, s) for s in scores]))

@@ -787,30 +787,40 @@ def q_minmax(spark, sf):
     return out.select("event_id", F.round("value", 6).alias("scaled"))
 
 
-@query(
-    "pca",
-    """
-    with m as (select avg(l_quantity) as mx, avg(l_extendedprice) as my, var_samp(l_quantity) as a,
-                      covar_samp(l_quantity, l_extendedprice) as b, var_samp(l_extendedprice) as c from lineitem),
-    t as (select *, 0.5 * atan2(2 * b, a - c) as angle from m),
-    s as (select *, case when abs(cos(angle)) >= abs(sin(angle)) then sign(cos(angle)) else sign(sin(angle)) end as s1,
-                 case when abs(sin(angle)) >= abs(cos(angle)) then sign(-sin(angle)) else sign(cos(angle)) end as s2
-          from t)
-    select l_orderkey, l_linenumber,
-           round(s1 * (cos(angle) * (l_quantity - mx) + sin(angle) * (l_extendedprice - my)), 3) as pc1,
-           round(s2 * (-sin(angle) * (l_quantity - mx) + cos(angle) * (l_extendedprice - my)), 3) as pc2
-    from lineitem, s
-    """,
-)
-def q_pca(spark, sf):
-    """Two columns, whose components have a closed form."""
+_PCA_SQL = """
+with m as (select avg(l_quantity) as mx, avg(l_extendedprice) as my, var_samp(l_quantity) as a,
+                  covar_samp(l_quantity, l_extendedprice) as b, var_samp(l_extendedprice) as c from lineitem),
+t as (select *, 0.5 * atan2(2 * b, a - c) as angle from m),
+s as (select *, case when abs(cos(angle)) >= abs(sin(angle)) then sign(cos(angle)) else sign(sin(angle)) end as s1,
+             case when abs(sin(angle)) >= abs(cos(angle)) then sign(-sin(angle)) else sign(cos(angle)) end as s2
+      from t)
+select l_orderkey, l_linenumber,
+       round(s1 * (cos(angle) * (l_quantity - mx) + sin(angle) * (l_extendedprice - my)), 3) as pc1,
+       round(s2 * (-sin(angle) * (l_quantity - mx) + cos(angle) * (l_extendedprice - my)), 3) as pc2
+from lineitem, s
+"""
+
+
+def _components(spark, sf, solver=None) -> DataFrame:
     li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice")
-    out = ops.extract_features(li, ["l_quantity", "l_extendedprice"], "pca", k=2)
+    out = ops.extract_features(li, ["l_quantity", "l_extendedprice"], "pca", k=2, solver=solver)
     return out.select(
         "l_orderkey", "l_linenumber", F.round(F.col("pca")[0], 3).alias("pc1"), F.round(F.col("pca")[1], 3).alias("pc2")
     )
 
 
+@query("pca", _PCA_SQL)
+def q_pca(spark, sf):
+    """Two columns, whose components have a closed form."""
+    return _components(spark, sf)
+
+
+@query("pca_block", _PCA_SQL)
+def q_pca_block(spark, sf):
+    """The same by products with a block of vectors, as wide tables take it."""
+    return _components(spark, sf, "block")
+
+
 @query(
     "select_features_top",
     "select l_orderkey, l_linenumber, l_quantity, l_tax, l_extendedprice from lineitem",
