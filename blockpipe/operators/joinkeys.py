@@ -65,7 +65,7 @@ def suggest_joins(
     plainly no key; where a sketch can't tell (few values against very many) the pair
     stays. A second scan of the columns left counts their distinct values and shared
     ones: equal values are first combined where they are, then meet once, in a row that
-    holds which columns have them. The driver gets a row for each pair of columns.
+    holds which columns have them. The driver gets a row for each pair of columns' sketches.
     """
     if not 0 < min_containment <= 1 or not 0 <= min_coverage <= 1:
         raise ValueError("min_containment must be in (0, 1], min_coverage in [0, 1]")
@@ -76,15 +76,19 @@ def suggest_joins(
     pairs = _likely_pairs(dfs, columns, min_containment, min_coverage, sketch_bits)
     if not pairs:
         return spark.createDataFrame([], SCHEMA)
-    found = _shared_values(dfs, columns, pairs)
-    alone = {a: (n, most) for a, b, n, most in found if a == b}
-    rows = []
-    for a, b, n, _ in found:
-        if a != b and alone[b][1] == 1:
-            left, right = alone[a][0], alone[b][0]
-            if n / left >= min_containment and n / right >= min_coverage:
-                rows.append((*columns[a][:2], *columns[b][:2], left, right, n, n / left, n / right))
-    return spark.createDataFrame(rows, SCHEMA)
+    # a row for each pair of columns, held in one, where the pairs find their columns' own
+    one = _shared_values(dfs, columns, pairs).agg(F.collect_list(F.struct("a", "b", "n", "most")).alias("all"))
+    own = F.transform(F.filter("all", lambda p: p["a"] == p["b"]), lambda p: F.struct(p["a"], p))
+    one = one.withColumn("own", F.map_from_entries(own)).withColumn("p", F.explode("all")).where("p.a <> p.b")
+    left, right, n = F.col("own")[F.col("p.a")], F.col("own")[F.col("p.b")], F.col("p.n")
+    names = F.array(*[F.struct(F.lit(d).alias("d"), F.lit(c).alias("c")) for d, c, _ in columns])
+    out = one.where(right["most"] == 1).select(
+        names[F.col("p.a")]["d"].alias("left_dataset"), names[F.col("p.a")]["c"].alias("left_column"),
+        names[F.col("p.b")]["d"].alias("right_dataset"), names[F.col("p.b")]["c"].alias("right_column"),
+        left["n"].alias("left_values"), right["n"].alias("right_values"), n.alias("shared_values"),
+        (n / left["n"]).alias("containment"), (n / right["n"]).alias("coverage"),
+    )
+    return out.where((F.col("containment") >= min_containment) & (F.col("coverage") >= min_coverage))
 
 
 def _likely_pairs(dfs, columns, min_containment, min_coverage, bits) -> list[tuple[int, int]]:
@@ -138,8 +142,8 @@ def _comparable(name: str, kind: str):
     return F.unix_micros(c)
 
 
-def _shared_values(dfs, columns, pairs) -> list[tuple[int, int, int, int]]:
-    """(a, b, distinct values both have, most rows a value has in a), also for a = b."""
+def _shared_values(dfs, columns, pairs) -> DataFrame:
+    """(a, b, n, most): distinct values both have, and the most rows one has in a; also for a = b."""
     used = sorted({i for p in pairs for i in p})
     parts = []
     for name, df in dfs.items():
@@ -158,7 +162,6 @@ def _shared_values(dfs, columns, pairs) -> list[tuple[int, int, int, int]]:
     asked = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in wanted])
     both = F.filter(asked, lambda p: F.map_contains_key("at", p["a"]) & F.map_contains_key("at", p["b"]))
     met = held.select("at", F.explode(both).alias("p"))
-    found = met.groupBy(F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(
+    return met.groupBy(F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(
         F.count(F.lit(1)).alias("n"), F.max(F.element_at("at", F.col("p.a"))).alias("most")
     )
-    return [tuple(r) for r in found.collect()]  # a row for each pair of columns

@@ -8,7 +8,7 @@ from blockpipe import suite
 from tests.plan_report import final_plan
 
 SF = "/root/testdata/sf0.001"
-PYTHON_ALLOWED = {"pandas_block", "pandas_block_keyed"}
+PYTHON_ALLOWED = {"pandas_block", "pandas_block_keyed", "pca_block"}
 
 
 @pytest.mark.parametrize("name", list(suite.QUERIES))
