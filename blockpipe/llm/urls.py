@@ -1,13 +1,14 @@
 """URL filter: host and path rules first, then a weighted URL vocabulary.
 
-An Aho-Corasick automaton finds every vocabulary term in the lower-cased url in
-one pass. A hit counts if it is a whole word of the url (no letter or digit on
-either side). One strict term rejects; soft terms reject when the weights of the
-distinct ones found reach a threshold.
+An Aho-Corasick automaton finds every vocabulary term in the lower-cased url, its
+percent escapes decoded, in one pass. A hit counts if it is a whole word of the url (no
+letter or digit on either side). One strict term rejects; soft terms reject when several
+distinct ones are found and their weights reach a threshold.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import ahocorasick
@@ -17,23 +18,21 @@ from pyspark.sql import functions as F
 
 # The default vocabulary. Strict terms decide alone; soft terms
 # have a weight and add up.
-STRICT_TERMS = ["porn", "xxx", "casino", "viagra", "hentai", "escorts", "warez", "camgirls"]
+STRICT_TERMS = [
+    "porn", "porno", "pornstar", "xxx", "hentai", "camgirls", "milf", "escorts", "upskirt", "sexcam",
+    "casino", "sportsbook", "viagra", "cialis", "tramadol", "warez", "keygen",
+]
+# 2: seldom met elsewhere; 1: ordinary words that spam uses a lot.
 SOFT_TERMS = {
-    "adult": 1,
-    "sex": 1,
-    "nude": 1,
-    "bet": 1,
-    "poker": 1,
-    "slots": 1,
-    "dating": 1,
-    "pills": 1,
-    "crack": 1,
-    "torrent": 1,
-    "loan": 1,
-    "free": 1,
-    "cheap": 1,
+    "adult": 2, "sex": 2, "sexy": 2, "nude": 2, "naked": 2, "erotic": 2, "fetish": 2, "webcam": 2, "escort": 2,
+    "poker": 2, "slots": 2, "roulette": 2, "jackpot": 2, "betting": 2, "gambling": 2, "torrent": 2, "cracked": 2,
+    "payday": 2, "pharmacy": 2,
+    "dating": 1, "singles": 1, "hot": 1, "girls": 1, "bet": 1, "odds": 1, "bonus": 1, "pills": 1, "crack": 1,
+    "loan": 1, "loans": 1, "credit": 1, "free": 1, "cheap": 1, "win": 1, "download": 1, "serial": 1, "discount": 1,
 }
-SOFT_THRESHOLD = 2
+# Soft terms reject from this weight on, if there are so many different ones.
+SOFT_THRESHOLD = 3
+SOFT_DISTINCT = 2
 
 # The default rules, (host/path prefix, verdict).
 RULES = [
@@ -115,6 +114,17 @@ def _hits(url: str, machine) -> tuple[set, dict]:
     return strict, soft
 
 
+def _plain(url: str) -> str:
+    """The url in lower case (A-Z only), escaped letters and digits decoded once,
+    any other escape a blank."""
+    return ESCAPE.sub(_unescaped, url.translate(ASCII_LOWER))
+
+
+def _unescaped(escape: re.Match) -> str:
+    ch = chr(int(escape.group(1), 16)).translate(ASCII_LOWER)
+    return ch if _is_word(ch) else " "
+
+
 def _is_word(ch: str) -> bool:
     return "a" <= ch <= "z" or "0" <= ch <= "9"
 
@@ -126,14 +136,16 @@ def filter_urls(
     strict=STRICT_TERMS,
     soft=SOFT_TERMS,
     soft_threshold: float = SOFT_THRESHOLD,
+    soft_distinct: int = SOFT_DISTINCT,
 ) -> DataFrame:
     """``pages`` plus ``host``, ``path``, ``rule``, ``verdict``, ``strict_terms``
     and ``soft_terms`` (distinct terms found, sorted, joined by commas).
 
     A rule fits its host and all subdomains if the path starts with the rule's;
     the longest rule wins (ties: longer host, then block). Without a rule the
-    vocabulary decides: block on one strict term, or when the weights of the
-    distinct soft terms reach ``soft_threshold``; else allow.
+    vocabulary decides: block on one strict term, or when at least ``soft_distinct``
+    different soft terms are found and their weights, each counted once, reach ``soft_threshold``;
+    else allow. Escapes like ``%20`` are decoded for the vocabulary, once, not for the rules.
 
     Null urls and urls without ``://`` have an empty host and path, fit no rule,
     and are judged by the vocabulary alone (null: allow). Repeated rows stay
@@ -149,13 +161,14 @@ def filter_urls(
         for urls, hosts, paths in batches:
             out = []
             for url, host, path in zip(urls, hosts, paths):
-                hard, mild = _hits(url.translate(ASCII_LOWER), machine) if url and machine else ((), {})
+                hard, mild = _hits(_plain(url), machine) if url and machine else ((), {})
                 fit = _rule_for(host, path, by_host)
                 if fit:
                     rule, verdict = fit
                 else:
                     rule = None
-                    verdict = "block" if hard or (mild and sum(mild.values()) >= soft_threshold) else "allow"
+                    soft_hit = len(mild) >= soft_distinct and sum(mild.values()) >= soft_threshold
+                    verdict = "block" if hard or (mild and soft_hit) else "allow"
                 out.append((rule, verdict, ",".join(sorted(hard)), ",".join(sorted(mild))))
             yield pd.DataFrame(out, columns=["rule", "verdict", "strict_terms", "soft_terms"])
 
@@ -168,6 +181,7 @@ def filter_urls(
 
 
 ASCII_LOWER = {ord(a): b for a, b in zip(UPPER, LOWER)}
+ESCAPE = re.compile("%([0-9a-f]{2})")
 
 
 def filter_sql(source: str = "pages") -> str:
@@ -183,9 +197,18 @@ def filter_sql(source: str = "pages") -> str:
     strict = [f"case when {hit.format(t)} then '{t}' end" for t in sorted(STRICT_TERMS)]
     soft = [f"case when {hit.format(t)} then '{t}' end" for t in sorted(SOFT_TERMS)]
     weight = " + ".join(f"case when {hit.format(t)} then {w} else 0 end" for t, w in SOFT_TERMS.items())
+    # what follows each percent sign: an escape and the rest, or no escape
+    low = f"translate(coalesce(url, ''), '{UPPER}', '{LOWER}')"
+    sign = f"translate(chr(cast('0x' || p[1:2] as int)), '{UPPER}', '{LOWER}')"
+    decoded = f"case when regexp_full_match({sign}, '[a-z0-9]') then {sign} else ' ' end || p[3:]"
+    pieces = (
+        f"list_transform(string_split({low}, '%')[2:], "
+        f"lambda p: case when regexp_matches(p, '^[0-9a-f][0-9a-f]') then {decoded} else '%' || p end)"
+    )
     return f"""
     with parts as (
-        select page_id, url, translate(coalesce(url, ''), '{UPPER}', '{LOWER}') as low, {after} as rest from {source}
+        select page_id, url, string_split({low}, '%')[1] || array_to_string({pieces}, '') as low, {after} as rest
+        from {source}
     ), split as (
         select page_id, low, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{UPPER}', '{LOWER}') as host,
                regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from parts
@@ -194,7 +217,9 @@ def filter_sql(source: str = "pages") -> str:
                concat_ws(',', {", ".join(soft)}) as soft_terms, {weight} as weight from split
     )
     select page_id, host, path, rule, case when rule is not null then case rule {verdicts} end
-           when strict_terms <> '' or weight >= {SOFT_THRESHOLD} then 'block' else 'allow' end as verdict,
+           when strict_terms <> '' then 'block'
+           when soft_terms <> '' and length(soft_terms) - length(replace(soft_terms, ',', '')) + 1 >= {SOFT_DISTINCT}
+                and weight >= {SOFT_THRESHOLD} then 'block' else 'allow' end as verdict,
            strict_terms, soft_terms
     from found
     """

@@ -4,6 +4,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
@@ -357,6 +358,33 @@ def test_url_rules_and_words(spark):
     assert (got[3].host, got[3].path, got[9].host, got[10].host) == ("x.org", "", "", "")
 
 
+def test_url_vocabulary_weights_and_escapes(spark):
+    """Soft terms by weight, several distinct ones; escapes decoded once; equal to the SQL."""
+    cases = [
+        ("http://a.net/free-loan", "free,loan", "allow"),  # 1 + 1
+        ("http://a.net/free-loan/bonus", "bonus,free,loan", "block"),  # 1 + 1 + 1
+        ("http://a.net/free-sex", "free,sex", "block"),  # 1 + 2
+        ("http://a.net/sex/sex/sex", "sex", "allow"),  # one distinct term
+        ("http://a.net/adult%20dating", "adult,dating", "block"),
+        ("http://a.net/ADULT%2Fd%61t%49ng", "adult,dating", "block"),
+        ("http://a.net/%78x%78", "", "block"),  # xxx
+        ("http://a.net/%2578xx", "", "allow"),  # an escaped percent sign: decoded once
+        ("http://a.net/%%34%31dult-dating%", "dating", "allow"),
+        ("http://a.net/adult%C3%A9dating%2", "adult,dating", "block"),  # letters beyond a-z are boundaries
+        ("http://a.net/adult%zzdating", "adult", "allow"),
+        ("%", "", "allow"),
+    ]
+    df = spark.createDataFrame([(i, u) for i, (u, _, _) in enumerate(cases)], "page_id long, url string")
+    got = urls.filter_urls(df).orderBy("page_id").toPandas()
+    assert list(zip(got["url"], got["soft_terms"], got["verdict"])) == cases
+    pages = df.toPandas()  # noqa: F841, read by the SQL
+    sql = duckdb.sql(urls.filter_sql("pages") + " order by page_id").df()
+    for c in ("host", "path", "strict_terms", "soft_terms", "verdict"):
+        assert sql[c].tolist() == got[c].tolist()
+    heavy = urls.filter_urls(df, soft={"sex": 5}, soft_distinct=1).where("verdict = 'block' and soft_terms = 'sex'")
+    assert heavy.count() == 2
+
+
 # --- 7 -------------------------------------------------------------------------------------
 
 
