@@ -498,9 +498,10 @@ def q_map_values(spark, sf):
     """,
 )
 def q_map_values_table(spark, sf):
-    """Customer keys as text, those of even ones mapped to names by a table."""
-    cust = table(spark, sf, "customer").where("c_custkey % 2 = 0")
-    names = cust.select(F.col("c_custkey").cast("string").alias("from"), F.col("c_name").alias("to"))
+    """Customer keys as text, mapped to names by a table that writes odd keys another way."""
+    key = F.col("c_custkey").cast("string")
+    written = F.when(F.col("c_custkey") % 2 == 0, key).otherwise(F.concat(F.lit("no. "), key))
+    names = table(spark, sf, "customer").select(written.alias("from"), F.col("c_name").alias("to"))
     orders = table(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").cast("string").alias("o_clerk"))
     return ops.map_values(orders, "o_clerk", names)
 

@@ -37,3 +37,22 @@ def test_cleaning_with_a_map_column(spark):
     df = spark.sql("select map('k', 1) as m, cast(null as string) as s union all select map('k', 2), 'x'")
     got = {(r.column_name, r.technique) for r in ops.recommend_cleaning({"t": df}).collect()}
     assert got == {("s", "impute")}  # no duplicate rule: rows with maps cannot be grouped
+
+
+def test_repeated_rows_by_nulls_nesting_and_signs(spark):
+    """Only rows that are equal in every column, nulls and nested nulls too, repeat."""
+    rows = [
+        (None, 1, "a", "", [None, 1], {"x": 1, "y": 2}, 0.0),
+        (1, None, "a", "", [None, 1], {"x": 1, "y": 2}, 0.0),
+        (1, None, "", "a", [None, 1], {"x": 1, "y": 2}, 0.0),
+        (1, None, "", "a", [1, None], {"x": 1, "y": 2}, 0.0),
+        (1, None, "", "a", [], {"x": 1, "y": 2}, 0.0),
+        (1, None, "", "a", None, {"x": 1, "y": 2}, 0.0),
+        (1, None, "", None, None, {"x": 1, "y": 2}, 0.0),
+        (1, None, "", None, None, {"y": 2, "x": 1}, -0.0),  # equals the one before
+        (1, None, "", None, None, None, 0.0),
+    ]
+    df = spark.createDataFrame(rows, "i int, j int, s string, t string, a array<int>, m map<string,int>, `d.d` double")
+    got = ops.recommend_cleaning({"rows": df}, limit=50).where("technique = 'drop_duplicates'").collect()
+    assert [r.affected_rows for r in got] == [1]
+    assert ops.recommend_cleaning({"rows": df.limit(6)}, limit=50).where("technique = 'drop_duplicates'").count() == 0
