@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import io
+import math
 import re
 from collections.abc import Mapping, Sequence
 from decimal import Decimal
@@ -16,6 +17,7 @@ from pyspark.sql.types import DataType, DecimalType, IntegralType, StringType
 from blockpipe.functions import as_column, quoted
 from blockpipe.functions.columns import in_backticks
 from blockpipe.plans.sizing import broadcast_if_small, measured
+from blockpipe.session import shuffle_partitions
 
 JOIN_KINDS = ("inner", "left", "right", "full", "left_semi", "left_anti")
 
@@ -140,8 +142,12 @@ def join_on_keys(
     return left.join(right, on=keys, how=how)
 
 
-# Rows of either side that meet in one tile of a hot bucket.
+# Rows of either side that meet in one tile of a hot bucket, if no larger tiles are needed
+# to keep to about TILES of them (or two for each shuffle partition) in all; no tile is larger
+# than LARGEST_TILE for that.
 TILE_ROWS = 20_000
+TILES = 512
+LARGEST_TILE = 1 << 20
 
 
 class AllPairsError(ValueError):
@@ -182,7 +188,10 @@ def join_on_condition(
     Many equal values share a bucket however narrow the band is. So the buckets' rows
     are counted first, and a bucket whose pairs exceed ``tile_rows`` squared is cut into
     tiles of about ``tile_rows`` rows of each side: a left row goes to one row of
-    tiles, a right row to one column, and each pair meets in one tile. The rows of
+    tiles, a right row to one column, and each pair meets in one tile. Where that makes
+    more than about ``TILES`` tiles, which would copy each row the more often the more
+    rows there are, all tiles are larger instead: p pairs in t tiles take n + m + 2 sqrt(p t)
+    copies of n and m rows, so what is shuffled grows as the rows do. The rows of
     such buckets are written once with their tiles' numbers, so a lost executor can't
     change them. Counting runs when the join is called.
 
@@ -209,8 +218,8 @@ def join_on_condition(
     lb = left.withColumn("_bp_bl", _bucket(lv / width))
     rb = right.withColumn("_bp_br", F.explode(_buckets((rv - hi) / width, (rv - lo) / width)))
     same = F.col("_bp_bl") == F.col("_bp_br")
-    hot, n_hot, _ = measured(_hot_buckets(lb, rb, tile_rows))
-    if n_hot == 0:
+    hot = _hot_buckets(lb, rb, tile_rows)
+    if hot.isEmpty():
         return lb.join(rb, on=same & cond_col, how=how).drop("_bp_bl", "_bp_br")
     hot, _ = broadcast_if_small(hot)
     cold_l = lb.join(hot, F.col("_bp_bl") == F.col("_bp_b"), "left_anti")
@@ -221,12 +230,16 @@ def join_on_condition(
 
 def _hot_buckets(lb: DataFrame, rb: DataFrame, tile_rows: int) -> DataFrame:
     """Buckets with too many pairs for one task, and the tiles of each side: at most a
-    row for every ``tile_rows`` squared pairs."""
+    row for every ``tile_rows`` squared pairs. All tiles are squares of one size."""
     lefts = lb.groupBy(F.col("_bp_bl").alias("_bp_b")).agg(F.count(F.lit(1)).alias("_bp_n"))
     rights = rb.groupBy(F.col("_bp_br").alias("_bp_b")).agg(F.count(F.lit(1)).alias("_bp_m"))
     pairs = F.col("_bp_n").cast("double") * F.col("_bp_m")
-    tiles = [F.ceil(F.col(c) / tile_rows).alias(out) for c, out in (("_bp_n", "_bp_tl"), ("_bp_m", "_bp_tr"))]
-    return lefts.join(rights, "_bp_b").where(pairs > float(tile_rows) ** 2).select("_bp_b", *tiles)
+    hot, _, _ = measured(lefts.join(rights, "_bp_b").where(pairs > float(tile_rows) ** 2))
+    tiles = max(TILES, 2 * shuffle_partitions(hot.sparkSession))
+    edge = math.sqrt((hot.agg(F.sum(pairs)).first()[0] or 0) / tiles)
+    edge = max(tile_rows, min(edge, LARGEST_TILE))
+    cuts = [F.ceil(F.col(c) / edge).alias(out) for c, out in (("_bp_n", "_bp_tl"), ("_bp_m", "_bp_tr"))]
+    return hot.select("_bp_b", *cuts)
 
 
 def _tiled(lb: DataFrame, rb: DataFrame, hot: DataFrame, cond: Column, how: str) -> DataFrame:

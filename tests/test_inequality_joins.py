@@ -59,6 +59,25 @@ def test_tiles_bound_what_meets_in_one_task(spark):
     assert most < 2 * 100
 
 
+def test_copies_for_tiles_grow_as_the_rows_do(spark):
+    copies = []
+    for n in (10_000, 40_000):
+        t = spark.range(n).select("id", (F.col("id") % 3).alias("_bp_bl"))
+        hot = combine._hot_buckets(t, t.withColumnRenamed("_bp_bl", "_bp_br"), 20).collect()
+        assert len(hot) == 3 and sum(r._bp_tl * r._bp_tr for r in hot) <= 2 * combine.TILES
+        copies.append(sum(n / 3 * (r._bp_tl + r._bp_tr) for r in hot))
+    assert copies[1] <= 1.1 * 4 * copies[0]
+
+
+@pytest.mark.parametrize("how", KINDS)
+def test_tiles_larger_than_asked_lose_nothing(sides, how, monkeypatch):
+    monkeypatch.setattr(combine, "TILES", 16)
+    a, b = sides[0].alias("a"), sides[1].alias("b")
+    cond = "b.v >= a.v - 1 and b.v <= a.v + 1 and a.w = b.u and a.w > 4"
+    got = ops.join_on_condition(a, b, cond, how, band=("a.v", "b.v", -1, 1), tile_rows=2)
+    assert key(got) == key(a.join(b, F.expr(cond), how))
+
+
 @pytest.mark.parametrize("how", ["left_semi", "left_anti"])
 @pytest.mark.parametrize("sign", ["<", "<=", ">", ">="])
 @pytest.mark.parametrize("on", [[], ["g.1"], ["g.1", "h"]])
