@@ -76,8 +76,9 @@ def length_class(many: np.ndarray) -> np.ndarray:
 
 
 class Example:
-    """A labelled text as training takes it: its n-grams' shares, and a few words of it
-    for each epoch and for each of ``SNIPPET_WORDS``, drawn by ``seed``."""
+    """A labelled text as training takes it: how often it has each of its n-grams, and a
+    few words of it for each epoch and for each of ``SNIPPET_WORDS``, drawn by ``seed``.
+    The driver holds all examples at once, so numbers take as few bytes as they need."""
 
     def __init__(self, text: str, seed: int):
         rng = np.random.Generator(np.random.PCG64(seed % (1 << 63)))
@@ -96,10 +97,18 @@ class Example:
             many += len(bucket)
             for b, c in zip(*(x.tolist() for x in np.unique(bucket, return_counts=True))):
                 counts[b] = counts.get(b, 0) + c
-        self.buckets = np.array(sorted(counts), dtype=np.int64)
-        self.shares = np.array([counts[b] for b in sorted(counts)], dtype=np.float64) / max(many, 1)
+        self.buckets = np.array(sorted(counts), dtype=np.int32)
+        self.counts = _small(np.array([counts[b] for b in sorted(counts)], dtype=np.int64))
         self.many = many
 
+    @property
+    def shares(self) -> np.ndarray:
+        return self.counts.astype(np.float64) / max(self.many, 1)
+
+
+def _small(counts: np.ndarray) -> np.ndarray:
+    return counts.astype(np.min_scalar_type(counts.max(initial=0)))
+
 
 def _shares(view: str) -> tuple[np.ndarray, np.ndarray]:
     _, bucket = ngrams([view], BITS)
@@ -193,7 +202,7 @@ def _sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(text) > SENT_CHARS:
                 x = Example(text, row.column(0)[0].as_py())
                 arrays = [pa.array([v], t) for v, t in zip(
-                    (x.buckets, x.shares, x.views, x.snippets, x.many), [f.type for f in _EXAMPLE]
+                    (x.buckets, x.counts, x.views, x.snippets, x.many), [f.type for f in _EXAMPLE]
                 )]
                 packed, text = pa.StructArray.from_arrays(arrays, fields=list(_EXAMPLE)), None
             packed = pa.nulls(1, _EXAMPLE) if packed is None else packed
@@ -204,13 +213,13 @@ def _sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 _EXAMPLE = pa.struct(
     [
-        ("buckets", pa.list_(pa.int64())), ("shares", pa.list_(pa.float64())),
+        ("buckets", pa.list_(pa.int32())), ("counts", pa.list_(pa.int64())),
         ("views", pa.list_(pa.string())), ("snippets", pa.list_(pa.string())), ("many", pa.int64()),
     ]
 )
 _SENT = (
     "h long, lang string, w string, "
-    "x struct<buckets: array<long>, shares: array<double>, views: array<string>, snippets: array<string>, many: long>"
+    "x struct<buckets: array<int>, counts: array<long>, views: array<string>, snippets: array<string>, many: long>"
 )
 
 
@@ -218,11 +227,18 @@ def _example(h: int, text: str | None, packed: dict | None) -> Example:
     if packed is None:
         return Example(text, h)
     x = Example.__new__(Example)
-    x.buckets, x.shares = np.array(packed["buckets"], np.int64), np.array(packed["shares"], np.float64)
+    x.buckets, x.counts = np.array(packed["buckets"], np.int32), _small(np.array(packed["counts"], np.int64))
     x.views, x.snippets, x.many = packed["views"], packed["snippets"], packed["many"]
     return x
 
 
+def _fields(packed: pa.StructScalar) -> dict | None:
+    """An example's fields, numbers straight from Arrow's buffers, as there may be many."""
+    if not packed.is_valid:
+        return None
+    return {k: v.values.to_numpy() if k in ("buckets", "counts") else v.as_py() for k, v in packed.items()}
+
+
 def fit(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -237,9 +253,9 @@ def fit(
     no language and rejects everything.
 
     The driver gets these texts and no others; one longer than ``SENT_CHARS`` as what
-    training takes of it, the shares of its n-grams (16 bytes each of at most
-    ``2 ** BITS``), which the task counts piece by piece. The model is the same
-    either way."""
+    training takes of it, the counts of its n-grams (12 bytes each of at most
+    ``2 ** BITS``, then held in 5 as a rule), which the task counts piece by piece. The
+    model is the same either way."""
     spark = docs.sparkSession
     text = F.col(text_col)
     known = docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull())
@@ -261,8 +277,9 @@ def fit(
     table = picked.orderBy("h", "lang", "w").mapInArrow(_sent, _SENT).toArrow()
     examples, labels = [], []
     for batch in table.to_batches(max_chunksize=256):
-        examples += [_example(r["h"], r["w"], r["x"]) for r in batch.to_pylist()]
+        examples += [_example(h.as_py(), w.as_py(), _fields(x)) for h, _, w, x in zip(*batch.columns)]
         labels += batch.column(1).to_pylist()
+    del table  # the texts are not held beside the examples
     return train(examples, labels)
 
 

@@ -216,3 +216,18 @@ def test_repeated_rows_are_ranked_in_parts(spark):
         F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "p"), F.lit(50)).alias("s")
     )
     assert shares.groupBy("s").count().agg(F.max("count")).first()[0] < 200
+
+
+def test_examples_take_few_bytes_and_give_the_shares():
+    text = "".join(f"word{i % 700} " for i in range(3_000))
+    x = language.Example(text, 5)
+    _, bucket = language.ngrams([text], language.BITS)
+    buckets, counts = np.unique(bucket, return_counts=True)
+    assert x.buckets.tolist() == buckets.tolist() and x.shares.tolist() == (counts / counts.sum()).tolist()
+    assert x.buckets.nbytes + x.counts.nbytes <= 6 * len(buckets)
+    (sent,) = language._sent(iter([pa.RecordBatch.from_pydict({"h": [5], "lang": ["en"], "w": [text]})]))
+    assert len(text) > language.SENT_CHARS and sent.column(2)[0].as_py() is None
+    y = language._example(5, None, language._fields(sent.column(3)[0]))
+    for name in ("buckets", "counts"):
+        assert getattr(y, name).dtype == getattr(x, name).dtype and getattr(y, name).tolist() == getattr(x, name).tolist()
+    assert (y.views, y.snippets, y.many) == (x.views, x.snippets, x.many)
