@@ -309,7 +309,7 @@ def test_every_query_is_registered():
     import __spark_entry__ as entry
 
     found = entry.queries()
-    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{i}" for i in range(1, 14)}
     assert set(queries.QUERIES) <= set(found) and "pipeline" in found
     assert [n for n, _ in corpus_pipeline.STAGES] == [
         "language_id", "toxicity", "near_duplicates", "decontamination", "packing"
